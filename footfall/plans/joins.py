@@ -1,0 +1,19 @@
+"""Join-side sizing.
+
+A side is broadcast only after a bounded count proves it small; otherwise the join is left to the
+planner (sort-merge with AQE skew splitting). The count reads at most ``max_rows + 1`` rows of the
+small side, so the check stays cheap even when the side turns out to be large.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
