@@ -160,3 +160,38 @@ register("daily_load", """
            CAST(d.visits AS DOUBLE) / CAST(s.visits_max + 1 AS DOUBLE) AS load
     FROM daily d JOIN (SELECT counterId, max(visits) AS visits_max FROM daily GROUP BY counterId) s
       USING (counterId)""", "daily")
+
+# ---- step 2 ------------------------------------------------------------------------------------------
+
+register("add_calendar", """
+    SELECT measurmentId, counterId, startDate, year, month, day, hour, weekday, hour2d, date_day, ds
+    FROM hourly""", "hourly")
+register("day_part_rollup", f"""
+    SELECT counterId, date_day, year, month, day_part, CAST(sum(visits) AS BIGINT) AS visits,
+           {', '.join(f'avg({m}) AS {m}' for m in schemas.DAY_PART_MEANS)},
+           coalesce(bool_or(holiday), false) AS holiday,
+           CASE day_part WHEN 0 THEN '01:00' WHEN 1 THEN '09:00' ELSE '17:00' END AS hours,
+           date_day || ' ' || CASE day_part WHEN 0 THEN '01:00' WHEN 1 THEN '09:00' ELSE '17:00' END AS ds
+    FROM (SELECT *, CAST(CASE WHEN hour <= 12 THEN 0 WHEN hour <= 16 THEN 1 ELSE 2 END AS BIGINT) AS day_part
+          FROM hourly WHERE hour BETWEEN 9 AND 20)
+    GROUP BY counterId, date_day, year, month, day_part""", "hourly")
+register("hourly_profile", """
+    SELECT counterId, hour, avg(visits) AS visits_mean FROM hourly GROUP BY counterId, hour""", "hourly")
+register("weekday_profile_park", """
+    SELECT parkCode, weekday, hour2d, avg(visits) AS visits_mean FROM hourly
+    GROUP BY parkCode, weekday, hour2d""", "hourly")
+register("weekday_profile_counter", "SELECT * FROM weekday_profile_counter", "weekday_profile_counter")
+register("distinct_keys", "SELECT DISTINCT parkCode, counterId FROM hourly", "hourly")
+register("row_counts", "SELECT count(*) AS n_rows, count(cloud) AS n_not_null FROM weather", "weather")
+register("drop_incomplete", f"""
+    SELECT {ENRICHED_COLS}, holiday FROM enriched_h WHERE cloud IS NOT NULL AND visits IS NOT NULL""",
+         "enriched_h")
+register("for_counter", "SELECT * FROM history_daily WHERE counterId = 7", "history_daily")
+register("preview", """
+    SELECT measurmentId, counterId, startDate, visits FROM readings
+    ORDER BY visits DESC, measurmentId DESC LIMIT 20""", "readings")
+register("profile_for_date", """
+    SELECT r.counterId, p.weekday, strftime(r.date, '%Y-%m-%d') AS date, p.hour2d, p.visits_mean
+    FROM (SELECT DISTINCT counterId, date FROM feed) r
+    JOIN weekday_profile_counter p ON p.counterId = r.counterId AND p.weekday = isodow(r.date) - 1""",
+         "feed", "weekday_profile_counter")
