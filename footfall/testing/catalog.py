@@ -180,3 +180,66 @@ def profile_for_date(spark, sf_dir):
     req = _feed(spark, sf_dir).select("counterId", "date").distinct()
     out = profiles.profile_for_date(req, prof, "counterId", "date")
     return _ints_to_bigint(out.withColumn("date", F.date_format("date", "yyyy-MM-dd")))
+
+
+# ---- step 3: load answers --------------------------------------------------------------------------
+
+def _date_str(df: DataFrame, col: str = "date") -> DataFrame:
+    return df.withColumn(col, F.date_format(col, "yyyy-MM-dd"))
+
+
+def _park_routes(spark, sf_dir):
+    """Route dimension of one park: the nations of regions 0 and 1."""
+    return fx.route_dim(fx.table(spark, sf_dir, "nation")).where(F.col("region") <= 1)
+
+
+@query
+def clamp_visits(spark, sf_dir):
+    fc = fx.forecast_standin(fx.table(spark, sf_dir, "orders")).withColumnRenamed("yhat", "visits_pred")
+    return load.clamp_visits(fc)
+
+
+@query
+def historic_max(spark, sf_dir):
+    return profiles.historic_max(_history_daily(spark, sf_dir))
+
+
+@query
+def compute_load(spark, sf_dir):
+    fc = fx.forecast_standin(fx.table(spark, sf_dir, "orders")).withColumnRenamed("yhat", "visits_pred")
+    return load.compute_load(load.clamp_visits(fc), _history_daily(spark, sf_dir))
+
+
+@query
+def prediction_feed(spark, sf_dir):
+    pred = fx.prediction_table(fx.table(spark, sf_dir, "orders"))
+    routes = _park_routes(spark, sf_dir).select(F.col("id").alias("counterId"))
+    return _date_str(load.to_feed(pred, park_id=fx.PARK_EVEN, routes=routes))
+
+
+@query
+def keep_routes(spark, sf_dir):
+    routes = _park_routes(spark, sf_dir).select(F.col("id").alias("counterId"))
+    return _date_str(load.keep_routes(_feed(spark, sf_dir), routes))
+
+
+@query
+def forecast_on(spark, sf_dir):
+    return _date_str(load.forecast_on(_feed(spark, sf_dir), fx.AS_OF, 3))
+
+
+@query
+def route_bucket_counts(spark, sf_dir):
+    return _date_str(load.route_bucket_counts(_feed(spark, sf_dir)))
+
+
+@query
+def park_state(spark, sf_dir):
+    asked = load.asked_days(load.park_dim(spark), fx.AS_OF, 10)
+    return _date_str(load.park_state(_feed(spark, sf_dir), asked))
+
+
+@query
+def describe_routes(spark, sf_dir):
+    dim = fx.route_dim(fx.table(spark, sf_dir, "nation"))
+    return _date_str(load.describe_routes(_feed(spark, sf_dir), dim))

@@ -8,6 +8,7 @@ steps are CTEs, composed per query.
 from __future__ import annotations
 
 from footfall import schemas
+from footfall.functions.labels import PARK_MESSAGES, PARK_UNKNOWN_MESSAGE, PARKS, ROUTE_COUNT_MESSAGE
 from footfall.testing import fixtures as fx
 
 ORACLE: dict[str, str] = {}
@@ -195,3 +196,73 @@ register("profile_for_date", """
     FROM (SELECT DISTINCT counterId, date FROM feed) r
     JOIN weekday_profile_counter p ON p.counterId = r.counterId AND p.weekday = isodow(r.date) - 1""",
          "feed", "weekday_profile_counter")
+
+
+# ---- step 3 ------------------------------------------------------------------------------------------
+
+def _sql_text(text: str) -> str:
+    """A SQL string expression for ``text`` (quotes doubled, newlines as chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in text.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+CTE["forecast"] = """
+    SELECT o_custkey % 25 AS counterId, strftime(o_orderdate, '%Y-%m-%d') AS date,
+           CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice / 1000 - 100 END AS visits_pred
+    FROM orders"""
+CTE["hmax"] = "SELECT counterId, max(visits) AS visits_max FROM history_daily GROUP BY counterId"
+CTE["park_routes"] = "SELECT CAST(n_nationkey AS BIGINT) AS counterId FROM nation WHERE n_regionkey <= 1"
+DEPS.update({"forecast": [], "hmax": ["history_daily"], "park_routes": []})
+
+CLAMP = "CASE WHEN visits_pred < 0 THEN CAST(0.0 AS DOUBLE) ELSE visits_pred END"
+register("clamp_visits", f"SELECT counterId, date, {CLAMP} AS visits_pred FROM forecast", "forecast")
+register("historic_max", "SELECT * FROM hmax", "hmax")
+register("compute_load", f"""
+    SELECT counterId, date, {CLAMP} AS visits_pred,
+           {CLAMP} / CAST(visits_max + 1 AS DOUBLE) AS load
+    FROM forecast JOIN hmax USING (counterId)""", "forecast", "hmax")
+register("prediction_feed", f"""
+    SELECT counterId, CAST({fx.PARK_EVEN} AS BIGINT) AS parkId, load, date
+    FROM prediction WHERE counterId IN (SELECT counterId FROM park_routes)""", "prediction", "park_routes")
+register("keep_routes", """
+    SELECT counterId, parkId, load, strftime(date, '%Y-%m-%d') AS date
+    FROM feed WHERE counterId IN (SELECT counterId FROM park_routes)""", "feed", "park_routes")
+register("forecast_on", f"""
+    SELECT counterId, parkId, load, strftime(date, '%Y-%m-%d') AS date
+    FROM feed WHERE date = DATE '{fx.AS_OF}' + 3""", "feed")
+_RC = ROUTE_COUNT_MESSAGE
+register("route_bucket_counts", f"""
+    SELECT parkId, strftime(date, '%Y-%m-%d') AS date, avoid, busy, free,
+           printf({_sql_text(_RC)}, CAST(avoid AS VARCHAR), CAST(busy AS VARCHAR), CAST(free AS VARCHAR))
+               AS message
+    FROM (SELECT parkId, date, count_if(load > 0.7) AS avoid, count_if(load > 0.5 AND load <= 0.7) AS busy,
+                 count_if(NOT (load > 0.5)) AS free
+          FROM feed GROUP BY parkId, date)""", "feed")
+
+_STATE = ("CASE WHEN mean_load IS NULL THEN 'unknown' WHEN mean_load > 0.7 THEN 'extremely busy' "
+          "WHEN mean_load > 0.5 THEN 'very busy' WHEN mean_load > 0.3 THEN 'moderate' ELSE 'almost empty' END")
+_MSG = "CASE " + " ".join(
+    f"WHEN state = '{k}' THEN printf({_sql_text(v)}, CAST(percent AS VARCHAR))" for k, v in PARK_MESSAGES.items()
+) + f" ELSE {_sql_text(PARK_UNKNOWN_MESSAGE)} END"
+_PARKS = ", ".join(f"({pid})" for pid, _ in PARKS)
+register("park_state", f"""
+    SELECT parkId, date, mean_load, n_routes, state, percent, {_MSG} AS message
+    FROM (SELECT parkId, strftime(a.date, '%Y-%m-%d') AS date, g.mean_load,
+                 CAST(coalesce(g.n_routes, 0) AS BIGINT) AS n_routes,
+                 {_STATE.replace('mean_load', 'g.mean_load')} AS state,
+                 CAST(ceil(g.mean_load * 100) AS BIGINT) AS percent
+          FROM (SELECT CAST(p AS BIGINT) AS parkId, CAST(d AS DATE) AS date
+                FROM (VALUES {_PARKS}) v(p),
+                     generate_series(DATE '{fx.AS_OF}', DATE '{fx.AS_OF}' + 10, INTERVAL 1 DAY) s(d)) a
+          LEFT JOIN (SELECT parkId, date,
+                            CAST(sum(CAST(load AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(load) AS DOUBLE)
+                                AS mean_load,
+                            count(*) AS n_routes
+                     FROM feed GROUP BY parkId, date) g USING (parkId, date))""", "feed")
+register("describe_routes", """
+    SELECT f.counterId, f.parkId, f.load, strftime(f.date, '%Y-%m-%d') AS date, d.name, d.lon, d.lat, d.region
+    FROM feed f LEFT JOIN (
+        SELECT CAST(n_nationkey AS BIGINT) AS counterId, min(n_name) AS name,
+               24.0 + CAST(n_nationkey AS DOUBLE) / 8 AS lon, 60.0 + CAST(n_nationkey AS DOUBLE) / 16 AS lat,
+               CAST(n_regionkey AS BIGINT) AS region
+        FROM nation GROUP BY n_nationkey, n_regionkey) d USING (counterId)""", "feed")
