@@ -65,6 +65,16 @@ def normalize_routes(routes: DataFrame) -> DataFrame:
     return out
 
 
+def prepare_routes(raw: DataFrame) -> DataFrame:
+    """A park's raw route table -> counterId (from the park-code column), plain names, typed
+    decimal-comma length; coordinates dropped."""
+    out = raw
+    if "ASTA_Counters.NationalParkCode" in out.columns:
+        out = out.withColumnRenamed("ASTA_Counters.NationalParkCode", "counterId")
+    out = out.drop("EPSG4326_East", "EPSG4326_North")
+    return normalize_routes(out)
+
+
 def attach_routes(df: DataFrame, routes: DataFrame, key: str = "counterId") -> DataFrame:
     """Inner join of a per-counter table with route attributes on ``counterId``."""
     return df.join(bounded_broadcast(routes), on=key, how="inner")

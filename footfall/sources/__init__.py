@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from footfall import schemas
 from footfall.operators.clean import clean_readings, clean_weather
-from footfall.operators.enrich import normalize_routes
+from footfall.operators.enrich import prepare_routes
 from footfall.operators.load import to_feed
 
 
@@ -66,11 +66,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType | None = N
 def read_routes(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
     """A park's route table (``;``-separated, Latin-1): counter id from the park-code column, plain
     column names, decimal-comma lengths parsed, coordinates dropped."""
-    raw = read_csv_table(spark, path, None, sep=sep, encoding=encoding)
-    if "ASTA_Counters.NationalParkCode" in raw.columns:
-        raw = raw.withColumnRenamed("ASTA_Counters.NationalParkCode", "counterId")
-    raw = raw.drop("EPSG4326_East", "EPSG4326_North")
-    return normalize_routes(raw)
+    return prepare_routes(read_csv_table(spark, path, None, sep=sep, encoding=encoding))
 
 
 def read_predictions(spark: SparkSession, path: str, park_id: int = 952,

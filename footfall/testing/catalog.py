@@ -243,3 +243,65 @@ def park_state(spark, sf_dir):
 def describe_routes(spark, sf_dir):
     dim = fx.route_dim(fx.table(spark, sf_dir, "nation"))
     return _date_str(load.describe_routes(_feed(spark, sf_dir), dim))
+
+
+# ---- step 4: series windows, future frames, routes ---------------------------------------------------
+
+from footfall.operators import series  # noqa: E402
+
+
+@query
+def latest_per_counter(spark, sf_dir):
+    return series.latest_per_counter(_history_daily(spark, sf_dir))
+
+
+@query
+def last_n_per_counter(spark, sf_dir):
+    return series.last_n_per_counter(_history_daily(spark, sf_dir), n=1500)
+
+
+@query
+def ordered_split(spark, sf_dir):
+    return series.ordered_split(_history_daily(spark, sf_dir), n=400)
+
+
+@query
+def to_series(spark, sf_dir):
+    return series.to_series(_history_daily(spark, sf_dir))
+
+
+@query
+def future_days(spark, sf_dir):
+    return series.future_days(series.to_series(_history_daily(spark, sf_dir)), 10, include_history=False)
+
+
+@query
+def split_horizon(spark, sf_dir):
+    s = series.to_series(_history_daily(spark, sf_dir))
+    return series.split_horizon(series.future_days(s, 10, include_history=True), s)
+
+
+@query
+def future_day_parts(spark, sf_dir):
+    counters = profiles.distinct_keys(_history_daily(spark, sf_dir), "counterId")
+    return series.future_day_parts(counters, "2024-02-01", 10)
+
+
+def _routes(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer")
+    return enrich.prepare_routes(enrich.stack_routes(fx.routes_a(c), fx.routes_b(c)))
+
+
+@query
+def future_covariates(spark, sf_dir):
+    return series.future_covariates(_routes(spark, sf_dir).select("counterId"))
+
+
+@query
+def stack_routes(spark, sf_dir):
+    return _routes(spark, sf_dir)
+
+
+@query
+def attach_routes(spark, sf_dir):
+    return enrich.attach_routes(_daily(spark, sf_dir), _routes(spark, sf_dir))

@@ -8,7 +8,8 @@ steps are CTEs, composed per query.
 from __future__ import annotations
 
 from footfall import schemas
-from footfall.functions.labels import PARK_MESSAGES, PARK_UNKNOWN_MESSAGE, PARKS, ROUTE_COUNT_MESSAGE
+from footfall.functions.labels import (FUTURE_TEMP_DATES, FUTURE_TEMPS, PARK_MESSAGES, PARK_UNKNOWN_MESSAGE,
+                                       PARKS, ROUTE_COUNT_MESSAGE)
 from footfall.testing import fixtures as fx
 
 ORACLE: dict[str, str] = {}
@@ -266,3 +267,46 @@ register("describe_routes", """
                24.0 + CAST(n_nationkey AS DOUBLE) / 8 AS lon, 60.0 + CAST(n_nationkey AS DOUBLE) / 16 AS lat,
                CAST(n_regionkey AS BIGINT) AS region
         FROM nation GROUP BY n_nationkey, n_regionkey) d USING (counterId)""", "feed")
+
+
+# ---- step 4 ------------------------------------------------------------------------------------------
+
+_FLAGS = ", ".join(
+    (f"CASE WHEN c_custkey % 2 = 0 THEN (c_custkey >> {i}) & 1 END AS {f}" if f == "Restaurant"
+     else f"(c_custkey >> {i}) & 1 AS {f}") for i, f in enumerate(schemas.ROUTE_FLAGS))
+CTE["routes"] = f"""
+    SELECT c_custkey AS counterId, c_name AS track_name, c_mktsegment AS difficulty, c_acctbal AS length_km,
+           CAST(c_nationkey * 10 AS DOUBLE) AS duration_min, {_FLAGS}
+    FROM customer"""
+CTE["hd_last"] = "SELECT counterId, max(CAST(date_day AS DATE)) AS last FROM history_daily GROUP BY counterId"
+CTE["hd_future"] = """
+    SELECT counterId, strftime(last + CAST(i AS INTEGER), '%Y-%m-%d') AS ds
+    FROM hd_last, generate_series(1, 10) g(i)"""
+DEPS.update({"routes": [], "hd_last": ["history_daily"], "hd_future": ["hd_last"]})
+
+register("latest_per_counter", """
+    SELECT * FROM history_daily
+    QUALIFY rank() OVER (PARTITION BY counterId ORDER BY date_day DESC) = 1""", "history_daily")
+register("last_n_per_counter", """
+    SELECT * FROM history_daily
+    QUALIFY row_number() OVER (PARTITION BY counterId ORDER BY date_day DESC) <= 1500""", "history_daily")
+register("ordered_split", """
+    SELECT *, CASE WHEN rn <= 400 THEN 'train' ELSE 'test' END AS part
+    FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY date_day) AS rn FROM history_daily)""",
+         "history_daily")
+register("to_series", "SELECT counterId, date_day AS ds, CAST(visits AS DOUBLE) AS y FROM history_daily",
+         "history_daily")
+register("future_days", "SELECT * FROM hd_future", "hd_future")
+register("split_horizon", """
+    SELECT counterId, date_day AS ds, 'history' AS part FROM history_daily
+    UNION ALL SELECT counterId, ds, 'future' AS part FROM hd_future""", "history_daily", "hd_future")
+register("future_day_parts", """
+    SELECT counterId, strftime(DATE '2024-02-01' + CAST(i AS INTEGER), '%Y-%m-%d') || ' ' || l AS ds,
+           CAST(p AS BIGINT) AS day_part
+    FROM (SELECT DISTINCT counterId FROM history_daily), generate_series(0, 9) g(i),
+         (VALUES (0, '01:00'), (1, '09:00'), (2, '17:00')) v(p, l)""", "history_daily")
+_COV = ", ".join(f"('{d}', {t})" for d, t in zip(FUTURE_TEMP_DATES, FUTURE_TEMPS))
+register("future_covariates", f"""
+    SELECT counterId, date, CAST(temp AS BIGINT) AS temp FROM routes, (VALUES {_COV}) v(date, temp)""", "routes")
+register("stack_routes", "SELECT * FROM routes", "routes")
+register("attach_routes", "SELECT * FROM daily JOIN routes USING (counterId)", "daily", "routes")
