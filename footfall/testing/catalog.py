@@ -305,3 +305,46 @@ def stack_routes(spark, sf_dir):
 @query
 def attach_routes(spark, sf_dir):
     return enrich.attach_routes(_daily(spark, sf_dir), _routes(spark, sf_dir))
+
+
+# ---- step 5: forecasts (rows-only: the model has no SQL twin) and the error report ---------------------
+
+from footfall.operators import forecast as fcst  # noqa: E402
+from footfall.plans import predictions  # noqa: E402
+
+
+@query
+def fit_forecast(spark, sf_dir):
+    s = series.to_series(_history_daily(spark, sf_dir))
+    return fcst.fit_forecast(s, series.future_days(s, 10, include_history=False))
+
+
+@query
+def backcast(spark, sf_dir):
+    s = series.to_series(_history_daily(spark, sf_dir))
+    return fcst.backcast(s, fcst.fit_forecast(s, s.select("counterId", "ds")))
+
+
+@query
+def evaluate_holdout(spark, sf_dir):
+    return fcst.evaluate_holdout(series.to_series(_history_daily(spark, sf_dir)), 400)
+
+
+@query
+def daily_prediction(spark, sf_dir):
+    return predictions.daily_prediction(_history_daily(spark, sf_dir))
+
+
+@query
+def day_part_prediction(spark, sf_dir):
+    hourly = _hourly(spark, sf_dir)
+    return predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01")
+
+
+@query
+def forecast_error(spark, sf_dir):
+    """Error report on the stand-in forecast against the daily history (per counter)."""
+    hist = _history_daily(spark, sf_dir).select("counterId", F.col("date_day").alias("date"),
+                                                F.col("visits").alias("y"))
+    fc = fx.forecast_standin(fx.table(spark, sf_dir, "orders"))
+    return fcst.forecast_error(hist.join(fc, on=["counterId", "date"], how="inner"), "y", "yhat", "counterId")

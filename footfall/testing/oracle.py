@@ -310,3 +310,17 @@ register("future_covariates", f"""
     SELECT counterId, date, CAST(temp AS BIGINT) AS temp FROM routes, (VALUES {_COV}) v(date, temp)""", "routes")
 register("stack_routes", "SELECT * FROM routes", "routes")
 register("attach_routes", "SELECT * FROM daily JOIN routes USING (counterId)", "daily", "routes")
+
+
+# ---- step 5 ------------------------------------------------------------------------------------------
+
+register("forecast_error", """
+    SELECT counterId, count(*) AS n,
+           CAST(sum(CAST(CAST(y AS DOUBLE) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS y_mean,
+           CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mse,
+           sqrt(CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE))
+               AS rmse
+    FROM (SELECT h.counterId, CAST(h.visits AS DOUBLE) AS y, f.visits_pred AS yhat
+          FROM history_daily h JOIN forecast f ON f.counterId = h.counterId AND f.date = h.date_day)
+    WHERE y IS NOT NULL AND yhat IS NOT NULL
+    GROUP BY counterId""", "history_daily", "forecast")
