@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder on a cluster")
     local = tempfile.mkdtemp(prefix="footfall-ckpt-")
     sc.setCheckpointDir(local)
     return local
@@ -60,3 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def testdata_dir(sf: str = "0.01") -> str:
     return os.environ.get("FOOTFALL_SF_DIR", f"/root/testdata/sf{sf}")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (eager): later stages and iterative
+    algorithms read the saved result instead of recomputing, and survive lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

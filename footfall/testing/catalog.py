@@ -348,3 +348,48 @@ def forecast_error(spark, sf_dir):
                                                 F.col("visits").alias("y"))
     fc = fx.forecast_standin(fx.table(spark, sf_dir, "orders"))
     return fcst.forecast_error(hist.join(fc, on=["counterId", "date"], how="inner"), "y", "yhat", "counterId")
+
+
+# ---- step 6: features and boosted trees (rows-only for the model outputs) ------------------------------
+
+from footfall.operators import regress  # noqa: E402
+
+
+def _daily_with_routes(spark, sf_dir):
+    return enrich.attach_routes(_daily(spark, sf_dir), _routes(spark, sf_dir))
+
+
+@query
+def feature_table(spark, sf_dir):
+    return _ints_to_bigint(regress.feature_table(_daily_with_routes(spark, sf_dir)))
+
+
+def _gbt_inputs(spark, sf_dir):
+    """Daily features + the in-sample forecast as a feature, split per counter in time order."""
+    daily = _daily_with_routes(spark, sf_dir)
+    s = series.to_series(daily, "date_day", "visits")
+    yhat = fcst.fit_forecast(s, s.select("counterId", "ds")).select(
+        "counterId", F.col("ds").alias("date_day"), "yhat")
+    feats = regress.feature_table(daily.join(yhat, ["counterId", "date_day"], "left"),
+                                  keep=["counterId", "date_day"])
+    names = regress.feature_names(feats, "visits", exclude=["counterId"])
+    split = series.ordered_split(feats, 14)
+    train = split.where(F.col("part") == "train").drop("part", "rn")
+    valid = split.where(F.col("part") == "test").drop("part", "rn")
+    return train, valid, names
+
+
+@query
+def fit_visits_gbt(spark, sf_dir):
+    train, valid, names = _gbt_inputs(spark, sf_dir)
+    model = regress.fit_visits_gbt(train, names, "visits", valid=None, max_iter=7, step_size=0.05,
+                                   max_depth=4, key_feature="counterId")
+    return regress.predict_visits(model, valid).select("counterId", "date_day", "visits", "visits_pred")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    train, valid, names = _gbt_inputs(spark, sf_dir)
+    model = regress.fit_visits_gbt(train, names, "visits", valid=valid, max_iter=20, step_size=0.05,
+                                   max_depth=5)
+    return regress.feature_importance(spark, model, names)

@@ -324,3 +324,12 @@ register("forecast_error", """
           FROM history_daily h JOIN forecast f ON f.counterId = h.counterId AND f.date = h.date_day)
     WHERE y IS NOT NULL AND yhat IS NOT NULL
     GROUP BY counterId""", "history_daily", "forecast")
+
+
+# ---- step 6 ------------------------------------------------------------------------------------------
+
+_FEAT = ", ".join([f"coalesce({m}, 0.0) AS {m}" for m in M]
+                  + ["visits", "coalesce(cordNorth, 0.0) AS cordNorth", "coalesce(coordSouth, 0.0) AS coordSouth",
+                     "coalesce(month, 0.0) AS month", "coalesce(day, 0.0) AS day",
+                     "CAST(holiday AS BIGINT) AS holiday"])
+register("feature_table", f"SELECT {_FEAT} FROM daily JOIN routes USING (counterId)", "daily", "routes")
