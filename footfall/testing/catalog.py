@@ -393,3 +393,14 @@ def feature_importance(spark, sf_dir):
     model = regress.fit_visits_gbt(train, names, "visits", valid=valid, max_iter=20, step_size=0.05,
                                    max_depth=5)
     return regress.feature_importance(spark, model, names)
+
+
+# ---- step 7: coverage documents -------------------------------------------------------------------------
+
+from footfall.operators import coverage  # noqa: E402
+
+
+@query
+def parse_coverage(spark, sf_dir):
+    docs = fx.coverage_docs(_events(spark, sf_dir))
+    return coverage.parse_coverage(docs, fx.COVERAGE_FIELDS, "xml", keep=["doc"])

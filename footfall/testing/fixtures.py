@@ -157,3 +157,40 @@ def routes_a(customer: DataFrame) -> DataFrame:
 
 def routes_b(customer: DataFrame) -> DataFrame:
     return _route_rows(customer, 1, False)
+
+
+# --- fixed values: coverage document fixture -----------------------------------------------------
+COVERAGE_FIELDS = ["Temperature", "WindSpeedMS"]
+COVERAGE_CHUNK = 1000        # events per document at most: event ids [k*1000, (k+1)*1000) of one user
+COVERAGE_HEAD = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0" '
+                 'xmlns:om="http://www.opengis.net/om/2.0" '
+                 'xmlns:omso="http://inspire.ec.europa.eu/schemas/omso/3.0" '
+                 'xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:gmlcov="http://www.opengis.net/gmlcov/1.0" '
+                 'xmlns:swe="http://www.opengis.net/swe/2.0">\n'
+                 '<wfs:member><omso:GridSeriesObservation><om:result><gmlcov:MultiPointCoverage>\n'
+                 '<gml:domainSet><gmlcov:SimpleMultiPoint><gmlcov:positions>\n')
+COVERAGE_MID = ('\n</gmlcov:positions></gmlcov:SimpleMultiPoint></gml:domainSet>\n'
+                '<gml:rangeSet><gml:DataBlock><gml:doubleOrNilReasonTupleList>\n')
+COVERAGE_TAIL = ('\n</gml:doubleOrNilReasonTupleList></gml:DataBlock></gml:rangeSet>\n'
+                 '<gmlcov:rangeType><swe:DataRecord>'
+                 + "".join(f'<swe:field name="{n}"/>' for n in COVERAGE_FIELDS)
+                 + '</swe:DataRecord></gmlcov:rangeType>\n'
+                 '</gmlcov:MultiPointCoverage></om:result></omso:GridSeriesObservation></wfs:member>\n'
+                 '</wfs:FeatureCollection>\n')
+# ---------------------------------------------------------------------------------------------------
+
+
+def coverage_docs(events: DataFrame) -> DataFrame:
+    """One coverage document per (user, block of event ids): a position (user, event, epoch) and a
+    value tuple (value, event % 7) per event in event order; odd users lose the last value tuple."""
+    e = events.select(
+        "user_id", "event_id", (F.col("event_id") / COVERAGE_CHUNK).cast("bigint").alias("chunk"),
+        F.concat_ws(" ", _s(F.col("user_id")), _s(F.col("event_id")), _s(F.unix_timestamp("ts"))).alias("pos"),
+        F.concat_ws(" ", _s(F.col("value")), _s(F.col("event_id") % 7)).alias("val"))
+    g = e.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", "pos", "val"))).alias("it"))
+    pos = F.transform("it", lambda r: r["pos"])
+    val = F.transform("it", lambda r: r["val"])
+    val = F.when(F.col("user_id") % 2 == 1, F.slice(val, 1, F.size("it") - 1)).otherwise(val)
+    xml = F.concat(F.lit(COVERAGE_HEAD), F.array_join(pos, "\n"), F.lit(COVERAGE_MID),
+                   F.array_join(val, "\n"), F.lit(COVERAGE_TAIL))
+    return g.select(F.concat_ws("-", _s(F.col("user_id")), _s(F.col("chunk"))).alias("doc"), xml.alias("xml"))

@@ -333,3 +333,17 @@ _FEAT = ", ".join([f"coalesce({m}, 0.0) AS {m}" for m in M]
                      "coalesce(month, 0.0) AS month", "coalesce(day, 0.0) AS day",
                      "CAST(holiday AS BIGINT) AS holiday"])
 register("feature_table", f"SELECT {_FEAT} FROM daily JOIN routes USING (counterId)", "daily", "routes")
+
+
+# ---- step 7 ------------------------------------------------------------------------------------------
+
+register("parse_coverage", f"""
+    SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id // {fx.COVERAGE_CHUNK} AS VARCHAR) AS doc,
+           point, CAST(user_id AS DOUBLE) AS x, CAST(event_id AS DOUBLE) AS y,
+           strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS time,
+           value AS {fx.COVERAGE_FIELDS[0]}, CAST(event_id % 7 AS DOUBLE) AS {fx.COVERAGE_FIELDS[1]}
+    FROM (SELECT *, row_number() OVER w - 1 AS point,
+                 row_number() OVER (PARTITION BY user_id, event_id // {fx.COVERAGE_CHUNK} ORDER BY event_id DESC)
+                     AS back
+          FROM events WINDOW w AS (PARTITION BY user_id, event_id // {fx.COVERAGE_CHUNK} ORDER BY event_id))
+    WHERE NOT (user_id % 2 = 1 AND back = 1)""")
