@@ -97,9 +97,10 @@ class _Layout:
 
 
 def fit_predict_arrays(t_hist: np.ndarray, y_sum: np.ndarray, y_n: np.ndarray, y_sq: np.ndarray,
-                       t_pred: np.ndarray, cfg: ModelConfig = ModelConfig()):
+                       t_pred: np.ndarray, cfg: ModelConfig = ModelConfig(), y_amax: np.ndarray | None = None):
     """Fit one counter on aggregated points (weighted by count) and predict at ``t_pred``.
 
+    ``y_amax`` is the largest |y| behind each point (the scale of y); without it the means are used.
     Returns (yhat, trend). With fewer than two distinct points the prediction is the mean.
     """
     n_tot = float(y_n.sum())
@@ -111,7 +112,7 @@ def fit_predict_arrays(t_hist: np.ndarray, y_sum: np.ndarray, y_n: np.ndarray, y
         const = np.full(len(t_pred), mean)
         return const, const
     ybar = y_sum / y_n
-    scale = float(np.max(np.abs(ybar))) or 1.0
+    scale = float(np.max(y_amax if y_amax is not None else np.abs(ybar))) or 1.0
     lay = _Layout(t_hist, cfg)
     X = lay.design(t_hist)
     yb = ybar / scale
@@ -138,7 +139,8 @@ def _fit_group(cfg: ModelConfig):
         h = hist.sort_values("ds")
         yhat, trend = fit_predict_arrays(_days(h["ds"]) if len(h) else np.zeros(0),
                                          h["y_sum"].to_numpy(float), h["y_n"].to_numpy(float),
-                                         h["y_sq"].to_numpy(float), _days(frame["ds"]), cfg)
+                                         h["y_sq"].to_numpy(float), _days(frame["ds"]), cfg,
+                                         h["y_amax"].to_numpy(float))
         return pd.DataFrame({"counterId": np.full(len(frame), key[0], dtype="int64"),
                              "ds": frame["ds"].astype(str).to_numpy(), "yhat": yhat, "trend": trend})
     return fn
@@ -149,7 +151,8 @@ def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds"
     y = F.col(y_col).cast("double")
     return (hist.where(y.isNotNull() & ~F.isnan(y))
             .groupBy(F.col(key).alias("counterId"), F.col(ds_col).cast("string").alias("ds"))
-            .agg(F.sum(y).alias("y_sum"), F.count(y).cast("double").alias("y_n"), F.sum(y * y).alias("y_sq")))
+            .agg(F.sum(y).alias("y_sum"), F.count(y).cast("double").alias("y_n"), F.sum(y * y).alias("y_sq"),
+                 F.max(F.abs(y)).alias("y_amax")))
 
 
 def fit_forecast(hist: DataFrame, frame: DataFrame | None = None, horizon: int = 10,
