@@ -67,6 +67,6 @@ def parse_coverage(docs: DataFrame, field_names: Sequence[str], xml_col: str = "
 
 def read_coverage(spark: SparkSession, path: str, field_names: Sequence[str]) -> DataFrame:
     """One document per file (``wholetext``), parsed in parallel across files."""
-    docs = (spark.read.option("wholetext", True).text(path)
+    docs = (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("source"), F.col("value").alias("xml")))
     return parse_coverage(docs, field_names, "xml", keep=["source"])
