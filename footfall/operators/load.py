@@ -23,7 +23,7 @@ def compute_load(fc: DataFrame, hist: DataFrame, pred_col: str = "visits_pred",
     """(counterId, date, visits_pred) ⋈ per-counter historic max -> load = pred / (max + 1).
 
     Counters without history are dropped (inner join). The max table is one row per counter, a
-    partial+final aggregate, broadcast when a bounded count proves it small.
+    partial+final aggregate, broadcast when its size estimate is small (else AQE decides).
     """
     stats = historic_max(hist)
     out = fc.join(bounded_broadcast(stats), on="counterId", how="inner")
@@ -32,6 +32,20 @@ def compute_load(fc: DataFrame, hist: DataFrame, pred_col: str = "visits_pred",
                       load_ratio(F.col(pred_col), F.col("visits_max")).alias("load"))
 
 
+def observed_load(daily: DataFrame, date_col: str = "date_day") -> DataFrame:
+    """Each counter-day's visits as a share of the counter's best day (+1), in one pass.
+
+    The per-counter maximum is a window over the daily table (one row per counter and day, so a
+    window partition is bounded by the length of the history); the daily table is computed once
+    instead of once for the values and once for the maximum.
+    """
+    from pyspark.sql import Window
+    best = F.max("visits").over(Window.partitionBy("counterId"))
+    return daily.where(F.col("counterId").isNotNull()).select(
+        "counterId", F.col(date_col).alias("date"), F.col("visits").cast("double").alias("visits_pred"),
+        load_ratio(F.col("visits"), best).alias("load"))
+
+
 def park_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PARKS, "parkId BIGINT, park_name STRING")
 

@@ -1,8 +1,10 @@
 """Join-side sizing.
 
-A side is broadcast only after a bounded count proves it small; otherwise the join is left to the
-planner (sort-merge with AQE skew splitting). The count reads at most ``max_rows + 1`` rows of the
-small side, so the check stays cheap even when the side turns out to be large.
+A side gets a broadcast hint only when the optimizer's size estimate of its plan is under a byte
+limit; no job runs for the check. Beyond the limit the join is left to the planner: a shuffled
+sort-merge join, which AQE may still turn into a broadcast join once the shuffle has measured the
+side's real size, and whose skewed partitions AQE splits. The estimate is the one Spark's own
+broadcast rule uses (file sizes for scans, carried through filters and aggregates).
 """
 
 from __future__ import annotations
@@ -10,10 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of ``df`` in bytes (None when it cannot be read)."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no estimate
+        return None
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its estimated size is at most ``max_bytes``, else ``df`` unchanged."""
+    size = estimated_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df

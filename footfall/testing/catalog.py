@@ -107,10 +107,7 @@ def daily_rollup(spark, sf_dir):
 @query
 def daily_load(spark, sf_dir):
     """Flagship: observed daily visits per counter as a share of its best day (+1)."""
-    daily = _daily(spark, sf_dir)
-    observed = daily.select("counterId", F.col("date_day").alias("date"),
-                            F.col("visits").cast("double").alias("visits_pred"))
-    return load.compute_load(observed, daily)
+    return load.observed_load(_daily(spark, sf_dir))
 
 
 # ---- step 2: roll-ups and profiles ---------------------------------------------------------------
