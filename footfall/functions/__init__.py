@@ -159,8 +159,12 @@ def typed_rows_where(df, fields: dict, keep) -> "DataFrame":
     """Evaluate the typed ``fields`` once per row and keep the rows where ``keep(row)`` holds.
 
     A plain ``select(...).where(...)`` lets the optimizer push the predicate below the projection,
-    which re-evaluates every parse expression inside the filter. Wrapping the typed row in a
-    one-element array, filtering it with a lambda and inlining it keeps one evaluation per field.
+    which re-evaluates every parse expression inside the filter. Here the typed values are one
+    projection, and the rows to keep come out of a generator (``inline`` of a one-element array,
+    NULL when the row is dropped), which predicates cannot be pushed through; all of it stays in
+    generated code.
     """
-    row = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return df.select(F.inline(F.filter(F.array(row), keep)))
+    names = list(fields)
+    typed = df.select(*[c.alias(n) for n, c in fields.items()])
+    row = F.struct(*[F.col(n) for n in names])
+    return typed.select(F.inline(F.when(keep(row), F.array(row))))

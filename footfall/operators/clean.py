@@ -24,15 +24,20 @@ _INT_FIELDS = {"measurmentId": 0, "counterId": 1, "seqNumber": 2, "visits": 5, "
 _TIME_FIELDS = {"startDate": 3, "endDate": 4, "installationDate": 8}
 
 
+def _field(f: Column, i: int) -> Column:
+    """Field ``i`` (0-based) of a split line; NULL when the line is shorter (never an error)."""
+    return F.get(f, i)
+
+
 def _reading_columns(f: Column, tz_offset: str) -> dict[str, Column]:
     cols = {}
     for name in schemas.READING.names:
         if name in _INT_FIELDS:
-            cols[name] = parse_int(f[_INT_FIELDS[name]])
+            cols[name] = parse_int(_field(f, _INT_FIELDS[name]))
         elif name in _TIME_FIELDS:
-            cols[name] = parse_wall_epoch(f[_TIME_FIELDS[name]], tz_offset)
+            cols[name] = parse_wall_epoch(_field(f, _TIME_FIELDS[name]), tz_offset)
         else:  # counterIdPave: text as is
-            cols[name] = f[6]
+            cols[name] = _field(f, 6)
     return cols
 
 
@@ -46,16 +51,17 @@ def clean_readings(raw: DataFrame, tz_offset: str = "+02:00", value_col: str = "
 
     The header line fails the integer parse and is rejected like any other bad line.
     """
-    lines = _split_lines(raw, value_col).where(F.size("_f") == _N)
-    cols = _reading_columns(F.col("_f"), tz_offset)
+    lines = _split_lines(raw, value_col)
+    cols = {"_n": F.size("_f"), **_reading_columns(F.col("_f"), tz_offset)}
 
     def all_parsed(r):
-        ok = F.lit(True)
+        ok = r["_n"] == _N
         for n in schemas.READING.names:
             ok = ok & r[n].isNotNull()
         return ok
 
-    return typed_rows_where(lines, cols, all_parsed)
+    # the arity test is part of the kept-row predicate, so the line is split once per row
+    return typed_rows_where(lines, cols, all_parsed).drop("_n")
 
 
 def rejected_readings(raw: DataFrame, tz_offset: str = "+02:00", value_col: str = "value") -> DataFrame:
@@ -71,9 +77,9 @@ def rejected_readings(raw: DataFrame, tz_offset: str = "+02:00", value_col: str
 
 def _weather_parts(raw: DataFrame, value_col: str) -> DataFrame:
     f = F.split(F.col(value_col), ",", -1)
-    hm = F.split(f[3], ":", -1)
-    local = F.try_make_timestamp_ntz(parse_int(f[0]), parse_int(f[1]), parse_int(f[2]),
-                                     parse_int(hm[0]), parse_int(hm[1]), F.lit(0))
+    hm = F.split(_field(f, 3), ":", -1)
+    local = F.try_make_timestamp_ntz(parse_int(_field(f, 0)), parse_int(_field(f, 1)), parse_int(_field(f, 2)),
+                                     parse_int(_field(hm, 0)), parse_int(_field(hm, 1)), F.lit(0))
     return raw.select(F.col(value_col).alias("value"), f.alias("_f"), local.alias("_local"),
                       F.size(hm).alias("_nhm"))
 
@@ -82,7 +88,7 @@ def _weather_ok(tz_offset: str) -> dict[str, Column]:
     checks = {"field_count": F.size("_f") == 5 + len(schemas.WEATHER_MEASURES),
               "time": F.col("_local").isNotNull() & (F.col("_nhm") == 2)}
     for i, m in enumerate(schemas.WEATHER_MEASURES):
-        checks[m] = measure_ok(F.col("_f")[5 + i])
+        checks[m] = measure_ok(_field(F.col("_f"), 5 + i))
     return checks
 
 
@@ -97,7 +103,7 @@ def clean_weather(raw: DataFrame, tz_offset: str = "+02:00", value_col: str = "v
     for c in _weather_ok(tz_offset).values():
         ok = ok & F.coalesce(c, F.lit(False))
     fields = {"_ok": ok, "startDate": local_to_epoch(F.col("_local"), tz_offset)}
-    fields.update({m: parse_measure(F.col("_f")[5 + i]) for i, m in enumerate(schemas.WEATHER_MEASURES)})
+    fields.update({m: parse_measure(_field(F.col("_f"), 5 + i)) for i, m in enumerate(schemas.WEATHER_MEASURES)})
     return typed_rows_where(parts, fields, lambda r: r["_ok"]).drop("_ok")
 
 

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.labels import DAY_PART_LABELS
 from footfall.operators import series as ser
 
 FORECAST_SCHEMA = "counterId long, ds string, yhat double, trend double"
@@ -132,17 +133,40 @@ def fit_predict_arrays(t_hist: np.ndarray, y_sum: np.ndarray, y_n: np.ndarray, y
     return yhat, trend
 
 
-def _fit_group(cfg: ModelConfig):
+def _future_ds(hist_ds: pd.Series, horizon: int, include_history: bool, as_of, labels) -> pd.Series:
+    """The frame of one counter, built from its own history (no second pass over the data)."""
+    if as_of is not None:                              # day parts: horizon days from as_of
+        days = pd.date_range(pd.Timestamp(str(as_of)), periods=horizon, freq="D").strftime("%Y-%m-%d")
+        fut = pd.Series([f"{d} {lab}" for d in days for lab in labels])
+    else:                                              # days after the counter's last day
+        last = pd.to_datetime(hist_ds, format="mixed").max().normalize()
+        fut = pd.Series(pd.date_range(last + pd.Timedelta(days=1), periods=horizon, freq="D").strftime("%Y-%m-%d"))
+    if include_history:
+        return pd.concat([hist_ds.astype(str), fut], ignore_index=True)
+    return fut
+
+
+def _predict_frame(key, h: pd.DataFrame, frame_ds: pd.Series, cfg: ModelConfig) -> pd.DataFrame:
+    h = h.sort_values("ds")
+    yhat, trend = fit_predict_arrays(_days(h["ds"]) if len(h) else np.zeros(0),
+                                     h["y_sum"].to_numpy(float), h["y_n"].to_numpy(float),
+                                     h["y_sq"].to_numpy(float), _days(frame_ds), cfg,
+                                     h["y_amax"].to_numpy(float))
+    return pd.DataFrame({"counterId": np.full(len(frame_ds), key[0], dtype="int64"),
+                         "ds": frame_ds.astype(str).to_numpy(), "yhat": yhat, "trend": trend})
+
+
+def _fit_cogroup(cfg: ModelConfig):
     def fn(key, hist: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame({"counterId": [], "ds": [], "yhat": [], "trend": []})
-        h = hist.sort_values("ds")
-        yhat, trend = fit_predict_arrays(_days(h["ds"]) if len(h) else np.zeros(0),
-                                         h["y_sum"].to_numpy(float), h["y_n"].to_numpy(float),
-                                         h["y_sq"].to_numpy(float), _days(frame["ds"]), cfg,
-                                         h["y_amax"].to_numpy(float))
-        return pd.DataFrame({"counterId": np.full(len(frame), key[0], dtype="int64"),
-                             "ds": frame["ds"].astype(str).to_numpy(), "yhat": yhat, "trend": trend})
+        return _predict_frame(key, hist, frame["ds"], cfg)
+    return fn
+
+
+def _fit_generated(cfg: ModelConfig, horizon: int, include_history: bool, as_of, labels):
+    def fn(key: tuple, hist: pd.DataFrame) -> pd.DataFrame:
+        return _predict_frame(key, hist, _future_ds(hist["ds"], horizon, include_history, as_of, labels), cfg)
     return fn
 
 
@@ -157,18 +181,34 @@ def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds"
 
 def fit_forecast(hist: DataFrame, frame: DataFrame | None = None, horizon: int = 10,
                  config: ModelConfig = ModelConfig(), key: str = "counterId", ds_col: str = "ds",
-                 y_col: str = "y") -> DataFrame:
-    """Fit one model per counter on (key, ds, y) and predict on ``frame`` (key, ds).
-
-    Without a frame the counter's history dates plus ``horizon`` days after its last day are
-    predicted. Output: counterId, ds, yhat, trend.
+                 y_col: str = "y", include_history: bool = False, as_of=None,
+                 labels=tuple(DAY_PART_LABELS)) -> DataFrame:
+    """Fit one model per counter on (key, ds, y) and predict; output counterId, ds, yhat, trend.
+
+    ``frame`` (key, ds) gives arbitrary dates to predict (history and frame are co-grouped).
+    Without it the frame is generated per counter in the same task: ``horizon`` days after the
+    counter's last day (optionally preceded by its history dates), or, with ``as_of``, ``horizon``
+    days from ``as_of`` × the day-part ``labels``.
     """
     pts = aggregate_points(hist, key, ds_col, y_col)
+    # Model fitting is CPU work per row, not bytes: spread counters over every core rather than
+    # letting AQE coalesce the (small) shuffle into a few partitions. An explicit partition count
+    # is kept as is, and the grouping reuses this partitioning without another exchange.
+    n = fit_partitions(hist.sparkSession)
+    pts = pts.repartition(n, "counterId")
     if frame is None:
-        frame = ser.future_days(pts.select("counterId", "ds"), horizon, include_history=True)
+        fn = _fit_generated(config, horizon, include_history, as_of, list(labels))
+        return pts.groupBy("counterId").applyInPandas(fn, FORECAST_SCHEMA)
     frame = frame.select(F.col(key).cast("long").alias("counterId"), F.col("ds").cast("string").alias("ds"))
+    frame = frame.repartition(n, "counterId")
     return (pts.groupBy("counterId").cogroup(frame.groupBy("counterId"))
-            .applyInPandas(_fit_group(config), FORECAST_SCHEMA))
+            .applyInPandas(_fit_cogroup(config), FORECAST_SCHEMA))
+
+
+def fit_partitions(spark) -> int:
+    """Partitions for the per-counter fit: the shuffle setting, and at least twice the cores."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
 
 
 def backcast(hist: DataFrame, fc: DataFrame, key: str = "counterId", ds_col: str = "ds") -> DataFrame:

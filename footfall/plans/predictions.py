@@ -14,8 +14,7 @@ def daily_prediction(hist_daily: DataFrame, horizon: int = 10,
                      config: fcst.ModelConfig = fcst.ModelConfig()) -> DataFrame:
     """Per counter: 10 days after its last day -> (counterId, date, visits_pred, load)."""
     s = ser.to_series(hist_daily, "date_day", "visits")
-    frame = ser.future_days(s, horizon, include_history=False)
-    fc = fcst.fit_forecast(s, frame, config=config)
+    fc = fcst.fit_forecast(s, horizon=horizon, config=config)
     pred = load.clamp_visits(fc.select("counterId", F.col("ds").alias("date"), F.col("yhat").alias("visits_pred")))
     return load.compute_load(pred, hist_daily)
 
@@ -33,8 +32,6 @@ def day_part_prediction(hist_hour: DataFrame, hist_daily: DataFrame, as_of, hori
     """Per counter: 3 day parts × ``horizon`` days from ``as_of``; the load divides by the
     *daily* historic maximum, as the source pipeline does."""
     s = day_part_series(hist_hour, last_n)
-    counters = s.select("counterId").distinct()
-    frame = ser.future_day_parts(counters, as_of, horizon)
-    fc = fcst.fit_forecast(s, frame, config=config)
+    fc = fcst.fit_forecast(s, horizon=horizon, as_of=as_of, config=config)
     pred = load.clamp_visits(fc.select("counterId", F.col("ds").alias("date"), F.col("yhat").alias("visits_pred")))
     return load.compute_load(pred, hist_daily)

@@ -42,8 +42,8 @@ def parse_holidays(lines: DataFrame, category: str | None = "National holiday",
     The category is compared trimmed, so a last line without a newline is kept.
     """
     f = F.split(F.col(value_col), ",", -1)
-    out = lines.select(F.try_to_date(f[0], "d/M/yyyy").alias("date"),
-                       F.trim(f[3]).alias("category"))
+    out = lines.select(F.try_to_date(F.get(f, 0), "d/M/yyyy").alias("date"),
+                       F.trim(F.get(f, 3)).alias("category"))
     out = out.where(F.col("date").isNotNull())
     if category is not None:
         out = out.where(F.col("category") == F.lit(category))

@@ -17,6 +17,7 @@ from footfall import schemas
 from footfall.operators import calendar as cal
 from footfall.operators import clean, enrich, load, profiles
 from footfall.plans import history
+from footfall.session import cut_lineage
 from footfall.testing import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,13 +314,13 @@ from footfall.plans import predictions  # noqa: E402
 @query
 def fit_forecast(spark, sf_dir):
     s = series.to_series(_history_daily(spark, sf_dir))
-    return fcst.fit_forecast(s, series.future_days(s, 10, include_history=False))
+    return fcst.fit_forecast(s, horizon=10)
 
 
 @query
 def backcast(spark, sf_dir):
     s = series.to_series(_history_daily(spark, sf_dir))
-    return fcst.backcast(s, fcst.fit_forecast(s, s.select("counterId", "ds")))
+    return fcst.backcast(s, fcst.fit_forecast(s, horizon=0, include_history=True))
 
 
 @query
@@ -365,12 +366,13 @@ def _gbt_inputs(spark, sf_dir):
     """Daily features + the in-sample forecast as a feature, split per counter in time order."""
     daily = _daily_with_routes(spark, sf_dir)
     s = series.to_series(daily, "date_day", "visits")
-    yhat = fcst.fit_forecast(s, s.select("counterId", "ds")).select(
+    yhat = fcst.fit_forecast(s, horizon=0, include_history=True).select(
         "counterId", F.col("ds").alias("date_day"), "yhat")
     feats = regress.feature_table(daily.join(yhat, ["counterId", "date_day"], "left"),
                                   keep=["counterId", "date_day"])
     names = regress.feature_names(feats, "visits", exclude=["counterId"])
-    split = series.ordered_split(feats, 14)
+    # train and validation rows both come from this table: save it once in the checkpoint folder
+    split = cut_lineage(series.ordered_split(feats, 14))
     train = split.where(F.col("part") == "train").drop("part", "rn")
     valid = split.where(F.col("part") == "test").drop("part", "rn")
     return train, valid, names

@@ -63,8 +63,8 @@ def test_forecast_recovers_trend_and_weekly_signal(spark):
 
 def test_forecast_same_for_any_partitioning(spark):
     s = _signal(spark, days=300, noise=5.0, counters=(1, 2, 3))
-    a = fcst.fit_forecast(s.repartition(1)).orderBy("counterId", "ds").collect()
-    b = fcst.fit_forecast(s.repartition(8)).orderBy("counterId", "ds").collect()
+    a = fcst.fit_forecast(s.repartition(1), include_history=True).orderBy("counterId", "ds").collect()
+    b = fcst.fit_forecast(s.repartition(8), include_history=True).orderBy("counterId", "ds").collect()
     assert len(a) == len(b) == 3 * 310
     assert all(abs(x.yhat - y.yhat) < 1e-6 for x, y in zip(a, b))
 
@@ -78,7 +78,7 @@ def test_aggregated_duplicates_equal_the_raw_point_fit(spark):
     rows = [(1, str(np.datetime64("2020-01-01") + np.timedelta64(int(v - 18262), "D")), float(w))
             for v, w in zip(t, y)]
     s = spark.createDataFrame(rows, "counterId LONG, ds STRING, y DOUBLE")
-    got = fcst.fit_forecast(s, horizon=5).orderBy("ds").collect()
+    got = fcst.fit_forecast(s, horizon=5, include_history=True).orderBy("ds").collect()
     ones = np.ones(len(t))
     t_pred = np.concatenate([days, np.arange(120, 125, dtype=float)]) + 18262.0
     want, _ = fcst.fit_predict_arrays(t, y, ones, y * y, t_pred, y_amax=np.abs(y))
@@ -96,5 +96,12 @@ def test_holdout_beats_the_mean(spark):
 
 def test_short_history_returns_mean(spark):
     s = spark.createDataFrame([(1, "2024-01-01", 4.0)], "counterId LONG, ds STRING, y DOUBLE")
-    fc = fcst.fit_forecast(s, horizon=3).collect()
+    fc = fcst.fit_forecast(s, horizon=3, include_history=True).collect()
     assert len(fc) == 4 and all(r.yhat == 4.0 for r in fc)
+
+
+def test_day_part_frame_from_as_of(spark):
+    s = _signal(spark, days=60, noise=1.0, counters=(1, 2))
+    fc = fcst.fit_forecast(s, horizon=10, as_of="2024-03-01").collect()
+    assert len(fc) == 60
+    assert min(r.ds for r in fc) == "2024-03-01 01:00" and max(r.ds for r in fc) == "2024-03-10 17:00"
