@@ -35,7 +35,10 @@ def mark_holidays(df: DataFrame, holidays: DataFrame, tz_offset: str = "+02:00",
     days = holidays.select(F.col("date").alias("_hday")).where(F.col("_hday").isNotNull()).distinct()
     local = epoch_to_local(F.col(epoch_col), tz_offset)
     with_local = df.withColumn("_local", local)
-    joined = with_local.join(bounded_broadcast(days), F.to_date(F.col("_local")) == F.col("_hday"), "left")
+    # Distinct DATE values are bounded by the type itself (years 1..9999: < 3.7 million dates of
+    # 4 bytes), so the broadcast is safe whatever the source; shuffling the readings by date
+    # instead would put every reading of a busy day into one task.
+    joined = with_local.join(F.broadcast(days), F.to_date(F.col("_local")) == F.col("_hday"), "left")
     flag = F.col("_hday").isNotNull()
     if not inclusive_start:
         flag = flag & (F.col("_local") > F.col("_hday").cast("timestamp_ntz"))
