@@ -206,9 +206,12 @@ def fit_forecast(hist: DataFrame, frame: DataFrame | None = None, horizon: int =
 
 
 def fit_partitions(spark) -> int:
-    """Partitions for the per-counter fit: the shuffle setting, and at least twice the cores."""
+    """Partitions for the per-counter fit: at least two per core and never equal to the shuffle
+    setting, so that the explicit repartition is not merged into an upstream exchange on the same
+    key (which AQE would then coalesce by bytes into a handful of Python tasks)."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    n = max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    return n + 1 if n == shuffle else n
 
 
 def backcast(hist: DataFrame, fc: DataFrame, key: str = "counterId", ds_col: str = "ds") -> DataFrame:
