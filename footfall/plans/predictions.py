@@ -28,10 +28,30 @@ def day_part_series(hist_hour: DataFrame, last_n: int | None = 1500) -> DataFram
 
 
 def day_part_prediction(hist_hour: DataFrame, hist_daily: DataFrame, as_of, horizon: int = 10,
-                        last_n: int | None = 1500, config: fcst.ModelConfig = fcst.ModelConfig()) -> DataFrame:
+                        last_n: int | None = 1500, config: fcst.ModelConfig = fcst.ModelConfig(),
+                        pooled: bool = False) -> DataFrame:
     """Per counter: 3 day parts × ``horizon`` days from ``as_of``; the load divides by the
-    *daily* historic maximum, as the source pipeline does."""
+    *daily* historic maximum, as the source pipeline does. ``pooled=True`` fits one model on every
+    counter's series together (what the source literally does) instead of one per counter."""
     s = day_part_series(hist_hour, last_n)
-    fc = fcst.fit_forecast(s, horizon=horizon, as_of=as_of, config=config)
+    fc = (pooled_day_part_forecast(s, as_of, horizon, config) if pooled
+          else fcst.fit_forecast(s, horizon=horizon, as_of=as_of, config=config))
     pred = load.clamp_visits(fc.select("counterId", F.col("ds").alias("date"), F.col("yhat").alias("visits_pred")))
     return load.compute_load(pred, hist_daily)
+
+
+def pooled_day_part_forecast(series: DataFrame, as_of, horizon: int = 10,
+                             config: fcst.ModelConfig = fcst.ModelConfig()) -> DataFrame:
+    """One model over all counters' (ds, y) points, predicted for every counter.
+
+    All points are first combined per timestamp (partial + final aggregate), so the single fit
+    sees one row per distinct timestamp: bounded by the calendar, not by the number of counters or
+    readings. The pooled forecast (horizon × 3 rows) is then attached to every counter's generated
+    frame by an equi-join on ``ds`` with that small, bounded table broadcast.
+    """
+    pooled = series.select(F.lit(0).cast("long").alias("counterId"), "ds", "y")
+    fc = fcst.fit_forecast(pooled, horizon=horizon, as_of=as_of, config=config).drop("counterId")
+    counters = series.select("counterId").distinct()
+    frame = ser.future_day_parts(counters, as_of, horizon).select("counterId", "ds")
+    # horizon x 3 rows by construction: a proven bound for the broadcast
+    return frame.join(F.broadcast(fc), on="ds", how="inner").select("counterId", "ds", "yhat", "trend")

@@ -87,6 +87,15 @@ def rejected_weather(spark, sf_dir):
     return clean.rejected_weather(_weather_lines(spark, sf_dir), fx.TZ)
 
 
+@query
+def json_round_trip(spark, sf_dir):
+    """Readings encoded as JSON records and decoded with the declared schema (the hand-off format
+    between the cleaning and the enrichment stage)."""
+    readings = clean.clean_readings(_reading_lines(spark, sf_dir), fx.TZ)
+    enc = readings.select(F.to_json(F.struct(*readings.columns)).alias("json"))
+    return enc.select(F.from_json("json", schemas.READING).alias("r")).select("r.*")
+
+
 @query
 def join_weather(spark, sf_dir):
     readings = clean.clean_readings(_reading_lines(spark, sf_dir), fx.TZ)
@@ -339,6 +348,12 @@ def day_part_prediction(spark, sf_dir):
     return predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01")
 
 
+@query
+def day_part_prediction_pooled(spark, sf_dir):
+    hourly = _hourly(spark, sf_dir)
+    return predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01", pooled=True)
+
+
 @query
 def forecast_error(spark, sf_dir):
     """Error report on the stand-in forecast against the daily history (per counter)."""

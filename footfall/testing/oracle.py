@@ -143,6 +143,7 @@ register("rejected_readings", f"""
                 ELSE 'visits' END AS reason
     FROM ev WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0
     UNION ALL SELECT '{HEADER}' AS value, 'measurmentId' AS reason""", "ev")
+register("json_round_trip", f"SELECT {READING_COLS} FROM readings", "readings")
 register("clean_weather", "SELECT * FROM weather", "weather")
 register("rejected_weather", """
     SELECT concat_ws(',', CAST(year(t) AS VARCHAR), CAST(month(t) AS VARCHAR), CAST(day(t) AS VARCHAR),

@@ -67,3 +67,10 @@ def test_describe_routes_first_match_and_unmatched(spark):
     dim = spark.createDataFrame([(1, "b"), (1, "a")], "id LONG, name STRING")
     out = {r.counterId: r.name for r in load.describe_routes(feed, dim).collect()}
     assert out == {1: "a", 5: None}
+
+
+def test_builtin_route_dimension(spark):
+    from footfall.sources import route_dim
+    d = {r.id: r for r in route_dim(spark).collect()}
+    assert sorted(d) == [912, 922, 1043, 1050, 1225, 1246]
+    assert d[1043].length_km == 4.6 and d[912].length_km is None and d[1050].parkId == 952

@@ -16,7 +16,8 @@ def test_entry_and_registry(spark):
     assert set(sql) <= set(qs)
     rows_only = set(qs) - set(sql)
     assert rows_only <= {"fit_forecast", "backcast", "evaluate_holdout", "daily_prediction",
-                         "day_part_prediction", "fit_visits_gbt", "feature_importance"}
+                         "day_part_prediction", "day_part_prediction_pooled", "fit_visits_gbt",
+                         "feature_importance"}
 
 
 def _plan(df):

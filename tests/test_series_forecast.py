@@ -105,3 +105,14 @@ def test_day_part_frame_from_as_of(spark):
     fc = fcst.fit_forecast(s, horizon=10, as_of="2024-03-01").collect()
     assert len(fc) == 60
     assert min(r.ds for r in fc) == "2024-03-01 01:00" and max(r.ds for r in fc) == "2024-03-10 17:00"
+
+
+def test_pooled_forecast_is_one_model_for_all_counters(spark):
+    from footfall.plans.predictions import pooled_day_part_forecast
+    s = _signal(spark, days=60, noise=1.0, counters=(1, 2, 3))
+    fc = pooled_day_part_forecast(s, "2024-03-01", 10).collect()
+    assert len(fc) == 90
+    by_ds = {}
+    for r in fc:
+        by_ds.setdefault(r.ds, set()).add(round(r.yhat, 9))
+    assert len(by_ds) == 30 and all(len(v) == 1 for v in by_ds.values())
