@@ -235,12 +235,37 @@ def forecast_error(df: DataFrame, y: str = "y", yhat: str = "yhat", by: str | No
     return g.withColumn("rmse", F.sqrt("mse"))
 
 
+HOLDOUT_SCHEMA = "counterId long, ds string, y double, yhat double"
+
+
+def _fit_holdout(cfg: ModelConfig, n: int):
+    def fn(key: tuple, h: pd.DataFrame) -> pd.DataFrame:
+        h = h.sort_values("ds")
+        train, test = h.iloc[:n], h.iloc[n:]
+        if test.empty:
+            return pd.DataFrame({"counterId": [], "ds": [], "y": [], "yhat": []})
+        yhat, _ = fit_predict_arrays(_days(train["ds"]) if len(train) else np.zeros(0),
+                                     train["y_sum"].to_numpy(float), train["y_n"].to_numpy(float),
+                                     train["y_sq"].to_numpy(float), _days(test["ds"]), cfg,
+                                     train["y_amax"].to_numpy(float))
+        return pd.DataFrame({"counterId": np.full(len(test), key[0], dtype="int64"),
+                             "ds": test["ds"].astype(str).to_numpy(),
+                             "y": (test["y_sum"] / test["y_n"]).to_numpy(float), "yhat": yhat})
+    return fn
+
+
+def holdout_forecast(hist: DataFrame, n: int, config: ModelConfig = ModelConfig(), key: str = "counterId",
+                     ds_col: str = "ds", y_col: str = "y") -> DataFrame:
+    """Per counter: fit on its first ``n`` timestamps (time order), predict the later ones.
+
+    One pass: the time-ordered split happens inside the counter's group (bounded by its history),
+    so no window, no second read of the history and no join back. Output counterId, ds, y, yhat.
+    """
+    pts = aggregate_points(hist, key, ds_col, y_col).repartition(fit_partitions(hist.sparkSession), "counterId")
+    return pts.groupBy("counterId").applyInPandas(_fit_holdout(config, n), HOLDOUT_SCHEMA)
+
+
 def evaluate_holdout(hist: DataFrame, n: int, config: ModelConfig = ModelConfig(), key: str = "counterId",
                      ds_col: str = "ds", y_col: str = "y") -> DataFrame:
-    """Fit each counter on its first ``n`` rows, predict the rest, and report the error."""
-    s = hist.select(F.col(key).alias("counterId"), F.col(ds_col).cast("string").alias("ds"),
-                    F.col(y_col).cast("double").alias("y"))
-    train, test = ser.train_test(s, n, order="ds")
-    fc = fit_forecast(train, test.select("counterId", "ds"), config=config)
-    scored = test.join(fc, on=["counterId", "ds"], how="inner")
-    return forecast_error(scored, "y", "yhat", "counterId")
+    """Fit each counter on its first ``n`` timestamps, predict the rest, and report the error."""
+    return forecast_error(holdout_forecast(hist, n, config, key, ds_col, y_col), "y", "yhat", "counterId")

@@ -161,7 +161,7 @@ def routes_b(customer: DataFrame) -> DataFrame:
 
 # --- fixed values: coverage document fixture -----------------------------------------------------
 COVERAGE_FIELDS = ["Temperature", "WindSpeedMS"]
-COVERAGE_CHUNK = 1000        # events per document at most: event ids [k*1000, (k+1)*1000) of one user
+COVERAGE_CHUNK = 100_000     # events per document at most: event ids [k*100000, (k+1)*100000) of one user
 COVERAGE_HEAD = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0" '
                  'xmlns:om="http://www.opengis.net/om/2.0" '
                  'xmlns:omso="http://inspire.ec.europa.eu/schemas/omso/3.0" '
