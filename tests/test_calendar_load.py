@@ -74,3 +74,33 @@ def test_builtin_route_dimension(spark):
     d = {r.id: r for r in route_dim(spark).collect()}
     assert sorted(d) == [912, 922, 1043, 1050, 1225, 1246]
     assert d[1043].length_km == 4.6 and d[912].length_km is None and d[1050].parkId == 952
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+loads = st.lists(st.one_of(st.none(), st.floats(min_value=0, max_value=2, allow_nan=False)), min_size=1,
+                 max_size=30)
+
+
+@settings(max_examples=10, deadline=None)
+@given(loads)
+def test_route_buckets_partition_the_feed(spark, values):
+    d = dt.date(2024, 1, 1)
+    feed = spark.createDataFrame([(i, 1, v, d) for i, v in enumerate(values)],
+                                 "counterId LONG, parkId LONG, load DOUBLE, date DATE")
+    c = load.route_bucket_counts(feed).collect()[0]
+    assert c.avoid + c.busy + c.free == len(values)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.one_of(st.none(), st.floats(-50, 500, allow_nan=False))),
+                min_size=1, max_size=30),
+       st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1000)), min_size=1, max_size=30))
+def test_load_is_non_negative_when_visits_are(spark, preds, hist):
+    fc = spark.createDataFrame([(c, "d", v) for c, v in preds], "counterId LONG, date STRING, visits_pred DOUBLE")
+    h = spark.createDataFrame(hist, "counterId LONG, visits LONG")
+    out = load.compute_load(load.clamp_visits(fc), h).collect()
+    assert all(r.load is None or r.load >= 0 for r in out)
+    assert all((r.visits_pred is None) == (r.load is None) for r in out)
+    assert len(out) == sum(1 for c, _ in preds if c in {k for k, _ in hist})
