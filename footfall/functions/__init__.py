@@ -45,8 +45,10 @@ def parse_int(text) -> Column:
 
 
 def parse_measure(text) -> Column:
-    """Blank -> NULL; otherwise text -> DOUBLE (NULL when it is not a number)."""
-    return F.nullif(col_(text), F.lit("")).try_cast("double")
+    """Blank -> NULL; otherwise text -> DOUBLE (NULL when it is not a number). 'NaN' becomes NULL
+    too, so that means skip it as they skip missing values (Spark's avg would return NaN)."""
+    x = F.nullif(col_(text), F.lit("")).try_cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def measure_ok(text) -> Column:

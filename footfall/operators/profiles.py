@@ -27,7 +27,7 @@ def day_part_rollup(df: DataFrame, sort: bool = False) -> DataFrame:
     keys = ["counterId", "date_day", "year", "month", "day_part"]
     src = add_day_part(filter_hours(df, 9, 20)).dropna(subset=keys)
     out = src.groupBy(*keys).agg(
-        F.sum("visits").alias("visits"),
+        F.coalesce(F.sum("visits"), F.lit(0)).cast("bigint").alias("visits"),
         *[F.avg(m).alias(m) for m in schemas.DAY_PART_MEANS],
         _bool_max("holiday").alias("holiday"))
     out = add_day_part_label(out)
@@ -40,7 +40,7 @@ def daily_rollup(df: DataFrame) -> DataFrame:
     keys = ["parkCode", "counterIdPave", "date_day"]
     src = filter_hours(df, 9, 19).dropna(subset=keys)
     aggs = [F.avg(m).alias(m) for m in schemas.WEATHER_MEASURES]
-    aggs.append(F.sum("visits").alias("visits"))
+    aggs.append(F.coalesce(F.sum("visits"), F.lit(0)).cast("bigint").alias("visits"))
     aggs += [F.avg(m).alias(m) for m in ["cordNorth", "coordSouth", "year", "month", "day"]]
     aggs += [_bool_max("holiday").alias("holiday"), F.min("counterId").alias("counterId")]
     return src.groupBy(*keys).agg(*aggs)

@@ -59,7 +59,7 @@ CTE = {
         FROM enriched_h""",
     "daily": f"""
         SELECT parkCode, counterIdPave, date_day, {', '.join(f'avg({m}) AS {m}' for m in M)},
-               CAST(sum(visits) AS BIGINT) AS visits, avg(cordNorth) AS cordNorth, avg(coordSouth) AS coordSouth,
+               CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits, avg(cordNorth) AS cordNorth, avg(coordSouth) AS coordSouth,
                avg(year) AS year, avg(month) AS month, avg(day) AS day,
                coalesce(bool_or(holiday), false) AS holiday, min(counterId) AS counterId
         FROM hourly WHERE hour BETWEEN 9 AND 19 GROUP BY parkCode, counterIdPave, date_day""",
@@ -170,7 +170,7 @@ register("add_calendar", """
     SELECT measurmentId, counterId, startDate, year, month, day, hour, weekday, hour2d, date_day, ds
     FROM hourly""", "hourly")
 register("day_part_rollup", f"""
-    SELECT counterId, date_day, year, month, day_part, CAST(sum(visits) AS BIGINT) AS visits,
+    SELECT counterId, date_day, year, month, day_part, CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits,
            {', '.join(f'avg({m}) AS {m}' for m in schemas.DAY_PART_MEANS)},
            coalesce(bool_or(holiday), false) AS holiday,
            CASE day_part WHEN 0 THEN '01:00' WHEN 1 THEN '09:00' ELSE '17:00' END AS hours,

@@ -66,3 +66,9 @@ texts = st.lists(st.one_of(
 def test_clean_and_rejected_partition_the_input(spark, rows):
     df = lines_df(spark, rows)
     assert clean_readings(df).count() + rejected_readings(df).count() == len(rows)
+
+
+def test_nan_measure_is_missing(spark):
+    row = ",".join(["2024", "1", "5", "13:00", "UTC", "NaN"] + ["1"] * 10)
+    out = clean_weather(lines_df(spark, [row])).collect()
+    assert len(out) == 1 and out[0].cloud is None
