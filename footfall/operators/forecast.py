@@ -7,13 +7,16 @@ Gaussian priors, i.e. weighted ridge least squares with one penalty per coeffici
 to, not equal to, the library the reference used.
 
 Distribution:
-  1. duplicate timestamps of a counter are pre-aggregated to (sum y, count, sum y²) with a
+  1. duplicate timestamps of a counter are pre-aggregated to (sum y, count, sum y², max |y|) with a
      partial + final aggregate; weighted least squares on those is exactly the fit on the raw
      points, so a counter's group holds one row per distinct timestamp (bounded by the length of
      its history, never by the number of raw readings);
-  2. the history and the frame to predict are co-grouped by counter (one shuffle each) and every
-     counter is fit and predicted in one Arrow-batched pandas call; counters run in parallel.
-The frame (future days, day parts, hold-out dates) is built with Spark operators by the caller.
+  2. the points are repartitioned by counter with an explicit partition count (CPU-bound work,
+     kept away from AQE's byte-based coalescing) and every counter is fit and predicted in one
+     Arrow-batched pandas call; counters run in parallel;
+  3. the frame to predict is generated inside the counter's task (days after its last day, or day
+     parts from ``as_of``), so the history is read once; an arbitrary frame DataFrame (hold-out
+     dates) is co-grouped with the history instead.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +127,3 @@ def describe_routes(df: DataFrame, dim: DataFrame, key: str = "counterId", dim_k
     d = unique_dim(dim, dim_key).withColumnRenamed(dim_key, key)
     return df.join(bounded_broadcast(d), on=key, how="left")
 
-
-def as_date(x) -> _dt.date:
-    return x if isinstance(x, _dt.date) else _dt.date.fromisoformat(str(x))

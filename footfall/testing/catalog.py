@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from footfall import schemas
-from footfall.operators import calendar as cal
 from footfall.operators import clean, enrich, load, profiles
 from footfall.plans import history
 from footfall.session import cut_lineage

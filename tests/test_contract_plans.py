@@ -58,3 +58,17 @@ def test_streaming_ingest_matches_batch(spark):
     assert out.count() == batch.count()
     assert out.exceptAll(batch.select(*out.columns)).count() == 0
     assert spark.read.parquet(f"{d}/rej").count() > 0
+
+
+def test_key_filter_reaches_the_scan(spark):
+    import __spark_entry__ as E
+    p = _plan(E.queries()["for_counter"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(l_suppkey), EqualTo(l_suppkey,7)]" in p
+
+
+def test_rollups_aggregate_before_the_shuffle(spark):
+    """A counter holding most readings is combined map-side: partial aggregate below the exchange."""
+    import __spark_entry__ as E
+    for name in ["daily_rollup", "day_part_rollup", "route_bucket_counts", "park_state"]:
+        p = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in p, name
