@@ -237,8 +237,9 @@ register("route_bucket_counts", f"""
     SELECT parkId, strftime(date, '%Y-%m-%d') AS date, avoid, busy, free,
            printf({_sql_text(_RC)}, CAST(avoid AS VARCHAR), CAST(busy AS VARCHAR), CAST(free AS VARCHAR))
                AS message
-    FROM (SELECT parkId, date, count_if(load > 0.7) AS avoid, count_if(load > 0.5 AND load <= 0.7) AS busy,
-                 count_if(NOT (load > 0.5)) AS free
+    FROM (SELECT parkId, date, CAST(count_if(load > 0.7) AS BIGINT) AS avoid,
+                 CAST(count_if(load > 0.5 AND load <= 0.7) AS BIGINT) AS busy,
+                 CAST(count_if(NOT (load > 0.5)) AS BIGINT) AS free
           FROM feed GROUP BY parkId, date)""", "feed")
 
 _STATE = ("CASE WHEN mean_load IS NULL THEN 'unknown' WHEN mean_load > 0.7 THEN 'extremely busy' "
