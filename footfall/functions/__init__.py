@@ -170,3 +170,13 @@ def typed_rows_where(df, fields: dict, keep) -> "DataFrame":
     typed = df.select(*[c.alias(n) for n, c in fields.items()])
     row = F.struct(*[F.col(n) for n in names])
     return typed.select(F.inline(F.when(keep(row), F.array(row))))
+
+
+def literal_table(spark, rows, ddl: str):
+    """A small fixed table built in the JVM (no Python-side RDD to read back): one generated row
+    per literal tuple, typed by the DDL schema."""
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL(ddl) if hasattr(StructType, "fromDDL") else spark.createDataFrame([], ddl).schema
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions import (clamp_negative, exact_sum, load_percent, load_ratio, park_class,
+from footfall.functions import (clamp_negative, exact_sum, literal_table, load_percent, load_ratio, park_class,
                                 park_message, route_bucket, route_count_message)
 from footfall.functions.labels import PARKS
 from footfall.operators.profiles import historic_max
@@ -45,7 +45,7 @@ def observed_load(daily: DataFrame, date_col: str = "date_day") -> DataFrame:
 
 
 def park_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARKS, "parkId BIGINT, park_name STRING")
+    return literal_table(spark, PARKS, "parkId BIGINT, park_name STRING")
 
 
 def to_feed(pred: DataFrame, park_id: int | None = 952, routes: DataFrame | None = None) -> DataFrame:

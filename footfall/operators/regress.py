@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from footfall import schemas
+from footfall.functions import literal_table
 from footfall.session import cut_lineage
 
 # --- fixed values: columns that are identifiers or route attributes, never features -------------
@@ -81,4 +82,4 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: Sequenc
     cols = assembler.getInputCols()
     imp = gbt.featureImportances.toArray().tolist()
     rows = [(c, float(imp[i]) if i < len(imp) else 0.0) for i, c in enumerate(cols)]
-    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy("importance", "feature")
+    return literal_table(spark, rows, "feature STRING, importance DOUBLE").orderBy("importance", "feature")

@@ -79,12 +79,12 @@ def read_predictions(spark: SparkSession, path: str, park_id: int = 952,
 def route_dim(spark: SparkSession) -> DataFrame:
     """The built-in route dimension of the first park (id, name, lon, lat, attributes, flags),
     with the decimal-comma length parsed. A small, fixed table: broadcast it in joins."""
-    from footfall.functions import decimal_comma
+    from footfall.functions import decimal_comma, literal_table
     from footfall.functions.labels import PARKS, ROUTES
     flags = ", ".join(f"{f} INT" for f in schemas.ROUTE_FLAGS)
     ddl = (f"id LONG, name STRING, lon DOUBLE, lat DOUBLE, track_name STRING, difficulty STRING, "
            f"length_km STRING, duration_min DOUBLE, {flags}")
-    df = spark.createDataFrame(ROUTES, ddl)
+    df = literal_table(spark, ROUTES, ddl)
     return (df.withColumn("length_km", decimal_comma("length_km"))
             .withColumn("parkId", F.lit(PARKS[0][0]).cast("long")))
 

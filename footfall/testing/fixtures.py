@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schemas
+from footfall.functions import literal_table
 
 # --- fixed values: fixture constants -----------------------------------------------------------
 TZ = "+02:00"
@@ -59,7 +60,7 @@ def raw_reading_lines(spark: SparkSession, events: DataFrame) -> DataFrame:
     full = F.concat_ws("\t", *fields)
     short = F.concat_ws("\t", *fields[:-1])
     line = F.when((eid % 97 != 0) & (eid % 89 == 0), short).otherwise(full)
-    header = spark.createDataFrame([("\t".join(schemas.RAW_READING_FIELDS),)], "value STRING")
+    header = literal_table(spark, [("\t".join(schemas.RAW_READING_FIELDS),)], "value STRING")
     return e.select(line.alias("value")).unionByName(header)
 
 
@@ -86,7 +87,7 @@ def raw_weather_lines(events: DataFrame) -> DataFrame:
 
 
 def holiday_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in HOLIDAY_LINES], "value STRING")
+    return literal_table(spark, [(x,) for x in HOLIDAY_LINES], "value STRING")
 
 
 def history_daily(lineitem: DataFrame) -> DataFrame:
