@@ -33,3 +33,11 @@ def daily_history(hourly: DataFrame, routes: DataFrame | None = None) -> DataFra
         return daily
     from footfall.operators.enrich import attach_routes
     return attach_routes(daily, routes)
+
+
+def write_weekday_profiles(hourly: DataFrame, path: str, key: str = "parkCode", fmt: str = "parquet") -> None:
+    """One folder per (key, weekday) holding that profile's 2-hour bins in hour order — the table
+    behind one chart per key and weekday. Readers prune to a single (key, weekday) by path."""
+    from footfall.operators.profiles import weekday_profile
+    from footfall.sources.sinks import write_partitioned
+    write_partitioned(weekday_profile(hourly, key), path, [key, "weekday"], fmt=fmt, order=["hour2d"])

@@ -22,11 +22,12 @@ def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite", sep: str
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", order: Sequence[str] = ()) -> None:
     """One folder per key combination (e.g. per counter and weekday); readers prune by key.
 
     Rows are sorted by the keys inside each task (no shuffle), so a task keeps one file open at a
-    time; a hot key stays spread over the tasks that already hold it.
+    time; a hot key stays spread over the tasks that already hold it. ``order`` sorts rows inside
+    each file (e.g. by hour).
     """
     keys = list(keys)
-    df.sortWithinPartitions(*keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    df.sortWithinPartitions(*keys, *order).write.mode(mode).partitionBy(*keys).format(fmt).save(path)

@@ -80,3 +80,15 @@ def test_coverage_three_positions_two_tuples(spark):
     with open(f"{d}/f.xml", "w") as fh:
         fh.write(xml)
     assert read_coverage(spark, d, fx.COVERAGE_FIELDS).count() == 2
+
+
+def test_weekday_profiles_one_folder_per_key_and_weekday(spark):
+    from footfall.plans.history import hourly_history, write_weekday_profiles
+    d = _tmp()
+    ev = fx.table(spark, SF_SMALL, "events")
+    hourly = hourly_history(fx.raw_reading_lines(spark, ev), fx.raw_weather_lines(ev), fx.holiday_lines(spark))
+    write_weekday_profiles(hourly, f"{d}/prof", "parkCode")
+    one = spark.read.parquet(f"{d}/prof").where((F.col("parkCode") == 952) & (F.col("weekday") == 0))
+    bins = [r.hour2d for r in one.collect()]
+    assert bins and all(b % 2 == 0 for b in bins) and len(bins) == len(set(bins))
+    assert os.path.isdir(f"{d}/prof/parkCode=952/weekday=0")
