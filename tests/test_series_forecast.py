@@ -52,8 +52,8 @@ def _truth(day):
 
 
 def test_forecast_recovers_trend_and_weekly_signal(spark):
-    for noise in (0.0, 5.0):
-        s = _signal(spark, noise=noise)
+    for days, noise in ((800, 0.0), (800, 5.0), (200, 5.0)):   # long and short (under a year) history
+        s = _signal(spark, days=days, noise=noise)
         fc = fcst.fit_forecast(s, ser.future_days(s, 10, include_history=False)).collect()
         assert len(fc) == 10
         for r in fc:
