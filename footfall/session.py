@@ -20,7 +20,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # grouped-map batches are cut at this many rows, so one Python call never holds more
+    # rows per Arrow batch between the JVM and Python workers (bounds transfer buffers)
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
