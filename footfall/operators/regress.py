@@ -59,7 +59,7 @@ def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visi
         cols.append(key_feature)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     kw = dict(featuresCol="features", labelCol=label, maxIter=max_iter, stepSize=step_size,
-              maxDepth=max_depth, seed=seed, maxBins=64)
+              maxDepth=max_depth, seed=seed)
     data = train
     if valid is not None:
         data = (train.withColumn("_is_valid", F.lit(False))

@@ -378,7 +378,8 @@ def feature_table(spark, sf_dir):
 
 def _gbt_inputs(spark, sf_dir):
     """Daily features + the in-sample forecast as a feature, split per counter in time order."""
-    daily = _daily_with_routes(spark, sf_dir)
+    # the daily table feeds both the forecast and the features: save it once
+    daily = cut_lineage(_daily_with_routes(spark, sf_dir))
     s = series.to_series(daily, "date_day", "visits")
     yhat = fcst.fit_forecast(s, horizon=0, include_history=True).select(
         "counterId", F.col("ds").alias("date_day"), "yhat")
