@@ -31,7 +31,7 @@ def day_part_prediction(hist_hour: DataFrame, hist_daily: DataFrame, as_of, hori
                         last_n: int | None = 1500, config: fcst.ModelConfig = fcst.ModelConfig(),
                         pooled: bool = False) -> DataFrame:
     """Per counter: 3 day parts × ``horizon`` days from ``as_of``; the load divides by the
-    *daily* historic maximum, as the source pipeline does. ``pooled=True`` fits one model on every
+    *daily* historic maximum, as the source does. ``pooled=True`` fits one model on every
     counter's series together (what the source literally does) instead of one per counter."""
     s = day_part_series(hist_hour, last_n)
     fc = (pooled_day_part_forecast(s, as_of, horizon, config) if pooled
