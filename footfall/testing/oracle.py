@@ -202,6 +202,10 @@ register("profile_for_date", """
 
 # ---- step 3 ------------------------------------------------------------------------------------------
 
+# Spark converts a DOUBLE to DECIMAL through its shortest decimal text; the twins do the same
+# (CAST via VARCHAR), since a direct DuckDB cast scales in binary and can differ in the last digit.
+
+
 def _sql_text(text: str) -> str:
     """A SQL string expression for ``text`` (quotes doubled, newlines as chr(10))."""
     parts = [("'" + p.replace("'", "''") + "'") for p in text.split("\n")]
@@ -258,7 +262,7 @@ register("park_state", f"""
                 FROM (VALUES {_PARKS}) v(p),
                      generate_series(DATE '{fx.AS_OF}', DATE '{fx.AS_OF}' + 10, INTERVAL 1 DAY) s(d)) a
           LEFT JOIN (SELECT parkId, date,
-                            CAST(sum(CAST(load AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(load) AS DOUBLE)
+                            CAST(sum(CAST(CAST(load AS VARCHAR) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(load) AS DOUBLE)
                                 AS mean_load,
                             count(*) AS n_routes
                      FROM feed GROUP BY parkId, date) g USING (parkId, date))""", "feed")
@@ -318,9 +322,9 @@ register("attach_routes", "SELECT * FROM daily JOIN routes USING (counterId)", "
 
 register("forecast_error", """
     SELECT counterId, count(*) AS n,
-           CAST(sum(CAST(CAST(y AS DOUBLE) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS y_mean,
-           CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mse,
-           sqrt(CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE))
+           CAST(sum(CAST(CAST(CAST(y AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS y_mean,
+           CAST(sum(CAST(CAST((y - yhat) * (y - yhat) AS VARCHAR) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mse,
+           sqrt(CAST(sum(CAST(CAST((y - yhat) * (y - yhat) AS VARCHAR) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE))
                AS rmse
     FROM (SELECT h.counterId, CAST(h.visits AS DOUBLE) AS y, f.visits_pred AS yhat
           FROM history_daily h JOIN forecast f ON f.counterId = h.counterId AND f.date = h.date_day)
