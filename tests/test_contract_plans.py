@@ -72,3 +72,26 @@ def test_rollups_aggregate_before_the_shuffle(spark):
     for name in ["daily_rollup", "day_part_rollup", "route_bucket_counts", "park_state"]:
         p = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "partial_" in p, name
+
+
+def test_streaming_ingest_resumes_from_its_checkpoint(spark):
+    """A second run over the same folder only picks up the files that arrived since the first."""
+    from pyspark.sql import functions as F
+    from footfall.operators.clean import clean_weather
+    from footfall.sources import parse_holidays
+    from footfall.streaming import start_ingest
+    d = tempfile.mkdtemp(prefix="footfall-resume-")
+    ev = fx.table(spark, SF_SMALL, "events")
+    lines = fx.raw_reading_lines(spark, ev)
+    weather = clean_weather(fx.raw_weather_lines(ev))
+    holidays = parse_holidays(fx.holiday_lines(spark))
+    lines.where(F.col("value").startswith("1")).write.text(f"{d}/in/a")
+    for q in start_ingest(spark, f"{d}/in/*", weather, holidays, f"{d}/out", f"{d}/ckpt"):
+        q.awaitTermination(120)
+    first = spark.read.parquet(f"{d}/out").count()
+    lines.where(~F.col("value").startswith("1")).write.text(f"{d}/in/b")
+    for q in start_ingest(spark, f"{d}/in/*", weather, holidays, f"{d}/out", f"{d}/ckpt"):
+        q.awaitTermination(120)
+    out = spark.read.parquet(f"{d}/out")
+    assert 0 < first < out.count()
+    assert out.count() == out.dropDuplicates(["measurmentId"]).count()     # nothing ingested twice
