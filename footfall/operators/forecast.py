@@ -151,7 +151,7 @@ def _future_ds(hist_ds: pd.Series, horizon: int, include_history: bool, as_of, l
 
 def _predict_frame(key, h: pd.DataFrame, frame_ds: pd.Series, cfg: ModelConfig) -> pd.DataFrame:
     h = h.sort_values("ds")
-    yhat, trend = fit_predict_arrays(_days(h["ds"]) if len(h) else np.zeros(0),
+    yhat, trend = fit_predict_arrays(h["t"].to_numpy(float),
                                      h["y_sum"].to_numpy(float), h["y_n"].to_numpy(float),
                                      h["y_sq"].to_numpy(float), _days(frame_ds), cfg,
                                      h["y_amax"].to_numpy(float))
@@ -174,12 +174,17 @@ def _fit_generated(cfg: ModelConfig, horizon: int, include_history: bool, as_of,
 
 
 def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds", y_col: str = "y") -> DataFrame:
-    """(key, ds) -> sum, count and sum of squares of non-missing y (map-side combined)."""
+    """(key, ds) -> sum, count, sum of squares and max |y| of non-missing y (map-side combined),
+    plus the timestamp as days since the epoch (rows whose ds is not a date or date-time are
+    dropped)."""
     y = F.col(y_col).cast("double")
     return (hist.where(y.isNotNull() & ~F.isnan(y))
             .groupBy(F.col(key).alias("counterId"), F.col(ds_col).cast("string").alias("ds"))
             .agg(F.sum(y).alias("y_sum"), F.count(y).cast("double").alias("y_n"), F.sum(y * y).alias("y_sq"),
-                 F.max(F.abs(y)).alias("y_amax")))
+                 F.max(F.abs(y)).alias("y_amax"))
+            # time in days since the epoch, computed in the JVM (zone-free: NTZ read as UTC)
+            .withColumn("t", F.unix_timestamp(F.col("ds").try_cast("timestamp_ntz")).cast("double") / 86400.0)
+            .where(F.col("t").isNotNull()))
 
 
 def fit_forecast(hist: DataFrame, frame: DataFrame | None = None, horizon: int = 10,
@@ -247,7 +252,7 @@ def _fit_holdout(cfg: ModelConfig, n: int):
         train, test = h.iloc[:n], h.iloc[n:]
         if test.empty:
             return pd.DataFrame({"counterId": [], "ds": [], "y": [], "yhat": []})
-        yhat, _ = fit_predict_arrays(_days(train["ds"]) if len(train) else np.zeros(0),
+        yhat, _ = fit_predict_arrays(train["t"].to_numpy(float),
                                      train["y_sum"].to_numpy(float), train["y_n"].to_numpy(float),
                                      train["y_sq"].to_numpy(float), _days(test["ds"]), cfg,
                                      train["y_amax"].to_numpy(float))
