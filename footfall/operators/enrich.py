@@ -16,8 +16,8 @@ def join_weather(weather: DataFrame, readings: DataFrame, on: Sequence[str] = ("
     """Readings ⋈ hourly weather on the hour start (inner, USING): weather columns first.
 
     One weather row serves every counter of that hour; duplicate weather rows multiply readings, as
-    an equi-join does. Weather is one row per hour and station, so it is broadcast when a bounded
-    count proves it small; otherwise both sides shuffle on the hour and AQE splits hot hours.
+    an equi-join does. Weather is one row per hour and station, so it is broadcast when its size
+    estimate is small; otherwise both sides shuffle on the hour and AQE splits hot hours.
     """
     on = list(on)
     return bounded_broadcast(weather).join(readings, on=on, how="inner")

@@ -73,7 +73,7 @@ def future_days(series: DataFrame, n: int = 10, include_history: bool = True, ke
 
 def split_horizon(frame: DataFrame, history: DataFrame, key: str = "counterId", ds_col: str = "ds") -> DataFrame:
     """Label rows of a forecast frame 'history' (on or before the counter's last observed date) or
-    'future'. The last dates are one row per counter (broadcast when provably small)."""
+    'future'. The last dates are one row per counter (broadcast when its size estimate is small)."""
     last = bounded_broadcast(last_dates(history, key, ds_col))
     out = frame.join(last, on=key, how="left")
     part = F.when(F.to_date(ds_col) <= F.col("_last"), F.lit("history")).otherwise(F.lit("future"))
