@@ -92,3 +92,18 @@ def test_weekday_profiles_one_folder_per_key_and_weekday(spark):
     bins = [r.hour2d for r in one.collect()]
     assert bins and all(b % 2 == 0 for b in bins) and len(bins) == len(set(bins))
     assert os.path.isdir(f"{d}/prof/parkCode=952/weekday=0")
+
+
+def test_route_table_round_trip_restores_external_names(spark):
+    from footfall import schemas
+    from footfall.operators.enrich import prepare_routes, stack_routes
+    d = _tmp()
+    c = fx.table(spark, SF_SMALL, "customer")
+    routes = prepare_routes(stack_routes(fx.routes_a(c), fx.routes_b(c)))
+    external = {v: k for k, v in schemas.ROUTE_CSV_NAMES.items()}
+    write_csv_table(routes, f"{d}/routes", header_names=external)
+    raw = read_csv_table(spark, f"{d}/routes")                  # header names, inferred types
+    assert "Length[km]" in raw.columns and "length_km" not in raw.columns
+    back = prepare_routes(raw)
+    assert back.count() == routes.count()
+    assert back.select("counterId", "length_km").exceptAll(routes.select("counterId", "length_km")).count() == 0
