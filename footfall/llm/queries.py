@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import packing, quality_rules, warc, wavelet
+from footfall.llm import chat, packing, quality_rules, warc, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +54,31 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.round_trip(conversations.select("conv_id", "turn", "role", "text").unionByName(own))
+
+
+ORACLE["op6_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN contains(text, '\') OR contains(text, '### ') OR contains(text || ' </turn>', ' </turn>' || chr(10))
+    THEN regexp_replace(text, '([\\#<])', '\\\1', 'g') ELSE text END AS body FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(body) + length(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+    ELSE '@' || regexp_replace(role, '([\\#<: ])', '\\\1', 'g') END) + 15) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
