@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges over a space that stands between two visible characters, so a text is
 the concatenation of pieces cut before such spaces, and the ids of a text are the ids of its pieces.
-Pieces repeat a lot; a worker keeps the ids of those it has seen (up to ``KEEP`` pieces, then it
-starts anew) and asks the tokenizer only for new ones.
+Pieces repeat a lot; a worker keeps the ids of those it has seen and asks the tokenizer only for new
+ones; beyond ``KEEP`` pieces it forgets those that it met once.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 
 from footfall.llm.textops import hash_spans
 
-KEEP = 1_500_000
+KEEP = 2_500_000
 END_ID = 0
 _JOIN = 1 << 16  # bytes of new pieces given to the tokenizer as one text
 _VISIBLE = np.zeros(256, bool)  # one-byte characters that are not white space or control
@@ -46,9 +46,36 @@ class PieceIds:
 
     def clear(self):
         none = np.zeros(0, np.uint64)
-        self.known = [(none, none.astype(np.int64)), (none, none.astype(np.int64))]  # large and small: hashes, piece numbers
-        self.ids, self.first = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        self.total, self.count, self.flat = 0, 0, None
+        self.known = [(none, none.astype(np.int32)), (none, none.astype(np.int32))]  # large and small: hashes, piece numbers
+        self.ids = np.zeros(1 << 16, np.uint16 if len(self.opens) <= 1 << 16 else np.int32)
+        self.first = np.zeros(1 << 14, np.int32)  # of piece k: its ids are ids[first[k]:first[k + 1]]
+        self.uses = np.zeros(1 << 14, np.uint8)
+        self.count = 0
+
+    def forget(self):
+        """Drop the pieces that only one slice has had."""
+        keep = np.flatnonzero(self.uses[:self.count] > 1)
+        if len(keep) > KEEP // 2:
+            self.clear()
+            return
+        ids, size = self._ids_of(keep)
+        number = np.full(self.count, -1, np.int32)
+        number[keep] = np.arange(len(keep), dtype=np.int32)
+        both = [(h, number[v]) for h, v in self.known]
+        self.known = [(h[v >= 0], v[v >= 0]) for h, v in both]
+        self.ids[:len(ids)] = ids
+        self.first[1:len(keep) + 1] = np.cumsum(size)
+        self.uses[:len(keep)] = 1
+        self.count = len(keep)
+
+    def _ids_of(self, piece):
+        """Ids of pieces, one after another, and how many each has."""
+        begin = self.first[piece].astype(np.int64)
+        size = self.first[piece + 1] - begin
+        end = np.cumsum(size)
+        source = np.repeat(begin - (end - size), size)
+        source += np.arange(len(source))
+        return self.ids[source], size
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids); no end ids yet."""
@@ -56,25 +83,19 @@ class PieceIds:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         if self.count > KEEP:
-            self.clear()
+            self.forget()
         keys, at, inverse = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
         number = self._find(keys)
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = self._add(raw, starts[at[new]], ends[at[new]], plain[at[new]], keys[new])
-        if self.flat is None:
-            self.ids, self.first = [np.concatenate(self.ids)], [np.concatenate(self.first)]
-            self.flat = self.ids[0], self.first[0]
-        ids, first = self.flat
-        piece = number[inverse]
-        size = (first[1:] - first[:-1])[piece]
-        end = np.cumsum(size)
-        source = np.repeat(first[piece] - (end - size), size) + np.arange(end[-1])
-        total = np.concatenate([[0], end])
-        return ids[source], total[np.searchsorted(starts, offsets)]
+        self.uses[number] = np.minimum(self.uses[number], 254) + 1
+        ids, size = self._ids_of(number[inverse])
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ids.astype(np.int32), total[np.searchsorted(starts, offsets)]
 
     def _find(self, keys):
-        number = np.full(len(keys), -1, np.int64)
+        number = np.full(len(keys), -1, np.int32)
         for have, value in self.known:
             if len(have):
                 k = np.minimum(np.searchsorted(have, keys), len(have) - 1)
@@ -108,11 +129,16 @@ class PieceIds:
             coded = [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
             size[order[n:]] = [len(x) for x in coded]
             parts += coded
-        number = np.empty(len(starts), np.int64)
+        number = np.empty(len(starts), np.int32)
         number[order] = np.arange(self.count, self.count + len(order))
-        self.ids.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-        self.first.append(self.total + np.cumsum(size[order]))
-        self.total, self.count, self.flat = int(self.total + size.sum()), self.count + len(order), None
+        added, before = int(size.sum()), int(self.first[self.count])
+        self.ids = grown(self.ids, before + added)
+        self.first, self.uses = grown(self.first, self.count + len(order) + 1), grown(self.uses, self.count + len(order))
+        if parts:
+            self.ids[before:before + added] = np.concatenate(parts)
+        self.first[self.count + 1:self.count + 1 + len(order)] = before + np.cumsum(size[order])
+        self.uses[self.count:self.count + len(order)] = 0
+        self.count += len(order)
         (big, bigv), (small, smallv) = self.known
         small, smallv = merged(small, smallv, keys, number)
         if len(small) * 4 > len(big):
@@ -122,6 +148,14 @@ class PieceIds:
         return number
 
 
+def grown(a: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(a):
+        return a
+    out = np.zeros(max(size, len(a) * 3 // 2), a.dtype)
+    out[:len(a)] = a
+    return out
+
+
 def merged(a, av, b, bv):
     keys, values = np.concatenate([a, b]), np.concatenate([av, bv])
     order = np.argsort(keys, kind="stable")
@@ -147,9 +181,6 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
     odd = ~(ascii_ | (raw >= 0x80))  # white space and control bytes
-    bad = np.concatenate([[0], np.cumsum(odd)])
-    plain = (raw[starts] == 32) & (bad[ends] - bad[starts] == 1) & ~edge[starts]
+    plain = (raw[starts] == 32) & (np.add.reduceat(odd, starts, dtype=np.int32) == 1) & ~edge[starts]
     # a multi-byte character that is white space may stand inside: only accented letters are plain
-    lead = (raw >= 0xC0) & ~latin
-    far = np.concatenate([[0], np.cumsum(lead)])
-    return starts, ends, plain & (far[ends] == far[starts])
+    return starts, ends, plain & ~np.logical_or.reduceat((raw >= 0xC0) & ~latin, starts)
