@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, lm, packing, quality_classifier, quality_rules, warc, wavelet
+from footfall.llm import chat, decontaminate, lm, packing, quality_classifier, quality_rules, warc, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
