@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, decontaminate, lm, packing, quality_classifier, quality_rules, suffix_dedup, warc, wavelet
+from footfall.llm import chat, decontaminate, jaccard_join, lm, packing, quality_classifier, quality_rules, suffix_dedup, warc, wavelet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,23 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
   sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
 FROM d LEFT JOIN x ON x.doc_id = d.doc_id
 """
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[CAST(p AS BIGINT):CAST(p + 4 AS BIGINT)], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.g FROM s JOIN f ON f.g = s.g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM r AS a JOIN r AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM o JOIN n AS x ON x.doc_id = o.a JOIN n AS y ON y.doc_id = o.b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+c(doc_id, k) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.k FROM c JOIN l ON l.a = c.doc_id WHERE c.k < l.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.k AS component_id
+FROM (SELECT doc_id, min(k) AS k FROM c GROUP BY doc_id) AS m JOIN documents AS d ON d.doc_id = m.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
