@@ -141,3 +141,9 @@ c(doc_id, k) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.k FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.k AS component_id
 FROM (SELECT doc_id, min(k) AS k FROM c GROUP BY doc_id) AS m JOIN documents AS d ON d.doc_id = m.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
