@@ -104,7 +104,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rat
     inner, n, m = (1 << depth) - 1, len(y), x.shape[1] if x.ndim == 2 else N_STATISTICS
     share = float(y.mean()) if n else 0.5
     empty = Trees(0.0, np.zeros((0, inner), np.int64), np.zeros((0, inner), np.float32), np.zeros((0, inner + 1)))
-    if share in (0.0, 1.0):
+    if not n or share in (0.0, 1.0):
         share = min(max(share, 1e-3), 1 - 1e-3) if n else 0.5
         empty.base = float(np.log(share / (1 - share)))
         return empty
