@@ -65,9 +65,9 @@ def decimal_comma(c) -> Column:
 # ---- time ------------------------------------------------------------------------------------
 
 def epoch_to_local(epoch, tz_offset: str = "+02:00") -> Column:
-    """Epoch seconds -> local wall time (TIMESTAMP_NTZ) at a fixed offset."""
-    secs = (col_(epoch) + F.lit(offset_seconds(tz_offset))).cast("bigint")
-    return F.timestamp_add("SECOND", secs, ntz_epoch())
+    """Epoch seconds (fractions count) -> local wall time (TIMESTAMP_NTZ) at a fixed offset."""
+    micros = F.round((col_(epoch).cast("double") + F.lit(offset_seconds(tz_offset))) * F.lit(1e6)).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, ntz_epoch())
 
 
 def local_to_epoch(local_ntz, tz_offset: str = "+02:00") -> Column:
@@ -123,8 +123,9 @@ def park_class(load) -> Column:
 
 
 def route_bucket(load) -> Column:
-    x = col_(load)
-    return F.when(x > 0.7, F.lit("avoid")).when(x > 0.5, F.lit("busy")).otherwise(F.lit("free"))
+    """Bucket of a route's load; NULL when the load is missing (NULL or NaN)."""
+    x = F.nanvl(col_(load).cast("double"), F.lit(None).cast("double"))
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(x > 0.7, F.lit("avoid")).when(x > 0.5, F.lit("busy")).otherwise(F.lit("free"))
 
 
 def load_percent(load) -> Column:
@@ -147,12 +148,15 @@ def route_count_message(avoid, busy, free) -> Column:
 
 def exact_sum(c, scale: int = 12) -> Column:
     """Sum of a DOUBLE column computed on exact decimals, so it does not depend on row order
-    (same value after a task is recomputed, and equal across engines)."""
-    return F.sum(col_(c).cast(f"decimal(38,{scale})")).cast("double")
-
+    (same value after a task is recomputed, and equal across engines).
 
-def exact_mean(c, scale: int = 12) -> Column:
-    return exact_sum(c, scale) / F.count(col_(c)).cast("double")
+    Digits beyond ``scale`` are cut. Values from 1e15 on, which could leave the decimal's range in
+    a long sum, are summed as doubles beside it."""
+    x = col_(c)
+    wide = F.abs(x) >= F.lit(1e15)
+    exact = F.sum(F.when(~wide, x).cast(f"decimal(38,{scale})")).cast("double")
+    rest = F.sum(F.when(wide, x))
+    return F.when(exact.isNull(), rest).otherwise(exact + F.coalesce(rest, F.lit(0.0)))
 
 
 # ---- row selection -----------------------------------------------------------------------------

@@ -86,14 +86,15 @@ def _weather_parts(raw: DataFrame, value_col: str) -> DataFrame:
 
 def _weather_ok(tz_offset: str) -> dict[str, Column]:
     checks = {"field_count": F.size("_f") == 5 + len(schemas.WEATHER_MEASURES),
-              "time": F.col("_local").isNotNull() & (F.col("_nhm") == 2)}
+              "time": F.col("_local").isNotNull() & (F.col("_nhm") >= 2)}
     for i, m in enumerate(schemas.WEATHER_MEASURES):
         checks[m] = measure_ok(_field(F.col("_f"), 5 + i))
     return checks
 
 
 def clean_weather(raw: DataFrame, tz_offset: str = "+02:00", value_col: str = "value") -> DataFrame:
-    """Headerless weather lines ``y,m,d,HH:MM,<skipped>,<11 measures>`` -> WEATHER rows.
+    """Headerless weather lines ``y,m,d,HH:MM[:SS],<skipped>,<11 measures>`` -> WEATHER rows; what
+    follows the minutes is not read.
 
     A blank measure becomes NULL; a measure that is not a number rejects the whole row, as does a
     time that does not exist.

@@ -1,15 +1,16 @@
 """Gridded forecast coverage documents (XML multipoint coverage) -> one row per point and time.
 
-Each document is one row; Spark's built-in XPath functions pull the position list, the value
-tuples and the field names out of it, and the text lists are split, zipped and exploded with
-Column expressions. Parallelism is by document; no Python runs per row.
+A document is cut into its members first; Spark's built-in XPath functions pull the position list,
+the value tuples and the field names out of each, and the text lists are split, zipped and exploded
+with Column expressions. Files are read member by member, so a large file is many tasks; no Python
+runs per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.functions import utc_string
@@ -19,6 +20,8 @@ POSITIONS_XPATH = '//*[local-name()="positions"]'
 VALUES_XPATH = '//*[local-name()="doubleOrNilReasonTupleList"]'
 FIELD_NAMES_XPATH = '//*[local-name()="field"]/@name'
 POSITION_KEYS = ["x", "y", "timestamp"]
+MEMBER_PATTERN = r"(?s)<(?:\w+:)?member[\s>].*?</(?:\w+:)?member\s*>"
+MEMBER_END = "</wfs:member>"
 # --------------------------------------------------------------------------------------------------
 
 
@@ -34,15 +37,24 @@ def _rows_of_numbers(text: Column) -> Column:
 
 def parse_coverage(docs: DataFrame, field_names: Sequence[str], xml_col: str = "xml",
                    keep: Sequence[str] = ()) -> DataFrame:
-    """Documents -> (keep..., x, y, time, one column per name in ``field_names``).
+    """Documents -> (keep..., member, point, x, y, time, one column per name in ``field_names``).
 
-    Positions and value tuples are paired by position and the pairing stops at the shorter list;
+    Each member of a document is parsed by itself, with its own field names; a document without
+    member elements is one member. Positions and value tuples are paired by position and the pairing stops at the shorter list;
     inside a tuple, names and values pair up the same way. The output columns come from the
     explicit ``field_names`` list (a data-dependent pivot would need an extra pass).
     """
+    found = F.regexp_extract_all(F.col(xml_col), F.lit(MEMBER_PATTERN), F.lit(0))
+    members = docs.select(*keep, F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(F.col(xml_col)))).alias("member", "_xml"))
+    return parse_members(members, field_names, "_xml", keep)
+
+
+def parse_members(members: DataFrame, field_names: Sequence[str], xml_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One member's XML per row (with its number in ``member``) -> rows of points."""
+    keep = [*keep, "member"]
     x = F.col(xml_col)
-    parsed = docs.select(
-        *keep,
+    parsed = members.select(
+        *[F.col(k) for k in keep[:-1]], F.col("member").cast("bigint").alias("member"),
         _rows_of_numbers(F.xpath_string(x, F.lit(POSITIONS_XPATH))).alias("_pos"),
         _rows_of_numbers(F.xpath_string(x, F.lit(VALUES_XPATH))).alias("_val"),
         F.xpath(x, F.lit(FIELD_NAMES_XPATH)).alias("_names"))
@@ -66,7 +78,12 @@ def parse_coverage(docs: DataFrame, field_names: Sequence[str], xml_col: str = "
 
 
 def read_coverage(spark: SparkSession, path: str, field_names: Sequence[str]) -> DataFrame:
-    """One document per file (``wholetext``), parsed in parallel across files."""
-    docs = (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("source"), F.col("value").alias("xml")))
-    return parse_coverage(docs, field_names, "xml", keep=["source"])
+    """Coverage files, read member by member: the reader splits a file at the ends of its members,
+    so no file has to fit one row. ``member`` is the rank of a member in its file."""
+    parts = spark.read.text(path, lineSep=MEMBER_END).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"), F.regexp_extract("value", r"(?s)<wfs:member[\s>].*", 0).alias("_xml"))
+    parts = parts.where(F.col("_xml") != "").withColumn("_xml", F.concat("_xml", F.lit(MEMBER_END)))
+    order = Window.partitionBy("source").orderBy("_block", "_place")
+    numbered = parts.withColumn("member", F.row_number().over(order) - 1)
+    return parse_members(numbered, field_names, "_xml", keep=["source"])

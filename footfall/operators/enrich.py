@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from footfall import schemas
 from footfall.functions import decimal_comma, epoch_to_local
-from footfall.plans.joins import bounded_broadcast
 
 
 def join_weather(weather: DataFrame, readings: DataFrame, on: Sequence[str] = ("startDate",)) -> DataFrame:
     """Readings ⋈ hourly weather on the hour start (inner, USING): weather columns first.
 
     One weather row serves every counter of that hour; duplicate weather rows multiply readings, as
-    an equi-join does. Weather is one row per hour and station, so it is broadcast when its size
-    estimate is small; otherwise both sides shuffle on the hour and AQE splits hot hours.
+    an equi-join does. Whether the hours are broadcast is Spark's own choice, from its threshold or
+    from sizes measured at run time; shuffled, AQE splits hot hours.
     """
     on = list(on)
-    return bounded_broadcast(weather).join(readings, on=on, how="inner")
+    return weather.join(readings, on=on, how="inner")
 
 
 def mark_holidays(df: DataFrame, holidays: DataFrame, tz_offset: str = "+02:00",
@@ -63,8 +62,10 @@ def normalize_routes(routes: DataFrame) -> DataFrame:
     out = rename_route_columns(routes)
     if "length_km" in out.columns:
         out = out.withColumn("length_km", decimal_comma("length_km"))
-    if "duration_min" in out.columns:
-        out = out.withColumn("duration_min", F.col("duration_min").try_cast("double"))
+    casts = {"duration_min": "double", "counterId": "bigint", **{f: "bigint" for f in schemas.ROUTE_FLAGS}}
+    for name, kind in casts.items():
+        if name in out.columns:
+            out = out.withColumn(name, F.col(name).try_cast(kind))
     return out
 
 
@@ -80,4 +81,4 @@ def prepare_routes(raw: DataFrame) -> DataFrame:
 
 def attach_routes(df: DataFrame, routes: DataFrame, key: str = "counterId") -> DataFrame:
     """Inner join of a per-counter table with route attributes on ``counterId``."""
-    return df.join(bounded_broadcast(routes), on=key, how="inner")
+    return df.join(routes, on=key, how="inner")

@@ -40,7 +40,7 @@ class ModelConfig:
     changepoint_range: float = 0.8
     changepoint_prior: float = 0.05
     seasonality_prior: float = 10.0
-    short_yearly_prior: float = 0.1     # yearly prior below one year of history (keeps extrapolation sane)
+    yearly_prior: float = 0.1           # one prior for histories of every length
     trend_prior: float = 5.0
     yearly_order: int = 10
     weekly_order: int = 3
@@ -63,24 +63,32 @@ def _fourier(t: np.ndarray, period: float, order: int) -> list[np.ndarray]:
     return cols
 
 
-class _Layout:
-    """Feature layout of one counter, fixed by its history."""
+class Layout:
+    """Feature layout of one series, fixed by the extent of its history."""
 
     def __init__(self, t_hist: np.ndarray, cfg: ModelConfig):
+        self._set(float(t_hist.min()), float(t_hist.max()), len(t_hist), not np.allclose(np.mod(t_hist, 1.0), 0.0), cfg)
+
+    @classmethod
+    def of_summary(cls, first: float, last: float, n: int, clock: bool, cfg: ModelConfig) -> Layout:
+        """Layout of ``n`` timestamps between two days; ``clock``: some are not at midnight."""
+        self = cls.__new__(cls)
+        self._set(float(first), float(last), n, clock, cfg)
+        return self
+
+    def _set(self, first: float, last: float, n: int, clock: bool, cfg: ModelConfig) -> None:
         self.cfg = cfg
-        self.t0 = float(t_hist.min())
-        span = float(t_hist.max()) - self.t0
+        self.t0 = first
+        span = last - first
         self.span = span if span > 0 else 1.0
-        n = len(t_hist)
         k = min(cfg.n_changepoints, max(n - 1, 0))
         self.cps = (cfg.changepoint_range * np.arange(1, k + 1) / k) if k > 0 else np.zeros(0)
         self.weekly = cfg.weekly is True or (cfg.weekly == "auto" and span >= 14)
-        self.daily = cfg.daily and not np.allclose(np.mod(t_hist, 1.0), 0.0)
+        self.daily = cfg.daily and clock
         self.yearly = cfg.yearly
-        yearly_prior = cfg.seasonality_prior if span >= 365 else cfg.short_yearly_prior
         prior = [cfg.trend_prior, cfg.trend_prior] + [cfg.changepoint_prior] * len(self.cps)
         if self.yearly:
-            prior += [yearly_prior] * (2 * cfg.yearly_order)
+            prior += [cfg.yearly_prior] * (2 * cfg.yearly_order)
         if self.weekly:
             prior += [cfg.seasonality_prior] * (2 * cfg.weekly_order)
         if self.daily:
@@ -99,6 +107,20 @@ class _Layout:
             cols += _fourier(t, 1.0, self.cfg.daily_order)
         return np.column_stack(cols)
 
+    def predict(self, t: np.ndarray, beta: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+        """(yhat, trend) at some days."""
+        x = self.design(t)
+        return (x @ beta) * scale, (x[:, :self.n_trend] @ beta[:self.n_trend]) * scale
+
+
+def solve(gram: np.ndarray, moment: np.ndarray, squares: float, n: float, layout: Layout) -> np.ndarray:
+    """MAP coefficients from the normal equations: nearly flat priors give the noise level, priors
+    scaled by that noise give the estimate."""
+    beta = np.linalg.solve(gram + 1e-8 * np.eye(len(moment)) + 1e-6 * np.diag(layout.precision), moment)
+    rss = squares - 2 * float(beta @ moment) + float(beta @ gram @ beta)
+    sigma2 = max(rss / n, 1e-6)
+    return np.linalg.solve(gram + sigma2 * np.diag(layout.precision), moment)
+
 
 def fit_predict_arrays(t_hist: np.ndarray, y_sum: np.ndarray, y_n: np.ndarray, y_sq: np.ndarray,
                        t_pred: np.ndarray, cfg: ModelConfig = ModelConfig(), y_amax: np.ndarray | None = None):
@@ -117,23 +139,11 @@ def fit_predict_arrays(t_hist: np.ndarray, y_sum: np.ndarray, y_n: np.ndarray, y
         return const, const
     ybar = y_sum / y_n
     scale = float(np.max(y_amax if y_amax is not None else np.abs(ybar))) or 1.0
-    lay = _Layout(t_hist, cfg)
+    lay = Layout(t_hist, cfg)
     X = lay.design(t_hist)
-    yb = ybar / scale
-    w = y_n.astype(float)
-    XtW = X.T * w
-    G = XtW @ X
-    b = XtW @ yb
-    within = float(y_sq.sum()) / scale ** 2 - float((w * yb * yb).sum())   # spread inside duplicates
-    # pass 1: nearly flat priors -> noise level; pass 2: priors scaled by that noise (MAP)
-    beta = np.linalg.solve(G + 1e-8 * np.eye(len(b)) + 1e-6 * np.diag(lay.precision), b)
-    rss = float(((X @ beta - yb) ** 2 * w).sum()) + max(within, 0.0)
-    sigma2 = max(rss / n_tot, 1e-6)
-    beta = np.linalg.solve(G + sigma2 * np.diag(lay.precision), b)
-    Xp = lay.design(t_pred)
-    yhat = (Xp @ beta) * scale
-    trend = (Xp[:, :lay.n_trend] @ beta[:lay.n_trend]) * scale
-    return yhat, trend
+    XtW = X.T * y_n.astype(float)
+    beta = solve(XtW @ X, XtW @ (ybar / scale), float(y_sq.sum()) / scale ** 2, n_tot, lay)
+    return lay.predict(t_pred, beta, scale)
 
 
 def _future_ds(hist_ds: pd.Series, horizon: int, include_history: bool, as_of, labels) -> pd.Series:
@@ -150,7 +160,7 @@ def _future_ds(hist_ds: pd.Series, horizon: int, include_history: bool, as_of, l
 
 
 def _predict_frame(key, h: pd.DataFrame, frame_ds: pd.Series, cfg: ModelConfig) -> pd.DataFrame:
-    h = h.sort_values("ds")
+    h = h[h["y_n"] > 0].sort_values("t")               # missing y is left out of the fit only
     yhat, trend = fit_predict_arrays(h["t"].to_numpy(float),
                                      h["y_sum"].to_numpy(float), h["y_n"].to_numpy(float),
                                      h["y_sq"].to_numpy(float), _days(frame_ds), cfg,
@@ -173,15 +183,24 @@ def _fit_generated(cfg: ModelConfig, horizon: int, include_history: bool, as_of,
     return fn
 
 
-def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds", y_col: str = "y") -> DataFrame:
+def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds", y_col: str = "y",
+                     unique: bool = False) -> DataFrame:
     """(key, ds) -> sum, count, sum of squares and max |y| of non-missing y (map-side combined),
     plus the timestamp as days since the epoch (rows whose ds is not a date or date-time are
-    dropped)."""
-    y = F.col(y_col).cast("double")
-    return (hist.where(y.isNotNull() & ~F.isnan(y))
-            .groupBy(F.col(key).alias("counterId"), F.col(ds_col).cast("string").alias("ds"))
-            .agg(F.sum(y).alias("y_sum"), F.count(y).cast("double").alias("y_n"), F.sum(y * y).alias("y_sq"),
-                 F.max(F.abs(y)).alias("y_amax"))
+    dropped). A timestamp whose y are all missing stays, with count 0. ``unique`` says that the rows
+    are one per (key, ds) already, which saves the shuffle."""
+    y = F.nanvl(F.col(y_col).cast("double"), F.lit(None).cast("double"))
+    rows = hist.select(F.col(key).cast("long").alias("counterId"), F.col(ds_col).cast("string").alias("ds"), y.alias("_y"))
+    zero = F.lit(0.0)
+    if unique:
+        v = F.coalesce("_y", zero)
+        pts = rows.select("counterId", "ds", v.alias("y_sum"), F.col("_y").isNotNull().cast("double").alias("y_n"),
+                          (v * v).alias("y_sq"), F.abs(v).alias("y_amax"))
+    else:
+        pts = rows.groupBy("counterId", "ds").agg(
+            F.coalesce(F.sum("_y"), zero).alias("y_sum"), F.count("_y").cast("double").alias("y_n"),
+            F.coalesce(F.sum(F.col("_y") * F.col("_y")), zero).alias("y_sq"), F.coalesce(F.max(F.abs("_y")), zero).alias("y_amax"))
+    return (pts
             # time in days since the epoch, computed in the JVM (zone-free: NTZ read as UTC)
             .withColumn("t", F.unix_timestamp(F.col("ds").try_cast("timestamp_ntz")).cast("double") / 86400.0)
             .where(F.col("t").isNotNull()))
@@ -190,19 +209,23 @@ def aggregate_points(hist: DataFrame, key: str = "counterId", ds_col: str = "ds"
 def fit_forecast(hist: DataFrame, frame: DataFrame | None = None, horizon: int = 10,
                  config: ModelConfig = ModelConfig(), key: str = "counterId", ds_col: str = "ds",
                  y_col: str = "y", include_history: bool = False, as_of=None,
-                 labels=tuple(DAY_PART_LABELS)) -> DataFrame:
+                 labels=tuple(DAY_PART_LABELS), unique: bool = False, partitions: int | None = None) -> DataFrame:
     """Fit one model per counter on (key, ds, y) and predict; output counterId, ds, yhat, trend.
 
     ``frame`` (key, ds) gives arbitrary dates to predict (history and frame are co-grouped).
     Without it the frame is generated per counter in the same task: ``horizon`` days after the
     counter's last day (optionally preceded by its history dates), or, with ``as_of``, ``horizon``
-    days from ``as_of`` × the day-part ``labels``.
+    days from ``as_of`` × the day-part ``labels``. All timestamps of the history count for the
+    frame, also those without y; a counter without any y gets NULL forecasts.
+
+    ``unique`` (one row per key and ds) leaves one shuffle; ``partitions`` sets the number of fit
+    tasks where the cluster's size at start-up says little.
     """
-    pts = aggregate_points(hist, key, ds_col, y_col)
+    pts = aggregate_points(hist, key, ds_col, y_col, unique)
     # Model fitting is CPU work per row, not bytes: spread counters over every core rather than
     # letting AQE coalesce the (small) shuffle into a few partitions. An explicit partition count
     # is kept as is, and the grouping reuses this partitioning without another exchange.
-    n = fit_partitions(hist.sparkSession)
+    n = partitions or fit_partitions(hist.sparkSession)
     pts = pts.repartition(n, "counterId")
     if frame is None:
         fn = _fit_generated(config, horizon, include_history, as_of, list(labels))
@@ -229,11 +252,14 @@ def backcast(hist: DataFrame, fc: DataFrame, key: str = "counterId", ds_col: str
 
 
 def forecast_error(df: DataFrame, y: str = "y", yhat: str = "yhat", by: str | None = "counterId") -> DataFrame:
-    """Mean of y, MSE and RMSE over rows where both are present (per ``by`` key, or overall).
+    """Mean of y, MSE and RMSE over rows where both are present, that is neither NULL nor NaN (per
+    ``by`` key, or overall).
 
     Sums are exact decimals, so the result does not depend on row order."""
     from footfall.functions import exact_sum
-    ok = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
+    ok = df
+    for c in (F.col(y).cast("double"), F.col(yhat).cast("double")):
+        ok = ok.where(c.isNotNull() & ~F.isnan(c))
     err = (F.col(y).cast("double") - F.col(yhat).cast("double"))
     ok = ok.withColumn("_se", err * err)
     aggs = [F.count(F.lit(1)).alias("n"),
@@ -243,22 +269,23 @@ def forecast_error(df: DataFrame, y: str = "y", yhat: str = "yhat", by: str | No
     return g.withColumn("rmse", F.sqrt("mse"))
 
 
-HOLDOUT_SCHEMA = "counterId long, ds string, y double, yhat double"
+HOLDOUT_SCHEMA = "counterId long, ds string, y double, yhat double, y_n double, y_sq double"
 
 
 def _fit_holdout(cfg: ModelConfig, n: int):
     def fn(key: tuple, h: pd.DataFrame) -> pd.DataFrame:
-        h = h.sort_values("ds")
+        h = h[h["y_n"] > 0].sort_values("t")
         train, test = h.iloc[:n], h.iloc[n:]
         if test.empty:
-            return pd.DataFrame({"counterId": [], "ds": [], "y": [], "yhat": []})
+            return pd.DataFrame({"counterId": [], "ds": [], "y": [], "yhat": [], "y_n": [], "y_sq": []})
         yhat, _ = fit_predict_arrays(train["t"].to_numpy(float),
                                      train["y_sum"].to_numpy(float), train["y_n"].to_numpy(float),
                                      train["y_sq"].to_numpy(float), _days(test["ds"]), cfg,
                                      train["y_amax"].to_numpy(float))
         return pd.DataFrame({"counterId": np.full(len(test), key[0], dtype="int64"),
                              "ds": test["ds"].astype(str).to_numpy(),
-                             "y": (test["y_sum"] / test["y_n"]).to_numpy(float), "yhat": yhat})
+                             "y": (test["y_sum"] / test["y_n"]).to_numpy(float), "yhat": yhat,
+                             "y_n": test["y_n"].to_numpy(float), "y_sq": test["y_sq"].to_numpy(float)})
     return fn
 
 
@@ -267,7 +294,8 @@ def holdout_forecast(hist: DataFrame, n: int, config: ModelConfig = ModelConfig(
     """Per counter: fit on its first ``n`` timestamps (time order), predict the later ones.
 
     One pass: the time-ordered split happens inside the counter's group (bounded by its history),
-    so no window, no second read of the history and no join back. Output counterId, ds, y, yhat.
+    so no window, no second read of the history and no join back. Output counterId, ds, the mean y of
+    the timestamp, yhat, and the number and squares of the rows behind it.
     """
     pts = aggregate_points(hist, key, ds_col, y_col).repartition(fit_partitions(hist.sparkSession), "counterId")
     return pts.groupBy("counterId").applyInPandas(_fit_holdout(config, n), HOLDOUT_SCHEMA)
@@ -275,5 +303,12 @@ def holdout_forecast(hist: DataFrame, n: int, config: ModelConfig = ModelConfig(
 
 def evaluate_holdout(hist: DataFrame, n: int, config: ModelConfig = ModelConfig(), key: str = "counterId",
                      ds_col: str = "ds", y_col: str = "y") -> DataFrame:
-    """Fit each counter on its first ``n`` timestamps, predict the rest, and report the error."""
-    return forecast_error(holdout_forecast(hist, n, config, key, ds_col, y_col), "y", "yhat", "counterId")
+    """Fit each counter on its first ``n`` timestamps, predict the rest, and report the error, in
+    which every row of a repeated timestamp counts."""
+    from footfall.functions import exact_sum
+    h = holdout_forecast(hist, n, config, key, ds_col, y_col).where(F.col("yhat").isNotNull() & ~F.isnan("yhat"))
+    y, yhat, k = F.col("y"), F.col("yhat"), F.col("y_n")
+    out = h.groupBy("counterId").agg(
+        F.sum(k).cast("bigint").alias("n"), (exact_sum(y * k) / F.sum(k)).alias("y_mean"),
+        (exact_sum(F.greatest(F.col("y_sq") - 2 * yhat * y * k + k * yhat * yhat, F.lit(0.0))) / F.sum(k)).alias("mse"))
+    return out.withColumn("rmse", F.sqrt("mse"))

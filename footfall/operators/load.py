@@ -9,7 +9,6 @@ from footfall.functions import (clamp_negative, exact_sum, literal_table, load_p
                                 park_message, route_bucket, route_count_message)
 from footfall.functions.labels import PARKS
 from footfall.operators.profiles import historic_max
-from footfall.plans.joins import bounded_broadcast
 
 
 def clamp_visits(df: DataFrame, col: str = "visits_pred") -> DataFrame:
@@ -21,10 +20,10 @@ def compute_load(fc: DataFrame, hist: DataFrame, pred_col: str = "visits_pred",
     """(counterId, date, visits_pred) ⋈ per-counter historic max -> load = pred / (max + 1).
 
     Counters without history are dropped (inner join). The max table is one row per counter, a
-    partial+final aggregate, broadcast when its size estimate is small (else AQE decides).
+    partial+final aggregate; Spark picks the join.
     """
     stats = historic_max(hist)
-    out = fc.join(bounded_broadcast(stats), on="counterId", how="inner")
+    out = fc.join(stats, on="counterId", how="inner")
     return out.select("counterId", F.col(date_col).alias("date"),
                       F.col(pred_col).cast("double").alias("visits_pred"),
                       load_ratio(F.col(pred_col), F.col("visits_max")).alias("load"))
@@ -58,7 +57,7 @@ def to_feed(pred: DataFrame, park_id: int | None = 952, routes: DataFrame | None
                        F.col("load").cast("double").alias("load"),
                        F.to_date(F.col("date")).alias("date"))
     if routes is not None and "parkId" in routes.columns:
-        feed = feed.join(bounded_broadcast(routes.select("counterId", "parkId")), "counterId", "inner")
+        feed = feed.join(unique_dim(routes.select("counterId", "parkId"), "counterId"), "counterId", "inner")
     else:
         feed = feed.withColumn("parkId", F.lit(park_id).cast("bigint"))
         if routes is not None:
@@ -68,7 +67,7 @@ def to_feed(pred: DataFrame, park_id: int | None = 952, routes: DataFrame | None
 
 def keep_routes(df: DataFrame, routes: DataFrame, key: str = "counterId") -> DataFrame:
     """Rows whose counter is in the route dimension (left semi join, no duplication)."""
-    return df.join(bounded_broadcast(routes.select(key).distinct()), on=key, how="left_semi")
+    return df.join(routes.select(key).distinct(), on=key, how="left_semi")
 
 
 def forecast_on(df: DataFrame, as_of, days: int = 0, date_col: str = "date") -> DataFrame:
@@ -82,17 +81,23 @@ def with_route_bucket(df: DataFrame) -> DataFrame:
 
 
 def route_bucket_counts(feed: DataFrame) -> DataFrame:
-    """Per (park, date): how many routes to avoid, busy, free, and the summary sentence.
+    """Per (park, date): how many routes to avoid, busy, free, of unknown load, and the summary
+    sentence of the known ones.
 
-    ``count_if`` aggregates partially before the shuffle; all three counts are always present.
+    ``count_if`` aggregates partially before the shuffle; all four counts are always present.
     """
     b = route_bucket(F.col("load"))
     out = feed.groupBy("parkId", "date").agg(
         F.count_if(b == "avoid").alias("avoid"), F.count_if(b == "busy").alias("busy"),
-        F.count_if(b == "free").alias("free"))
+        F.count_if(b == "free").alias("free"), F.count_if(b.isNull()).alias("unknown"))
     return out.withColumn("message", route_count_message(F.col("avoid"), F.col("busy"), F.col("free")))
 
 
+def routes_in_bucket(feed: DataFrame, dim: DataFrame, bucket: str, key: str = "counterId", dim_key: str = "id") -> DataFrame:
+    """The routes of one bucket with their names and attributes, per park and date."""
+    return describe_routes(with_route_bucket(feed).where(F.col("bucket") == F.lit(bucket)), dim, key, dim_key)
+
+
 def asked_days(parks: DataFrame, as_of, n_days: int) -> DataFrame:
     """Every park × the dates ``as_of .. as_of + n_days`` (generated, no join)."""
     start = F.to_date(F.lit(str(as_of)))
@@ -125,5 +130,5 @@ def unique_dim(dim: DataFrame, key: str = "id") -> DataFrame:
 def describe_routes(df: DataFrame, dim: DataFrame, key: str = "counterId", dim_key: str = "id") -> DataFrame:
     """Attach route attributes by id (left outer); unmatched rows keep NULL attributes."""
     d = unique_dim(dim, dim_key).withColumnRenamed(dim_key, key)
-    return df.join(bounded_broadcast(d), on=key, how="left")
+    return df.join(d, on=key, how="left")
 

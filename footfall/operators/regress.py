@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -19,7 +20,6 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from footfall import schemas
 from footfall.functions import literal_table
-from footfall.session import cut_lineage
 
 # --- fixed values: columns that are identifiers or route attributes, never features -------------
 ID_COLUMNS = ["parkCode", "counterIdPave", "date_day", "year", "counterId"]
@@ -51,7 +51,8 @@ def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visi
                    valid: DataFrame | None = None, max_iter: int = 7, step_size: float = 0.05,
                    max_depth: int = 4, key_feature: str | None = None, validation_tol: float = 0.01,
                    seed: int = 7) -> PipelineModel:
-    """Fit a GBT on ``features``; with ``valid``, boosting stops early on the validation error."""
+    """Fit a GBT on ``features``; with ``valid``, boosting stops early on the validation error. Give
+    it a saved table: training reads its rows more than once."""
     cols = list(features)
     if key_feature:
         # the id enters as an ordinal feature: trees split it into id ranges, and the cost does
@@ -66,15 +67,26 @@ def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visi
                 .unionByName(valid.withColumn("_is_valid", F.lit(True))))
         kw.update(validationIndicatorCol="_is_valid", validationTol=validation_tol)
     stages = [assembler, GBTRegressor(**kw)]
-    # boosting passes over the data many times: train on a checkpoint, not on the whole lineage
-    data = cut_lineage(data.withColumn(label, F.col(label).cast("double")))
-    return Pipeline(stages=stages).fit(data)
+    # boosting passes over the data many times: keep the training columns on the executors' disks
+    # while it runs; a lost block is read again from the caller's saved table
+    keep = dict.fromkeys([*cols, label, *(["_is_valid"] if valid is not None else [])])
+    data = data.withColumn(label, F.col(label).cast("double")).select(*keep).persist(StorageLevel.DISK_ONLY)
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict_visits(model: PipelineModel, df: DataFrame, out_col: str = "visits_pred") -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", out_col).drop("features")
 
 
+def regression_error(df: DataFrame, label: str = "visits", pred: str = "visits_pred") -> DataFrame:
+    """One row: n and RMSE of predictions, over rows where both are present."""
+    from footfall.operators.forecast import forecast_error
+    return forecast_error(df, label, pred, by=None).select("n", "rmse")
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """(feature, importance), least important first."""
     gbt = model.stages[-1]

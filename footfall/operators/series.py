@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import DAY_PART_LABELS, FUTURE_TEMP_DATES, FUTURE_TEMPS
-from footfall.plans.joins import bounded_broadcast
 
 
 def _order(order: str | Sequence[str], descending: bool):
@@ -29,16 +28,18 @@ def latest_per_counter(df: DataFrame, key: str = "counterId", date_col: str = "d
 
 def last_n_per_counter(df: DataFrame, n: int = 1500, key: str = "counterId",
                        order: str | Sequence[str] = "date_day") -> DataFrame:
-    """The last ``n`` rows of each counter (the whole group when it is shorter)."""
-    w = Window.partitionBy(key).orderBy(*_order(order, True))
+    """The last ``n`` rows of each counter (the whole group when it is shorter); rows that tie in
+    ``order`` are ranked by a hash of the whole row, so a recomputed task keeps the same ones."""
+    w = Window.partitionBy(key).orderBy(*_order(order, True), F.xxhash64(*df.columns))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def ordered_split(df: DataFrame, n: int, key: str = "counterId",
                   order: str | Sequence[str] = "date_day") -> DataFrame:
     """Number each counter's rows in time order (``rn``) and label the first ``n`` 'train', the
-    rest 'test' (empty test part when the group has at most ``n`` rows)."""
-    w = Window.partitionBy(key).orderBy(*_order(order, False))
+    rest 'test' (empty test part when the group has at most ``n`` rows). Ties in ``order`` are
+    numbered by a hash of the whole row."""
+    w = Window.partitionBy(key).orderBy(*_order(order, False), F.xxhash64(*df.columns))
     rn = F.row_number().over(w)
     return (df.withColumn("rn", rn.cast("bigint"))
             .withColumn("part", F.when(F.col("rn") <= n, F.lit("train")).otherwise(F.lit("test"))))
@@ -73,9 +74,8 @@ def future_days(series: DataFrame, n: int = 10, include_history: bool = True, ke
 
 def split_horizon(frame: DataFrame, history: DataFrame, key: str = "counterId", ds_col: str = "ds") -> DataFrame:
     """Label rows of a forecast frame 'history' (on or before the counter's last observed date) or
-    'future'. The last dates are one row per counter (broadcast when its size estimate is small)."""
-    last = bounded_broadcast(last_dates(history, key, ds_col))
-    out = frame.join(last, on=key, how="left")
+    'future'. The last dates are one row per counter; Spark picks the join."""
+    out = frame.join(last_dates(history, key, ds_col), on=key, how="left")
     part = F.when(F.to_date(ds_col) <= F.col("_last"), F.lit("history")).otherwise(F.lit("future"))
     return out.withColumn("part", part).drop("_last")
 

@@ -74,3 +74,8 @@ DAILY_MEANS = WEATHER_MEASURES + ["cordNorth", "coordSouth", "year", "month", "d
 def with_field(schema: StructType, name: str, dtype, nullable: bool = True) -> StructType:
     """A copy of ``schema`` extended by one column."""
     return StructType(list(schema.fields) + [StructField(name, dtype, nullable)])
+
+
+# raw route table: every field as text, in file order
+RAW_ROUTE = StructType([StructField(c, StringType()) for c in
+                        ["ASTA_Counters.NationalParkCode", "EPSG4326_East", "EPSG4326_North", *ROUTE_CSV_NAMES, *ROUTE_FLAGS]])

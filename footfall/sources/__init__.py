@@ -56,11 +56,10 @@ def read_holidays(spark: SparkSession, path: str, category: str | None = "Nation
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",",
                    encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """CSV with a header line and a declared schema; ``inferSchema`` only when no schema is given."""
+    """CSV with a header line and a declared schema; without one every column is text (the header
+    names them, nothing is inferred)."""
     r = spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-    if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).csv(path)
+    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
 
 
 def read_routes(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:

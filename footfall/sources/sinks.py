@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -22,12 +23,18 @@ def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite", sep: str
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
-                      mode: str = "overwrite", order: Sequence[str] = ()) -> None:
+                      mode: str = "overwrite", order: Sequence[str] = (), buckets: int | None = None) -> None:
     """One folder per key combination (e.g. per counter and weekday); readers prune by key.
 
-    Rows are sorted by the keys inside each task (no shuffle), so a task keeps one file open at a
-    time; a hot key stays spread over the tasks that already hold it. ``order`` sorts rows inside
-    each file (e.g. by hour).
+    Rows are repartitioned by the folder keys and sorted, so each folder gets one file, and ``order``
+    sorts its rows (e.g. by hour). It is meant for rolled-up tables, where a folder is small; with
+    ``buckets`` the first key, when it has very many values, is replaced as a folder by a hash
+    bucket of it (column ``bucket``) and stays in the files.
     """
     keys = list(keys)
-    df.sortWithinPartitions(*keys, *order).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    folders = keys
+    if buckets:
+        df = df.withColumn("bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
+        folders = ["bucket", *keys[1:]]
+    (df.repartition(*folders).sortWithinPartitions(*folders, *keys, *order)
+     .write.mode(mode).partitionBy(*folders).format(fmt).save(path))
