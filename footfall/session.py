@@ -53,13 +53,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder on a cluster")
     local = tempfile.mkdtemp(prefix="footfall-ckpt-")
     sc.setCheckpointDir(local)
     return local
 
 
+def save_once(df, name: str = "table"):
+    """Write a table as Parquet into the shared checkpoint folder and read it back: every plan built
+    on the result reads the saved columns it needs instead of computing the table again."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, when it is run from a source folder.
+
+    The zip lies in the shared checkpoint folder. An installed package (``pip install .``) or one
+    passed with ``--py-files`` needs no shipping; sending it again does no harm."""
+    sc = spark.sparkContext
+    if getattr(sc, "_footfall_shipped", False):
+        return
+    import io
+    import zipfile
+    from pathlib import Path
+
+    from pyarrow import fs
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(str(p.relative_to(root.parent)), p.read_text())
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/footfall.zip", compression=None) as out:
+        out.write(buffer.getvalue())
+    sc.addPyFile(f"{uri}/footfall.zip")
+    sc._footfall_shipped = True
+
+
 def testdata_dir(sf: str = "0.01") -> str:
     return os.environ.get("FOOTFALL_SF_DIR", f"/root/testdata/sf{sf}")
 
