@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType
 
-from footfall import schemas
+from footfall import schemas, sources
+from footfall.functions import literal_table
 from footfall.operators import clean, enrich, load, profiles
 from footfall.plans import history
-from footfall.session import cut_lineage
+from footfall.session import save_once
 from footfall.testing import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,11 @@ def _hourly(spark, sf_dir):
                                   fx.holiday_lines(spark), fx.TZ)
 
 
+def _saved_hourly(spark, sf_dir):
+    """The hourly table written once, where two roll-ups read it."""
+    return save_once(_hourly(spark, sf_dir), "hourly")
+
+
 def _daily(spark, sf_dir):
     return profiles.daily_rollup(_hourly(spark, sf_dir))
 
@@ -247,8 +253,31 @@ def park_state(spark, sf_dir):
 
 @query
 def describe_routes(spark, sf_dir):
+    return _date_str(load.describe_routes(_feed(spark, sf_dir), _repeated_dim(spark, sf_dir)))
+
+
+def _repeated_dim(spark, sf_dir):
+    """The route dimension with every id twice, so that the choice of one row matters."""
     dim = fx.route_dim(fx.table(spark, sf_dir, "nation"))
-    return _date_str(load.describe_routes(_feed(spark, sf_dir), dim))
+    return dim.unionByName(dim.withColumn("name", F.concat(F.lit("~"), F.col("name"))))
+
+
+@query
+def routes_in_bucket(spark, sf_dir):
+    """The routes to avoid, with their names, per park and date."""
+    return _date_str(load.routes_in_bucket(_feed(spark, sf_dir), _repeated_dim(spark, sf_dir), "avoid"))
+
+
+@query
+def built_in_routes_feed(spark, sf_dir):
+    """Feed of the built-in route dimension's counters, restricted by it and described from it."""
+    from footfall.functions.labels import ROUTES
+    dim = sources.route_dim(spark)
+    ids = F.array(*[F.lit(r[0]) for r in ROUTES])
+    pred = fx.prediction_table(fx.table(spark, sf_dir, "orders"))
+    pred = pred.withColumn("counterId", F.get(ids, (F.col("counterId") % (len(ROUTES) + 1)).cast("int")).cast("bigint"))
+    feed = load.to_feed(pred.where(F.col("counterId").isNotNull()), routes=dim.select(F.col("id").alias("counterId"), "parkId"))
+    return _date_str(load.describe_routes(feed, dim.select("id", "name", "difficulty", "length_km", "duration_min")))
 
 
 # ---- step 4: series windows, future frames, routes ---------------------------------------------------
@@ -258,12 +287,13 @@ from footfall.operators import series  # noqa: E402
 
 @query
 def latest_per_counter(spark, sf_dir):
-    return series.latest_per_counter(_history_daily(spark, sf_dir))
+    h = _history_daily(spark, sf_dir)
+    return series.latest_per_counter(h.unionByName(h.withColumn("visits", F.col("visits") + 1)))   # every date ties
 
 
 @query
 def last_n_per_counter(spark, sf_dir):
-    return series.last_n_per_counter(_history_daily(spark, sf_dir), n=1500)
+    return series.last_n_per_counter(_history_daily(spark, sf_dir), n=200)
 
 
 @query
@@ -322,7 +352,7 @@ from footfall.plans import predictions  # noqa: E402
 @query
 def fit_forecast(spark, sf_dir):
     s = series.to_series(_history_daily(spark, sf_dir))
-    return fcst.fit_forecast(s, horizon=10)
+    return fcst.fit_forecast(s, horizon=10, unique=True)
 
 
 @query
@@ -343,13 +373,13 @@ def daily_prediction(spark, sf_dir):
 
 @query
 def day_part_prediction(spark, sf_dir):
-    hourly = _hourly(spark, sf_dir)
+    hourly = _saved_hourly(spark, sf_dir)
     return predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01")
 
 
 @query
 def day_part_prediction_pooled(spark, sf_dir):
-    hourly = _hourly(spark, sf_dir)
+    hourly = _saved_hourly(spark, sf_dir)
     return predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01", pooled=True)
 
 
@@ -358,7 +388,7 @@ def forecast_error(spark, sf_dir):
     """Error report on the stand-in forecast against the daily history (per counter)."""
     hist = _history_daily(spark, sf_dir).select("counterId", F.col("date_day").alias("date"),
                                                 F.col("visits").alias("y"))
-    fc = fx.forecast_standin(fx.table(spark, sf_dir, "orders"))
+    fc = fx.forecast_with_nan(fx.table(spark, sf_dir, "orders"))
     return fcst.forecast_error(hist.join(fc, on=["counterId", "date"], how="inner"), "y", "yhat", "counterId")
 
 
@@ -377,19 +407,13 @@ def feature_table(spark, sf_dir):
 
 
 def _gbt_inputs(spark, sf_dir):
-    """Daily features + the in-sample forecast as a feature, split per counter in time order."""
-    # the daily table feeds both the forecast and the features: save it once
-    daily = cut_lineage(_daily_with_routes(spark, sf_dir))
-    s = series.to_series(daily, "date_day", "visits")
-    yhat = fcst.fit_forecast(s, horizon=0, include_history=True).select(
-        "counterId", F.col("ds").alias("date_day"), "yhat")
-    feats = regress.feature_table(daily.join(yhat, ["counterId", "date_day"], "left"),
-                                  keep=["counterId", "date_day"])
+    """Daily features with the forecast as one of them, split per counter in time order; the forecast
+    is fit on the training part. One saved table feeds training and validation."""
+    daily = save_once(_daily_with_routes(spark, sf_dir), "daily")
+    feats = save_once(predictions.split_features(daily, 14), "features")
     names = regress.feature_names(feats, "visits", exclude=["counterId"])
-    # train and validation rows both come from this table: save it once in the checkpoint folder
-    split = cut_lineage(series.ordered_split(feats, 14))
-    train = split.where(F.col("part") == "train").drop("part", "rn")
-    valid = split.where(F.col("part") == "test").drop("part", "rn")
+    train = feats.where(F.col("part") == "train").drop("part")
+    valid = feats.where(F.col("part") == "test").drop("part")
     return train, valid, names
 
 
@@ -409,6 +433,200 @@ def feature_importance(spark, sf_dir):
     return regress.feature_importance(spark, model, names)
 
 
+@query
+def gbt_future_prediction(spark, sf_dir):
+    """Boosted trees for the ten days after each counter's last day, with the temperature outlook."""
+    daily = save_once(_daily_with_routes(spark, sf_dir), "daily")
+    outlook = predictions.outlook_by_offset(series.future_covariates(profiles.distinct_keys(daily)))
+    holidays = sources.parse_holidays(fx.holiday_lines(spark))
+    return predictions.gbt_future_prediction(daily, outlook, holidays, max_iter=7, max_depth=4)
+
+
+# ---- step 6b: model queries whose values SQL can state --------------------------------------------------
+
+TREND = fcst.ModelConfig(n_changepoints=0, yearly=False, weekly=False, daily=False, trend_prior=1e6)
+
+
+@query
+def trend_forecast(spark, sf_dir):
+    """A straight line per counter (no changepoints, no seasons, wide priors), ten days on."""
+    fc = fcst.fit_forecast(series.to_series(_history_daily(spark, sf_dir)), horizon=10, config=TREND, unique=True)
+    return fc.select("counterId", "ds", F.round("yhat", 2).alias("yhat"))
+
+
+@query
+def trend_backcast(spark, sf_dir):
+    s = series.to_series(_history_daily(spark, sf_dir))
+    fc = fcst.fit_forecast(s, horizon=0, include_history=True, config=TREND)
+    return fcst.backcast(s, fc).select("counterId", "ds", "y", F.round("yhat", 2).alias("yhat"))
+
+
+@query
+def trend_holdout(spark, sf_dir):
+    e = fcst.evaluate_holdout(series.to_series(_history_daily(spark, sf_dir)), 400, config=TREND)
+    return e.select("counterId", "n", F.round("y_mean", 4).alias("y_mean"), F.round("mse", 2).alias("mse"), F.round("rmse", 3).alias("rmse"))
+
+
+def _rounded_load(df):
+    return df.select("counterId", "date", F.round("visits_pred", 2).alias("visits_pred"), F.round("load", 5).alias("load"))
+
+
+@query
+def trend_daily_prediction(spark, sf_dir):
+    return _rounded_load(predictions.daily_prediction(_history_daily(spark, sf_dir), config=TREND))
+
+
+@query
+def trend_day_part_prediction(spark, sf_dir):
+    hourly = _saved_hourly(spark, sf_dir)
+    return _rounded_load(predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01", config=TREND))
+
+
+@query
+def trend_day_part_prediction_pooled(spark, sf_dir):
+    hourly = _saved_hourly(spark, sf_dir)
+    return _rounded_load(predictions.day_part_prediction(hourly, profiles.daily_rollup(hourly), "2024-02-01", config=TREND, pooled=True))
+
+
+def _stump(spark, sf_dir):
+    """One boosting step of depth 1 on the holiday flag: the two group means."""
+    feats = save_once(regress.feature_table(_history_daily(spark, sf_dir), keep=["counterId"]).select("counterId", "holiday", "visits"), "stump")
+    return feats, regress.fit_visits_gbt(feats, ["holiday"], "visits", max_iter=1, max_depth=1)
+
+
+@query
+def stump_prediction(spark, sf_dir):
+    feats, model = _stump(spark, sf_dir)
+    pred = regress.predict_visits(model, feats)
+    return pred.groupBy(F.col("holiday").cast("bigint").alias("holiday")).agg(
+        F.count("*").alias("n"), F.round(F.min("visits_pred"), 4).alias("low"), F.round(F.max("visits_pred"), 4).alias("high"))
+
+
+@query
+def stump_error(spark, sf_dir):
+    """RMSE of the stump and the importance of its only feature."""
+    feats, model = _stump(spark, sf_dir)
+    error = regress.regression_error(regress.predict_visits(model, feats))
+    return error.select("n", F.round("rmse", 4).alias("rmse")).crossJoin(regress.feature_importance(spark, model, ["holiday"]))
+
+
+def _finite(c):
+    return F.coalesce(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e12), F.lit(False))
+
+
+def _framed(df, keys, value, non_negative):
+    """Keys of a model's output and whether its values are usable numbers."""
+    ok = _finite(value) & (F.col(value) >= 0) if non_negative else _finite(value)
+    return df.select(*keys, ok.alias("usable"))
+
+
+@query
+def fit_forecast_frame(spark, sf_dir):
+    return _framed(fit_forecast(spark, sf_dir), ["counterId", "ds"], "yhat", False)
+
+
+@query
+def backcast_frame(spark, sf_dir):
+    return _framed(backcast(spark, sf_dir), ["counterId", "ds", "y"], "yhat", False)
+
+
+@query
+def evaluate_holdout_frame(spark, sf_dir):
+    return _framed(evaluate_holdout(spark, sf_dir).withColumn("y_mean", F.round("y_mean", 4)), ["counterId", "n", "y_mean"], "mse", True)
+
+
+@query
+def daily_prediction_frame(spark, sf_dir):
+    return _framed(daily_prediction(spark, sf_dir), ["counterId", "date"], "load", True)
+
+
+@query
+def day_part_prediction_frame(spark, sf_dir):
+    return _framed(day_part_prediction(spark, sf_dir), ["counterId", "date"], "load", True)
+
+
+@query
+def day_part_prediction_pooled_frame(spark, sf_dir):
+    return _framed(day_part_prediction_pooled(spark, sf_dir), ["counterId", "date"], "load", True)
+
+
+@query
+def fit_visits_gbt_frame(spark, sf_dir):
+    return _framed(fit_visits_gbt(spark, sf_dir), ["counterId", "date_day", "visits"], "visits_pred", False)
+
+
+@query
+def gbt_future_prediction_frame(spark, sf_dir):
+    return _framed(gbt_future_prediction(spark, sf_dir), ["counterId", "date"], "load", True)
+
+
+@query
+def feature_importance_frame(spark, sf_dir):
+    """The features, with the sum of all importances (1 when any tree split)."""
+    imp = feature_importance(spark, sf_dir)
+    total = imp.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return imp.select("feature", (F.col("importance") >= 0).alias("usable")).join(F.broadcast(total))
+
+
+# ---- step 6c: text forms and orders ----------------------------------------------------------------------
+
+def _ddl(schema):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _csv_lines(df, **options):
+    """The rows as CSV lines with a header line first, as a file holds them."""
+    lines = df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options).alias("value"))
+    header = options.get("sep", ",").join(df.columns)
+    return lines.unionByName(literal_table(df.sparkSession, [(header,)], "value STRING")), header
+
+
+def _csv_rows(lines, header, schema, **options):
+    return lines.where(F.col("value") != header).select(F.from_csv("value", F.lit(_ddl(schema)), options).alias("r")).select("r.*")
+
+
+@query
+def enriched_csv_round_trip(spark, sf_dir):
+    """Enriched, holiday-marked history as CSV lines with a header, read back with its schema."""
+    schema = schemas.with_field(schemas.ENRICHED, "holiday", BooleanType())
+    lines, header = _csv_lines(mark_holidays(spark, sf_dir).select(*schema.names))
+    return _csv_rows(lines, header, schema)
+
+
+@query
+def route_csv_round_trip(spark, sf_dir):
+    """Route lines (';', decimal comma) read as text columns, then typed."""
+    raw = fx.routes_a(fx.table(spark, sf_dir, "customer"))
+    lines, header = _csv_lines(raw, sep=";")
+    schema = type(schemas.RAW_ROUTE)([f for f in schemas.RAW_ROUTE.fields if f.name in raw.columns])
+    return enrich.prepare_routes(_csv_rows(lines, header, schema, sep=";"))
+
+
+@query
+def prediction_csv_feed(spark, sf_dir):
+    """Prediction lines with a header -> load feed."""
+    lines, header = _csv_lines(fx.prediction_table(fx.table(spark, sf_dir, "orders")).select(*schemas.PREDICTION.names))
+    routes = _park_routes(spark, sf_dir).select(F.col("id").alias("counterId"))
+    return _date_str(load.to_feed(_csv_rows(lines, header, schemas.PREDICTION), park_id=fx.PARK_EVEN, routes=routes))
+
+
+def _numbered(df):
+    """Sorted rows with their place in the order (a rolled-up table, so one task can number it)."""
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint")
+    return df.withColumn("place", place)
+
+
+@query
+def weekday_profile_sorted(spark, sf_dir):
+    return _numbered(_ints_to_bigint(profiles.weekday_profile(_hourly(spark, sf_dir), "parkCode", sort=True)))
+
+
+@query
+def day_part_rollup_sorted(spark, sf_dir):
+    out = profiles.day_part_rollup(_hourly(spark, sf_dir), sort=True)
+    return _numbered(_ints_to_bigint(out.select("counterId", "date_day", "day_part", "visits")))
+
+
 # ---- step 7: coverage documents -------------------------------------------------------------------------
 
 from footfall.operators import coverage  # noqa: E402

@@ -82,7 +82,8 @@ def raw_weather_lines(events: DataFrame) -> DataFrame:
         F.when(h % 101 == 50, F.lit("x")).otherwise(_s(10000 + h)),
         _s((h * 15) % 360), _s(h % 10 + 0.5), _s(h % 10)]
     line = F.concat_ws(",", _s(F.year("t")), _s(F.month("t")), _s(F.dayofmonth("t")),
-                       F.date_format("t", "HH:mm"), F.lit("UTC"), *measures)
+                       F.when(h % 7 == 3, F.date_format("t", "HH:mm:ss")).otherwise(F.date_format("t", "HH:mm")),
+                       F.lit("UTC"), *measures)
     return w.select(line.alias("value"))
 
 
@@ -110,14 +111,22 @@ def forecast_standin(orders: DataFrame) -> DataFrame:
                          F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), yhat.alias("yhat"))
 
 
+def forecast_with_nan(orders: DataFrame) -> DataFrame:
+    """The stand-in forecast with some yhat NaN, as a numeric library leaves missing values."""
+    yhat = F.when(F.col("o_orderkey") % 50 == 0, F.lit(None).cast("double")) \
+        .when(F.col("o_orderkey") % 53 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 1000 - 100)
+    return orders.select((F.col("o_custkey") % 25).alias("counterId"),
+                         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), yhat.alias("yhat"))
+
+
 def prediction_table(orders: DataFrame) -> DataFrame:
-    """Prediction rows (counterId, date 'yyyy-MM-dd', visits_pred, load)."""
+    """Prediction rows (counterId, date 'yyyy-MM-dd', visits_pred, load); some loads are missing."""
     k = F.col("o_orderkey")
     d = F.date_add(F.to_date(F.lit(AS_OF)), (k % 10).cast("int"))
     return orders.select((F.col("o_custkey") % 25).alias("counterId"),
                          F.date_format(d, "yyyy-MM-dd").alias("date"),
                          (F.col("o_totalprice") / 1000).alias("visits_pred"),
-                         ((k % 101).cast("double") / 100).alias("load"))
+                         F.when(k % 53 != 0, (k % 101).cast("double") / 100).alias("load"))
 
 
 def load_feed(orders: DataFrame) -> DataFrame:
@@ -162,13 +171,12 @@ def routes_b(customer: DataFrame) -> DataFrame:
 
 # --- fixed values: coverage document fixture -----------------------------------------------------
 COVERAGE_FIELDS = ["Temperature", "WindSpeedMS"]
-COVERAGE_CHUNK = 100_000     # events per document at most: event ids [k*100000, (k+1)*100000) of one user
 COVERAGE_HEAD = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0" '
                  'xmlns:om="http://www.opengis.net/om/2.0" '
                  'xmlns:omso="http://inspire.ec.europa.eu/schemas/omso/3.0" '
                  'xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:gmlcov="http://www.opengis.net/gmlcov/1.0" '
-                 'xmlns:swe="http://www.opengis.net/swe/2.0">\n'
-                 '<wfs:member><omso:GridSeriesObservation><om:result><gmlcov:MultiPointCoverage>\n'
+                 'xmlns:swe="http://www.opengis.net/swe/2.0">\n')
+COVERAGE_MEMBER = ('<wfs:member><omso:GridSeriesObservation><om:result><gmlcov:MultiPointCoverage>\n'
                  '<gml:domainSet><gmlcov:SimpleMultiPoint><gmlcov:positions>\n')
 COVERAGE_MID = ('\n</gmlcov:positions></gmlcov:SimpleMultiPoint></gml:domainSet>\n'
                 '<gml:rangeSet><gml:DataBlock><gml:doubleOrNilReasonTupleList>\n')
@@ -176,22 +184,26 @@ COVERAGE_TAIL = ('\n</gml:doubleOrNilReasonTupleList></gml:DataBlock></gml:range
                  '<gmlcov:rangeType><swe:DataRecord>'
                  + "".join(f'<swe:field name="{n}"/>' for n in COVERAGE_FIELDS)
                  + '</swe:DataRecord></gmlcov:rangeType>\n'
-                 '</gmlcov:MultiPointCoverage></om:result></omso:GridSeriesObservation></wfs:member>\n'
-                 '</wfs:FeatureCollection>\n')
+                 '</gmlcov:MultiPointCoverage></om:result></omso:GridSeriesObservation></wfs:member>\n')
+COVERAGE_END = '</wfs:FeatureCollection>\n'
 # ---------------------------------------------------------------------------------------------------
 
 
 def coverage_docs(events: DataFrame) -> DataFrame:
-    """One coverage document per (user, block of event ids): a position (user, event, epoch) and a
-    value tuple (value, event % 7) per event in event order; odd users lose the last value tuple."""
+    """One coverage document per (user, day) with a member each for its even and odd event ids: a
+    position (user, event, epoch) and a value tuple (value, event % 7) per event in event order; odd
+    users lose the last value tuple of each member. A document is bounded by a user's day."""
     e = events.select(
-        "user_id", "event_id", (F.col("event_id") / COVERAGE_CHUNK).cast("bigint").alias("chunk"),
+        "user_id", "event_id", F.to_date("ts").alias("day"), (F.col("event_id") % 2).alias("odd"),
         F.concat_ws(" ", _s(F.col("user_id")), _s(F.col("event_id")), _s(F.unix_timestamp("ts"))).alias("pos"),
         F.concat_ws(" ", _s(F.col("value")), _s(F.col("event_id") % 7)).alias("val"))
-    g = e.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", "pos", "val"))).alias("it"))
+    g = e.groupBy("user_id", "day", "odd").agg(F.array_sort(F.collect_list(F.struct("event_id", "pos", "val"))).alias("it"))
     pos = F.transform("it", lambda r: r["pos"])
     val = F.transform("it", lambda r: r["val"])
     val = F.when(F.col("user_id") % 2 == 1, F.slice(val, 1, F.size("it") - 1)).otherwise(val)
-    xml = F.concat(F.lit(COVERAGE_HEAD), F.array_join(pos, "\n"), F.lit(COVERAGE_MID),
-                   F.array_join(val, "\n"), F.lit(COVERAGE_TAIL))
-    return g.select(F.concat_ws("-", _s(F.col("user_id")), _s(F.col("chunk"))).alias("doc"), xml.alias("xml"))
+    member = F.concat(F.lit(COVERAGE_MEMBER), F.array_join(pos, "\n"), F.lit(COVERAGE_MID),
+                      F.array_join(val, "\n"), F.lit(COVERAGE_TAIL))
+    docs = g.select("user_id", "day", "odd", member.alias("xml")).groupBy("user_id", "day").agg(
+        F.array_sort(F.collect_list(F.struct("odd", "xml"))).alias("members"))   # two at most
+    xml = F.concat(F.lit(COVERAGE_HEAD), F.array_join(F.transform("members", lambda m: m["xml"]), ""), F.lit(COVERAGE_END))
+    return docs.select(F.concat_ws("-", _s(F.col("user_id")), F.date_format("day", "yyyyMMdd")).alias("doc"), xml.alias("xml"))

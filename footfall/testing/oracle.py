@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from footfall import schemas
 from footfall.functions.labels import (FUTURE_TEMP_DATES, FUTURE_TEMPS, PARK_MESSAGES, PARK_UNKNOWN_MESSAGE,
-                                       PARKS, ROUTE_COUNT_MESSAGE)
+                                       PARKS, ROUTE_COUNT_MESSAGE, ROUTES)
 from footfall.testing import fixtures as fx
 
 ORACLE: dict[str, str] = {}
@@ -73,7 +73,7 @@ CTE = {
     "prediction": f"""
         SELECT o_custkey % 25 AS counterId,
                strftime(DATE '{fx.AS_OF}' + CAST(o_orderkey % 10 AS INTEGER), '%Y-%m-%d') AS date,
-               o_totalprice / 1000 AS visits_pred, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS load
+               o_totalprice / 1000 AS visits_pred, CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_orderkey % 101 AS DOUBLE) / 100 END AS load
         FROM orders""",
     "feed": f"""
         SELECT counterId, CAST(CASE WHEN counterId % 2 = 0 THEN {fx.PARK_EVEN} ELSE {fx.PARK_ODD} END AS BIGINT)
@@ -147,7 +147,7 @@ register("json_round_trip", f"SELECT {READING_COLS} FROM readings", "readings")
 register("clean_weather", "SELECT * FROM weather", "weather")
 register("rejected_weather", """
     SELECT concat_ws(',', CAST(year(t) AS VARCHAR), CAST(month(t) AS VARCHAR), CAST(day(t) AS VARCHAR),
-                     strftime(t, '%H:%M'), 'UTC',
+                     CASE WHEN h % 7 = 3 THEN strftime(t, '%H:%M:%S') ELSE strftime(t, '%H:%M') END, 'UTC',
                      CASE WHEN h % 13 = 0 THEN '' ELSE CAST(h % 9 AS VARCHAR) END,
                      CAST(980 + h % 50 AS VARCHAR), CAST(40 + (h * 7) % 60 AS VARCHAR),
                      CAST(CAST(h % 8 AS DOUBLE) * 0.25 AS VARCHAR), CAST(h % 5 AS VARCHAR),
@@ -213,7 +213,7 @@ def _sql_text(text: str) -> str:
 
 
 CTE["forecast"] = """
-    SELECT o_custkey % 25 AS counterId, strftime(o_orderdate, '%Y-%m-%d') AS date,
+    SELECT o_orderkey, o_custkey % 25 AS counterId, strftime(o_orderdate, '%Y-%m-%d') AS date,
            CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice / 1000 - 100 END AS visits_pred
     FROM orders"""
 CTE["hmax"] = "SELECT counterId, max(visits) AS visits_max FROM history_daily GROUP BY counterId"
@@ -238,12 +238,12 @@ register("forecast_on", f"""
     FROM feed WHERE date = DATE '{fx.AS_OF}' + 3""", "feed")
 _RC = ROUTE_COUNT_MESSAGE
 register("route_bucket_counts", f"""
-    SELECT parkId, strftime(date, '%Y-%m-%d') AS date, avoid, busy, free,
+    SELECT parkId, strftime(date, '%Y-%m-%d') AS date, avoid, busy, free, unknown,
            printf({_sql_text(_RC)}, CAST(avoid AS VARCHAR), CAST(busy AS VARCHAR), CAST(free AS VARCHAR))
                AS message
     FROM (SELECT parkId, date, CAST(count_if(load > 0.7) AS BIGINT) AS avoid,
                  CAST(count_if(load > 0.5 AND load <= 0.7) AS BIGINT) AS busy,
-                 CAST(count_if(NOT (load > 0.5)) AS BIGINT) AS free
+                 CAST(count_if(NOT (load > 0.5)) AS BIGINT) AS free, CAST(count_if(load IS NULL) AS BIGINT) AS unknown
           FROM feed GROUP BY parkId, date)""", "feed")
 
 _STATE = ("CASE WHEN mean_load IS NULL THEN 'unknown' WHEN mean_load > 0.7 THEN 'extremely busy' "
@@ -273,6 +273,24 @@ register("describe_routes", """
                24.0 + CAST(n_nationkey AS DOUBLE) / 8 AS lon, 60.0 + CAST(n_nationkey AS DOUBLE) / 16 AS lat,
                CAST(n_regionkey AS BIGINT) AS region
         FROM nation GROUP BY n_nationkey, n_regionkey) d USING (counterId)""", "feed")
+register("routes_in_bucket", """
+    SELECT f.counterId, f.parkId, f.load, strftime(f.date, '%Y-%m-%d') AS date, 'avoid' AS bucket, n_name AS name,
+           24.0 + CAST(n_nationkey AS DOUBLE) / 8 AS lon, 60.0 + CAST(n_nationkey AS DOUBLE) / 16 AS lat,
+           CAST(n_regionkey AS BIGINT) AS region
+    FROM feed f LEFT JOIN nation ON n_nationkey = f.counterId WHERE load > 0.7""", "feed")
+
+
+def _value(x) -> str:
+    return "NULL" if x is None else _sql_text(x) if isinstance(x, str) else str(x)
+
+
+_BUILT_IN = ", ".join(f"({i}, {r[0]}, {_value(r[1])}, {_value(r[5])}, {_value(r[6] and float(r[6].replace(',', '.')))}, {_value(r[7])})"
+                      for i, r in enumerate(ROUTES))
+register("built_in_routes_feed", f"""
+    SELECT CAST(v.id AS BIGINT) AS counterId, CAST({PARKS[0][0]} AS BIGINT) AS parkId, load, date, v.name, v.difficulty,
+           CAST(v.length_km AS DOUBLE) AS length_km, CAST(v.duration_min AS DOUBLE) AS duration_min
+    FROM prediction JOIN (VALUES {_BUILT_IN}) v(k, id, name, difficulty, length_km, duration_min)
+      ON counterId % {len(ROUTES) + 1} = v.k""", "prediction")
 
 
 # ---- step 4 ------------------------------------------------------------------------------------------
@@ -291,11 +309,11 @@ CTE["hd_future"] = """
 DEPS.update({"routes": [], "hd_last": ["history_daily"], "hd_future": ["hd_last"]})
 
 register("latest_per_counter", """
-    SELECT * FROM history_daily
+    SELECT * FROM (SELECT * FROM history_daily UNION ALL SELECT * REPLACE (visits + 1 AS visits) FROM history_daily)
     QUALIFY rank() OVER (PARTITION BY counterId ORDER BY date_day DESC) = 1""", "history_daily")
 register("last_n_per_counter", """
     SELECT * FROM history_daily
-    QUALIFY row_number() OVER (PARTITION BY counterId ORDER BY date_day DESC) <= 1500""", "history_daily")
+    QUALIFY row_number() OVER (PARTITION BY counterId ORDER BY date_day DESC) <= 200""", "history_daily")
 register("ordered_split", """
     SELECT *, CASE WHEN rn <= 400 THEN 'train' ELSE 'test' END AS part
     FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY date_day) AS rn FROM history_daily)""",
@@ -327,7 +345,7 @@ register("forecast_error", """
            sqrt(CAST(sum(CAST(CAST((y - yhat) * (y - yhat) AS VARCHAR) AS DECIMAL(38,12))) AS DOUBLE) / CAST(count(*) AS DOUBLE))
                AS rmse
     FROM (SELECT h.counterId, CAST(h.visits AS DOUBLE) AS y, f.visits_pred AS yhat
-          FROM history_daily h JOIN forecast f ON f.counterId = h.counterId AND f.date = h.date_day)
+          FROM history_daily h JOIN forecast f ON f.counterId = h.counterId AND f.date = h.date_day AND f.o_orderkey % 53 <> 0)
     WHERE y IS NOT NULL AND yhat IS NOT NULL
     GROUP BY counterId""", "history_daily", "forecast")
 
@@ -344,12 +362,102 @@ register("feature_table", f"SELECT {_FEAT} FROM daily JOIN routes USING (counter
 # ---- step 7 ------------------------------------------------------------------------------------------
 
 register("parse_coverage", f"""
-    SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id // {fx.COVERAGE_CHUNK} AS VARCHAR) AS doc,
+    SELECT CAST(user_id AS VARCHAR) || '-' || strftime(day, '%Y%m%d') AS doc, CAST(odd - low AS BIGINT) AS member,
            point, CAST(user_id AS DOUBLE) AS x, CAST(event_id AS DOUBLE) AS y,
            strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS time,
            value AS {fx.COVERAGE_FIELDS[0]}, CAST(event_id % 7 AS DOUBLE) AS {fx.COVERAGE_FIELDS[1]}
-    FROM (SELECT *, row_number() OVER w - 1 AS point,
-                 row_number() OVER (PARTITION BY user_id, event_id // {fx.COVERAGE_CHUNK} ORDER BY event_id DESC)
-                     AS back
-          FROM events WINDOW w AS (PARTITION BY user_id, event_id // {fx.COVERAGE_CHUNK} ORDER BY event_id))
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, odd ORDER BY event_id) - 1 AS point,
+                 row_number() OVER (PARTITION BY user_id, day, odd ORDER BY event_id DESC) AS back,
+                 min(odd) OVER (PARTITION BY user_id, day) AS low
+          FROM (SELECT *, CAST(ts AS DATE) AS day, event_id % 2 AS odd FROM events))
     WHERE NOT (user_id % 2 = 1 AND back = 1)""")
+
+
+# ---- text forms and orders -----------------------------------------------------------------------------
+
+register("enriched_csv_round_trip", f"SELECT {ENRICHED_COLS}, holiday FROM enriched_h", "enriched_h")
+register("route_csv_round_trip", "SELECT * FROM routes WHERE counterId % 2 = 0", "routes")
+ORACLE["prediction_csv_feed"] = ORACLE["prediction_feed"]
+register("weekday_profile_sorted", """
+    SELECT parkCode, weekday, hour2d, avg(visits) AS visits_mean, row_number() OVER (ORDER BY parkCode, weekday, hour2d) AS place
+    FROM hourly GROUP BY parkCode, weekday, hour2d""", "hourly")
+CTE["day_parts"] = """
+    SELECT counterId, date_day, CAST(CASE WHEN hour <= 12 THEN 0 WHEN hour <= 16 THEN 1 ELSE 2 END AS BIGINT) AS day_part,
+           CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits
+    FROM hourly WHERE hour BETWEEN 9 AND 20 GROUP BY ALL"""
+DEPS["day_parts"] = ["hourly"]
+register("day_part_rollup_sorted", """
+    SELECT *, row_number() OVER (ORDER BY date_day, day_part, counterId) AS place FROM day_parts""", "day_parts")
+
+
+# ---- models ----------------------------------------------------------------------------------------------
+
+# t: days since the first day of all data, which keeps the sums of the line fit small
+CTE["line_points"] = "SELECT counterId, date_day, CAST(date_day AS DATE) - DATE '1992-01-01' AS t, CAST(visits AS DOUBLE) AS y FROM history_daily"
+CTE["lines"] = "SELECT counterId, coalesce(regr_slope(y, t), 0) AS b, coalesce(regr_intercept(y, t), avg(y)) AS a FROM line_points GROUP BY counterId"
+CTE["trend_days"] = """
+    SELECT counterId, ds, a + b * (CAST(ds AS DATE) - DATE '1992-01-01') AS yhat FROM hd_future JOIN lines USING (counterId)"""
+CTE["part_points"] = """
+    SELECT counterId, CAST(y AS DOUBLE) AS y, epoch(CAST(date_day || ' ' || CASE day_part WHEN 0 THEN '01:00' WHEN 1 THEN '09:00' ELSE '17:00' END
+             AS TIMESTAMP) - TIMESTAMP '2024-01-01 00:00:00') / 86400.0 AS t
+    FROM (SELECT *, visits AS y FROM day_parts)"""
+CTE["part_frame"] = """
+    SELECT strftime(DATE '2024-02-01' + CAST(i AS INTEGER), '%Y-%m-%d') || ' ' || l AS date,
+           epoch(CAST(strftime(DATE '2024-02-01' + CAST(i AS INTEGER), '%Y-%m-%d') || ' ' || l AS TIMESTAMP) - TIMESTAMP '2024-01-01 00:00:00') / 86400.0 AS t
+    FROM generate_series(0, 9) g(i), (VALUES ('01:00'), ('09:00'), ('17:00')) v(l)"""
+CTE["daily_max"] = "SELECT counterId, max(visits) AS visits_max FROM daily GROUP BY counterId"
+DEPS.update({"line_points": ["history_daily"], "lines": ["line_points"], "trend_days": ["hd_future", "lines"],
+             "part_points": ["day_parts"], "part_frame": [], "daily_max": ["daily"]})
+
+
+def _load(pred: str, most: str) -> str:
+    clamped = f"CASE WHEN {pred} < 0 THEN 0.0 ELSE {pred} END"
+    return f"round({clamped}, 2) AS visits_pred, round({clamped} / CAST({most} + 1 AS DOUBLE), 5) AS load"
+
+
+register("trend_forecast", "SELECT counterId, ds, round(yhat, 2) AS yhat FROM trend_days", "trend_days")
+register("trend_backcast", "SELECT p.counterId, date_day AS ds, y, round(a + b * t, 2) AS yhat FROM line_points p JOIN lines USING (counterId)", "line_points", "lines")
+register("trend_holdout", """
+    SELECT counterId, count(*) AS n, round(avg(y), 4) AS y_mean, round(avg((y - yhat) * (y - yhat)), 2) AS mse, round(sqrt(avg((y - yhat) * (y - yhat))), 3) AS rmse
+    FROM (SELECT p.counterId, y, a + b * t AS yhat
+          FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY t) AS rn FROM line_points) p
+          JOIN (SELECT counterId, regr_slope(y, t) AS b, regr_intercept(y, t) AS a
+                FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY t) AS rn FROM line_points) WHERE rn <= 400 GROUP BY counterId) l
+            ON l.counterId = p.counterId WHERE rn > 400)
+    GROUP BY counterId""", "line_points")
+register("trend_daily_prediction", f"""
+    SELECT counterId, ds AS date, {_load('yhat', 'visits_max')} FROM trend_days JOIN hmax USING (counterId)""", "trend_days", "hmax")
+register("trend_day_part_prediction", f"""
+    SELECT l.counterId, date, {_load('(a + b * t)', 'visits_max')}
+    FROM (SELECT counterId, coalesce(regr_slope(y, t), 0) AS b, coalesce(regr_intercept(y, t), avg(y)) AS a FROM part_points GROUP BY counterId) l
+    JOIN daily_max m ON m.counterId = l.counterId, part_frame""", "part_points", "part_frame", "daily_max")
+register("trend_day_part_prediction_pooled", f"""
+    SELECT counterId, date, {_load('(a + b * t)', 'visits_max')}
+    FROM daily_max, (SELECT regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM part_points) l, part_frame""",
+         "part_points", "part_frame", "daily_max")
+register("stump_prediction", """
+    SELECT CAST(holiday AS BIGINT) AS holiday, count(*) AS n, round(avg(visits), 4) AS low, round(avg(visits), 4) AS high
+    FROM history_daily GROUP BY holiday""", "history_daily")
+register("stump_error", """
+    SELECT count(*) AS n, round(sqrt(avg((visits - m) * (visits - m))), 4) AS rmse, 'holiday' AS feature, CAST(1.0 AS DOUBLE) AS importance
+    FROM (SELECT visits, avg(visits) OVER (PARTITION BY holiday) AS m FROM history_daily)""", "history_daily")
+
+# for the full models: keys, dates, row counts and that every value is a usable number
+register("fit_forecast_frame", "SELECT counterId, ds, true AS usable FROM hd_future", "hd_future")
+register("backcast_frame", "SELECT counterId, date_day AS ds, CAST(visits AS DOUBLE) AS y, true AS usable FROM history_daily", "history_daily")
+register("evaluate_holdout_frame", """
+    SELECT counterId, count(*) AS n, round(avg(y), 4) AS y_mean, true AS usable
+    FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY t) AS rn FROM line_points) WHERE rn > 400 GROUP BY counterId""", "line_points")
+register("daily_prediction_frame", "SELECT counterId, ds AS date, true AS usable FROM hd_future", "hd_future")
+for _name in ("day_part_prediction_frame", "day_part_prediction_pooled_frame"):
+    register(_name, "SELECT counterId, date, true AS usable FROM daily_max, part_frame", "daily_max", "part_frame")
+CTE["daily_routes"] = "SELECT * FROM daily JOIN routes USING (counterId)"
+DEPS["daily_routes"] = ["daily", "routes"]
+register("fit_visits_gbt_frame", """
+    SELECT counterId, date_day, visits, true AS usable
+    FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY date_day) AS rn FROM daily_routes) WHERE rn > 14""", "daily_routes")
+register("gbt_future_prediction_frame", """
+    SELECT counterId, strftime(last + CAST(i AS INTEGER), '%Y-%m-%d') AS date, true AS usable
+    FROM (SELECT counterId, max(CAST(date_day AS DATE)) AS last FROM daily_routes GROUP BY counterId), generate_series(1, 10) g(i)""", "daily_routes")
+_NAMES = ", ".join(f"('{n}')" for n in [*M, "cordNorth", "coordSouth", "month", "day", "holiday", "yhat"])
+register("feature_importance_frame", f"SELECT f AS feature, true AS usable, CAST(1.0 AS DOUBLE) AS total FROM (VALUES {_NAMES}) v(f)")

@@ -90,7 +90,8 @@ def test_route_buckets_partition_the_feed(spark, values):
     feed = spark.createDataFrame([(i, 1, v, d) for i, v in enumerate(values)],
                                  "counterId LONG, parkId LONG, load DOUBLE, date DATE")
     c = load.route_bucket_counts(feed).collect()[0]
-    assert c.avoid + c.busy + c.free == len(values)
+    assert c.avoid + c.busy + c.free + c.unknown == len(values)
+    assert c.unknown == sum(v is None for v in values)
 
 
 @settings(max_examples=10, deadline=None)

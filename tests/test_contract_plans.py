@@ -14,10 +14,10 @@ def test_entry_and_registry(spark):
     assert set(df.columns) == {"counterId", "date", "visits_pred", "load"}
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    rows_only = set(qs) - set(sql)
+    rows_only = {n for n in set(qs) - set(sql) if not n.startswith("op") and n != "pipeline"}
     assert rows_only <= {"fit_forecast", "backcast", "evaluate_holdout", "daily_prediction",
                          "day_part_prediction", "day_part_prediction_pooled", "fit_visits_gbt",
-                         "feature_importance"}
+                         "feature_importance", "gbt_future_prediction"}
 
 
 def _plan(df):

@@ -69,17 +69,18 @@ def test_route_files_semicolon_latin1(spark):
 
 
 def test_coverage_three_positions_two_tuples(spark):
-    xml = (fx.COVERAGE_HEAD + "1 2 1573900000\n1 2 1573986400\n1 2 1574072800" + fx.COVERAGE_MID
-           + "3.5 NaN\n4.0 2.0" + fx.COVERAGE_TAIL)
+    xml = (fx.COVERAGE_HEAD + fx.COVERAGE_MEMBER + "1 2 1573900000\n1 2 1573986400\n1 2 1574072800" + fx.COVERAGE_MID
+           + "3.5 NaN\n4.0 2.0" + fx.COVERAGE_TAIL + fx.COVERAGE_MEMBER + "7 8 1573900000" + fx.COVERAGE_MID
+           + "1.0 1.5" + fx.COVERAGE_TAIL + fx.COVERAGE_END)
     docs = spark.createDataFrame([("d", xml)], "doc STRING, xml STRING")
-    out = parse_coverage(docs, fx.COVERAGE_FIELDS, keep=["doc"]).orderBy("point").collect()
-    assert len(out) == 2
+    out = parse_coverage(docs, fx.COVERAGE_FIELDS, keep=["doc"]).orderBy("member", "point").collect()
+    assert [(r.member, r.point, r.x) for r in out] == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 7.0)]
     assert out[0].time == "2019-11-16 10:26:40" and out[0].Temperature == 3.5
     assert out[0].WindSpeedMS != out[0].WindSpeedMS   # NaN kept
     d = _tmp()
     with open(f"{d}/f.xml", "w") as fh:
         fh.write(xml)
-    assert read_coverage(spark, d, fx.COVERAGE_FIELDS).count() == 2
+    assert sorted((r.member, r.point, r.x) for r in read_coverage(spark, d, fx.COVERAGE_FIELDS).collect()) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 7.0)]
 
 
 def test_weekday_profiles_one_folder_per_key_and_weekday(spark):
