@@ -35,9 +35,9 @@ SIMILARITY = 0.75
 STRIDE = 4
 STEPS = {16: 26, 8: 13, 4: 6, 2: 3, 1: 1}  # steps a table samples from, by the window's words
 SAMPLES = {16: 8, 8: 6, 4: 4, 2: 2, 1: 1}
-WALKS, TABLES = 6, 3  # at most so many walks, with so many tables each
+WALKS, TABLES = 9, 3  # at most so many walks, with so many tables each
 EDIT_RATE = 0.15  # share of words that the simulation edits
-RECALL = 0.98
+RECALL = 0.99
 _TRIES = 400
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FILTER = 20  # bits of the first look at a key
@@ -73,7 +73,7 @@ class Walk:
                     key *= _K
                     key ^= key >> np.uint64(29)
             at += ((seen >> self.bits[step]) & np.uint64(1)).astype(np.int64)
-        return {k: mix(v) for k, v in out.items()}
+        return out  # the last step spreads a key over its high bits, which tables look at first
 
 
 def padded(word: np.ndarray) -> np.ndarray:
