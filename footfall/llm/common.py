@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,6 @@ def batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def concat(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,8 +74,15 @@ def get(uri: str, name: str, sha256: str | None = None) -> bytes:
     return data
 
 
-def non_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def relax() -> None:
+    """Give memory that a finished slice or group has freed back to the system: workers live on
+    between tasks, and what they keep counts against the executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def tasks(spark: SparkSession) -> int:

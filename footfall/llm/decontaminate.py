@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import WORD
+from footfall.llm.common import WORD, relax
 from footfall.llm.quality_rules import docs_type
 from footfall.llm.textops import LOWER, hash_spans, mix, text_slices, words
 
@@ -275,6 +275,7 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, blo
                 good = np.ones(b.num_rows, bool)
                 for i, _, raw, off in text_slices(b.column(at)):
                     good[[i + f[0] for f in shared.value.find(raw, off)]] = False
+                relax()
                 yield b.filter(pa.array(good))
 
         docs = docs.mapInArrow(run, docs.schema)

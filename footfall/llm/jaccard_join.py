@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import Committer, get, saved, tasks, work_dir
+from footfall.llm.common import Committer, get, relax, saved, tasks, work_dir
 from footfall.llm.graph import components
 from footfall.llm.lm import pack, unpack
 from footfall.llm.quality_rules import docs_type
@@ -43,8 +43,8 @@ from footfall.llm.textops import LOWER, hash_spans, mix, shingle_hashes, text_by
 N = 5
 PERCENT = 75
 REACH = 1 - PERCENT / 100 + 1e-9
-SLICE_BYTES = 8 << 20
-PART_KEYS = 2 << 20  # shingles of slices that one part of the counts exchange holds, about
+SLICE_BYTES = 4 << 20
+PART_KEYS = 1 << 20  # shingles of slices that one part of the counts exchange holds, about
 REGION_SHINGLES = 4 << 20  # a region beyond either bound is joined in blocks
 REGION_DOCS = 4096
 
@@ -119,6 +119,7 @@ def send_shingles(docs: DataFrame, folder: str, bits: int, parts: int, slice_byt
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([put["file"]] * len(rows), pa.string()),
                                                   pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_ASK)
                 number += 1
+            relax()
 
     return docs.mapInArrow(run, ASK)
 
@@ -136,6 +137,7 @@ def total_counts(t: pa.Table) -> pa.Table:
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(inverse, np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]))
     states = np.split(count_code(n)[inverse], np.cumsum([len(k) for k in keys])[:-1])
+    relax()
     return pa.Table.from_arrays([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([r["file"] for r in rows], pa.string()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([packed(s) for s in states], pa.binary())], schema=_ANSWER)
 
 
@@ -181,6 +183,7 @@ def describe(answers: DataFrame, folder: str, bits: int, kind: str, id_type: pa.
                 cut = np.searchsorted(owner[many], np.append(active, rows))
                 kept = values[many]
                 m = len(active)
+                relax()
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, id_type), pa.array(size[active]), pa.array(cls[active].view(np.int64)),
                                                   pa.array((1000 * (1 - n_shared[active] / size[active])).astype(np.int32)), seeds, pa.array([kept[a:e].tobytes() for a, e in zip(cut, cut[1:])], pa.binary())], schema=schema)
 

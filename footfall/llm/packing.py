@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.bpe import END_ID, piece_ids
+from footfall.llm.common import relax
 from footfall.llm.textops import text_slices
 
 POOL = 4096  # unpacked remainders that a task holds
@@ -139,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments:
                         packer.pack(POOL // 2)
                 yield packer.rows()
         packer.pack(0)
+        relax()
         yield packer.rows()
 
     return table.mapInArrow(run, SCHEMA)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import crc_mod
-from footfall.llm.quality_rules import SYMBOL, base_counts, docs_type, per_text
-from footfall.llm.textops import SPACE, hash_spans, mix, text_slices, words
+from footfall.llm.quality_rules import SYMBOL, base_counts, docs_type
+from footfall.llm.textops import SPACE, hash_spans, mix, per_text, text_slices, words
 
 SAMPLE_ROWS = 30_000
 BINS = 64

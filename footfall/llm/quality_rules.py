@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import saved, work_dir
-from footfall.llm.textops import SPACE, hash_spans, mix, shingle_hashes, text_slices, words
+from footfall.llm.common import relax, saved, work_dir
+from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, text_slices, words
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
@@ -45,11 +45,6 @@ MARK[[ord(c) for c in "#*$%&|<>"]] = True
 STEP = 1000  # histogram cells per unit of log10 perplexity
 
 
-def per_text(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Set flags in each text."""
-    return np.diff(np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])[off])
-
-
 def base_counts(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     n = len(off) - 1
@@ -355,6 +350,7 @@ def keep(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: flo
             counts, ppl = measure(b, lang, text, model)
             langs = [x or "" for x in b.column(lang).to_pylist()]
             good = ~base_failed(counts) & inside(ppl, text_sizes(b.column(text)), langs, band, model, short)
+            relax()
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import Committer, get, saved, work_dir
-from footfall.llm.textops import hash_spans, mix, runs, text_bytes, text_slices
+from footfall.llm.common import Committer, get, relax, saved, tasks, work_dir
+from footfall.llm.textops import hash_spans, mix, per_text, runs, slices, text_bytes, text_slices
 
 LENGTH = 100
 GRAM = 32
-BLOCK = 1 << 20  # windows of one step, which bounds a task's arrays
-SLICE_BYTES = 8 << 20
-PART_KEYS = 1 << 20  # token pairs of one bucket, about
+BLOCK = 1 << 17  # windows of one step, which bounds a task's arrays
+SLICE_BYTES = 4 << 20
+PART_KEYS = 1 << 19  # token pairs of one bucket, about
 SAMPLE_DOCS = 500
 UNIQUE, GONE, UNDECIDED = 0, 1, 2
 
@@ -191,9 +191,9 @@ def answer(t: pa.Table, boundary: np.ndarray) -> pa.Table:
         n = len(slices_)
         return pa.Table.from_arrays([pa.array(slices_, pa.int64()), pa.array(files, pa.string()), pa.array(t["part"].to_pylist(), pa.int32()), pa.array([None] * n, pa.binary()), pa.array([0] * n, pa.int64())], schema=_ANSWER)
     first = np.concatenate([unpacked(r["first"], np.uint64) for r in rows])
-    second = np.concatenate([np.frombuffer(r["second"], np.uint64) for r in rows])
+    size = [len(unpacked(r["mark"], np.uint32)) for r in rows]
+    second = np.concatenate([np.frombuffer(r["second"], f"<u{len(r['second']) // n}") for r, n in zip(rows, size)])
     doc = np.concatenate([unpacked(r["doc"], np.int64)[unpacked(r["mark"], np.uint32)] for r in rows])
-    size = [len(r["second"]) // 8 for r in rows]
     sender = np.repeat(np.array([r["slice"] for r in rows]), size)
     order = multikey_order([first, second, doc, sender])
     f, s = first[order], second[order]
@@ -204,8 +204,8 @@ def answer(t: pa.Table, boundary: np.ndarray) -> pa.Table:
     several |= np.isin(f[new_first], boundary)
     state = np.empty(len(order), np.uint8)
     state[order] = np.where(~new, GONE, np.where(several[group], UNDECIDED, UNIQUE))
-    cut = np.cumsum(size)[:-1]
-    states = np.split(state, cut)
+    states = np.split(state, np.cumsum(size)[:-1])
+    relax()
     return pa.Table.from_arrays([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([r["file"] for r in rows], pa.string()), pa.array([r["part"] for r in rows], pa.int32()),
                                  pa.array([packed(x) for x in states], pa.binary()), pa.array([int((x == UNDECIDED).sum()) for x in states], pa.int64())], schema=_ANSWER)
 
@@ -260,16 +260,19 @@ def send_suffixes(docs: DataFrame, folder: str, splitters, slice_bytes: int) ->
             if not b.num_rows:
                 continue
             out = out or Committer(folder)
-            b = b.take(pc.sort_indices(pa.table({"k": b.column(key)}), sort_keys=[("k", "ascending")], null_placement="at_start"))
-            ids = order_values(b.column(key))
-            for i, j, raw, off in text_slices(b.column(at), slice_bytes):
+            for i, j in slices(text_bytes(b.column(at))[1], slice_bytes):
+                own = b.slice(i, j - i)
+                own = own.take(pc.sort_indices(pa.table({"k": own.column(key)}), sort_keys=[("k", "ascending")], null_placement="at_start"))
+                ids = order_values(own.column(key))
+                raw, off = text_bytes(own.column(at))
                 start, last, first, second = sampled(raw, off)
                 fresh = first_of(first, second)
                 part = part_of(first, second, splitters)
-                put = out.put(f"{number}.slice", slice_file(b.slice(i, j - i), {"start": start.astype(np.uint32), "size": (last - start + 1).astype(np.uint32), "fresh": fresh, "part": part.astype(np.int32)}))
+                put = out.put(f"{number}.slice", slice_file(own, {"start": start.astype(np.uint32), "size": (last - start + 1).astype(np.uint32), "fresh": fresh, "part": part.astype(np.int32)}))
                 doc = np.searchsorted(off, start, "right") - 1
-                yield from asks(number, put["file"], part[fresh], first[fresh], second[fresh], doc[fresh], ids[i:j])
+                yield from asks(number, put["file"], part[fresh], first[fresh], second[fresh], doc[fresh], ids)
                 number += 1
+            relax()
 
     return docs.mapInArrow(run, ASK)
 
@@ -291,8 +294,8 @@ def undecided_windows(documents: pa.Table, suffixes: dict, state: np.ndarray) ->
     size = suffixes["size"][pick].astype(np.int64)
     start = np.repeat(suffixes["start"][pick].astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())
     h1, h2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-    for k in range(0, len(start), BLOCK // 4):
-        s = start[k:k + BLOCK // 4]
+    for k in range(0, len(start), BLOCK):
+        s = start[k:k + BLOCK]
         h1[k:k + len(s)], h2[k:k + len(s)] = hash_spans(raw, s, s + LENGTH, seed=11), hash_spans(raw, s, s + LENGTH, seed=23)
     return start, np.searchsorted(off, start, "right") - 1, h1, h2
 
@@ -309,6 +312,7 @@ def send_windows(states: DataFrame, folder: str, parts: int) -> DataFrame:
                 fresh = first_of(h1, h2)
                 part = (h1[fresh] % np.uint64(parts)).astype(np.int64)
                 yield from asks(number, file, part, h1[fresh], h2[fresh], doc[fresh], order_values(column(documents, "doc_id")))
+            relax()
 
     return states.mapInArrow(run, ASK)
 
@@ -329,7 +333,7 @@ def removed_bytes(documents: pa.Table, suffixes: dict, first_answers, window_ans
     change = np.zeros(len(raw) + 1, np.int32)
     np.add.at(change, np.concatenate([begin, start[gone]]), 1)
     np.add.at(change, np.concatenate([end, start[gone] + LENGTH]), -1)
-    return raw, off, np.cumsum(change[:-1]) > 0
+    return raw, off, np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -362,9 +366,9 @@ def dedup(docs: DataFrame, digests: bool = False, slice_bytes: int = SLICE_BYTES
             for _, file, first_answers, window_answers in zip(*(c.to_pylist() for c in b.columns)):
                 documents, suffixes = read_slice(get(slices_folder, file))
                 raw, off, gone = removed_bytes(documents, suffixes, first_answers, window_answers, window_parts)
-                count = np.diff(np.concatenate([[0], np.cumsum(gone)])[off])
+                count = per_text(gone, off)
                 kept = raw[~gone].tobytes()
-                cut = np.concatenate([[0], np.cumsum(~gone)])[off].tolist()
+                cut = (off - np.concatenate([[0], np.cumsum(count)])).tolist()
                 if digests:
                     begins, _ = runs(gone, off)
                     spans = np.bincount(np.searchsorted(off, begins, "right") - 1, minlength=len(off) - 1)

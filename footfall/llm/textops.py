@@ -65,6 +65,12 @@ def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def per_text(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Set flags in each text."""
+    kind = np.int32 if len(flag) < 1 << 31 else np.int64
+    return np.diff(np.concatenate([np.zeros(1, kind), np.cumsum(flag, dtype=kind)])[offsets]).astype(np.int64)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII white space), and the first word of each text."""
     starts, ends = runs(~SPACE[raw], offsets)
@@ -114,5 +120,3 @@ def shingle_hashes(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndar
     return mix(h[inside]), text[:m][inside]
 
 
-def rows_of(column: pa.Array, i: int, j: int) -> pa.Array:
-    return column.slice(i, j - i)
