@@ -151,7 +151,8 @@ def describe(answers: DataFrame, folder: str, bits: int, kind: str, id_type: pa.
     the per mille of shingles that it has alone.
     """
     schema = pa.schema([("slice", pa.int64()), ("file", pa.string()), ("place", pa.int32()), ("doc_id", id_type), ("n", pa.int64()), ("cls", pa.int64()), ("own", pa.int32()), ("seeds", pa.list_(pa.int64())), ("shared", pa.binary())])
-    by_slice = answers.groupBy("slice").agg(F.min("file").alias("file"), F.array_sort(F.collect_list(F.when(F.col("counts").isNotNull(), F.struct("part", "counts")))).alias("answers"))  # a row per part of a slice
+    # a slice's answers are small but its work is not: an explicit number of tasks is kept as it is
+    by_slice = answers.repartition(tasks(answers.sparkSession), "slice").groupBy("slice").agg(F.min("file").alias("file"), F.array_sort(F.collect_list(F.when(F.col("counts").isNotNull(), F.struct("part", "counts")))).alias("answers"))  # a row per part of a slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -399,7 +400,7 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     best = named.where("cls IS NOT NULL").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "slice", "place", "file")).alias("b"))
     stay = (best.where("component_id IS NOT NULL").select("b.slice", "b.file", "b.place")
             .unionByName(named.where("cls IS NULL OR component_id IS NULL").select("slice", "file", "place")))
-    listed = stay.groupBy("slice").agg(F.min("file").alias("file"), F.array_sort(F.collect_list("place")).alias("places"))  # rows of one slice
+    listed = stay.repartition(tasks(docs.sparkSession), "slice").groupBy("slice").agg(F.min("file").alias("file"), F.array_sort(F.collect_list("place")).alias("places"))  # rows of one slice
     kinds = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

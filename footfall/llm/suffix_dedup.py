@@ -351,7 +351,8 @@ def dedup(docs: DataFrame, digests: bool = False, slice_bytes: int = SLICE_BYTES
     boundary = np.unique(splitters[0])
     slices_folder = f"{folder}/slices"
     answers = saved(send_suffixes(docs, slices_folder, splitters, slice_bytes).groupBy("part").applyInArrow(lambda t: answer(t, boundary), ANSWER), f"{folder}/answers")
-    by_slice = lambda df, name: df.groupBy("slice").agg(F.min("file").alias("file"), F.collect_list(F.when(F.col("state").isNotNull(), F.struct("part", "state"))).alias(name))  # noqa: E731  a row per bucket of a slice
+    # a slice's answers are small but its work is not: an explicit number of tasks is kept as it is
+    by_slice = lambda df, name: df.repartition(tasks(spark), "slice").groupBy("slice").agg(F.min("file").alias("file"), F.collect_list(F.when(F.col("state").isNotNull(), F.struct("part", "state"))).alias(name))  # noqa: E731  a row per bucket of a slice
     windows = (answers.agg(F.sum("undecided")).first()[0] or 0) * (LENGTH - GRAM) // 2
     window_parts = int(windows / part_keys) + 1
     states = by_slice(answers, "first_answers")
