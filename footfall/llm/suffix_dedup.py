@@ -9,7 +9,7 @@ suffixes by these tokens; a bucket sorts its suffixes by multikey quicksort (onl
 on to the next one, the last being the text's place) and compares neighbours: of equal runs all but
 the first are removed whole. Runs that share only the first token are undecided; so are runs whose
 first token stands at a bucket's boundary, where the neighbour is in another bucket. Their single
-windows are then partitioned, sorted and compared in the same way, by 128-bit hashes of their bytes.
+windows are then partitioned, sorted and compared in the same way, by 96-bit hashes of their bytes.
 
 Hot content: a slice of texts sends each distinct token pair once, so a passage or a copy that very
 many texts hold is one row per slice; nothing is dealt by text content alone, and a hot first token
@@ -293,10 +293,10 @@ def undecided_windows(documents: pa.Table, suffixes: dict, state: np.ndarray) ->
     pick = np.flatnonzero(suffixes["fresh"])[state == UNDECIDED]
     size = suffixes["size"][pick].astype(np.int64)
     start = np.repeat(suffixes["start"][pick].astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    h1, h2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    h1, h2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
     for k in range(0, len(start), BLOCK):
         s = start[k:k + BLOCK]
-        h1[k:k + len(s)], h2[k:k + len(s)] = hash_spans(raw, s, s + LENGTH, seed=11), hash_spans(raw, s, s + LENGTH, seed=23)
+        h1[k:k + len(s)], h2[k:k + len(s)] = hash_spans(raw, s, s + LENGTH, seed=11), hash_spans(raw, s, s + LENGTH, seed=23) >> np.uint64(32)
     return start, np.searchsorted(off, start, "right") - 1, h1, h2
 
 
