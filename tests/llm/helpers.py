@@ -76,3 +76,15 @@ def edit_inside(item, text):
         row = new
         best = min(best, row[-1])
     return best
+
+
+def base(text):
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
+    text = text or ""
+    w = words(text)
+    windows = {}
+    for k in range(len(w) - 2):
+        windows.setdefault(tuple(w[k:k + 3]), []).append(k)
+    covered = {k + j for places in windows.values() if len(places) > 1 for k in places for j in range(3)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)

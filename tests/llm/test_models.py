@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from helpers import documents, words
+from helpers import base, documents, words
 
 from footfall.llm import lm, quality_classifier, quality_rules
 from footfall.llm.textops import text_bytes
@@ -17,15 +17,6 @@ def prose(rnd, n, vocabulary=300):
     return " ".join(f"{rnd.choice('abcdefgh')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}" * rnd.randrange(1, 3) + rnd.choice(["", "", "", ".", ","]) for _ in range(n))
 
 
-def base(text):
-    text = text or ""
-    w = words(text)
-    windows = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
-    covered = {k + j for k in range(len(w) - 2) for j in range(3) if windows[tuple(w[k:k + 3])] > 1}
-    lines = [x for x in text.split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
-
-
 def test_base_counts_match_brute_force():
     rnd = random.Random(1)
     texts = ["".join(rnd.choices(["a", "b", " ", "\n", "é", "#", "🙂", "\t", "a b c ", "\r\n"], k=rnd.randrange(0, 60))) for _ in range(300)] + [None, "", "\n\n", "x " * 4000]
