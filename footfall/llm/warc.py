@@ -21,15 +21,17 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.llm.common import Committer, batch, get, saved, tasks, work_dir
 
 MIN_REVISIT = 100
 CELLS = 1024  # cells of an id range that one pass counts
+MOST_RANGES = 8192  # a larger table has larger ranges; a range is sorted and written as a stream
 DATE = "2000-01-01T00:00:00Z"  # the tables have no crawl time; a fixed one keeps archives equal
 
 
@@ -71,6 +73,17 @@ def id_ranges(sizes: DataFrame, target: int) -> list[int]:
     return bounds
 
 
+def range_of(bounds: list[int]):
+    """Column function: number of the range that an id falls into (at most MOST_RANGES bounds)."""
+    upper = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(upper, ids.to_numpy(), "left").astype(np.int32))
+
+    return place
+
+
 def record(page_id, url: str, payload: bytes, refers_to, digest: str) -> bytes:
     """One WARC record; a revisit has the headers of the full payload and no body."""
     revisit = refers_to is not None
@@ -120,9 +133,9 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = 8 << 20, range_b
               .where("n > 1").select("digest", "first_id"))
     marks = (digests.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "digest").join(shared, "digest")
              .groupBy("page_id", "digest").agg(F.min("first_id").alias("first_id")))
-    bounds = id_ranges(digests, range_bytes)
-    place = F.lit(0) if not bounds else F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda x: x < F.col("page_id")))
-    place = F.when(F.col("page_id").isNull(), 0).otherwise(place)
+    total = digests.agg(F.sum("bytes")).first()[0] or 0
+    bounds = id_ranges(digests, max(range_bytes, total // MOST_RANGES))
+    place = range_of(bounds)(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))))
     pieces = (table.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first_id"))
               .unionByName(marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first_id")))
     # a mark (kind 0) precedes its page in a range's order, so the writer streams
