@@ -12,9 +12,11 @@ import functools
 
 import numpy as np
 
+from footfall.llm.common import owns_worker
 from footfall.llm.textops import hash_spans
 
-KEEP = 2_500_000
+KEEP = 2_000_000
+SLICE = 4 << 20  # larger slices than elsewhere: a piece is looked up once in each
 END_ID = 0
 _JOIN = 1 << 16  # bytes of new pieces given to the tokenizer as one text
 _VISIBLE = np.zeros(256, bool)  # one-byte characters that are not white space or control
@@ -30,10 +32,16 @@ def tokenizer(path: str):
 
 
 @functools.cache
-def piece_ids(path: str) -> PieceIds:
+def kept_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
+def piece_ids(path: str) -> PieceIds:
+    """The worker's encoder, kept between its tasks."""
+    owns_worker("tokens", kept_ids.cache_clear, tokenizer.cache_clear)
+    return kept_ids(path)
+
+
 class PieceIds:
     def __init__(self, path: str):
         self.tok = tokenizer(path)

@@ -74,6 +74,23 @@ def get(uri: str, name: str, sha256: str | None = None) -> bytes:
     return data
 
 
+_CACHES: dict[str, list] = {}  # operator kind -> functions that clear its worker's caches
+_OWNER = ""
+
+
+def owns_worker(kind: str, *clear) -> None:
+    """Called at the start of a task: a worker that goes on to another kind of operator drops what the
+    one before kept between tasks."""
+    global _OWNER
+    if kind != _OWNER:
+        for f in _CACHES.pop(_OWNER, []):
+            f()
+        _OWNER = kind
+        relax()
+    if clear:
+        _CACHES[kind] = list(clear)
+
+
 def relax() -> None:
     """Give memory that a finished slice or group has freed back to the system: workers live on
     between tasks, and what they keep counts against the executor."""

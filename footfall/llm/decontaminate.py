@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import WORD, relax
+from footfall.llm.common import WORD, owns_worker, relax
 from footfall.llm.quality_rules import docs_type
 from footfall.llm.textops import LOWER, hash_spans, mix, text_slices, words
 
@@ -271,6 +271,7 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, blo
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            owns_worker("leaks")
             for b in batches:
                 good = np.ones(b.num_rows, bool)
                 for i, _, raw, off in text_slices(b.column(at)):

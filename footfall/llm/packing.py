@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.bpe import END_ID, piece_ids
+from footfall.llm.bpe import END_ID, SLICE, piece_ids
 from footfall.llm.common import relax
 from footfall.llm.textops import text_slices
 
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments:
         packer = Packer(max_tokens, max_segments, max_loss, min_cut, TaskContext.get().partitionId() << 40)
         for b in batches:
             ids_of, losses = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for i, j, raw, off in text_slices(b.column(1)):
+            for i, j, raw, off in text_slices(b.column(1), SLICE):
                 ids, at = coder.encode(raw, off)
                 for k in range(i, j):
                     own = np.append(ids[at[k - i]:at[k - i + 1]], np.int32(END_ID))

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import relax, saved, work_dir
-from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, text_slices, words
+from footfall.llm.common import owns_worker, relax, saved, work_dir
+from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, slices, text_bytes, words
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
@@ -80,7 +80,8 @@ def codes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The packed n-gram that ends at each byte; before a text's first byte stands white space."""
     n, pad = len(off) - 1, ORDER - 1
     size = np.diff(off)
-    place = np.arange(len(raw)) + pad * (np.repeat(np.arange(n), size) + 1)
+    place = np.arange(len(raw), dtype=np.int32 if len(raw) < 1 << 30 else np.int64)
+    place += np.repeat((pad * np.arange(1, n + 1)).astype(place.dtype), size)
     symbols = np.zeros(len(raw) + pad * n, np.int32)
     symbols[place] = SYMBOL[raw]
     code = symbols.copy()
@@ -89,11 +90,13 @@ def codes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return code[place] & (CELLS - 1)
 
 
-def by_language(b: pa.RecordBatch, lang: int) -> Iterator[tuple[str, np.ndarray]]:
-    """Row numbers of each language of a batch."""
+def by_language(b: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, row numbers, bytes, offsets) of the texts of each language of each slice of a batch."""
     value = np.array([x or "" for x in b.column(lang).to_pylist()], object)
-    for x in sorted(set(value)):
-        yield x, np.flatnonzero(value == x)
+    for i, j in slices(text_bytes(b.column(text))[1]):
+        for x in sorted(set(value[i:j])):
+            at = i + np.flatnonzero(value[i:j] == x)
+            yield x, at, *text_bytes(b.column(text).take(pa.array(at)))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -105,15 +108,16 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(cells[code])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_worker("rules")
         held: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, at in by_language(b, 0):
+            for lang, _, raw, off in by_language(b, 0, 1):
                 if lang not in held and len(held) == 8:
                     for x in sorted(held):
                         yield rows(x, held.pop(x))
-                cells = held.setdefault(lang, np.zeros(CELLS, np.int64))
-                for _, _, raw, off in text_slices(b.column(1).take(pa.array(at))):
-                    cells += np.bincount(codes(raw, off), minlength=CELLS)
+                if lang not in held:
+                    held[lang] = np.zeros(CELLS, np.int64)
+                held[lang] += np.bincount(codes(raw, off), minlength=CELLS)
         for x in sorted(held):
             yield rows(x, held.pop(x))
 
@@ -255,11 +259,12 @@ def measure(b: pa.RecordBatch, lang: int, text: int, model: Model) -> tuple[dict
     """Base counts and log10 perplexity of each row of a batch."""
     counts = {k: np.zeros(b.num_rows, np.int64) for k in COUNTS}
     ppl = np.full(b.num_rows, np.nan)
-    for x, at in by_language(b, lang):
-        for i, j, raw, off in text_slices(b.column(text).take(pa.array(at))):
-            for k, v in base_counts(raw, off).items():
-                counts[k][at[i:j]] = v
-            ppl[at[i:j]] = model.mean_log10(raw, off, x)
+    owns_worker("rules")
+    for x, at, raw, off in by_language(b, lang, text):
+        for k, v in base_counts(raw, off).items():
+            counts[k][at] = v
+        ppl[at] = model.mean_log10(raw, off, x)
+    relax()
     return counts, ppl
 
 
@@ -350,7 +355,6 @@ def keep(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: flo
             counts, ppl = measure(b, lang, text, model)
             langs = [x or "" for x in b.column(lang).to_pylist()]
             good = ~base_failed(counts) & inside(ppl, text_sizes(b.column(text)), langs, band, model, short)
-            relax()
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.bpe import END_ID, piece_ids
+from footfall.llm.bpe import END_ID, SLICE, piece_ids
 from footfall.llm.common import Committer, batch, get, saved, tasks, work_dir
 from footfall.llm.textops import text_slices
 
@@ -208,7 +208,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, shard_tokens: int
 
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for i, j, raw, off in text_slices(b.column(1)):
+            for i, j, raw, off in text_slices(b.column(1), SLICE):
                 ids, at = coder.encode(raw, off)
                 # an end id after each document's ids
                 n = j - i
