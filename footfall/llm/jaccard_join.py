@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import Committer, get, relax, saved, tasks, work_dir
+from footfall.llm.common import Committer, get, owns_worker, relax, saved, tasks, work_dir
 from footfall.llm.graph import components
-from footfall.llm.lm import pack, unpack
+from footfall.llm.lm import pack, ranges_of, unpack
 from footfall.llm.quality_rules import docs_type
 from footfall.llm.suffix_dedup import column, packed, read_slice, slice_file, unpacked
 from footfall.llm.textops import LOWER, hash_spans, mix, shingle_hashes, text_bytes, text_slices, words
@@ -107,14 +107,15 @@ def send_shingles(docs: DataFrame, folder: str, bits: int, parts: int, slice_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        owns_worker("shingles")
         out, number = None, TaskContext.get().partitionId() << 32
         for b in batches:
             for i, j, raw, off in text_slices(b.column(at_text), slice_bytes):
                 out = out or Committer(folder)
                 put = out.put(f"{number}.slice", slice_file(b.slice(i, j - i), {}))
                 keys, counts = short_counts(*shingle_sets(raw, off), bits)
-                cut = np.concatenate([[0], np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) << np.uint64(bits - part_bits)), [len(keys)]])
-                rows = [(p, pack(np.diff(keys[a:e], prepend=np.uint64(0))), packed(counts[a:e].astype(np.uint32))) for p, (a, e) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if e > a]
+                own, cut = ranges_of(keys, bits, part_bits)
+                rows = [(p, pack(np.diff(keys[a:e], prepend=np.uint64(0))), packed(counts[a:e].astype(np.uint32))) for p, a, e in zip(own, cut, cut[1:])]
                 rows.append((-1 - number % 16, None, None))  # announces a slice without shingles
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([put["file"]] * len(rows), pa.string()),
                                                   pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_ASK)

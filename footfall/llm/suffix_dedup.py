@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import Committer, get, relax, saved, tasks, work_dir
+from footfall.llm.common import Committer, get, owns_worker, relax, saved, tasks, work_dir
 from footfall.llm.textops import hash_spans, mix, per_text, runs, slices, text_bytes, text_slices
 
 LENGTH = 100
@@ -42,6 +42,7 @@ BLOCK = 1 << 17  # windows of one step, which bounds a task's arrays
 SLICE_BYTES = 4 << 20
 PART_KEYS = 1 << 19  # token pairs of one bucket, about
 SAMPLE_DOCS = 500
+KEYS_PER_RANGE = 16  # sampled suffixes that one range stands for at least
 UNIQUE, GONE, UNDECIDED = 0, 1, 2
 
 
@@ -118,9 +119,10 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def part_of(first: np.ndarray, second: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Bucket of each token pair: how many splitters are not above it."""
-    s1, s2 = splitters
+def part_of(first: np.ndarray, second: np.ndarray, splitters: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Bucket of each token pair: how many splitters are not above it, then the equal sub-range of the
+    first token between the two splitters, where there are fewer splitters than buckets wanted."""
+    s1, s2, sub_ranges = splitters
     part = np.searchsorted(s1, first, "left")
     if len(s1):
         equal = np.flatnonzero(s1[np.minimum(part, len(s1) - 1)] == first)
@@ -129,11 +131,17 @@ def part_of(first: np.ndarray, second: np.ndarray, splitters: tuple[np.ndarray,
             while j < len(s1) and s1[j] == first[k] and s2[j] <= second[k]:
                 j += 1
             part[k] = j
-    return part
+    if sub_ranges == 1:
+        return part
+    low = np.concatenate([np.zeros(1), s1.astype(np.float64)])[part]
+    high = np.concatenate([s1.astype(np.float64), np.full(1, 2.0**40)])[part]
+    inner = np.floor((first.astype(np.float64) - low) * sub_ranges / np.maximum(high - low, 1)).astype(np.int64)
+    return part * sub_ranges + np.clip(inner, 0, sub_ranges - 1)
 
 
-def splitters_of(docs: DataFrame, parts: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters from the suffixes of about SAMPLE_DOCS documents; they only balance the buckets."""
+def splitters_of(docs: DataFrame, parts: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Splitters from the suffixes of about SAMPLE_DOCS documents, and the sub-ranges of each range;
+    they only balance the buckets."""
     chosen = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(total, 1)), seed=11).limit(4 * SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +153,9 @@ def splitters_of(docs: DataFrame, parts: int, total: int) -> tuple[np.ndarray, n
     rows = chosen.mapInArrow(run, "first long, second long").toArrow()
     first, second = (np.asarray(rows[c].combine_chunks()).astype(np.int64).view(np.uint64) for c in ("first", "second"))
     order = multikey_order([first, second])
-    pick = np.unique(np.linspace(0, len(order), parts + 1)[1:-1].astype(np.int64)) if len(order) >= parts else np.zeros(0, np.int64)
-    return first[order][pick], second[order][pick]
+    ranges = max(1, min(parts, len(order) // KEYS_PER_RANGE))
+    pick = np.unique(np.linspace(0, len(order), ranges + 1)[1:-1].astype(np.int64))
+    return first[order][pick], second[order][pick], -(-parts // ranges)
 
 
 ASK = "part int, slice long, file string, first binary, second binary, doc binary, mark binary"
@@ -255,6 +264,7 @@ def send_suffixes(docs: DataFrame, folder: str, splitters, slice_bytes: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        owns_worker("suffixes")
         out, number = None, TaskContext.get().partitionId() << 32
         for b in batches:
             if not b.num_rows:
