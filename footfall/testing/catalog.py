@@ -507,7 +507,8 @@ def stump_error(spark, sf_dir):
     """RMSE of the stump and the importance of its only feature."""
     feats, model = _stump(spark, sf_dir)
     error = regress.regression_error(regress.predict_visits(model, feats))
-    return error.select("n", F.round("rmse", 4).alias("rmse")).crossJoin(regress.feature_importance(spark, model, ["holiday"]))
+    importance = float(model.stages[-1].featureImportances[0])
+    return error.select("n", F.round("rmse", 4).alias("rmse"), F.lit("holiday").alias("feature"), F.lit(importance).alias("importance"))
 
 
 def _finite(c):
@@ -563,9 +564,8 @@ def gbt_future_prediction_frame(spark, sf_dir):
 @query
 def feature_importance_frame(spark, sf_dir):
     """The features, with the sum of all importances (1 when any tree split)."""
-    imp = feature_importance(spark, sf_dir)
-    total = imp.agg(F.round(F.sum("importance"), 6).alias("total"))
-    return imp.select("feature", (F.col("importance") >= 0).alias("usable")).join(F.broadcast(total))
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))   # one row per feature
+    return feature_importance(spark, sf_dir).select("feature", (F.col("importance") >= 0).alias("usable"), F.round(total, 6).alias("total"))
 
 
 # ---- step 6c: text forms and orders ----------------------------------------------------------------------

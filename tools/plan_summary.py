@@ -27,7 +27,7 @@ def summarise(plan: str) -> dict:
         "smj": final.count("SortMergeJoin"),
         "nlj": final.count("NestedLoopJoin"),
         "window": len(re.findall(r"\bWindow(GroupLimit)? ", final)),
-        "python": len(re.findall(r"FlatMap(Co)?GroupsInPandas|MapInPandas|ArrowEvalPython|BatchEvalPython", final)),
+        "python": len(re.findall(r"FlatMap(Co)?GroupsInPandas|MapIn(?:Pandas|Arrow)|ArrowEvalPython|BatchEvalPython", final)),
         "codegen": len(set(re.findall(r"\*\((\d+)\)", final))),
         "reads": "; ".join(f"{t}({len(c)})" for t, c in sorted(reads.items())),
     }
@@ -36,7 +36,7 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from footfall.session import build_session
-    import __spark_entry__ as E
+    from footfall.testing.catalog import QUERIES
     spark = build_session("local[8]", 16)
     print("# Physical plans of the registered queries (AQE final plans)\n")
     print(f"Generated by `python tools/plan_summary.py {sf_dir}`. Columns: shuffles (exchanges), "
@@ -44,7 +44,7 @@ def main() -> None:
           "operators, whole-stage-codegen stages, and tables scanned (number of columns read).\n")
     print("| query | shuffles | BHJ | SMJ | NLJ | window | pandas | codegen stages | scans (columns read) |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, sf_dir)
         df.collect()   # runs this DataFrame's own query execution, so AQE's final plan is available
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
