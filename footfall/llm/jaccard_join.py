@@ -379,12 +379,13 @@ def classes_and_links(docs: DataFrame, slice_bytes: int = SLICE_BYTES, part_keys
 
 
 def with_components(documents: DataFrame, links: DataFrame) -> DataFrame:
-    """The documents' rows with component_id, the smallest doc_id of the component."""
+    """The documents' rows with component_id, the smallest doc_id of the component, and label, the
+    component itself: its smallest class, whatever its ids (null without shingles)."""
     labels = components(links)
     named = documents.join(labels, documents["cls"] == labels["node"], "left").drop("node")
     named = named.withColumn("label", F.coalesce("label", "cls"))
     first = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(first, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("label")
+    return named.join(first, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
@@ -396,11 +397,12 @@ def join(docs: DataFrame, **options) -> DataFrame:
 def keep(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns."""
     documents, links, slices = classes_and_links(docs, **options)
-    named = saved(with_components(documents, links), work_dir(docs.sparkSession, "components"))
-    # a null id sorts after every other; documents without shingles all stay
-    best = named.where("cls IS NOT NULL").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "slice", "place", "file")).alias("b"))
-    stay = (best.where("component_id IS NOT NULL").select("b.slice", "b.file", "b.place")
-            .unionByName(named.where("cls IS NULL OR component_id IS NULL").select("slice", "file", "place")))
+    named = saved(with_components(documents, links).drop("component_id"), work_dir(docs.sparkSession, "components"))
+    # by component, not by its id: ids may repeat or be null; a null id sorts after every other
+    best = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "slice", "place", "file")).alias("b"))
+    # documents without shingles all stay
+    stay = (best.select("b.slice", "b.file", "b.place")
+            .unionByName(named.where("label IS NULL").select("slice", "file", "place")))
     listed = stay.repartition(tasks(docs.sparkSession), "slice").groupBy("slice").agg(F.min("file").alias("file"), F.array_sort(F.collect_list("place")).alias("places"))  # rows of one slice
     kinds = to_arrow_schema(docs.schema)
 

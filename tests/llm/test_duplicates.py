@@ -64,6 +64,14 @@ def test_jaccard_keep_leaves_one_of_each_group_and_all_columns(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_keep_goes_by_components_not_by_ids(spark):
+    """Different texts of one id are different components; copies whose ids are all null are one."""
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [(3, a), (3, b), (8, b), (3, c), (None, d), (None, d), (None, d.upper()), (None, a)]
+    kept = jaccard_join.keep(documents(spark, rows, parts=3)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, d), (3, a), (3, b), (3, c)]
+
+
 def passage_rows(seed):
     rnd = random.Random(seed)
     text = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
