@@ -1,12 +1,14 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts and items are words (A-Z lowered, runs without ASCII white space). The CGK random walk reads a
-window with a pointer that stays or advances by a random bit of the word it stands on; two windows
-at small edit distance resynchronise, so their walks agree in most steps. A table samples some steps
-of a walk and hashes the words seen there. Item windows of a class (8 or 16 words, by the item's
-size; shorter for tiny items) at all offsets are indexed; a document's windows start at every fourth
-word, so every occurrence of an item holds several aligned windows (at every word for tiny items).
-Tables are added until simulated edits of the items themselves are found at the target recall.
+Texts and items are characters: A-Z lowered, words (runs without ASCII white space) joined by one
+space. The CGK random walk reads a text from a place with a pointer that stays or advances by a
+random bit of the character it stands on; two texts at small edit distance resynchronise, so their
+walks agree. A table samples the steps of a walk and hashes the characters seen there. Items fall
+into classes by size (powers of two); an item is indexed from every character on, and a document
+walks from every character on. The more steps a key samples, the rarer it hits: for each class the
+longest keys are taken with which some walks find the target share of items of the class that were
+edited, in the simulation, by as many characters as the match allows. If none do, building fails.
+A hit counts when most characters around it have an equal at nearly the same distance.
 
 Every hit is verified exactly: the item's edit distance, in characters of the words joined by one
 space, to the best stretch of the document around the hit must be at most (1 - similarity) of the
@@ -28,56 +30,75 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import WORD, owns_worker, relax
 from footfall.llm.quality_rules import docs_type
-from footfall.llm.textops import LOWER, hash_spans, mix, text_slices, words
+from footfall.llm.textops import LOWER, SPACE, mix, text_slices
 
 BLOCK_ITEMS = 20_000  # items that one broadcast holds, about
 SIMILARITY = 0.75
-STRIDE = 4
-STEPS = {16: 26, 8: 13, 4: 6, 2: 3, 1: 1}  # steps a table samples from, by the window's words
-SAMPLES = {16: 8, 8: 6, 4: 4, 2: 2, 1: 1}
-WALKS, TABLES = 9, 3  # at most so many walks, with so many tables each
-EDIT_RATE = 0.15  # share of words that the simulation edits
+WALKS = 2  # tables of a class at most, each with a walk of its own
+STEPS = 32  # of a walk at most
+LOOK = 10  # steps after which a walk goes on only where an item's does, by the first bits of its key
+UNSAMPLED = 5  # one step in so many is not sampled
 RECALL = 0.99
+NEAR, DRIFT, EQUAL = 24, 2, 0.7  # characters looked at on both sides of a hit, distance of an equal, share with one
 _TRIES = 400
-_K = np.uint64(0x9E3779B97F4A7C15)
+_PAD = 64  # behind the last character
+_PLACES = 1 << 15  # places that walk at a time
+_HITS, _WAITING = 1 << 12, 1 << 20  # hits that are looked at at a time, and that wait for it, about
 _FILTER = 20  # bits of the first look at a key
+_NONE = 0xFFFFFFFF  # no character: between items
 
 
-def item_class(n: int) -> tuple[int, int]:
-    """(words of an item's windows, stride of the documents' windows)."""
-    if n >= 16 + STRIDE + 6:
-        return 16, STRIDE
-    if n >= 8 + STRIDE - 1:
-        return 8, STRIDE
-    return 1 << (max(n, 1).bit_length() - 1), 1
+def item_class(n: int) -> int:
+    """Class of items of n characters."""
+    return n.bit_length()
 
 
 class Walk:
-    """One random walk: the hash bit that each step reads, and for each class the steps its tables sample."""
+    """One random walk: the hash bit that each step reads, and the steps that its keys sample."""
 
     def __init__(self, number: int):
         rng = np.random.default_rng(1000 + number)
-        self.bits = rng.permutation(64).astype(np.uint64)
-        self.tables = {c: [np.sort(np.concatenate([[0], 1 + rng.permutation(STEPS[c] - 1)[:SAMPLES[c] - 1]])) for _ in range(TABLES if c > 2 else 1)] for c in STEPS}
-        self.seed = np.uint64(1000 * (number + 1))
-
-    def keys(self, word: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[tuple[int, int], np.ndarray]:
-        """Key of each table for the windows at some word places; word is padded behind its end."""
-        at = starts.copy()
-        out = {(c, t): np.full(len(starts), mix(np.array([t + 1], np.uint64) + self.seed)[0]) for c in classes for t in range(len(self.tables[c]))}
-        for step in range(max(STEPS[c] for c in classes)):
-            seen = word[at]
-            for (c, t), key in out.items():
-                if step in self.tables[c][t]:
-                    key ^= seen
-                    key *= _K
-                    key ^= key >> np.uint64(29)
-            at += ((seen >> self.bits[step]) & np.uint64(1)).astype(np.int64)
-        return out  # the last step spreads a key over its high bits, which tables look at first
-
-
-def padded(word: np.ndarray) -> np.ndarray:
-    return np.concatenate([word, np.zeros(64, np.uint64)])
+        self.bits = rng.integers(0, 32, STEPS).astype(np.uint32)
+        self.sampled = np.ones(STEPS, bool)
+        self.sampled[1 + (number + 1) % UNSAMPLED::UNSAMPLED] = number == 0  # the first walk samples all
+
+    def keys(self, char: np.ndarray, starts: np.ndarray, steps: set[int], look: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(steps, places that still walk, their keys after so many steps); char is padded behind its end."""
+        at, key = starts.copy(), np.full(len(starts), 0x9E3779B9, np.uint32)
+        for step in range(max(steps, default=0)):
+            seen = char[at]
+            if self.sampled[step]:
+                key ^= seen
+                key *= np.uint32(0x85EBCA6B)
+                key ^= key >> np.uint32(15)
+            if step + 1 in steps:
+                yield step + 1, starts, key * np.uint32(0xC2B2AE35)
+            if step + 1 == LOOK and look is not None:
+                on = np.flatnonzero(look[key * np.uint32(0xC2B2AE35) >> np.uint32(32 - _FILTER)])
+                starts, at, key, seen = starts[on], at[on], key[on], seen[on]
+            at += (seen >> self.bits[step]) & np.uint32(1)
+
+
+def mixed(code: np.ndarray) -> np.ndarray:
+    """32-bit hashes of characters, padded."""
+    return mix(np.concatenate([code, np.zeros(_PAD, code.dtype)]).astype(np.uint64) + np.uint64(1)).astype(np.uint32)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def characters(raw: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """(all texts with one space after each word that has white space behind, their code points, their offsets)."""
+    low = LOWER[raw]
+    space = SPACE[low]
+    after = np.concatenate([[False], ~space[:-1]])
+    after[off[:-1][off[:-1] < len(low)]] = False
+    kept = ~space | after
+    low = np.where(space, np.uint8(32), low)
+    begin = np.concatenate([[0], np.cumsum(kept & ((low & 0xC0) != 0x80))])
+    text = low[kept].tobytes().decode()
+    return text, code_points(text), begin[off]
 
 
 def normal(text: str | None) -> list[str]:
@@ -85,12 +106,6 @@ def normal(text: str | None) -> list[str]:
     return re.findall(WORD, lowered)
 
 
-def hashed(item_words: list[str]) -> np.ndarray:
-    raw = np.frombuffer(" ".join(item_words).encode(), np.uint8)
-    starts, ends, _ = words(raw, np.array([0, len(raw)]))
-    return hash_spans(raw, starts, ends)
-
-
 class Pattern:
     """Edit distance of an item to its best match inside a stretch of text, by bit vectors."""
 
@@ -122,111 +137,160 @@ class Pattern:
         return best
 
 
+def edited(code: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """An item after so many substitutions, deletions and insertions of characters at random places."""
+    at = np.sort(rng.permutation(len(code))[:edits])
+    kind, new = rng.integers(0, 3, len(at)), rng.choice(code, len(at))
+    out = np.repeat(code, 1 + np.bincount(at[kind == 2], minlength=len(code)) - np.bincount(at[kind == 1], minlength=len(code)))
+    place = at + np.cumsum(kind == 2) - (kind == 2) - np.cumsum(kind == 1)  # of the edited characters in out
+    out[place[kind != 1]] = new[kind != 1]
+    return out
+
+
 class Index:
-    """Tables over the windows of a block of items."""
+    """Tables over the characters of a block of items. recalls has each class's simulated recall."""
 
-    def __init__(self, items: list[tuple[int, str | None]], similarity: float, recall: float = RECALL, edit_rate: float = EDIT_RATE):
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float, recall: float = RECALL):
         kept = [(i, w) for i, w in ((i, normal(t)) for i, t in items) if w]
         self.ids = [i for i, _ in kept]
-        self.words = [len(w) for _, w in kept]
         texts = [" ".join(w) for _, w in kept]
         self.patterns = [Pattern(t) for t in texts]
         self.most = [int((1 - similarity) * len(t) + 1e-9) for t in texts]
-        hashes = [hashed(w) for _, w in kept]
-        classes = [item_class(n) for n in self.words]
-        self.strides: dict[int, list[int]] = {}
-        for c, s in sorted(set(classes)):
-            self.strides.setdefault(s, []).append(c)
-        flat = padded(np.concatenate([np.concatenate([h, np.zeros(32, np.uint64)]) for h in hashes] or [np.zeros(0, np.uint64)]))
-        place = np.cumsum([0] + [len(h) + 32 for h in hashes])
-        self.windows = {}  # class -> (item, offset, place in flat)
-        for c in {c for c, _ in classes}:
-            own = [(k, o) for k, (d, _) in enumerate(classes) if d == c for o in range(self.words[k] - c + 1)]
-            self.windows[c] = np.array([k for k, _ in own]), np.array([o for _, o in own])
-        self.walks: list[Walk] = []
+        codes = [code_points(t) for t in texts]
+        self.walks = [Walk(r) for r in range(WALKS)]
+        gap = np.full(NEAR, _NONE, "<u4")
+        self.flat = np.concatenate([gap, *(x for c in codes for x in (c, gap))])
+        self.begin = np.cumsum([NEAR] + [len(c) + NEAR for c in codes])[:-1]  # of each item in flat
         self.tables: dict[tuple[int, int, int], tuple] = {}
-        found = None
-        for r in range(WALKS):
-            walk = Walk(r)
-            self.walks.append(walk)
-            for c, (item, offset) in self.windows.items():
-                for (_, t), key in walk.keys(flat, place[item] + offset, [c]).items():
-                    order = np.argsort(key, kind="stable")
-                    first = np.zeros(1 << _FILTER, bool)
-                    first[key >> np.uint64(64 - _FILTER)] = True
-                    self.tables[r, c, t] = key[order], item[order], offset[order], first
-            found = self._simulated(hashes, classes, edit_rate, found, r)
-            self.recall = float(found[0].mean()) if len(found[0]) else 1.0
-            if self.recall >= recall:
+        self.recalls: dict[int, float] = {}
+        self.steps: list[set[int]] = [set() for _ in self.walks]
+        self.look = [np.zeros(1 << _FILTER, bool) for _ in self.walks]
+        classes = np.array([item_class(len(c)) for c in codes])
+        for c in np.unique(classes).tolist():
+            own = np.flatnonzero(classes == c)
+            steps, walks, self.recalls[c] = self._simulated(codes, own, recall)
+            size = np.array([len(codes[k]) for k in own])
+            item = np.repeat(own, size)
+            offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            place = np.cumsum([0] + [len(codes[k]) + _PAD for k in own])
+            flat = np.concatenate([mixed(codes[k]) for k in own])
+            starts = np.repeat(place[:-1], size) + offset
+            for r in range(walks):
+                keys = {k: key for k, _, key in self.walks[r].keys(flat, starts, {steps, LOOK})}
+                key = keys[steps]
+                self.look[r][keys[LOOK] >> np.uint32(32 - _FILTER)] = True
+                order = np.argsort(key, kind="stable")
+                first = np.zeros(1 << _FILTER, bool)
+                first[key >> np.uint32(32 - _FILTER)] = True
+                self.tables[r, steps, c] = key[order], item[order].astype(np.int32), offset[order].astype(np.int32), first
+                self.steps[r].add(steps)
+
+    def _simulated(self, codes: list[np.ndarray], own: np.ndarray, recall: float) -> tuple[int, int, float]:
+        """(steps, walks, recall) of a class: most steps, then fewest walks, that find the target share of
+        its items edited at the limit. A try is found by a hit that keeps(), as in a document."""
+        rng = np.random.default_rng(7)
+        number = rng.choice(own, _TRIES)
+        tries = [edited(codes[k], self.most[k], rng) for k in number]
+        noise = np.concatenate(codes)
+        text = [np.concatenate([rng.choice(noise, NEAR), t, rng.choice(noise, NEAR)]) for t in tries]
+        code = np.concatenate(text)
+        char, around = mixed(code), np.pad(code, _PAD)
+        size = np.array([len(t) for t in text])
+        of = np.repeat(np.arange(_TRIES), size)
+        flat = np.concatenate([mixed(codes[k]) for k in number])
+        length = np.array([len(codes[k]) for k in number])
+        item_of = np.repeat(np.arange(_TRIES), length)
+        offset = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        starts = np.repeat(np.cumsum(length + _PAD) - length - _PAD, length) + offset
+        found, best = np.zeros((STEPS + 1, _TRIES), bool), (0, 0, 0.0)
+        for every, (r, walk) in ((e, w) for e in (set(range(LOOK, STEPS + 1)), set(range(1, LOOK))) for w in enumerate(self.walks, 1)):
+            if best[0] >= max(every):
                 break
+            both = zip(walk.keys(char, np.arange(len(code)), every), walk.keys(flat, starts, every))
+            for steps, mine, theirs in ((k, a, b) for (k, _, a), (_, _, b) in both):
+                theirs = theirs.astype(np.uint64) | item_of.astype(np.uint64) << np.uint64(32)
+                order = np.argsort(theirs, kind="stable")
+                mine = mine.astype(np.uint64) | of.astype(np.uint64) << np.uint64(32)
+                mine, places = mine[~found[steps][of]], np.flatnonzero(~found[steps][of])
+                n, at = matches(theirs[order], mine)
+                at = order[at]
+                good = self._keeps(around, places[n], number[item_of[at]], offset[at])
+                found[steps][of[places[n[good]]]] = True
+            for steps in range(STEPS, best[0], -1):
+                if found[steps].mean() >= recall:
+                    best = steps, r, float(found[steps].mean())
+                    break
+        if not best[0]:
+            raise ValueError(f"no keys find {recall} of the edited items of {length.min()} to {length.max()} characters: {found.mean(axis=1).max()}")
+        return best
 
-    def _simulated(self, hashes, classes, edit_rate, found, r):
-        """Which of some randomly edited and randomly aligned items the walks so far find."""
-        if found is None:
-            rng = np.random.default_rng(7)
-            tries = []
-            for k in rng.integers(0, len(hashes), _TRIES) if hashes else []:
-                seq = []
-                for w in hashes[k]:
-                    edit = rng.random()
-                    if edit < edit_rate / 3:
-                        continue
-                    seq.append(rng.integers(1, 2**63, dtype=np.uint64) if edit < 2 * edit_rate / 3 else w)
-                    if 2 * edit_rate / 3 <= edit < edit_rate:
-                        seq.append(rng.integers(1, 2**63, dtype=np.uint64))
-                lead = int(rng.integers(0, STRIDE))
-                noise = rng.integers(1, 2**63, 40, dtype=np.uint64)
-                tries.append((int(k), padded(np.concatenate([noise[:lead], np.array(seq, np.uint64), noise])), len(seq) + lead))
-            found = np.zeros(len(tries), bool), tries
-        for n, (k, seq, size) in enumerate(found[1]):
-            if not found[0][n]:
-                c, s = classes[k]
-                found[0][n] = any(k in hit[1] for hit in self._hits(r, seq, np.arange(0, size, s), [c]))
-        return found
-
-    def _hits(self, r: int, word: np.ndarray, starts: np.ndarray, classes: list[int]):
-        """(window number, item, offset) arrays of all tables of a walk."""
-        for (c, t), key in self.walks[r].keys(word, starts, classes).items():
-            keys, item, offset, first = self.tables[r, c, t]
-            near = np.flatnonzero(first[key >> np.uint64(64 - _FILTER)])
-            lo, hi = np.searchsorted(keys, key[near], "left"), np.searchsorted(keys, key[near], "right")
-            size = hi - lo
-            if size.any():
-                source = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                yield np.repeat(near, size), item[source], offset[source]
+    def _keeps(self, code: np.ndarray, place: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Numbers of the hits with equal characters around them: of the item's within NEAR of the hit, a
+        share of EQUAL has an equal one in the text at most DRIFT beside its place. code is padded on both
+        sides. Every third character is looked at first."""
+        out = [np.zeros(0, np.int64)]
+        for a in range(0, len(place), _HITS):
+            good = np.arange(a, min(a + _HITS, len(place)))
+            for step, share in ((3, EQUAL - 0.1), (1, EQUAL)):
+                text, own = place[good] + _PAD, self.begin[item[good]] + offset[good]
+                equal, there = np.zeros(len(good), np.int16), np.zeros(len(good), np.int16)
+                rows: dict[int, np.ndarray] = {}
+                for j in range(-NEAR, NEAR + 1, step):
+                    c = self.flat[own + j]
+                    same = np.zeros(len(good), bool)
+                    for d in range(j - DRIFT, j + DRIFT + 1):
+                        if d not in rows:
+                            rows[d] = code[text + d]
+                        same |= rows[d] == c
+                    rows.pop(j - DRIFT, None)
+                    equal += same
+                    there += c != _NONE
+                good = good[equal >= share * there]
+            out.append(good)
+        return np.concatenate(out)
 
     def find(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item number, distance, first word) of each item found in each text of a slice."""
-        low = LOWER[raw]
-        starts, ends, first = words(low, off)
-        word = padded(hash_spans(low, starts, ends))
-        text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        hits = []
-        for stride, classes in self.strides.items():
-            windows = np.flatnonzero((np.arange(len(starts)) - first[text_of]) % stride == 0)
-            for r in range(len(self.walks)):
-                for n, item, offset in self._hits(r, word, windows, classes):
-                    w = windows[n]
-                    hits.append(np.stack([text_of[w], item, w - first[text_of[w]] - offset], axis=1))
+        text, code, begin = characters(raw, off)
+        char, around, hits, waiting, count = mixed(code), np.pad(code, _PAD), [], [], 0
+        for p in range(0, len(code), _PLACES):
+            starts = np.arange(p, min(p + _PLACES, len(code)))
+            for r, walk in enumerate(self.walks):
+                for steps, walking, key in walk.keys(char, starts, self.steps[r], self.look[r]):
+                    look = key >> np.uint32(32 - _FILTER)
+                    for (w, s, _), (keys, item, offset, first) in self.tables.items():
+                        if (w, s) == (r, steps):
+                            near = np.flatnonzero(first[look])
+                            n, at = matches(keys, key[near])
+                            waiting.append((walking[near[n]], item[at], offset[at]))
+                            count += len(n)
+            if waiting and (count > _WAITING or p + _PLACES >= len(code)):
+                place, k, o = (np.concatenate(x) for x in zip(*waiting))
+                good = self._keeps(around, place, k, o)
+                hits.append(np.stack([np.searchsorted(begin, place[good], "right") - 1, k[good], place[good] - o[good]], axis=1))
+                waiting, count = [], 0
         if not hits:
             return []
         hits = np.unique(np.concatenate(hits), axis=0)
-        data, out, last = low.tobytes(), {}, {}
-        for text, item, at in hits.tolist():
-            n, count = self.words[item], int(first[text + 1] - first[text])
-            slack = 2 + n // 4
-            if (text, item) in last and at - last[text, item] <= slack // 3:
-                continue  # next to a place that was just verified with slack
-            last[text, item] = at
-            a, b = max(0, at - slack), min(count, at + n + slack)
-            if a >= b:
-                continue
-            spans = slice(first[text] + a, first[text] + b)
-            parts = [data[x:y] for x, y in zip(starts[spans].tolist(), ends[spans].tolist())]
-            distance, _ = self.patterns[item].best(b" ".join(parts).decode())
-            if distance <= self.most[item] and distance < out.get((text, item), (1 << 60, 0))[0]:
-                out[text, item] = distance, max(0, at)
-        return [(text, item, d, at) for (text, item), (d, at) in sorted(out.items())]
+        out, last = {}, {}
+        for t, item, at in hits.tolist():
+            size = self.patterns[item].size
+            skip = size // 8
+            if (t, item) in last and at - last[t, item] <= skip:
+                continue  # inside the stretch that was just verified
+            last[t, item] = at
+            a, b = max(int(begin[t]), at - self.most[item]), min(int(begin[t + 1]), at + size + self.most[item] + skip)
+            distance, _ = self.patterns[item].best(text[a:b].rstrip(" ") if b == begin[t + 1] else text[a:b])
+            if distance <= self.most[item] and distance < out.get((t, item), (1 << 60, 0))[0]:
+                out[t, item] = distance, text.count(" ", int(begin[t]), max(int(begin[t]), at))
+        return [(t, item, d, at) for (t, item), (d, at) in sorted(out.items())]
+
+
+def matches(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number in own, number in the sorted keys) of all equal pairs."""
+    lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+    size = hi - lo
+    return np.repeat(np.arange(len(own)), size), np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def blocks(items: DataFrame, similarity: float, block_items: int, **options) -> Iterator[Index]:

@@ -179,3 +179,30 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {k for k, _ in found}
     assert decontaminate.find_leaks(docs, table.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs.limit(0), table).count() == 0
+
+
+def test_leaks_with_typos_in_every_other_word_are_found(spark):
+    """Letter edits leave no run of whole words, but are far under the limit in characters."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(4, 9)))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(12, 50)))) for k in range(60)] + [(60, "è".join(word() for _ in range(30)))]
+    rows, want = [], set()
+    for k, (item, text) in enumerate(items):
+        own = text.split()
+        for w in range(k % 2, len(own), 2):
+            at = rnd.randrange(len(own[w]))
+            own[w] = own[w][:at] + rnd.choice(["z", "zq", ""]) + own[w][at + 1:]
+        rows.append((k, " \n".join([word() for _ in range(rnd.randrange(60))] + own + [word() for _ in range(rnd.randrange(60))])))
+        want.add((k, item, edit_inside(text, " ".join(rows[-1][1].split()))))
+        assert 0 < edit_inside(text, " ".join(rows[-1][1].split())) <= len(text) // 4
+    found = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == want
+
+
+def test_leak_tables_reach_their_target_for_each_size():
+    rnd = random.Random(9)
+    items = [(k, " ".join("".join(rnd.choices("etaoinsr", k=rnd.randrange(2, 8))) for _ in range(n))) for k, n in enumerate([1, 2, 4, 9, 18, 40, 90] * 5)]
+    index = decontaminate.Index(items, 0.75)
+    assert set(index.recalls) == {decontaminate.item_class(p.size) for p in index.patterns} and min(index.recalls.values()) >= 0.99
+    with pytest.raises(ValueError):
+        decontaminate.Index(items, 0.75, recall=1.01)
