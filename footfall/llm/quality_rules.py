@@ -3,9 +3,10 @@
 The language model is modified Kneser-Ney over symbols: every byte falls into one of 32 classes (white
 space, 26 letters with case folded, digits, punctuation, other marks, bytes of non-ASCII characters,
 control bytes), so an order-4 model has at most 2^20 n-grams a language. Spark counts them over all
-texts with map-side sums; a language with at least ``MIN_SHARE`` of all symbols has a model of its
-own (at most 1 / MIN_SHARE of them), the others share one. The model is stored in sorted hash arrays
-of proven size and broadcast; a task looks up the distinct n-grams of a slice by binary search.
+texts with map-side sums; every language has a model and a band of its own, whatever its share of the
+corpus. Spark groups build the models, one a language, as sorted hash arrays of proven size in files
+under the shared folder; a task reads those of its texts' languages, keeps the latest few, and looks
+up the distinct n-grams of a slice by binary search.
 
 A document is rejected by the base rules, or when the log10 perplexity of a symbol lies outside its
 language's band. The band is the median of the documents that pass the base rules, plus and minus
@@ -17,6 +18,7 @@ and repeated rows are judged alike, row by row. An empty table gives an empty re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from footfall.llm.common import owns_worker, relax, saved, work_dir
+from footfall.llm.common import Committer, get, owns_worker, relax, saved, work_dir
 from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, slices, text_bytes, words
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
-MIN_SHARE = 0.01
-OTHERS = None  # the shared model's key
+HELD = 32  # models that a worker keeps, of some MB each
 SYMBOL = np.full(256, 31, np.uint8)
 SYMBOL[0x21:0x7F] = 29
 SYMBOL[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -172,47 +174,59 @@ def kneser_ney(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out_key), np.concatenate(out_p), np.concatenate(out_w)
 
 
-def slot(key: np.ndarray, model: int) -> np.ndarray:
-    """Hash of a packed n-gram of a model; different n-grams of all models have different hashes."""
-    return mix(key.astype(np.uint64) ^ np.uint64(model << 48))
+def slot(key: np.ndarray) -> np.ndarray:
+    """Hash of a packed n-gram; different n-grams have different hashes."""
+    return mix(key.astype(np.uint64))
 
 
-class Model:
-    """All languages' models: one sorted array of hashes with its probabilities and back-off weights."""
+_PARTS: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # (folder, file) -> model, latest last
 
-    def __init__(self, names: list, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.number = {x: k for k, x in enumerate(names)}
-        none = np.zeros(0)
-        hashes = np.concatenate([slot(p[0], k) for k, p in enumerate(parts)] or [none.astype(np.uint64)])
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.log_p = np.concatenate([p[1] for p in parts] or [none])[order].astype(np.float32)
-        self.weight = np.concatenate([p[2] for p in parts] or [none])[order].astype(np.float32)
 
-    def find(self, key: np.ndarray, model: int) -> tuple[np.ndarray, np.ndarray]:
-        h = slot(key, model)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        return at, self.hashes[at] == h
+class Model:
+    """The files of all languages' models: sorted hashes with their probabilities and back-off weights."""
+
+    def __init__(self, folder: str, files: dict[str, str]):
+        self.folder, self.files = folder, files
+
+    def part(self, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if lang not in self.files:
+            return None
+        name = self.folder, self.files[lang]
+        part = _PARTS.pop(name, None)
+        if part is None:
+            while len(_PARTS) >= HELD:
+                _PARTS.pop(next(iter(_PARTS)))
+            data = get(*name)
+            n = len(data) // 16
+            part = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<f4", n, 12 * n)
+        _PARTS[name] = part
+        return part
 
     def log10(self, code: np.ndarray, lang: str) -> np.ndarray:
         """log10 probability of the last symbol of each n-gram; unseen ones back off to lower orders."""
-        model = self.number.get(lang, self.number.get(OTHERS))
-        out = np.zeros(len(code))
-        if model is None:
+        part, out = self.part(lang), np.zeros(len(code))
+        if part is None:
             return out - np.log10(1 << BITS)
+        hashes, log_p, weight = part
+
+        def find(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            h = slot(key)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            return at, hashes[at] == h
+
         todo = np.arange(len(code))
         for order in range(ORDER, -1, -1):
             low = (code[todo] & ((1 << (BITS * order)) - 1)).astype(np.int64) | order << 40
-            at, hit = self.find(low, model)
+            at, hit = find(low)
             if order == 0:
-                out[todo] += self.log_p[at]
+                out[todo] += log_p[at]
                 break
-            out[todo[hit]] += self.log_p[at[hit]]
+            out[todo[hit]] += log_p[at[hit]]
             todo, low = todo[~hit], low[~hit]
             context = ((low & ((1 << 40) - 1)) >> BITS) | (order - 1) << 40
             if order > 1:
-                at, hit = self.find(context, model)
-                out[todo[hit]] += self.weight[at[hit]]
+                at, hit = find(context)
+                out[todo[hit]] += weight[at[hit]]
         return out
 
     def mean_log10(self, raw: np.ndarray, off: np.ndarray, lang: str) -> np.ndarray:
@@ -232,24 +246,18 @@ def fit(docs: DataFrame) -> Model:
     """Count n-grams over all texts and build every language's model from its at most 2^20 counts."""
     spark = docs.sparkSession
     counts = saved(count_ngrams(docs), work_dir(spark, "ngrams"))
-    # languages with their own model: at most 1 / MIN_SHARE rows reach the driver
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    own = [r.lang for r in sums.where(F.col("n") >= MIN_SHARE * total).orderBy("lang").collect()]
-    named = counts.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")))
-    pooled = named.groupBy("model", "code").agg(F.sum("n").alias("n"))
+    folder = work_dir(spark, "models")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         key, p, w = kneser_ney(pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
-        return pd.DataFrame({"model": pdf["model"].iloc[0], "key": key, "p": p, "w": w})
+        hashes, lang = slot(key), pdf["lang"].iloc[0]
+        order = np.argsort(hashes)
+        data = hashes[order].astype("<u8").tobytes() + p[order].astype("<f4").tobytes() + w[order].astype("<f4").tobytes()
+        done = Committer(f"{folder}/files").put(hashlib.sha256(lang.encode()).hexdigest(), data)
+        return pd.DataFrame({"lang": [lang], "file": [done["file"]]})
 
-    rows = pooled.groupBy("model").applyInPandas(build, "model string, key long, p double, w double").toArrow().to_pandas()
-    names = [x if isinstance(x, str) else OTHERS for x in rows["model"].drop_duplicates()]
-    parts = []
-    for x in names:
-        own_rows = rows[rows["model"].isna()] if x is OTHERS else rows[rows["model"] == x]
-        parts.append((own_rows["key"].to_numpy(np.int64), own_rows["p"].to_numpy(), own_rows["w"].to_numpy()))
-    return Model(names, parts)
+    files = saved(counts.groupBy("lang").applyInPandas(build, "lang string, file string"), f"{folder}/manifest")
+    return Model(f"{folder}/files", {r.lang: r.file for r in files.collect()})  # one name a language
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -259,7 +267,7 @@ def measure(b: pa.RecordBatch, lang: int, text: int, model: Model) -> tuple[dict
     """Base counts and log10 perplexity of each row of a batch."""
     counts = {k: np.zeros(b.num_rows, np.int64) for k in COUNTS}
     ppl = np.full(b.num_rows, np.nan)
-    owns_worker("rules")
+    owns_worker("rules", _PARTS.clear)
     for x, at, raw, off in by_language(b, lang, text):
         for k, v in base_counts(raw, off).items():
             counts[k][at] = v
@@ -268,18 +276,19 @@ def measure(b: pa.RecordBatch, lang: int, text: int, model: Model) -> tuple[dict
     return counts, ppl
 
 
-def bands(measured: DataFrame, width: float, slack: float) -> dict[str, tuple[float, float]]:
-    """lang -> (median, allowed distance) from the histograms of the texts that pass the base rules."""
+def bands(measured: DataFrame, width: float, slack: float) -> DataFrame:
+    """(band_lang, middle, reach) of each language: median and allowed distance from the histogram of
+    its own texts that pass the base rules."""
     cell = F.round(F.col("log10_ppl") * STEP).cast("long")
     hist = (measured.where(~F.col("base_failed") & F.col("log10_ppl").isNotNull())
             .groupBy("model_lang", cell.alias("cell")).agg(F.count("*").alias("n")))
-    out = {}
-    for lang, h in hist.toPandas().groupby("model_lang"):  # at most a few thousand cells a model
-        h = h.sort_values("cell")
+
+    def band(h: pd.DataFrame) -> pd.DataFrame:  # at most a few thousand cells a language
         middle = weighted_median(h["cell"].to_numpy(), h["n"].to_numpy())
         spread = weighted_median(np.abs(h["cell"].to_numpy() - middle), h["n"].to_numpy())
-        out[lang] = middle / STEP, width * spread / STEP + slack
-    return out
+        return pd.DataFrame({"band_lang": [h["model_lang"].iloc[0]], "middle": [middle / STEP], "reach": [width * spread / STEP + slack]})
+
+    return hist.groupBy("model_lang").applyInPandas(band, "band_lang string, middle double, reach double")
 
 
 def weighted_median(value: np.ndarray, weight: np.ndarray) -> float:
@@ -288,19 +297,16 @@ def weighted_median(value: np.ndarray, weight: np.ndarray) -> float:
     return float(value[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def inside(ppl: np.ndarray, size: np.ndarray, langs: list[str], band: dict, model: Model, short: float) -> np.ndarray:
-    """Whether each text's log10 perplexity is in its language's band; a language without a band has none."""
-    name = [x if x in model.number else "" for x in langs]
-    middle = np.array([band.get(x, (np.nan, np.inf))[0] for x in name])
-    reach = np.array([band.get(x, (np.nan, np.inf))[1] for x in name])
-    far = np.abs(ppl - middle) > reach + short / np.sqrt(np.maximum(size, 1))
-    return ~far  # False for NaN: nothing to judge
+def far(ppl: str, size: str, short: float, prefix: str = ""):
+    """Whether a row's log10 perplexity lies outside the band joined to it; without one nothing does."""
+    reach = F.col(f"{prefix}reach") + F.lit(float(short)) / F.sqrt(F.greatest(F.col(size), F.lit(1)).cast("double"))
+    return F.coalesce(F.abs(F.col(ppl) - F.col(f"{prefix}middle")) > reach, F.lit(False))
 
 
 WIDTH, SLACK, SHORT = 5.0, 0.02, 0.6
 
 
-def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: float = SHORT) -> tuple[DataFrame, Model, dict]:
+def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: float = SHORT) -> tuple[DataFrame, Model, DataFrame]:
     """(one row per document with counts, perplexity and verdict; the model; the bands).
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -318,17 +324,13 @@ def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: fl
             counts, ppl = measure(b, 1, 2, model)
             langs = [x or "" for x in b.column(1).to_pylist()]
             size = text_sizes(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[k]) for k in COUNTS), pa.array(base_failed(counts)), pa.array(ppl, from_pandas=True), pa.array(size), pa.array([x if x in model.number else "" for x in langs], pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[k]) for k in COUNTS), pa.array(base_failed(counts)), pa.array(ppl, from_pandas=True), pa.array(size), pa.array(langs, pa.string())], schema=schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     measured = saved(docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, log10_ppl double, n_bytes long, model_lang string"), work_dir(spark, "measured"))
-    band = bands(measured, width, slack)
-    limit = F.lit(None).cast("struct<m:double,d:double>")
-    for lang, (m, d) in sorted(band.items()):  # at most 1 / MIN_SHARE + 1 of them
-        limit = F.when(F.col("model_lang") == lang, F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"))).otherwise(limit)
-    reach = limit["d"] + F.lit(float(short)) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)).cast("double"))
-    far = F.coalesce(F.abs(F.col("log10_ppl") - limit["m"]) > reach, F.lit(False))
-    result = measured.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "log10_ppl")
+    band = saved(bands(measured, width, slack), work_dir(spark, "bands"))
+    result = (measured.join(band, measured["model_lang"] == band["band_lang"], "left")
+              .select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~far("log10_ppl", "n_bytes", short)).alias("kept"), "log10_ppl"))
     return result, model, band
 
 
@@ -346,15 +348,22 @@ def keep(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: flo
     """The documents that the rules keep, with all their columns: judged again in place by the
     fitted model and bands, so that no text is shuffled."""
     _, model, band = judge(docs, width, slack, short)
-    shared = docs.sparkSession.sparkContext.broadcast((model, band))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     lang, text = docs.columns.index("lang"), docs.columns.index("text")
+    own = [("rules_lang", "string"), ("rules_failed", "boolean"), ("rules_ppl", "double"), ("rules_bytes", "long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, band = shared.value
+        model = shared.value
         for b in batches:
             counts, ppl = measure(b, lang, text, model)
-            langs = [x or "" for x in b.column(lang).to_pylist()]
-            good = ~base_failed(counts) & inside(ppl, text_sizes(b.column(text)), langs, band, model, short)
-            yield b.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+            good = ~base_failed(counts)
+            more = [pa.array([x or "" for x in b.column(lang).to_pylist()], pa.string()), pa.array(~good), pa.array(ppl, from_pandas=True), pa.array(text_sizes(b.column(text)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(x for x, _ in own)]).filter(pa.array(good))
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in own:
+        schema = schema.add(name, kind)
+    band = band.select(F.col("band_lang").alias("rules_band"), *(F.col(c).alias(f"rules_{c}") for c in ("middle", "reach")))
+    measured = docs.mapInArrow(run, schema).join(band, F.col("rules_lang") == F.col("rules_band"), "left")
+    kept = measured.where(~far("rules_ppl", "rules_bytes", short, "rules_"))
+    return kept.drop(*(x for x, _ in own), *band.columns)

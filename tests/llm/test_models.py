@@ -86,6 +86,20 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.limit(0))[0].count() == 0 and quality_rules.keep(docs.limit(0)).count() == 0
 
 
+def test_small_languages_are_judged_by_their_own_band(spark):
+    """A language's verdicts do not depend on how much of another language there is, or on null languages."""
+    rnd = random.Random(13)
+    small = [(k, " ".join("".join(rnd.choices("zqxjvw0189", k=5)) for _ in range(70)), "sm") for k in range(9)]
+    small += [(9, " ".join("".join(rnd.choices("aeiounst", k=5)) for _ in range(70)), "sm")]
+    alone = {r.doc_id: (r.kept, r.log10_ppl) for r in quality_rules.judge(documents(spark, small))[0].collect()}
+    assert [alone[k][0] for k in range(9)] == [True] * 9
+    for lang in ("en", None):
+        docs = documents(spark, small + [(100 + k, prose(rnd, 400), lang) for k in range(420)], parts=3)
+        got = {r.doc_id: (r.kept, r.log10_ppl) for r in quality_rules.judge(docs)[0].where("doc_id < 100").collect()}
+        assert got == alone
+        assert {r.doc_id for r in quality_rules.keep(docs).where("doc_id < 100").collect()} == {k for k, (kept, _) in alone.items() if kept}
+
+
 def held(doc_id, k):
     return zlib.crc32(str(doc_id).encode()) % k == 1
 
