@@ -4,7 +4,7 @@ import time
 
 from footfall.testing import fixtures as fx
 
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 
 
 def test_entry_and_registry(spark):

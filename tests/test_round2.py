@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 from pyspark.sql import functions as F
 
 from footfall import sources

@@ -10,7 +10,7 @@ from footfall.sources import (read_csv_table, read_holidays, read_json_lines, re
 from footfall.sources.sinks import write_csv_table, write_json_lines, write_partitioned
 from footfall.testing import fixtures as fx
 
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 
 
 def _tmp():
