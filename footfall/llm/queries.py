@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, decontaminate, jaccard_join, lm, packing, quality_classifier, quality_rules, suffix_dedup, warc, wavelet
+from footfall.llm import (
+    bit_sliced, chat, decontaminate, jaccard_join, lm, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, warc, wavelet,
+    whitening)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -143,6 +145,35 @@ FROM (SELECT doc_id, min(k) AS k FROM c GROUP BY doc_id) AS m JOIN documents AS
 """
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_bit_sliced_top_k"] = """
+WITH r AS (SELECT vec_id, embedding AS v, len(embedding) AS d, row_number() OVER () AS r FROM embeddings WHERE len(embedding) > 0),
+e AS (SELECT r, vec_id, d, unnest(range(d)) AS p, CAST(unnest(v) AS DOUBLE) AS x FROM r),
+b AS (SELECT DISTINCT r FROM e WHERE x IS NULL OR NOT isfinite(x)),
+u AS (SELECT * FROM e WHERE r NOT IN (SELECT r FROM b)),
+l AS (SELECT d FROM u WHERE p = 0 GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1),
+q AS (SELECT r, vec_id, p, CAST(floor(256 * x) AS BIGINT) AS x FROM u WHERE d = (SELECT d FROM l)),
+s AS (SELECT a.r, a.vec_id AS query_id, c.r AS other, c.vec_id, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM q AS a JOIN q AS c ON a.p = c.p AND a.vec_id IS DISTINCT FROM c.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

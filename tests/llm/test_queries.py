@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op11_embedding_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_bit_sliced_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
@@ -36,7 +39,7 @@ def test_query_has_its_columns_and_matches_its_sql(spark, name):
     assert rows
     if name in ORACLE:
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations"):
+        for t in ("documents", "pages", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(ORACLE[name])
         key = lambda r: tuple((x is not None, x) for x in r)
