@@ -206,3 +206,40 @@ def test_leak_tables_reach_their_target_for_each_size():
     assert set(index.recalls) == {decontaminate.item_class(p.size) for p in index.patterns} and min(index.recalls.values()) >= 0.99
     with pytest.raises(ValueError):
         decontaminate.Index(items, 0.75, recall=1.01)
+
+
+@pytest.mark.parametrize("edit", ["random", "even"])
+def test_decontamination_recall_at_the_limit_by_size_class(edit):
+    """Items with as many characters edited as the match allows, inside other text: at least 0.9 of each
+    size class are found (characters replaced at even distances leave no long stretch whole)."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnoprstuvwz") for _ in range(rnd.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(k, prose(size)) for k, size in enumerate([14] * 60 + [30] * 60 + [60] * 60 + [200] * 20)]
+    index = decontaminate.Index(items, 0.75)
+    assert min(index.recalls.values()) >= 0.99
+    draw = np.random.default_rng(3)
+    change = decontaminate.edited if edit == "random" else decontaminate.spaced
+    texts = []
+    for k, _ in items:
+        code = decontaminate.code_points(" ".join(decontaminate.normal(items[k][1])))
+        changed = change(code, int(0.24 * len(code)), draw).astype("<u4").tobytes().decode("utf-32-le")
+        texts.append(prose(40) + " " + changed + " " + prose(40))
+    found = {}
+    for i, _, raw, off in text_slices(pa.array(texts)):
+        got = {(i + t, item) for t, item, _, _ in index.find(raw, off)}
+        for k, (_, text) in enumerate(items[i:i + len(off) - 1], i):
+            found.setdefault(decontaminate.item_class(len(text)), []).append((k, k) in got)
+    assert len(found) >= 3 and all(np.mean(hits) >= 0.9 for hits in found.values()), {c: np.mean(h) for c, h in found.items()}
+
+
+def test_a_very_long_item_is_indexed_in_bounded_time():
+    import time
+    rnd = random.Random(2)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(4000))
+    begin = time.time()
+    index = decontaminate.Index([(1, long), (2, long[:90])], 0.75)
+    assert time.time() - begin < 30
+    text = "x y z " + long[:12000] + " brief change " + long[12000:] + " tail"
+    got = {item for _, _, raw, off in text_slices(pa.array([text])) for _, item, _, _ in index.find(raw, off)}
+    assert got == {0, 1}
