@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.functions import utc_string
+from footfall.operators.places import numbered_rows
 
 # --- fixed values: element names of the coverage document ---------------------------------------
 POSITIONS_XPATH = '//*[local-name()="positions"]'
@@ -77,13 +78,30 @@ def parse_members(members: DataFrame, field_names: Sequence[str], xml_col: str,
                       *[F.try_element_at("_values", F.lit(nm)).alias(nm) for nm in field_names])
 
 
-def read_coverage(spark: SparkSession, path: str, field_names: Sequence[str]) -> DataFrame:
-    """Coverage files, read member by member: the reader splits a file at the ends of its members,
-    so no file has to fit one row. ``member`` is the rank of a member in its file."""
+def coverage_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The members of coverage files as the reader cuts them: (source, _block, _part, _at, _xml). ``_at``
+    grows by one from a member to the next inside a task."""
     parts = spark.read.text(path, lineSep=MEMBER_END).select(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"), F.regexp_extract("value", r"(?s)<wfs:member[\s>].*", 0).alias("_xml"))
-    parts = parts.where(F.col("_xml") != "").withColumn("_xml", F.concat("_xml", F.lit(MEMBER_END)))
-    order = Window.partitionBy("source").orderBy("_block", "_place")
-    numbered = parts.withColumn("member", F.row_number().over(order) - 1)
+        F.regexp_extract("value", r"(?s)<wfs:member[\s>].*", 0).alias("_xml"))
+    return numbered_rows(parts.where(F.col("_xml") != "").withColumn("_xml", F.concat("_xml", F.lit(MEMBER_END))))
+
+
+def member_offsets(parts: DataFrame) -> DataFrame:
+    """(source, _block, _shift): what a member's ``_at`` is short of, or beyond, its rank in its file.
+
+    Members are counted per input block, and a block's offset is the sum of the counts of the blocks
+    before it in its file: the window sees one row a block, never the XML."""
+    blocks = parts.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return blocks.select("source", "_block", (offset - F.col("_first")).alias("_shift"))
+
+
+def read_coverage(spark: SparkSession, path: str, field_names: Sequence[str]) -> DataFrame:
+    """Coverage files, read member by member: the reader splits a file at the ends of its members,
+    so no file has to fit one row and one large file is many tasks. ``member`` is the rank of a member in
+    its file; the tasks number their members themselves, and only counts per block are shuffled."""
+    parts = coverage_parts(spark, path)
+    numbered = parts.join(member_offsets(parts.drop("_xml")), ["source", "_block"]).withColumn("member", F.col("_at") + F.col("_shift"))
     return parse_members(numbered, field_names, "_xml", keep=["source"])

@@ -1,8 +1,8 @@
 """Boosted-tree regression of visits: one distributed ``GBTRegressor`` over all counters.
 
-The source fits one small booster per counter; here a single model sees every counter, with the
-counter id as an indexed feature when asked, so training is one Spark ML job whose work is split
-by rows, not a driver loop over counters. Tree size maps leaves to depth (9 leaves ~ depth 4,
+A single model sees every counter, with the counter id as an indexed feature when asked, so training
+is one Spark ML job whose work is split by rows, not a driver loop over counters; a small booster per
+counter is ``keyed_trees``. Tree size maps leaves to depth (9 leaves ~ depth 4,
 31 leaves ~ depth 5).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -77,6 +77,52 @@ def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visi
         data.unpersist()
 
 
+def staged_errors(model: PipelineModel, valid: DataFrame, label: str = "visits") -> list[float]:
+    """Mean squared error on ``valid`` after each boosting round: one pass over its rows."""
+    *before, gbt = model.stages
+    data = valid.withColumn(label, F.col(label).cast("double")).where(F.col(label).isNotNull())
+    return list(gbt.evaluateEachIteration(PipelineModel(before).transform(data), "squared"))
+
+
+def patient_rounds(errors: Sequence[float], patience: int = 5, min_gain: float = 1e-9) -> int:
+    """Rounds to keep: the best so far when ``patience`` rounds have passed without a gain on it (a gain
+    is a relative fall of more than ``min_gain``), or the best of all rounds."""
+    best, kept = float("inf"), 0
+    for k, error in enumerate(errors, 1):
+        if error < best * (1 - min_gain) or not kept:
+            best, kept = error, k
+        elif k - kept >= patience:
+            break
+    return kept
+
+
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The same pipeline with the first ``rounds`` trees of its ensemble only."""
+    *before, gbt = model.stages
+    spark = SparkSession.active()
+    jvm, java = spark.sparkContext._jvm, gbt._java_obj
+    trees, weights = list(java.trees())[:rounds], list(gbt.treeWeights)[:rounds]
+    tree_array = spark.sparkContext._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weight_array = spark.sparkContext._gateway.new_array(jvm.double, len(weights))
+    for k, (tree, weight) in enumerate(zip(trees, weights)):
+        tree_array[k], weight_array[k] = tree, weight
+    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), tree_array, weight_array)
+    cut.setFeaturesCol(gbt.getFeaturesCol())
+    cut.setPredictionCol(gbt.getPredictionCol())
+    return PipelineModel([*before, GBTRegressionModel(cut)])
+
+
+def fit_patient_gbt(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str = "visits", patience: int = 5,
+                    max_iter: int = 20, **options) -> tuple[PipelineModel, list[float]]:
+    """Boosting that stops after ``patience`` rounds without gain on ``valid``: (model, staged errors).
+
+    All ``max_iter`` rounds are trained, their errors on ``valid`` come from one more pass, and the
+    ensemble is cut to its best prefix, which is the model that stopping early would have kept."""
+    model = fit_visits_gbt(train, features, label, max_iter=max_iter, **options)
+    errors = staged_errors(model, valid, label)
+    return first_rounds(model, patient_rounds(errors, patience)), errors
+
+
 def predict_visits(model: PipelineModel, df: DataFrame, out_col: str = "visits_pred") -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", out_col).drop("features")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.operators import enrich, load, profiles, regress
+from footfall.operators import enrich, keyed_trees, load, model_table, profiles, regress
 from footfall.operators import forecast as fcst
 from footfall.operators import series as ser
 
@@ -23,6 +23,15 @@ def daily_prediction(hist_daily: DataFrame, horizon: int = 10,
     return load.compute_load(pred, hist_daily)
 
 
+def prediction_from(model: DataFrame, hist_daily: DataFrame, horizon: int = 10, as_of=None) -> DataFrame:
+    """(counterId, date, visits_pred, load) from a saved table of coefficients (``model_table``): nothing is
+    fitted and no Python runs. Without ``as_of`` the days after each counter's last day, with it the day
+    parts of ``horizon`` days from then."""
+    fc = model_table.predict_from(model, horizon=horizon, as_of=as_of)
+    pred = load.clamp_visits(fc.select("counterId", F.col("ds").alias("date"), F.col("yhat").alias("visits_pred")))
+    return load.compute_load(pred, hist_daily)
+
+
 def day_part_series(hist_hour: DataFrame, last_n: int | None = None) -> DataFrame:
     """Day-part roll-up of the hourly history as (counterId, ds, y). The whole history by default;
     ``last_n`` keeps only the last day parts of each counter."""
@@ -157,6 +166,19 @@ def gbt_future_prediction(daily: DataFrame, outlook: DataFrame, holidays: DataFr
     return load.compute_load(load.clamp_visits(pred.select("counterId", F.col("date_day").alias("date"), "visits_pred")), daily)
 
 
+def keyed_gbt_prediction(daily: DataFrame, outlook: DataFrame, holidays: DataFrame | None = None, horizon: int = 10, n_train: int = 14,
+                         config: fcst.ModelConfig = fcst.ModelConfig(), trees: keyed_trees.TreeConfig = keyed_trees.TreeConfig()) -> DataFrame:
+    """As ``gbt_future_prediction``, with an ensemble per counter in place of the shared one: every counter is
+    fitted on its own days, and the predictions of all of them are one table. ``daily`` is read more than
+    once: give it a saved table."""
+    from footfall.session import save_once
+    train = save_once(split_features(daily, n_train, config), "keyed-train").drop("part")
+    names = regress.feature_names(train, "visits", exclude=["counterId"])
+    fitted = keyed_trees.fit_keyed_trees(train, names, "visits", config=trees)
+    pred = keyed_trees.predict_keyed(fitted, future_features(daily, outlook, holidays, horizon, config), names, config=trees)
+    return load.compute_load(load.clamp_visits(pred.select("counterId", F.col("date_day").alias("date"), "visits_pred")), daily)
+
+
 def outlook_by_offset(covariates: DataFrame) -> DataFrame:
     """(counterId, date, temp) outlook rows -> (counterId, offset, temp): the first date is offset 1."""
     first = covariates.groupBy("counterId").agg(F.min("date").alias("_first"))

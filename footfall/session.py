@@ -6,7 +6,6 @@ The library never creates a session inside an operator; callers (tests, bench, t
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -60,11 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this run under the shared checkpoint folder."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def save_once(df, name: str = "table"):
     """Write a table as Parquet into the shared checkpoint folder and read it back: every plan built
     on the result reads the saved columns it needs instead of computing the table again."""
-    import uuid
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,14 +99,3 @@ def ship_package(spark: SparkSession) -> None:
         out.write(buffer.getvalue())
     sc.addPyFile(f"{uri}/footfall.zip")
     sc._footfall_shipped = True
-
-
-def testdata_dir(sf: str = "0.01") -> str:
-    return os.environ.get("FOOTFALL_SF_DIR", f"/root/testdata/sf{sf}")
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (eager): later stages and iterative
-    algorithms read the saved result instead of recomputing, and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

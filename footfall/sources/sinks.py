@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.session import save_once
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -22,19 +24,27 @@ def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite", sep: str
     out.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
-def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
-                      mode: str = "overwrite", order: Sequence[str] = (), buckets: int | None = None) -> None:
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet", mode: str = "overwrite",
+                      order: Sequence[str] = (), buckets: int | None = None, rows_per_file: int = 1_000_000) -> None:
     """One folder per key combination (e.g. per counter and weekday); readers prune by key.
 
-    Rows are repartitioned by the folder keys and sorted, so each folder gets one file, and ``order``
-    sorts its rows (e.g. by hour). It is meant for rolled-up tables, where a folder is small; with
-    ``buckets`` the first key, when it has very many values, is replaced as a folder by a hash
-    bucket of it (column ``bucket``) and stays in the files.
+    The rows of each folder are counted first, and a folder is given as many write tasks, and so files, as
+    it holds ``rows_per_file`` rows, which no file exceeds: a small folder is one file, one with a third of all rows is many. Rows
+    go to a folder's files by a hash of the whole row and of the task that read it (so equal rows spread
+    too), and ``order`` sorts the rows of a file (e.g. by hour). ``df`` is read twice: give it a saved
+    table where it is costly. With ``buckets`` the first key, when it has very many values, is replaced as
+    a folder by a hash bucket of it (column ``bucket``) and stays in the files.
     """
-    keys = list(keys)
+    keys, columns = list(keys), df.columns
     folders = keys
     if buckets:
         df = df.withColumn("bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int"))
         folders = ["bucket", *keys[1:]]
-    (df.repartition(*folders).sortWithinPartitions(*folders, *keys, *order)
-     .write.mode(mode).partitionBy(*folders).format(fmt).save(path))
+    sizes = save_once(df.groupBy(*folders).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")), "sizes")
+    tasks = max(1, sizes.agg(F.sum("_files")).first()[0] or 0)       # a number of its own: not coalesced by bytes
+    named = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(folders)], "_files")
+    same = [df[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(folders)]
+    spread = df.withColumn("_row", F.xxhash64(*columns, F.spark_partition_id()))
+    dealt = spread.join(named, same).withColumn("_file", F.pmod("_row", F.col("_files")))
+    (dealt.repartition(tasks, *folders, "_file").sortWithinPartitions(*folders, "_file", *keys, *order).drop("_row", "_files", "_file", *[f"_k{i}" for i in range(len(folders))])
+     .write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*folders).format(fmt).save(path))

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from footfall.operators.calendar import add_calendar
 from footfall.operators.clean import clean_readings, rejected_readings
 from footfall.operators.enrich import join_weather, mark_holidays
+from footfall.operators.rollup_state import DAILY, DAY_PARTS, RollUp, update_state
 
 
 def stream_raw_readings(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -42,3 +44,21 @@ def start_ingest(spark: SparkSession, folder: str, weather: DataFrame, holidays:
                        .option("checkpointLocation", f"{checkpoint}/rejects").outputMode("append")
                        .trigger(**trigger).start(rejects_path))
     return queries
+
+
+def start_rollups(spark: SparkSession, folder: str, weather: DataFrame, holidays: DataFrame, out_path: str, checkpoint: str,
+                  kinds: dict[str, RollUp] | None = None, tz_offset: str = "+02:00", available_now: bool = True) -> StreamingQuery:
+    """Keep roll-up states up to date from new counter files: each batch's readings are merged into the
+    published states ``out_path/<name>`` (``rollup_state``), the days that they fall on only. The batch
+    number is published with the state, so a batch that is repeated after a failure counts once."""
+    kinds = kinds or {"daily": DAILY, "day_parts": DAY_PARTS}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        hourly = add_calendar(batch, tz_offset)
+        for name, kind in kinds.items():
+            update_state(hourly, f"{out_path.rstrip('/')}/{name}", kind, number)
+
+    raw = stream_raw_readings(spark, folder)
+    trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
+    return (enrich_stream(raw, weather, holidays, tz_offset).writeStream.foreachBatch(merge)
+            .option("checkpointLocation", f"{checkpoint}/rollups").trigger(**trigger).start())

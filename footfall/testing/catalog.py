@@ -15,9 +15,9 @@ from pyspark.sql.types import BooleanType, IntegerType
 
 from footfall import schemas, sources
 from footfall.functions import literal_table
-from footfall.operators import clean, enrich, load, profiles
+from footfall.operators import clean, enrich, load, places, profiles
 from footfall.plans import history
-from footfall.session import save_once
+from footfall.session import save_once, work_folder
 from footfall.testing import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,21 +610,17 @@ def prediction_csv_feed(spark, sf_dir):
     return _date_str(load.to_feed(_csv_rows(lines, header, schemas.PREDICTION), park_id=fx.PARK_EVEN, routes=routes))
 
 
-def _numbered(df):
-    """Sorted rows with their place in the order (a rolled-up table, so one task can number it)."""
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint")
-    return df.withColumn("place", place)
-
-
 @query
 def weekday_profile_sorted(spark, sf_dir):
-    return _numbered(_ints_to_bigint(profiles.weekday_profile(_hourly(spark, sf_dir), "parkCode", sort=True)))
+    """The profiles in their order, with places: no task sees the whole table."""
+    profile = profiles.weekday_profile(_hourly(spark, sf_dir), "parkCode")
+    return places.with_places(_ints_to_bigint(profile), ["parkCode", "weekday", "hour2d"])
 
 
 @query
 def day_part_rollup_sorted(spark, sf_dir):
-    out = profiles.day_part_rollup(_hourly(spark, sf_dir), sort=True)
-    return _numbered(_ints_to_bigint(out.select("counterId", "date_day", "day_part", "visits")))
+    out = _ints_to_bigint(profiles.day_part_rollup(_hourly(spark, sf_dir)).select("counterId", "date_day", "day_part", "visits"))
+    return places.with_places(out, ["date_day", "day_part", "counterId"])
 
 
 # ---- step 7: coverage documents -------------------------------------------------------------------------
@@ -636,3 +632,169 @@ from footfall.operators import coverage  # noqa: E402
 def parse_coverage(spark, sf_dir):
     docs = fx.coverage_docs(_events(spark, sf_dir))
     return coverage.parse_coverage(docs, fx.COVERAGE_FIELDS, "xml", keep=["doc"])
+
+
+@query
+def read_coverage_files(spark, sf_dir):
+    """Coverage files with many members each (one a user, in day order), read and numbered by the tasks."""
+    docs = fx.coverage_docs(_events(spark, sf_dir)).withColumn("user", F.split("doc", "-")[0])
+    folder = work_folder(spark, "coverage")
+    docs.repartition("user").sortWithinPartitions("user", "doc").select("user", "xml").write.partitionBy("user").text(folder)
+    out = coverage.read_coverage(spark, folder, fx.COVERAGE_FIELDS)
+    user = F.regexp_extract("source", "user=([0-9]+)", 1).cast("bigint").alias("user")
+    return out.select(user, "member", "point", "x", "y", "time", *fx.COVERAGE_FIELDS)
+
+
+# ---- step 8: coefficient tables, sparse trends, trees per counter ----------------------------------------
+
+from footfall.operators import keyed_trees, model_table  # noqa: E402
+
+
+@query
+def trend_model(spark, sf_dir):
+    """The fitted coefficients of a straight line, one row a counter."""
+    model = model_table.fit_coefficients(series.to_series(_history_daily(spark, sf_dir)), TREND, unique=True)
+    first = F.date_add(F.lit("1970-01-01").cast("date"), F.col("t0").cast("int"))
+    return model.select("counterId", "n", "last_day", F.date_format(first, "yyyy-MM-dd").alias("first_day"),
+                        F.round(F.col("trend")[0] * F.col("scale"), 2).alias("start"),
+                        F.round(F.col("trend")[1] * F.col("scale") / F.col("span"), 5).alias("slope"))
+
+
+@query
+def trend_model_forecast(spark, sf_dir):
+    """Predictions from a saved coefficient table, in generated code."""
+    model = save_once(model_table.fit_coefficients(series.to_series(_history_daily(spark, sf_dir)), TREND, unique=True), "model")
+    return model_table.predict_from(model, horizon=10).select("counterId", "ds", F.round("yhat", 2).alias("yhat"))
+
+
+@query
+def trend_model_prediction(spark, sf_dir):
+    """The load of the days to come from a saved coefficient table."""
+    daily = _history_daily(spark, sf_dir)
+    model = save_once(model_table.fit_coefficients(series.to_series(daily), TREND, unique=True), "model")
+    return _rounded_load(predictions.prediction_from(model, daily))
+
+
+# eight places for changes, at 0.1 ... 0.8 of a history
+BROKEN = fcst.ModelConfig(n_changepoints=8, yearly=False, weekly=False, daily=False, trend_prior=1e6, changepoint_prior=10.0)
+
+
+def _broken_lines(spark, sf_dir):
+    """The dates of each counter's history with a line that changes its slope from 2 to 5 in the middle."""
+    days = _history_daily(spark, sf_dir).select("counterId", F.to_date("date_day").alias("d"))
+    ends = days.groupBy("counterId").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    t = F.datediff("d", "lo")
+    half = F.datediff("hi", "lo") / 2
+    return days.join(ends, "counterId").select("counterId", F.date_format("d", "yyyy-MM-dd").alias("ds"), (100 + 2 * t + 3 * F.greatest(F.lit(0.0), t - half)).alias("y"))
+
+
+@query
+def sparse_trend_changes(spark, sf_dir):
+    """A series without noise with one break: the changes of the trend that are not zero."""
+    model = model_table.fit_coefficients(_broken_lines(spark, sf_dir), BROKEN, unique=True)
+    return model_table.changes(model).select("counterId", "day", F.round("change", 2).alias("change"))
+
+
+@query
+def sparse_trend_forecast(spark, sf_dir):
+    model = model_table.fit_coefficients(_broken_lines(spark, sf_dir), BROKEN, unique=True)
+    return model_table.predict_from(model, horizon=10).select("counterId", "ds", F.round("yhat", 1).alias("yhat"))
+
+
+def _holiday_features(spark, sf_dir):
+    return regress.feature_table(_history_daily(spark, sf_dir), keep=["counterId", "date_day"]).select("counterId", "date_day", "holiday", "visits")
+
+
+@query
+def keyed_boosting(spark, sf_dir):
+    """Seven rounds of boosting per counter on the holiday flag: each round closes 5 % of what is left."""
+    feats = _holiday_features(spark, sf_dir)
+    config = keyed_trees.TreeConfig(depth=1, min_rows=1)
+    pred = keyed_trees.predict_keyed(keyed_trees.fit_keyed_trees(feats, ["holiday"], config=config), feats, ["holiday"], config=config)
+    return pred.groupBy("counterId", F.col("holiday").cast("bigint").alias("holiday")).agg(
+        F.count("*").alias("n"), F.round(F.min("visits_pred"), 4).alias("low"), F.round(F.max("visits_pred"), 4).alias("high"))
+
+
+@query
+def keyed_gbt_prediction(spark, sf_dir):
+    """An ensemble per counter for the ten days after its last day, combined into one table."""
+    daily = save_once(_daily_with_routes(spark, sf_dir), "daily")
+    outlook = predictions.outlook_by_offset(series.future_covariates(profiles.distinct_keys(daily)))
+    holidays = sources.parse_holidays(fx.holiday_lines(spark))
+    return predictions.keyed_gbt_prediction(daily, outlook, holidays, trees=keyed_trees.TreeConfig(min_rows=2))
+
+
+@query
+def patient_boosting(spark, sf_dir):
+    """Boosting on the holiday flag with patience: the first tree holds the group means, later ones gain
+    nothing on the later days, so one round is kept."""
+    parts = save_once(series.ordered_split(_holiday_features(spark, sf_dir), 400), "patient")
+    train, valid = (parts.where(F.col("part") == p).drop("part", "rn") for p in ("train", "test"))
+    model, errors = regress.fit_patient_gbt(train, valid, ["holiday"], max_iter=8, max_depth=1)
+    error = regress.regression_error(regress.predict_visits(model, valid))
+    return error.select("n", F.round("rmse", 4).alias("rmse"), F.lit(model.stages[-1].getNumTrees).cast("bigint").alias("rounds"),
+                        F.lit(len(errors)).cast("bigint").alias("trained"))
+
+
+# ---- step 9: tables that grow and tables that are replaced -----------------------------------------------
+
+from footfall.operators import rollup_state  # noqa: E402
+from footfall.sources.publish import publish, read_published  # noqa: E402
+from footfall.sources.sinks import write_partitioned  # noqa: E402
+
+
+def _in_batches(spark, sf_dir, kind):
+    """The published state after three batches of readings: early days, later days, and late readings of
+    all days."""
+    hourly = _saved_hourly(spark, sf_dir)
+    path = work_folder(spark, "state")
+    late = F.col("measurmentId") % 5 == 0
+    for batch, rows in enumerate([hourly.where(~late & (F.col("day") < 15)), hourly.where(~late & (F.col("day") >= 15)), hourly.where(late)]):
+        rollup_state.update_state(rows, path, kind, batch)
+    return rollup_state.read_state(spark, path)
+
+
+@query
+def incremental_daily_rollup(spark, sf_dir):
+    return rollup_state.finish_daily(_in_batches(spark, sf_dir, rollup_state.DAILY))
+
+
+@query
+def incremental_day_part_rollup(spark, sf_dir):
+    return _ints_to_bigint(rollup_state.finish_day_parts(_in_batches(spark, sf_dir, rollup_state.DAY_PARTS)))
+
+
+@query
+def incremental_historic_max(spark, sf_dir):
+    return rollup_state.historic_max_of(_in_batches(spark, sf_dir, rollup_state.DAILY))
+
+
+@query
+def republished_days(spark, sf_dir):
+    """A published daily table whose even days are replaced by a second version; the odd ones stay."""
+    daily = save_once(_daily(spark, sf_dir).select("parkCode", "counterIdPave", "visits", "date_day"), "daily")
+    path = work_folder(spark, "published")
+    even = F.dayofmonth(F.to_date("date_day")) % 2 == 0
+    publish(daily.withColumn("visits", F.when(even, -1).otherwise(F.col("visits")).cast("bigint")), path, partition_by="date_day")
+    publish(daily.where(even), path, partition_by="date_day", replace_parts=True)
+    return read_published(spark, path)
+
+
+@query
+def partitioned_readings(spark, sf_dir):
+    """Readings in one folder a park (each holds half of all rows), read back: rows, visits, and whether a
+    folder with more rows than a file should hold is several files."""
+    readings = save_once(clean_readings(spark, sf_dir), "readings")
+    folder = work_folder(spark, "by-park")
+    write_partitioned(readings, folder, ["parkCode"], order=["counterId", "startDate"], rows_per_file=fx.ROWS_PER_FILE)
+    back = spark.read.parquet(folder).withColumn("file", F.input_file_name())
+    return back.groupBy(F.col("parkCode").cast("bigint").alias("parkCode")).agg(
+        F.count("*").alias("n"), F.sum("visits").alias("visits"), (F.countDistinct("file") > 1).alias("several_files"))
+
+
+@query
+def partitioned_profiles(spark, sf_dir):
+    """Weekday profiles in a folder per counter and weekday, read back."""
+    folder = work_folder(spark, "profiles")
+    history.write_weekday_profiles(_saved_hourly(spark, sf_dir), folder, key="parkCode")
+    return _ints_to_bigint(spark.read.parquet(folder).select(F.col("parkCode").cast("bigint").alias("parkCode"), "weekday", "hour2d", "visits_mean"))

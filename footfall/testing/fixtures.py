@@ -30,6 +30,7 @@ HOLIDAY_LINES = [
     "25/12/2023,Mon,Christmas Day,National holiday",
 ]
 AS_OF = "2024-01-01"
+ROWS_PER_FILE = 2000                       # of a folder that is written in parts
 # ------------------------------------------------------------------------------------------------
 
 

@@ -461,3 +461,50 @@ register("gbt_future_prediction_frame", """
     FROM (SELECT counterId, max(CAST(date_day AS DATE)) AS last FROM daily_routes GROUP BY counterId), generate_series(1, 10) g(i)""", "daily_routes")
 _NAMES = ", ".join(f"('{n}')" for n in [*M, "cordNorth", "coordSouth", "month", "day", "holiday", "yhat"])
 register("feature_importance_frame", f"SELECT f AS feature, true AS usable, CAST(1.0 AS DOUBLE) AS total FROM (VALUES {_NAMES}) v(f)")
+
+
+# ---- coefficient tables, sparse trends, trees per counter ------------------------------------------------
+
+register("trend_model", """
+    SELECT p.counterId, count(y) AS n, max(date_day) AS last_day, min(date_day) AS first_day, round(any_value(a) + any_value(b) * min(t), 2) AS start,
+           round(any_value(b), 5) AS slope
+    FROM line_points p JOIN lines l ON l.counterId = p.counterId GROUP BY p.counterId""", "line_points", "lines")
+ORACLE["trend_model_forecast"] = ORACLE["trend_forecast"]
+ORACLE["trend_model_prediction"] = ORACLE["trend_daily_prediction"]
+CTE["ends"] = "SELECT counterId, min(CAST(date_day AS DATE)) AS lo, max(CAST(date_day AS DATE)) AS hi FROM history_daily GROUP BY counterId"
+DEPS["ends"] = ["history_daily"]
+register("sparse_trend_changes", "SELECT counterId, strftime(lo + CAST(floor((hi - lo) / 2.0) AS INTEGER), '%Y-%m-%d') AS day, CAST(3 AS DOUBLE) AS change FROM ends", "ends")
+register("sparse_trend_forecast", """
+    SELECT counterId, strftime(hi + CAST(i AS INTEGER), '%Y-%m-%d') AS ds,
+           round(CAST(100 + 2 * (hi - lo + i) + 3 * (hi - lo + i - (hi - lo) / 2.0) AS DOUBLE), 1) AS yhat
+    FROM ends, generate_series(1, 10) g(i)""", "ends")
+register("keyed_boosting", """
+    SELECT counterId, holiday, n, round(base + (m - base) * (1 - pow(0.95, 7)), 4) AS low, round(base + (m - base) * (1 - pow(0.95, 7)), 4) AS high
+    FROM (SELECT counterId, CAST(holiday AS BIGINT) AS holiday, count(*) AS n, avg(visits) AS m FROM history_daily GROUP BY ALL)
+    JOIN (SELECT counterId, avg(visits) AS base FROM history_daily GROUP BY counterId) USING (counterId)""", "history_daily")
+register("patient_boosting", """
+    SELECT count(*) AS n, round(sqrt(avg((visits - m) * (visits - m))), 4) AS rmse, CAST(1 AS BIGINT) AS rounds, CAST(8 AS BIGINT) AS trained
+    FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY date_day) AS rn FROM history_daily) v
+    JOIN (SELECT holiday, avg(visits) AS m
+          FROM (SELECT *, row_number() OVER (PARTITION BY counterId ORDER BY date_day) AS rn FROM history_daily) WHERE rn <= 400 GROUP BY holiday) t
+      ON t.holiday = v.holiday WHERE rn > 400""", "history_daily")
+
+# ---- tables that grow and tables that are replaced -------------------------------------------------------
+
+ORACLE["incremental_daily_rollup"] = ORACLE["daily_rollup"]
+ORACLE["incremental_day_part_rollup"] = ORACLE["day_part_rollup"]
+register("incremental_historic_max", "SELECT counterId, visits_max FROM daily_max", "daily_max")
+register("republished_days", "SELECT parkCode, counterIdPave, visits, date_day FROM daily", "daily")
+register("partitioned_readings", f"""
+    SELECT parkCode, count(*) AS n, CAST(sum(visits) AS BIGINT) AS visits, count(*) > {fx.ROWS_PER_FILE} AS several_files FROM readings GROUP BY parkCode""", "ev", "readings")
+register("partitioned_profiles", "SELECT parkCode, weekday, hour2d, avg(visits) AS visits_mean FROM hourly GROUP BY parkCode, weekday, hour2d", "hourly")
+register("read_coverage_files", f"""
+    SELECT user_id AS user, member,
+           point, CAST(user_id AS DOUBLE) AS x, CAST(event_id AS DOUBLE) AS y,
+           strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS time,
+           value AS {fx.COVERAGE_FIELDS[0]}, CAST(event_id % 7 AS DOUBLE) AS {fx.COVERAGE_FIELDS[1]}
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day, odd) - 1 AS member,
+                 row_number() OVER (PARTITION BY user_id, day, odd ORDER BY event_id) - 1 AS point,
+                 row_number() OVER (PARTITION BY user_id, day, odd ORDER BY event_id DESC) AS back
+          FROM (SELECT *, CAST(ts AS DATE) AS day, event_id % 2 AS odd FROM events))
+    WHERE NOT (user_id % 2 = 1 AND back = 1)""")

@@ -17,7 +17,7 @@ def test_entry_and_registry(spark):
     rows_only = {n for n in set(qs) - set(sql) if not n.startswith("op") and n != "pipeline"}
     assert rows_only <= {"fit_forecast", "backcast", "evaluate_holdout", "daily_prediction",
                          "day_part_prediction", "day_part_prediction_pooled", "fit_visits_gbt",
-                         "feature_importance", "gbt_future_prediction"}
+                         "feature_importance", "gbt_future_prediction", "keyed_gbt_prediction"}
 
 
 def _plan(df):

@@ -18,6 +18,7 @@ from footfall.operators import clean, enrich, load
 from footfall.operators import forecast as fcst
 from footfall.operators import series as ser
 from footfall.plans import jobs, predictions
+from footfall.sources.publish import read_published
 from footfall.sources.sinks import write_csv_table, write_partitioned
 from footfall.testing import fixtures as fx
 
@@ -166,11 +167,11 @@ def test_jobs_from_files_to_feed(spark):
              write_lines(fx.holiday_lines(spark), f"{out}/in/holidays")]
     feed = jobs.run_all(spark, *paths, f"{out}/tables", "2024-02-01", horizon=3)
     import __spark_entry__ as E
-    daily = spark.read.parquet(f"{out}/tables/history_daily")
+    daily = read_published(spark, f"{out}/tables/history_daily")
     want = {(r.counterId, r.date_day): r.visits for r in E.queries()["daily_rollup"](spark, SF_SMALL).collect()}
     assert {(r.counterId, r.date_day): r.visits for r in daily.collect()} == want
     counters = daily.select("counterId").distinct().count()
-    assert feed.count() == 3 * counters and spark.read.parquet(f"{out}/tables/prediction_day_part").count() == 9 * counters
+    assert feed.count() == 3 * counters and read_published(spark, f"{out}/tables/prediction_day_part").count() == 9 * counters
     for t in jobs.TABLES:
         assert os.path.isdir(f"{out}/tables/{t}"), t
 
