@@ -4,7 +4,8 @@ A sequence has three limits: tokens, segments (pieces) and loss-bearing tokens.
 than a sequence are cut into full sequences; what is left of each document is an item with three
 sizes. The open sequence takes, of the items that fit, the one whose sizes have the largest dot
 product with what the sequence has left of each limit (both as shares of the limits); when nothing
-fits and the gap is worth it, an item is cut to fill it. Each task packs its own documents from a
+fits and the gap is worth it, the item whose head fills most of it within the limits is cut: a sequence
+that is full of loss-bearing tokens takes the prompt of another document. Each task packs its own documents from a
 bounded pool, so there is no shuffle and each task pads at most its last sequence noticeably. A
 sequence is padded to the token limit, except where its length is a power of two.
 
@@ -76,6 +77,7 @@ class Packer:
             return
         items, self.items = self.items, []
         size = np.array([[len(x[2]), 1, self.loss(x[1], len(x[2]), x[4])] for x in items], np.float64)
+        prompt = np.array([max(0, x[4] - x[1]) for x in items], np.float64)  # tokens of an item before its first loss-bearing one
         share = size / self.limit
         alive = np.ones(len(items), bool)
         waiting = len(items)
@@ -92,17 +94,16 @@ class Packer:
                 waiting -= 1
             gap = int(room[0])
             if waiting and gap >= self.min_cut and room[1] >= 1:
-                # nothing fits whole: cut the longest item so that its head fills the gap
-                k = int(np.argmax(np.where(alive, size[:, 0], -1.0)))
+                # nothing fits whole: cut the item whose head fills most of the gap, of these the longest
+                heads = np.minimum(np.minimum(gap, size[:, 0] - 1), np.maximum(prompt, 1) + room[2])
+                k = int(np.argmax(np.where(alive, heads * (self.max_tokens + 1) + size[:, 0], -1.0)))
                 doc_id, start, ids, n, loss_from = items[k]
-                head = min(gap, len(ids) - 1)
-                if self.loss(start, head, loss_from) > room[2]:
-                    head = min(head, max(int(room[2]) + 1, loss_from - start))
+                head = int(heads[k])
                 if head >= self.min_cut:
                     chosen.append((doc_id, start, ids[:head], n, loss_from))
                     items[k] = (doc_id, start + head, ids[head:], n, loss_from)
                     size[k] = len(ids) - head, 1, self.loss(start + head, len(ids) - head, loss_from)
-                    share[k] = size[k] / self.limit
+                    share[k], prompt[k] = size[k] / self.limit, max(0, loss_from - start - head)
             self.emit(chosen)
         self.items = [x for x, a in zip(items, alive) if a]
 
@@ -112,12 +113,12 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments: int = 512, max_loss: int = 1024,
-         min_cut: int = 8, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
+         min_cut: int = 8, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, loss_share: float = 1.0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
     sequence's tokens and padded length.
 
     ``loss_col`` counts a document's loss-bearing tokens, which are its last ones (the answer of an
-    instruction pair); without it all tokens bear loss.
+    instruction pair); without it the last ``loss_share`` of a document's tokens bear loss.
     """
     if min(max_tokens, max_segments, max_loss, min_cut) < 1:
         raise ValueError("limits must be at least 1")
@@ -135,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments:
                 for k in range(i, j):
                     own = np.append(ids[at[k - i]:at[k - i + 1]], np.int32(END_ID))
                     bearing = losses[k]
-                    packer.add(ids_of[k], own, 0 if bearing is None else max(0, len(own) - bearing))
+                    packer.add(ids_of[k], own, max(0, len(own) - (int(loss_share * len(own)) if bearing is None else bearing)))
                     if len(packer.items) >= POOL:
                         packer.pack(POOL // 2)
                 yield packer.rows()

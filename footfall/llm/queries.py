@@ -32,9 +32,14 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(table(spark, sf_dir, "documents"), byte_bpe()).drop("shard_file")
 
 
+# every limit binds: at most 16 pieces, and 1000 tokens of answers; documents have no roles, so the first
+# quarter of each is its prompt and the rest its answer
+PACKING = {"max_tokens": 1024, "max_segments": 16, "max_loss": 1000, "loss_share": 0.75}
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), **PACKING)
 
 
 @query

@@ -170,3 +170,48 @@ def test_plain_text_is_not_escaped():
     turn, start, length = chat.render("user", "a # b < c: d")
     assert turn == "### User: a # b < c: d </turn>\n" and turn[start:start + length] == "a # b < c: d"
     assert chat.parse_turns("### User: x") == [] and chat.parse_turns("### Nobody: x </turn>\n") == []
+
+
+def test_every_registered_packing_limit_binds_and_padding_stays_small(spark):
+    """Short documents meet the segment limit, long answers the loss limit; prompts of other documents fill
+    what the loss limit leaves."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 7)))
+    rows = [(k, " ".join(word() for _ in range(rnd.choice([1, 3, 8])))) for k in range(900)]
+    rows += [(1000 + k, " ".join(word() for _ in range(rnd.randrange(300, 4000)))) for k in range(30)]
+    limits = queries.PACKING
+    got = packing.pack(documents(spark, rows), queries.byte_bpe(), **limits).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    segments = {s: len(own) for s, own in sequences.items()}
+    loss = {s: sum(packing.Packer.loss(r.start, r.length, r.doc_tokens - int(limits["loss_share"] * r.doc_tokens)) for r in own) for s, own in sequences.items()}
+    tokens = {s: sum(r.length for r in own) for s, own in sequences.items()}
+    assert max(segments.values()) == limits["max_segments"] and sum(v == limits["max_segments"] for v in segments.values()) > 3
+    assert max(loss.values()) == limits["max_loss"] and sum(v == limits["max_loss"] for v in loss.values()) > 3
+    assert max(tokens.values()) == limits["max_tokens"]
+    full = [s for s in sequences if segments[s] < limits["max_segments"]]
+    assert sum(limits["max_tokens"] - tokens[s] for s in full) < 0.03 * limits["max_tokens"] * len(full) + 4 * limits["max_tokens"]
+
+
+def test_packing_takes_the_item_with_the_largest_dot_product():
+    """The choice in a sequence, against the heuristic written out plainly."""
+    rnd = random.Random(9)
+    packer = packing.Packer(100, 5, 60, 8, 0)
+    sizes = [(rnd.randrange(1, 90), rnd.random()) for _ in range(40)]
+    for k, (n, share) in enumerate(sizes):
+        packer.add(k, np.arange(n, dtype=np.int32), n - int(share * n))
+    waiting = [(x[0], x[1], len(x[2]), x[4]) for x in packer.items]
+    packer.pack(len(packer.items) - 1)
+    first = [(r[0], r[1]) for r in packer.done if r[5] == 0]
+    room, want = [100, 5, 60], []
+    while True:
+        fits = [(w, (w[2], 1, packer.loss(w[1], w[2], w[3]))) for w in waiting]
+        fits = [(w, v) for w, v in fits if all(a <= b for a, b in zip(v, room))]
+        if not fits:
+            break
+        w, v = max(fits, key=lambda x: sum(a / c * (b / c) for a, b, c in zip(x[1], room, (100, 5, 60))))
+        want.append((w[0], w[1]))
+        waiting.remove(w)
+        room = [a - b for a, b in zip(room, v)]
+    assert first[:len(want)] == want and len(first) - len(want) <= 1
