@@ -1,16 +1,18 @@
 """Quality rules: base counts and n-gram perplexity bands.
 
-The language model is modified Kneser-Ney over symbols: every byte falls into one of 32 classes (white
-space, 26 letters with case folded, digits, punctuation, other marks, bytes of non-ASCII characters,
-control bytes), so an order-4 model has at most 2^20 n-grams a language. Spark counts them over all
-texts with map-side sums; every language has a model and a band of its own, whatever its share of the
-corpus. Spark groups build the models, one a language, as sorted hash arrays of proven size in files
-under the shared folder; a task reads those of its texts' languages, keeps the latest few, and looks
-up the distinct n-grams of a slice by binary search.
+The language model is modified Kneser-Ney over characters of every script: a symbol is a code point in lower
+case (digits are one symbol, white space is one, code points beyond the first plane share the private
+range), so an order-4 n-gram is exactly 64 bits. Spark counts them over all texts with sums in the tasks
+first; every language has a model and a band of its own, whatever its share of the corpus. A model holds
+all n-grams of its language, or from CAPACITY on those that are frequent enough to be so many: what the
+cut leaves out backs off to lower orders. Spark groups build the models, one a language, as sorted hash
+arrays of proven size in files under the shared folder; a task reads those of its texts' languages, keeps
+the latest few, and looks up the distinct n-grams of a slice by binary search.
 
 A document is rejected by the base rules, or when the log10 perplexity of a symbol lies outside its
 language's band. The band is the median of the documents that pass the base rules, plus and minus
-``width`` times the median distance from it, widened for short texts whose mean varies more.
+``width`` times the median distance from it, widened for short texts whose mean varies more. A model is
+fitted on the texts that it judges, so a language that consists of junk alone has its junk in its band.
 
 Null texts have no words and fail the base rules; a null language counts as the language ''. Ties
 and repeated rows are judged alike, row by row. An empty table gives an empty result.
@@ -24,16 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from footfall.llm.common import Committer, get, owns_worker, relax, saved, work_dir
 from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, slices, text_bytes, words
 
-ORDER, BITS = 4, 5
-CELLS = 1 << (ORDER * BITS)
-HELD = 32  # models that a worker keeps, of some MB each
+ORDER, BITS = 4, 16
+CAPACITY = 1 << 20  # n-grams of the highest order in a model at most
+GATHERED = 1 << 21  # distinct n-grams that a task sums before it sends them
+HELD = 8  # models that a worker keeps, of some 25 MB each
+UNIFORM = 1.0 / (1 << BITS)
+# classes of bytes, for the classifier's statistics
 SYMBOL = np.full(256, 31, np.uint8)
 SYMBOL[0x21:0x7F] = 29
 SYMBOL[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -78,18 +83,37 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
-def codes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The packed n-gram that ends at each byte; before a text's first byte stands white space."""
+def _symbol_table() -> np.ndarray:
+    """Symbol of each code point of the first plane: lower case, one digit, one white space."""
+    out = np.arange(1 << 16, dtype=np.uint16)
+    for k in range(1 << 16):
+        c = chr(k)
+        if k in (0x20, 9, 10, 11, 12, 13):
+            out[k] = 0x20
+        elif c.isdigit():
+            out[k] = 0x30
+        elif len(c.lower()) == 1 and ord(c.lower()) < 1 << 16:
+            out[k] = ord(c.lower())
+    return out
+
+
+OF_POINT = _symbol_table()
+
+
+def codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the packed n-gram that ends at each character, offsets of the texts in characters); before a text's
+    first character stands white space."""
     n, pad = len(off) - 1, ORDER - 1
-    size = np.diff(off)
-    place = np.arange(len(raw), dtype=np.int32 if len(raw) < 1 << 30 else np.int64)
-    place += np.repeat((pad * np.arange(1, n + 1)).astype(place.dtype), size)
-    symbols = np.zeros(len(raw) + pad * n, np.int32)
-    symbols[place] = SYMBOL[raw]
-    code = symbols.copy()
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
+    symbol = OF_POINT[np.where(points < 1 << 16, points, 0xE000 + points % 0x1900)]
+    place = np.arange(len(points)) + np.repeat(pad * np.arange(1, n + 1), np.diff(begin))
+    padded = np.full(len(points) + pad * n, 0x20, np.uint64)
+    padded[place] = symbol
+    code = padded.copy()
     for k in range(1, ORDER):
-        code[k:] |= symbols[:-k] << (BITS * k)
-    return code[place] & (CELLS - 1)
+        code[k:] |= padded[:-k] << np.uint64(BITS * k)
+    return code[place], begin
 
 
 def by_language(b: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,46 +125,81 @@ def by_language(b: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str,
             yield x, at, *text_bytes(b.column(text).take(pa.array(at)))
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all texts; a task holds one counter of 2^20 cells for each of a few languages."""
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of several counted lists, in order, with their sums."""
+    code, count = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(count, first) if len(first) else count
 
-    def rows(lang, cells):
-        code = np.flatnonzero(cells)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(cells[code])], schema=schema)
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.append(first, len(code)))
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """(lang, code, n) over all texts; a task sends what it has summed whenever that is GATHERED long."""
+    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns_worker("rules")
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+
+        def rows(lang):
+            code, n = summed(held.pop(lang))
+            for a in range(0, len(code), 1 << 18):
+                own = code[a:a + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n[a:a + len(own)].astype(np.int64))], schema=schema)
+
         for b in batches:
             for lang, _, raw, off in by_language(b, 0, 1):
-                if lang not in held and len(held) == 8:
-                    for x in sorted(held):
-                        yield rows(x, held.pop(x))
-                if lang not in held:
-                    held[lang] = np.zeros(CELLS, np.int64)
-                held[lang] += np.bincount(codes(raw, off), minlength=CELLS)
-        for x in sorted(held):
-            yield rows(x, held.pop(x))
-
-    return (docs.select("lang", "text").mapInArrow(run, "lang string, code int, n long")
+                parts = held.setdefault(lang, [])
+                parts.append(counted(codes(raw, off)[0]))
+                if len(parts) == 16:
+                    held[lang] = [summed(parts)]
+                while sum(len(c) for own in held.values() for c, _ in own) > GATHERED:
+                    most = max(held, key=lambda x: sum(len(c) for c, _ in held[x]))
+                    yield from rows(most)
+            relax()
+        for lang in sorted(held):
+            yield from rows(lang)
+
+    return (docs.select("lang", "text").mapInArrow(run, "lang string, code long, n long")
             .groupBy("lang", "code").agg(F.sum("n").alias("n")))
 
 
+def frequent(counts: DataFrame, capacity: int) -> DataFrame:
+    """The n-grams of each language, or the most frequent ones where there are more than ``capacity``: those
+    met at least as often as the least number that leaves no more."""
+    steps = counts.groupBy("lang", "n").agg(F.count("*").alias("grams"))     # counts of counts
+    more = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = (steps.withColumn("grams", F.sum("grams").over(more)).where(F.col("grams") <= capacity)
+             .groupBy(F.col("lang").alias("cut_lang")).agg(F.min("n").alias("least")))
+    return counts.join(least, counts["lang"].eqNullSafe(least["cut_lang"])).where(F.col("n") >= F.col("least")).select("lang", "code", "n")
+
+
+def low_bits(code: np.ndarray, order: int) -> np.ndarray:
+    """The last symbols of packed n-grams."""
+    return code if order >= ORDER else code & np.uint64((1 << BITS * order) - 1)
+
+
 def kneser_ney(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed n-grams of all orders with their order, log10 probability and back-off weight.
+    """Hashes of the n-grams of all orders, their log10 probabilities and back-off weights.
 
     Lower orders count distinct left neighbours. Each order discounts counts of 1, 2 and at least 3
     by amounts from its counts of counts and hands the rest to the order below; below order 1 stands
-    the uniform distribution over the 32 symbols.
+    the uniform distribution over all symbols.
     """
     levels = []
     for order in range(ORDER, 0, -1):
         rank = np.argsort(code)
         levels.append((order, code[rank], count[rank].astype(np.float64)))
-        code, count = np.unique(code[rank] & ((1 << (BITS * (order - 1))) - 1), return_counts=True)
+        code, count = np.unique(low_bits(code, order - 1), return_counts=True)
     keys, probs = [], []
-    below = np.full(1, 1.0 / (1 << BITS))
+    below = np.full(1, UNIFORM)
     weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for order, code, count in reversed(levels):
         n1, n2, n3, n4 = (float((count == k).sum()) for k in (1, 2, 3, 4))
@@ -148,35 +207,34 @@ def kneser_ney(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
         d = np.array([0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9])
         d = np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
         take = np.minimum(count, d[np.minimum(count, 3).astype(int)])
-        context, at = np.unique(code >> BITS, return_inverse=True)
+        context, at = np.unique(code >> np.uint64(BITS), return_inverse=True)
         total = np.bincount(at, count)
         gamma = np.bincount(at, take) / total
-        lower = code & ((1 << (BITS * (order - 1))) - 1)
-        base = below[0] if order == 1 else below[np.searchsorted(keys[-1], lower)]
+        base = below[0] if order == 1 else below[np.searchsorted(keys[-1], low_bits(code, order - 1))]
         below = (count - take) / total[at] + gamma[at] * base
         keys.append(code)
         probs.append(below)
         weights[order - 1] = (context, gamma)  # of the contexts of this order
     out_key, out_p, out_w = [], [], []
-    floor = (1.0 / (1 << BITS)) * (weights[0][1][0] if len(weights[0][1]) else 1.0)
+    floor = UNIFORM * (weights[0][1][0] if len(weights[0][1]) else 1.0)
     for order, (code, p) in enumerate(zip(keys, probs), 1):
         w = np.ones(len(code))
         if order in weights:
             context, gamma = weights[order]
             at = np.minimum(np.searchsorted(context, code), len(context) - 1)
             w = np.where(context[at] == code, gamma[at], 1.0)
-        out_key.append(code.astype(np.int64) | order << 40)
+        out_key.append(slot(code, order))
         out_p.append(np.log10(p))
         out_w.append(np.log10(np.maximum(w, 1e-12)))
-    out_key.append(np.zeros(1, np.int64))  # order 0: a symbol that was never seen
+    out_key.append(slot(np.zeros(1, np.uint64), 0))  # order 0: a symbol that was never seen
     out_p.append(np.log10([floor]))
     out_w.append(np.zeros(1))
     return np.concatenate(out_key), np.concatenate(out_p), np.concatenate(out_w)
 
 
-def slot(key: np.ndarray) -> np.ndarray:
-    """Hash of a packed n-gram; different n-grams have different hashes."""
-    return mix(key.astype(np.uint64))
+def slot(code: np.ndarray, order: int) -> np.ndarray:
+    """Hash of packed n-grams of one order; n-grams of one order never share a hash."""
+    return mix(code ^ np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1))
 
 
 _PARTS: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # (folder, file) -> model, latest last
@@ -206,74 +264,69 @@ class Model:
         """log10 probability of the last symbol of each n-gram; unseen ones back off to lower orders."""
         part, out = self.part(lang), np.zeros(len(code))
         if part is None:
-            return out - np.log10(1 << BITS)
+            return out + np.log10(UNIFORM)
         hashes, log_p, weight = part
 
-        def find(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            h = slot(key)
+        def find(low: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+            h = slot(low, order)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             return at, hashes[at] == h
 
         todo = np.arange(len(code))
         for order in range(ORDER, -1, -1):
-            low = (code[todo] & ((1 << (BITS * order)) - 1)).astype(np.int64) | order << 40
-            at, hit = find(low)
+            low = low_bits(code[todo], order) if order else np.zeros(len(todo), np.uint64)
+            at, hit = find(low, order)
             if order == 0:
                 out[todo] += log_p[at]
                 break
             out[todo[hit]] += log_p[at[hit]]
             todo, low = todo[~hit], low[~hit]
-            context = ((low & ((1 << 40) - 1)) >> BITS) | (order - 1) << 40
             if order > 1:
-                at, hit = find(context)
+                at, hit = find(low >> np.uint64(BITS), order - 1)
                 out[todo[hit]] += weight[at[hit]]
         return out
 
-    def mean_log10(self, raw: np.ndarray, off: np.ndarray, lang: str) -> np.ndarray:
-        """log10 perplexity of a symbol for each text; NaN where there is none."""
-        code = codes(raw, off)
-        cells = np.zeros(CELLS, bool)
-        cells[code] = True
-        distinct = np.flatnonzero(cells)
-        value = np.zeros(CELLS, np.float32)
-        value[distinct] = self.log10(distinct, lang)
-        total = np.diff(np.concatenate([[0.0], np.cumsum(value[code], dtype=np.float64)])[off])
-        size = np.diff(off)
-        return np.where(size > 0, -total / np.maximum(size, 1), np.nan)
-
-
-def fit(docs: DataFrame) -> Model:
-    """Count n-grams over all texts and build every language's model from its at most 2^20 counts."""
+    def mean_log10(self, raw: np.ndarray, off: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 perplexity of a symbol for each text, NaN where there is none; its symbols)."""
+        code, begin = codes(raw, off)
+        distinct, inverse = np.unique(code, return_inverse=True)
+        value = self.log10(distinct, lang)[inverse]
+        total = np.diff(np.concatenate([[0.0], np.cumsum(value)])[begin])
+        size = np.diff(begin)
+        return np.where(size > 0, -total / np.maximum(size, 1), np.nan), size
+
+
+def fit(docs: DataFrame, capacity: int = CAPACITY) -> Model:
+    """Count n-grams over all texts and build every language's model from at most ``capacity`` counts."""
     spark = docs.sparkSession
     counts = saved(count_ngrams(docs), work_dir(spark, "ngrams"))
     folder = work_dir(spark, "models")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, p, w = kneser_ney(pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
-        hashes, lang = slot(key), pdf["lang"].iloc[0]
-        order = np.argsort(hashes)
+        hashes, p, w = kneser_ney(pdf["code"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64))
+        lang, order = pdf["lang"].iloc[0], np.argsort(hashes)
         data = hashes[order].astype("<u8").tobytes() + p[order].astype("<f4").tobytes() + w[order].astype("<f4").tobytes()
         done = Committer(f"{folder}/files").put(hashlib.sha256(lang.encode()).hexdigest(), data)
         return pd.DataFrame({"lang": [lang], "file": [done["file"]]})
 
-    files = saved(counts.groupBy("lang").applyInPandas(build, "lang string, file string"), f"{folder}/manifest")
+    files = saved(frequent(counts, capacity).groupBy("lang").applyInPandas(build, "lang string, file string"), f"{folder}/manifest")
     return Model(f"{folder}/files", {r.lang: r.file for r in files.collect()})  # one name a language
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(b: pa.RecordBatch, lang: int, text: int, model: Model) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Base counts and log10 perplexity of each row of a batch."""
+def measure(b: pa.RecordBatch, lang: int, text: int, model: Model) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Base counts, log10 perplexity and symbols of each row of a batch."""
     counts = {k: np.zeros(b.num_rows, np.int64) for k in COUNTS}
-    ppl = np.full(b.num_rows, np.nan)
+    ppl, size = np.full(b.num_rows, np.nan), np.zeros(b.num_rows, np.int64)
     owns_worker("rules", _PARTS.clear)
     for x, at, raw, off in by_language(b, lang, text):
         for k, v in base_counts(raw, off).items():
             counts[k][at] = v
-        ppl[at] = model.mean_log10(raw, off, x)
+        ppl[at], size[at] = model.mean_log10(raw, off, x)
     relax()
-    return counts, ppl
+    return counts, ppl, size
 
 
 def bands(measured: DataFrame, width: float, slack: float) -> DataFrame:
@@ -316,21 +369,20 @@ def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: fl
     docs = docs.select("doc_id", "lang", "text")
     model = fit(docs)
     shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", docs_type(docs)), ("lang", pa.string()), *((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()), ("log10_ppl", pa.float64()), ("n_bytes", pa.int64()), ("model_lang", pa.string())])
+    schema = pa.schema([("doc_id", docs_type(docs)), ("lang", pa.string()), *((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()), ("log10_ppl", pa.float64()), ("symbols", pa.int64()), ("model_lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            counts, ppl = measure(b, 1, 2, model)
+            counts, ppl, size = measure(b, 1, 2, model)
             langs = [x or "" for x in b.column(1).to_pylist()]
-            size = text_sizes(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[k]) for k in COUNTS), pa.array(base_failed(counts)), pa.array(ppl, from_pandas=True), pa.array(size), pa.array(langs, pa.string())], schema=schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = saved(docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, log10_ppl double, n_bytes long, model_lang string"), work_dir(spark, "measured"))
+    measured = saved(docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, log10_ppl double, symbols long, model_lang string"), work_dir(spark, "measured"))
     band = saved(bands(measured, width, slack), work_dir(spark, "bands"))
     result = (measured.join(band, measured["model_lang"] == band["band_lang"], "left")
-              .select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~far("log10_ppl", "n_bytes", short)).alias("kept"), "log10_ppl"))
+              .select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~far("log10_ppl", "symbols", short)).alias("kept"), "log10_ppl"))
     return result, model, band
 
 
@@ -339,31 +391,28 @@ def docs_type(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def text_sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def keep(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: float = SHORT) -> DataFrame:
-    """The documents that the rules keep, with all their columns: judged again in place by the
-    fitted model and bands, so that no text is shuffled."""
-    _, model, band = judge(docs, width, slack, short)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents that the rules keep, with all their columns. Texts are measured once: the rows that
+    pass the base rules are written with their perplexity, and the bands of their languages pick from these."""
+    spark = docs.sparkSession
+    model = fit(docs.select("lang", "text"))
+    shared = spark.sparkContext.broadcast(model)
     lang, text = docs.columns.index("lang"), docs.columns.index("text")
-    own = [("rules_lang", "string"), ("rules_failed", "boolean"), ("rules_ppl", "double"), ("rules_bytes", "long")]
+    own = [("rules_lang", "string"), ("rules_ppl", "double"), ("rules_symbols", "long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            counts, ppl = measure(b, lang, text, model)
-            good = ~base_failed(counts)
-            more = [pa.array([x or "" for x in b.column(lang).to_pylist()], pa.string()), pa.array(~good), pa.array(ppl, from_pandas=True), pa.array(text_sizes(b.column(text)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(x for x, _ in own)]).filter(pa.array(good))
+            counts, ppl, size = measure(b, lang, text, model)
+            more = [pa.array([x or "" for x in b.column(lang).to_pylist()], pa.string()), pa.array(ppl, from_pandas=True), pa.array(size)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(x for x, _ in own)]).filter(pa.array(~base_failed(counts)))
 
     schema = StructType(list(docs.schema.fields))
     for name, kind in own:
         schema = schema.add(name, kind)
+    passed = saved(docs.mapInArrow(run, schema), work_dir(spark, "passed"))
+    measured = passed.select(F.col("rules_lang").alias("model_lang"), F.col("rules_ppl").alias("log10_ppl"), F.lit(False).alias("base_failed"))
+    band = saved(bands(measured, width, slack), work_dir(spark, "bands"))
     band = band.select(F.col("band_lang").alias("rules_band"), *(F.col(c).alias(f"rules_{c}") for c in ("middle", "reach")))
-    measured = docs.mapInArrow(run, schema).join(band, F.col("rules_lang") == F.col("rules_band"), "left")
-    kept = measured.where(~far("rules_ppl", "rules_bytes", short, "rules_"))
-    return kept.drop(*(x for x, _ in own), *band.columns)
+    joined = passed.join(band, F.col("rules_lang") == F.col("rules_band"), "left")
+    return joined.where(~far("rules_ppl", "rules_symbols", short, "rules_")).drop(*(x for x, _ in own), *band.columns)

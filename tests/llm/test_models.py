@@ -24,42 +24,119 @@ def test_base_counts_match_brute_force():
     assert list(zip(*(got[k].tolist() for k in quality_rules.COUNTS))) == [base(t) for t in texts]
 
 
-def brute_kneser_ney(codes):
+def symbol(c):
+    """A character as the model sees it."""
+    if c in " \t\n\x0b\x0c\r":
+        return " "
+    if ord(c) > 0xFFFF:
+        return chr(0xE000 + ord(c) % 0x1900)
+    return "0" if c.isdigit() else c.lower() if len(c.lower()) == 1 else c
+
+
+def grams(text):
+    """The 4-gram that ends at each character of a text."""
+    s = "   " + "".join(map(symbol, text or ""))
+    return [tuple(s[k:k + 4]) for k in range(len(s) - 3)]
+
+
+def packed(gram):
+    return sum(ord(c) << 16 * (3 - k) for k, c in enumerate(gram))
+
+
+def brute_kneser_ney(seen):
     """Interpolated modified Kneser-Ney by dictionaries; (context, symbol) -> probability."""
-    order, levels = quality_rules.ORDER, {}
-    seen = Counter(tuple((c >> (5 * (order - 1 - k))) & 31 for k in range(order)) for c in codes)
-    levels[order] = seen
+    order, levels = 4, {4: Counter(seen)}
     for n in range(order - 1, 0, -1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
-
-    def p(gram):
-        if not gram:
-            return 1 / 32
-        level = levels[len(gram)]
+    discounts, totals, taken = {}, {}, {}
+    for n, level in levels.items():
         n1, n2, n3, n4 = (sum(v == k for v in level.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d = [0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9]
-        d = [0] + [min(max(x, 0.05), k) for k, x in enumerate(d[1:], 1)]
-        same = {g: c for g, c in level.items() if g[:-1] == gram[:-1]}
-        if not same:
+        discounts[n] = [0] + [min(max(x, 0.05), k) for k, x in enumerate(d[1:], 1)]
+        totals[n], taken[n] = Counter(), Counter()
+        for g, c in level.items():
+            totals[n][g[:-1]] += c
+            taken[n][g[:-1]] += min(c, discounts[n][min(c, 3)])
+
+    def p(gram):
+        if not gram:
+            return 1 / (1 << 16)
+        n, context = len(gram), gram[:-1]
+        if context not in totals[n]:
             return p(gram[1:])
-        take = {g: min(c, d[min(c, 3)]) for g, c in same.items()}
-        total = sum(same.values())
-        return (same.get(gram, 0) - take.get(gram, 0)) / total + sum(take.values()) / total * p(gram[1:])
+        c = levels[n].get(gram, 0)
+        return (c - min(c, discounts[n][min(c, 3)])) / totals[n][context] + taken[n][context] / totals[n][context] * p(gram[1:])
 
     return p
 
 
 def test_kneser_ney_matches_brute_force(spark):
     rnd = random.Random(2)
-    rows = [(k, prose(rnd, 12)) for k in range(25)]
+    rows = [(k, prose(rnd, 12)) for k in range(25)] + [(50, "Ünï ΩΣς Ж🙂 9 ٣٤ 中文字 中文 x\x00"), (51, None), (52, "")]
     model = quality_rules.fit(documents(spark, rows, parts=3))
     raw, off = text_bytes(pa.array([r[1] for r in rows]))
-    codes = quality_rules.codes(raw, off)
-    p = brute_kneser_ney(codes.tolist())
-    probe = np.unique(np.concatenate([codes[::37], np.random.default_rng(1).integers(0, quality_rules.CELLS, 40)]))
-    want = [math.log10(p(tuple((int(c) >> (5 * (3 - k))) & 31 for k in range(4)))) for c in probe]
-    assert np.allclose(model.log10(probe, "en"), want, atol=1e-4)
+    code, begin = quality_rules.codes(raw, off)
+    seen = [g for r in rows for g in grams(r[1])]
+    assert code.tolist() == [packed(g) for g in seen]
+    assert np.diff(begin).tolist() == [len(r[1] or "") for r in rows]
+    p = brute_kneser_ney(seen)
+    probe = [*seen[::29], ("a", "b", "z", "z"), ("中", "文", "字", "x"), ("q", "q", "q", "q"), ("é", "é", "é", "é")]
+    want = [math.log10(p(g)) for g in probe]
+    assert np.allclose(model.log10(np.array([packed(g) for g in probe], np.uint64), "en"), want, atol=1e-4)
+
+
+def test_kept_equals_a_brute_force_model_and_band(spark):
+    rnd = random.Random(12)
+    rows = [(k, prose(rnd, rnd.randrange(55, 120))) for k in range(80)] + [(100 + k, " ".join("".join(rnd.choice("zqxjvw") for _ in range(6)) for _ in range(60))) for k in range(6)]
+    got = {r.doc_id: (r.kept, r.log10_ppl) for r in quality_rules.judge(documents(spark, rows, parts=3))[0].collect()}
+    p = brute_kneser_ney([g for r in rows for g in grams(r[1])])
+    ppl = {d: -sum(math.log10(p(g)) for g in grams(t)) / len(t) for d, t in rows}
+    failed = {d: base(t)[0] < 50 or 100 * base(t)[4] > 50 * base(t)[0] for d, t in rows}
+    assert all(abs(got[d][1] - ppl[d]) < 1e-4 for d in ppl)
+    cells = np.array(sorted(round(v * quality_rules.STEP) for d, v in ppl.items() if not failed[d]))
+    low_median = lambda x: np.sort(x)[(len(x) + 1) // 2 - 1]
+    middle = low_median(cells)
+    reach = quality_rules.WIDTH * low_median(np.abs(cells - middle)) / quality_rules.STEP + quality_rules.SLACK
+    clear = 0
+    for d, t in rows:
+        edge = abs(abs(ppl[d] - middle / quality_rules.STEP) - reach - quality_rules.SHORT / math.sqrt(len(t)))
+        if edge > 0.003:                                   # the histogram's cells are 0.001 wide
+            clear += 1
+            assert got[d][0] == (not failed[d] and abs(ppl[d] - middle / quality_rules.STEP) <= reach + quality_rules.SHORT / math.sqrt(len(t))), d
+    assert clear > 70 and sum(k for k, _ in got.values()) >= 75
+
+
+SCRIPTS = {"ru": ("абвгдежзиклмнопрстуфхцчшыья", 6), "el": ("αβγδεζηθικλμνξοπρστυφχψω", 6), "zh": ("".join(chr(0x4E00 + 7 * k) for k in range(400)), 2), "en": ("abcdefghijklmnopqrstuvwxyz", 6)}
+
+
+def test_shuffled_letters_are_rejected_in_every_script(spark):
+    """Words of a language in any order are prose; the same letters in any order are not."""
+    rnd = random.Random(21)
+    rows, junk = [], set()
+    for n, (lang, (letters, size)) in enumerate(SCRIPTS.items()):
+        vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(2, size + 1))) for _ in range(400)]
+        for k in range(160):
+            text = " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(80, 200)))
+            doc_id = 1000 * n + k
+            if k >= 150:
+                chars = [c for c in text if c != " "]
+                rnd.shuffle(chars)
+                chars = iter(chars)
+                text = "".join(c if c == " " else next(chars) for c in text)
+                junk.add(doc_id)
+            rows.append((doc_id, text, lang))
+    kept = {r.doc_id for r in quality_rules.keep(documents(spark, rows, parts=3)).collect()}
+    assert not kept & junk
+    assert kept == {r[0] for r in rows} - junk
+
+
+def test_a_model_beyond_its_capacity_keeps_the_most_frequent_ngrams(spark):
+    counts = spark.createDataFrame([("a", k, 1 + (k < 10) + (k < 4)) for k in range(100)] + [("b", 7, 1), ("", 8, 5)], "lang string, code long, n long")
+    cut = quality_rules.frequent(counts, 20).collect()
+    assert sorted(r.code for r in cut if r.lang == "a") == list(range(10)) and len(cut) == 12
+    assert quality_rules.frequent(counts, 1000).count() == 102
+    assert sorted(r.code for r in quality_rules.frequent(counts, 4).collect() if r.lang == "a") == [0, 1, 2, 3]
 
 
 def test_quality_rules(spark):
@@ -193,3 +270,88 @@ def test_exchange_gain_is_the_likelihood_change():
         moved = classes.copy()
         moved[w] = to
         assert abs(likelihood(matrix(moved)) - likelihood(matrix(classes)) - gain) < 1e-6
+
+
+def fitted(spark, docs, **options):
+    """(model, {word hash: class}, {word hash: training count}) as lm_score fits them."""
+    slices = lm.by_slice(lm.encode(docs, options.get("slice_bytes", lm.SLICE_BYTES)), lm.work_dir(spark, "slices"))
+    n_words, n_docs, distinct = slices.selectExpr("sum(train_tokens)", "sum(train_docs)", "sum(n_distinct)").first()
+    parts = 1 << max(0, distinct // options.get("part_words", lm.PART_WORDS)).bit_length()
+    answers = lm.saved(lm.exchange_counts(slices, n_words + n_docs, parts, options.get("share", lm.CLUSTER_SHARE)), lm.work_dir(spark, "counts"))
+    model, rare = lm.fit(slices, answers, n_words + n_docs, n_docs, parts, lm.ROUNDS, lm.RARE_ROUNDS)
+    cls, count, spell = {}, {}, {}
+    rows = lm.with_answers(lm.with_answers(slices, answers, "counts").withColumnRenamed("answers", "numbers"), rare, "classes").collect()
+    for r in rows:
+        h = lm.unpack(r.hashes, np.uint64)
+        own = lm.rare_classes(r.answers, len(h))
+        n = np.concatenate([lm.unpack(x["counts"], "<i8") for x in r.numbers])
+        word_class, _ = model.words(h, np.frombuffer(r.spell, np.uint8), n, own)
+        cls.update(zip(h.tolist(), word_class.tolist()))
+        count.update(zip(h.tolist(), n.tolist()))
+        spell.update(zip(h.tolist(), np.frombuffer(r.spell, np.uint8).tolist()))
+    return model, cls, count, spell
+
+
+def test_whole_vocabulary_is_clustered_and_scores_equal_a_brute_force_class_bigram(spark):
+    rnd = random.Random(16)
+    rows = [(k, clustered_text(rnd, rnd.randrange(20, 90)) + f" rare{k} noun{rnd.randrange(40)}") for k in range(250)] + [(900, None), (901, "entirely new words"), (902, "verb1 entirely")]
+    docs = documents(spark, rows, parts=3)
+    options = {"share": 0.012, "slice_bytes": 6000, "part_words": 60}     # most words are rare ones
+    model, cls, count, spell = fitted(spark, docs, **options)
+    raw, off = text_bytes(pa.array([r[1] for r in rows]))
+    hash_of = lambda w: int(lm.hash_spans(*map(np.array, (np.frombuffer(w.encode(), np.uint8), [0], [len(w.encode())])))[0])
+    train = Counter(x for d, t in rows if not held(d, 5) for x in words(t, True))
+    assert 0 < len(model.head) < len(train) / 2
+    assert all(count[hash_of(w)] == n for w, n in train.items()) and all(0 <= c < lm.CLASSES for c in cls.values())
+    # verbs and nouns do not share classes
+    kinds = {}
+    for w, n in train.items():
+        if n >= 5:
+            kinds.setdefault(cls[hash_of(w)], set()).add(w[:4])
+    assert sum(len(k) == 1 for k in kinds.values()) >= 0.9 * len(kinds) and len(kinds) > 5
+    # emissions: the words of a class and one half count for unseen ones sum to one
+    tokens, distinct = Counter(), Counter()
+    for w, n in train.items():
+        tokens[cls[hash_of(w)]] += n
+        distinct[cls[hash_of(w)]] += 1
+    total = {c: tokens[c] + 0.5 * (distinct[c] + 1) for c in range(lm.CLASSES)}
+    sums = Counter()
+    for w, n in train.items():
+        sums[cls[hash_of(w)]] += (n + 0.5) / total[cls[hash_of(w)]]
+    for c in sums:
+        assert abs(sums[c] + 0.5 / total[c] - 1) < 1e-9 and model.total[c] == total[c]
+    # transitions, counted again over the texts
+    matrix = np.zeros((lm.ALL, lm.ALL))
+    for d, t in rows:
+        if not held(d, 5):
+            seq = [lm.END, *(cls[hash_of(w)] for w in words(t, True)), lm.END]
+            for a, b in zip(seq, seq[1:]):
+                matrix[a, b] += 1
+    unigram = (matrix.sum(axis=0) + 0.5) / (matrix.sum() + 0.5 * lm.ALL)
+    p = (matrix + lm.PRIOR * unigram) / (matrix.sum(axis=1, keepdims=True) + lm.PRIOR)
+    assert np.allclose(p.sum(axis=1), 1)
+    got = {r.doc_id: r.score for r in lm.lm_score(docs, **options).collect()}
+    for d, t in rows:
+        at, want = lm.END, 0.0
+        for w in words(t, True):
+            c = cls[hash_of(w)]
+            want += math.log10(p[at, c] * (train[w] + 0.5) / total[c])
+            at = c
+        want += math.log10(p[at, lm.END])
+        assert abs(got[d] - want) < 1e-6 * max(1, abs(want)), d
+
+
+def test_first_order_scores_are_the_likelihood_change_of_a_rare_word():
+    """Against the exact change by ``best_class``, for a word that is small beside its classes."""
+    rng = np.random.default_rng(3)
+    matrix = rng.integers(200, 5000, (lm.ALL, lm.ALL)).astype(float)
+    left, right = np.zeros(lm.ALL), np.zeros(lm.ALL)
+    np.add.at(left, rng.integers(0, lm.ALL, 2), 1)
+    np.add.at(right, rng.integers(0, lm.ALL, 2), 1)
+    by_left, by_right = lm.class_scores(matrix)
+    score = left @ by_left + right @ by_right
+    a = 7
+    matrix[a] += right
+    matrix[:, a] += left
+    exact, gain = lm.best_class(matrix, a, left, right, 0.0)
+    assert score.argmax() == exact and abs(score[exact] - score[a] - gain) < 0.02
