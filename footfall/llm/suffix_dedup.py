@@ -3,17 +3,18 @@
 All suffixes of all texts are too many to sort at scale, so only sampled ones take part, in a way that
 loses no match. Each 100-byte window points to the suffix inside it whose first 32 bytes have the
 smallest hash (the leftmost of equals); equal windows point to the same place of themselves. A
-sampled suffix with the run of windows that point to it has two leading tokens: the hash of its first
-32 bytes and the hash of its whole run. Splitters sampled from the documents range-partition the
-suffixes by these tokens; a bucket sorts its suffixes by multikey quicksort (only ties of a token go
-on to the next one, the last being the text's place) and compares neighbours: of equal runs all but
-the first are removed whole. Runs that share only the first token are undecided; so are runs whose
-first token stands at a bucket's boundary, where the neighbour is in another bucket. Their single
-windows are then partitioned, sorted and compared in the same way, by 96-bit hashes of their bytes.
+sampled suffix with the run of windows that point to it is ordered by three leading tokens: its first
+eight bytes as they are (big-endian, so in the suffixes' own order), the hash of its first 32 bytes, and
+the hash of its whole run. Splitters sampled from the documents range-partition the suffixes by these
+tokens; a bucket sorts its suffixes by multikey quicksort (only ties of a token go on to the next one,
+the last being the text's place) and compares neighbours: of equal runs all but the first are removed
+whole. Runs that share only 32 bytes are undecided; so are runs whose 32 bytes stand at a bucket's
+boundary, where the neighbour is in another bucket. Their single windows are then partitioned, sorted
+and compared in the same way, by 96-bit hashes of their bytes: that is the comparison across boundaries.
 
 Hot content: a slice of texts sends each distinct token pair once, so a passage or a copy that very
-many texts hold is one row per slice; nothing is dealt by text content alone, and a hot first token
-is split by the second. Texts are read once and written as slice files in the shared folder, which
+many texts hold is one row per slice; nothing is dealt by text content alone, and a hot token
+is split by the next. Texts are read once and written as slice files in the shared folder, which
 later passes read; what is shuffled are packed arrays of tokens.
 
 Order is by id (a null first), then start; of repeated ids by slice and row. Null texts are empty,
@@ -61,7 +62,8 @@ def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
 
 
 def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first window, last window, first token, second token) of each sampled suffix of some texts.
+    """(first window, last window, leading bytes, hash of 32 bytes, hash of the run) of each sampled
+    suffix of some texts.
 
     Blocks of windows bound the arrays; a run that a block's end cuts is two runs, which only leaves
     more to the second comparison.
@@ -95,10 +97,11 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
             first, last = first[real], last[real]
             anchor = at[first]
             second = mix(hash_spans(raw[lo:end], first, last + LENGTH, seed=5) ^ mix((anchor - first).astype(np.uint64)))
-            out.append((first + lo, last + lo, h[anchor] >> np.uint64(24), second))
+            lead = np.lib.stride_tricks.sliding_window_view(raw[lo:end], 8)[anchor].view(">u8").ravel().astype(np.uint64)
+            out.append((first + lo, last + lo, lead, h[anchor] >> np.uint64(24), second))
         text = stop
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none.astype(np.uint64), none.astype(np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, *[none.astype(np.uint64)] * 3)
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -119,47 +122,62 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def part_of(first: np.ndarray, second: np.ndarray, splitters: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """Bucket of each token pair: how many splitters are not above it, then the equal sub-range of the
-    first token between the two splitters, where there are fewer splitters than buckets wanted."""
-    s1, s2, sub_ranges = splitters
-    part = np.searchsorted(s1, first, "left")
-    if len(s1):
-        equal = np.flatnonzero(s1[np.minimum(part, len(s1) - 1)] == first)
-        for k in equal.tolist():  # rows whose first token is a splitter's
-            j = int(part[k])
-            while j < len(s1) and s1[j] == first[k] and s2[j] <= second[k]:
-                j += 1
-            part[k] = j
+Splitters = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def part_of(tokens: tuple[np.ndarray, ...], splitters: Splitters) -> np.ndarray:
+    """Bucket of each suffix: how many splitters are not above its three tokens, then the equal sub-range of
+    the leading bytes between the two splitters, where there are fewer splitters than buckets wanted. All
+    rows at once: each token narrows the range of splitters that equal the tokens before it."""
+    *columns, sub_ranges = splitters
+    rows = np.arange(len(tokens[0]))
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(columns[0]), np.int64)
+    edge = np.arange(len(columns[0])) == 0                # where a range of equal earlier tokens begins
+    for token, column in zip(tokens, columns):
+        open_ = rows[high > low]
+        if not len(open_):
+            break
+        # numbers that order (range, token): between two known values lies room for the unknown ones
+        known, group = np.unique(column), np.cumsum(edge) - 1
+        rank = np.searchsorted(known, token[open_])
+        exact = known[np.minimum(rank, len(known) - 1)] == token[open_]
+        wide = 2 * len(known) + 2
+        key = group * wide + 2 * np.searchsorted(known, column) + 1
+        own = group[low[open_]] * wide + 2 * rank + exact
+        low[open_], high[open_] = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+        edge[1:] |= column[1:] != column[:-1]
+    part = high                                           # all splitters that are not above
     if sub_ranges == 1:
         return part
-    low = np.concatenate([np.zeros(1), s1.astype(np.float64)])[part]
-    high = np.concatenate([s1.astype(np.float64), np.full(1, 2.0**40)])[part]
-    inner = np.floor((first.astype(np.float64) - low) * sub_ranges / np.maximum(high - low, 1)).astype(np.int64)
+    lead = columns[0].astype(np.float64)
+    under = np.concatenate([np.zeros(1), lead])[part]
+    above = np.concatenate([lead, np.full(1, 2.0**64)])[part]
+    inner = np.floor((tokens[0].astype(np.float64) - under) * sub_ranges / np.maximum(above - under, 1)).astype(np.int64)
     return part * sub_ranges + np.clip(inner, 0, sub_ranges - 1)
 
 
-def splitters_of(docs: DataFrame, parts: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+def splitters_of(docs: DataFrame, parts: int, total: int) -> Splitters:
     """Splitters from the suffixes of about SAMPLE_DOCS documents, and the sub-ranges of each range;
     they only balance the buckets."""
     chosen = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(total, 1)), seed=11).limit(4 * SAMPLE_DOCS)
+    names = ["lead", "first", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, raw, off in text_slices(b.column(0)):
-                first, second = (x[:: max(1, len(x) // 4096)].view(np.int64) for x in sampled(raw, off)[2:])
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], names=["first", "second"])
+                tokens = (x[:: max(1, len(x) // 4096)].view(np.int64) for x in sampled(raw, off)[2:])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tokens], names=names)
 
-    rows = chosen.mapInArrow(run, "first long, second long").toArrow()
-    first, second = (np.asarray(rows[c].combine_chunks()).astype(np.int64).view(np.uint64) for c in ("first", "second"))
-    order = multikey_order([first, second])
+    rows = chosen.mapInArrow(run, "lead long, first long, second long").toArrow()
+    tokens = [np.asarray(rows[c].combine_chunks()).astype(np.int64).view(np.uint64) for c in names]
+    order = multikey_order(tokens)
     ranges = max(1, min(parts, len(order) // KEYS_PER_RANGE))
     pick = np.unique(np.linspace(0, len(order), ranges + 1)[1:-1].astype(np.int64))
-    return first[order][pick], second[order][pick], -(-parts // ranges)
+    return *(x[order][pick] for x in tokens), -(-parts // ranges)
 
 
-ASK = "part int, slice long, file string, first binary, second binary, doc binary, mark binary"
-_ASK = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("file", pa.string()), *((c, pa.binary()) for c in ("first", "second", "doc", "mark"))])
+ASK = "part int, slice long, file string, lead binary, first binary, second binary, doc binary, mark binary"
+_ASK = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("file", pa.string()), *((c, pa.binary()) for c in ("lead", "first", "second", "doc", "mark"))])
 ANSWER = "slice long, file string, part int, state binary, undecided long"
 _ANSWER = pa.schema([("slice", pa.int64()), ("file", pa.string()), ("part", pa.int32()), ("state", pa.binary()), ("undecided", pa.int64())])
 
@@ -174,8 +192,8 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def asks(number: int, file: str, part: np.ndarray, first: np.ndarray, second: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A slice's token pairs by bucket, in the slice's order; one row without pairs announces the slice.
+def asks(number: int, file: str, part: np.ndarray, lead: np.ndarray | None, first: np.ndarray, second: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A slice's tokens by bucket, in the slice's order; one row without tokens announces the slice.
 
     ``ids`` are the order values of the slice's texts; a pair carries its text's value."""
     order = np.argsort(part, kind="stable")
@@ -184,10 +202,10 @@ def asks(number: int, file: str, part: np.ndarray, first: np.ndarray, second: np
     for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
         own = order[a:b]
         values, index = np.unique(doc[own], return_inverse=True)
-        for k, v in (("part", int(part[own[0]])), ("slice", number), ("file", file), ("first", packed(first[own])), ("second", second[own].tobytes()),
+        for k, v in (("part", int(part[own[0]])), ("slice", number), ("file", file), ("lead", packed(lead[own]) if lead is not None else None), ("first", packed(first[own])), ("second", second[own].tobytes()),
                      ("doc", packed(ids[values])), ("mark", packed(index.astype(np.uint32)))):
             rows[k].append(v)
-    for k, v in (("part", -1 - number % 16), ("slice", number), ("file", file), ("first", None), ("second", None), ("doc", None), ("mark", None)):
+    for k, v in (("part", -1 - number % 16), ("slice", number), ("file", file), ("lead", None), ("first", None), ("second", None), ("doc", None), ("mark", None)):
         rows[k].append(v)
     yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _ASK], schema=_ASK)
 
@@ -204,9 +222,12 @@ def answer(t: pa.Table, boundary: np.ndarray) -> pa.Table:
     second = np.concatenate([np.frombuffer(r["second"], f"<u{len(r['second']) // n}") for r, n in zip(rows, size)])
     doc = np.concatenate([unpacked(r["doc"], np.int64)[unpacked(r["mark"], np.uint32)] for r in rows])
     sender = np.repeat(np.array([r["slice"] for r in rows]), size)
-    order = multikey_order([first, second, doc, sender])
+    lead = [np.concatenate([unpacked(r["lead"], np.uint64) for r in rows])] if rows[0]["lead"] is not None else []
+    order = multikey_order([*lead, first, second, doc, sender])
     f, s = first[order], second[order]
     new_first = np.concatenate([[True], f[1:] != f[:-1]])
+    for x in lead:
+        new_first[1:] |= x[order][1:] != x[order][:-1]
     new = new_first | np.concatenate([[True], s[1:] != s[:-1]])
     group = np.cumsum(new_first) - 1
     several = np.bincount(group, new) > 1
@@ -275,12 +296,12 @@ def send_suffixes(docs: DataFrame, folder: str, splitters, slice_bytes: int) ->
                 own = own.take(pc.sort_indices(pa.table({"k": own.column(key)}), sort_keys=[("k", "ascending")], null_placement="at_start"))
                 ids = order_values(own.column(key))
                 raw, off = text_bytes(own.column(at))
-                start, last, first, second = sampled(raw, off)
-                fresh = first_of(first, second)
-                part = part_of(first, second, splitters)
+                start, last, lead, first, second = sampled(raw, off)
+                fresh = first_of(lead, first, second)
+                part = part_of((lead, first, second), splitters)
                 put = out.put(f"{number}.slice", slice_file(own, {"start": start.astype(np.uint32), "size": (last - start + 1).astype(np.uint32), "fresh": fresh, "part": part.astype(np.int32)}))
                 doc = np.searchsorted(off, start, "right") - 1
-                yield from asks(number, put["file"], part[fresh], first[fresh], second[fresh], doc[fresh], ids)
+                yield from asks(number, put["file"], part[fresh], lead[fresh], first[fresh], second[fresh], doc[fresh], ids)
                 number += 1
             relax()
 
@@ -321,7 +342,7 @@ def send_windows(states: DataFrame, folder: str, parts: int) -> DataFrame:
                 start, doc, h1, h2 = undecided_windows(documents, suffixes, state)
                 fresh = first_of(h1, h2)
                 part = (h1[fresh] % np.uint64(parts)).astype(np.int64)
-                yield from asks(number, file, part, h1[fresh], h2[fresh], doc[fresh], order_values(column(documents, "doc_id")))
+                yield from asks(number, file, part, None, h1[fresh], h2[fresh], doc[fresh], order_values(column(documents, "doc_id")))
             relax()
 
     return states.mapInArrow(run, ASK)
@@ -358,7 +379,7 @@ def dedup(docs: DataFrame, digests: bool = False, slice_bytes: int = SLICE_BYTES
     bytes_ = (docs.select(F.octet_length("text").alias("n")).sample(min(1.0, 20_000 / max(total, 1)), seed=3).agg(F.avg("n")).first()[0] or 0) * total
     parts = int(bytes_ * 2 / (LENGTH - GRAM) / part_keys) + 1
     splitters = splitters_of(docs, parts, total)
-    boundary = np.unique(splitters[0])
+    boundary = np.unique(splitters[1])
     slices_folder = f"{folder}/slices"
     answers = saved(send_suffixes(docs, slices_folder, splitters, slice_bytes).groupBy("part").applyInArrow(lambda t: answer(t, boundary), ANSWER), f"{folder}/answers")
     # a slice's answers are small but its work is not: an explicit number of tasks is kept as it is

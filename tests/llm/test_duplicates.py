@@ -98,7 +98,7 @@ def test_sampled_suffixes_do_not_depend_on_blocks(monkeypatch):
     for block in (1 << 20, 256):
         monkeypatch.setattr(suffix_dedup, "BLOCK", block)
         for _, _, raw, off in text_slices(pa.array(rows, pa.string())):
-            first, last, _, _ = suffix_dedup.sampled(raw, off)
+            first, last, *_ = suffix_dedup.sampled(raw, off)
             windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
             want = np.concatenate([np.arange(a, b - 99) for a, b in zip(off, off[1:]) if b - a >= 100])
             assert np.array_equal(np.sort(windows), want)
@@ -243,3 +243,32 @@ def test_a_very_long_item_is_indexed_in_bounded_time():
     text = "x y z " + long[:12000] + " brief change " + long[12000:] + " tail"
     got = {item for _, _, raw, off in text_slices(pa.array([text])) for _, item, _, _ in index.find(raw, off)}
     assert got == {0, 1}
+
+
+def test_buckets_of_suffixes_follow_the_splitters():
+    """Against a loop over tuples, with many equal tokens; many rows on one hot token take no longer."""
+    import time
+    draw = np.random.default_rng(8)
+    for n in (0, 1, 7, 60):
+        columns = [draw.integers(0, 4, n).astype(np.uint64) for _ in range(3)]
+        order = suffix_dedup.multikey_order(columns)
+        columns = [c[order] for c in columns]
+        tokens = tuple(draw.integers(0, 5, 500).astype(np.uint64) for _ in range(3))
+        got = suffix_dedup.part_of(tokens, (*columns, 1))
+        splitters = list(zip(*(c.tolist() for c in columns)))
+        assert got.tolist() == [sum(s <= t for s in splitters) for t in zip(*(c.tolist() for c in tokens))]
+    hot = [np.full(1500, 7, np.uint64), np.full(1500, 9, np.uint64), np.sort(draw.integers(0, 1 << 40, 1500).astype(np.uint64))]
+    tokens = (np.full(200_000, 7, np.uint64), np.full(200_000, 9, np.uint64), draw.integers(0, 1 << 40, 200_000).astype(np.uint64))
+    begin = time.time()
+    part = suffix_dedup.part_of(tokens, (*hot, 1))
+    assert time.time() - begin < 2 and len(np.unique(part)) > 1400
+
+
+def test_suffixes_are_ordered_by_their_leading_bytes():
+    raw, off = (np.frombuffer(bytes(np.random.default_rng(4).integers(97, 101, 4000, dtype=np.uint8)), np.uint8), np.array([0, 4000]))
+    start, last, lead, first, second = suffix_dedup.sampled(raw, off)
+    text = raw.tobytes()
+    for a, b, x in zip(start.tolist(), last.tolist(), lead.tolist()):
+        assert any(text[k:k + 8] == x.to_bytes(8, "big") for k in range(b, a + 69))
+    order = suffix_dedup.multikey_order([lead, first, second])
+    assert [x.to_bytes(8, "big") for x in lead[order].tolist()] == sorted(x.to_bytes(8, "big") for x in lead.tolist())
