@@ -32,6 +32,7 @@ from footfall.llm.common import Committer, batch, get, saved, tasks, work_dir
 MIN_REVISIT = 100
 CELLS = 1024  # cells of an id range that one pass counts
 MOST_RANGES = 8192  # a larger table has larger ranges; a range is sorted and written as a stream
+EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 DATE = "2000-01-01T00:00:00Z"  # the tables have no crawl time; a fixed one keeps archives equal
 
 
@@ -92,7 +93,7 @@ def record(page_id, url: str, payload: bytes, refers_to, digest: str) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
              f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Date: {DATE}",
              f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}",
-             f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}"]
+             f"WARC-Block-Digest: sha256:{EMPTY_DIGEST if revisit else digest}"]
     if revisit:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", ""]
