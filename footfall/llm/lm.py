@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import crc_mod, owns_worker, relax, saved, tasks, work_dir
@@ -361,9 +361,14 @@ def best_class(matrix: np.ndarray, a: int, left: np.ndarray, right: np.ndarray,
     return (b, float(gain[b] - gain[a])) if gain[b] > gain[a] + 1e-9 else (a, 0.0)
 
 
+def class_of(classes: np.ndarray) -> Column:
+    """The classes of all units as one constant array: one literal, not one an element."""
+    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<int>")
+
+
 def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Class bigram counts: at most ALL x ALL rows reach the driver."""
-    of = F.lit(classes.tolist()).cast("array<int>")
+    of = class_of(classes)
     rows = pairs.groupBy(of[F.col("u")].alias("a"), of[F.col("v")].alias("b")).agg(F.sum("n").alias("n")).collect()
     m = np.zeros((ALL, ALL))
     for r in rows:
@@ -385,7 +390,7 @@ def exchange(pairs: DataFrame, n_heads: int, rounds: int = ROUNDS, head_classes:
     schema = pa.schema([("w", pa.int32()), ("to", pa.int32())])
     for turn in range(rounds):
         matrix = class_matrix(pairs, classes)
-        of = F.lit(classes.tolist()).cast("array<int>")
+        of = class_of(classes)
         moving = side.where((F.col("w") < n_heads) & (F.col("w") % TURNS == turn % TURNS))
         summed = (moving.groupBy("w", "right", of[F.col("x")].alias("c")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.col("w"), F.col("n")).otherwise(0)).alias("own"))
                   .groupBy("w").agg(F.collect_list(F.struct("right", "c", "n", "own")).alias("near")))  # at most 2 x ALL a word
