@@ -31,7 +31,8 @@ from footfall.llm.common import Committer, batch, get, saved, tasks, work_dir
 
 MIN_REVISIT = 100
 CELLS = 1024  # cells of an id range that one pass counts
-MOST_RANGES = 8192  # a larger table has larger ranges; a range is sorted and written as a stream
+REFINED = 64  # cells that one pass counts again
+MOST_RANGES = 100_000  # tasks of the writer; a range is sorted and written as a stream
 EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 DATE = "2000-01-01T00:00:00Z"  # the tables have no crawl time; a fixed one keeps archives equal
 
@@ -40,13 +41,13 @@ def id_ranges(sizes: DataFrame, target: int) -> list[int]:
     """Upper bounds of id ranges with about ``target`` bytes each, from (page_id, bytes).
 
     Counts bytes in equal cells of the id range; a cell with more than the target is counted again
-    in finer cells, all such cells in one pass, until cells fit or hold one id. At most CELLS rows
+    in finer cells, REFINED such cells a pass, until all cells fit or hold one id. At most CELLS rows
     come to the driver for each range that a pass refines.
     """
     low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
         return []
-    todo, cells = [(low, high)], []
+    todo, waiting, cells = [(low, high)], [], []
     while todo:
         cell = F.lit(None).cast("struct<k:int,c:long>")
         for k, (a, b) in enumerate(todo):
@@ -63,8 +64,8 @@ def id_ranges(sizes: DataFrame, target: int) -> list[int]:
                 again.append(span)
             else:
                 cells.append((*span, r.n))
-        todo = again[:64]
-        cells += [(a, b, target) for a, b in again[64:]]
+        waiting += again
+        todo, waiting = waiting[:REFINED], waiting[REFINED:]
     bounds, total = [], 0
     for _, b, n in sorted(cells):
         if total and total + n > target:

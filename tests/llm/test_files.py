@@ -215,3 +215,13 @@ def test_packing_takes_the_item_with_the_largest_dot_product():
         waiting.remove(w)
         room = [a - b for a, b in zip(room, v)]
     assert first[:len(want)] == want and len(first) - len(want) <= 1
+
+
+def test_id_ranges_are_refined_until_all_fit(spark, monkeypatch):
+    """More full cells than one pass counts again: dense ids beside very sparse ones."""
+    monkeypatch.setattr(warc, "REFINED", 3)
+    ids = [k if k < 1500 else k * 1_000_003 for k in range(4000)]
+    df = spark.createDataFrame([(k, 10) for k in ids] + [(7, 5000)], "page_id long, bytes long")
+    bounds = warc.id_ranges(df, 400)
+    held = np.bincount(np.searchsorted(np.array(bounds), np.array([*ids, 7]), "left"), [10] * len(ids) + [5000])
+    assert bounds == sorted(bounds) and np.sort(held)[-2] <= 400 and held.sum() == 45_000 and len(held) < 250
