@@ -19,6 +19,7 @@ from footfall.operators.places import numbered_rows
 # --- fixed values: element names of the coverage document ---------------------------------------
 POSITIONS_XPATH = '//*[local-name()="positions"]'
 VALUES_XPATH = '//*[local-name()="doubleOrNilReasonTupleList"]'
+LISTS_XPATH = f'concat(string({POSITIONS_XPATH}), "|", string({VALUES_XPATH}))'   # lists of numbers hold no bar
 FIELD_NAMES_XPATH = '//*[local-name()="field"]/@name'
 POSITION_KEYS = ["x", "y", "timestamp"]
 MEMBER_PATTERN = r"(?s)<(?:\w+:)?member[\s>].*?</(?:\w+:)?member\s*>"
@@ -54,11 +55,11 @@ def parse_members(members: DataFrame, field_names: Sequence[str], xml_col: str,
     """One member's XML per row (with its number in ``member``) -> rows of points."""
     keep = [*keep, "member"]
     x = F.col(xml_col)
-    parsed = members.select(
+    # every XPath call parses the member again: both lists come from one call
+    lists = members.select(
         *[F.col(k) for k in keep[:-1]], F.col("member").cast("bigint").alias("member"),
-        _rows_of_numbers(F.xpath_string(x, F.lit(POSITIONS_XPATH))).alias("_pos"),
-        _rows_of_numbers(F.xpath_string(x, F.lit(VALUES_XPATH))).alias("_val"),
-        F.xpath(x, F.lit(FIELD_NAMES_XPATH)).alias("_names"))
+        F.split(F.xpath_string(x, F.lit(LISTS_XPATH)), r"\|", 2).alias("_lists"), F.xpath(x, F.lit(FIELD_NAMES_XPATH)).alias("_names"))
+    parsed = lists.select(*keep, _rows_of_numbers(F.col("_lists")[0]).alias("_pos"), _rows_of_numbers(F.col("_lists")[1]).alias("_val"), "_names")
     n = F.least(F.size("_pos"), F.size("_val"))
     zipped = parsed.select(*keep, "_names",
                            F.posexplode(F.arrays_zip(F.slice("_pos", 1, n), F.slice("_val", 1, n))).alias("_i", "_pv"))

@@ -18,10 +18,11 @@ from footfall import schemas
 from footfall.operators import profiles
 from footfall.operators.calendar import add_day_part, add_day_part_label, filter_hours
 from footfall.session import save_once
-from footfall.sources.publish import manifest, publish, read_published
+from footfall.sources.publish import compact, manifest, publish, read_published, versions
 
 DAY = "day_date"
 SUM_TYPE = "decimal(38,12)"
+SCATTERED = 64            # versions that a state's parts lie in before it is written as one again
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,8 @@ def update_state(hourly: DataFrame, path: str, kind: RollUp, batch: int | None =
     known = read_published(spark, path, only=days) if before else None
     merged = merge_states(fresh.unionByName(known), kind) if known is not None else fresh
     publish(merged, path, partition_by=DAY, replace_parts=True, notes=None if batch is None else {"batch": batch})
+    if versions(path) > SCATTERED:
+        compact(spark, path)
     return True
 
 

@@ -67,7 +67,8 @@ def publish(df: DataFrame, path: str, partition_by: str | None = None, fmt: str
     target = f"{path.rstrip('/')}/{version}"
     writer = df.write.format(fmt).options(**(options or {}))
     if partition_by:
-        writer = (df.repartition(partition_by).write.format(fmt).options(**(options or {})).partitionBy(partition_by))
+        # rows of a part together; a part with very many rows is split over tasks by its measured size
+        writer = df.hint("rebalance", partition_by).write.format(fmt).options(**(options or {})).partitionBy(partition_by)
     writer.save(target)
     parts = {"": version} if not partition_by else {name: f"{version}/{name}" for name in _folders(target)}
     kept = dict(before["parts"]) if before and replace_parts and partition_by else {}
@@ -115,3 +116,35 @@ def read_published(spark: SparkSession, path: str, only: Iterable | None = None)
         rows = reader(schema).option("basePath", f"{root}/{version}").load(paths).select(*[F.col(f"`{c}`") for c in schema.names])
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def versions(path: str) -> int:
+    """In how many versions the parts of the newest manifest were written."""
+    now = manifest(path)
+    return len({p.split("/")[1] for p in now["parts"].values()}) if now else 0
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Publish the table again as one version, where many small replacements have scattered its parts:
+    a reader plans one scan a version."""
+    now = manifest(path)
+    return publish(read_published(spark, path), path, now["partition_by"], now["format"], options=now["options"])
+
+
+def expire(path: str, keep: int = 10) -> list[str]:
+    """Delete the versions that none of the newest ``keep`` manifests lists, and the manifests before them;
+    returns the deleted versions. Run it when no reader is older than these manifests and no writer is at
+    work: what a writer has written but not yet published is listed nowhere."""
+    from pyarrow import fs
+    store, root = _store(path)
+    found = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("manifest-") and f.base_name.endswith(".json"))
+    used = set()
+    for name in found[-max(keep, 1):]:
+        with store.open_input_stream(f"{root}/{name}") as source:
+            used |= {p.split("/")[1] for p in json.loads(source.read())["parts"].values()}
+    for name in found[:-max(keep, 1)]:
+        store.delete_file(f"{root}/{name}")
+    old = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(f"{root}/data")) if f.type == fs.FileType.Directory and f.base_name not in used)
+    for version in old:
+        store.delete_dir(f"{root}/data/{version}")
+    return old

@@ -174,3 +174,45 @@ def test_a_hot_folder_is_several_files_of_bounded_size(spark, tmp_path):
     write_partitioned(df, str(tmp_path / "b"), ["key"], buckets=4, rows_per_file=200)
     assert rows(spark.read.schema("key string, n long, v string, bucket int").parquet(str(tmp_path / "b")).drop("bucket")) == rows(df)
     assert len([d for d in os.listdir(tmp_path / "b") if d.startswith("bucket=")]) <= 5
+
+
+def test_scattered_versions_are_compacted_and_old_ones_expire(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = lambda d, v: spark.createDataFrame([(d, v)], "day string, v long")
+    for k in range(6):
+        pub.publish(day(f"d{k % 4}", k), path, partition_by="day", replace_parts=True)
+    want = [("d0", 4), ("d1", 5), ("d2", 2), ("d3", 3)]
+    assert pub.versions(path) == 4 and rows(pub.read_published(spark, path)) == want
+    assert pub.compact(spark, path) == 6 and pub.versions(path) == 1
+    assert rows(pub.read_published(spark, path)) == want
+    before = len(os.listdir(f"{path}/data"))
+    gone = pub.expire(path, keep=2)
+    # the manifest before the compacted one still lists four versions
+    assert len(gone) == before - 5 and rows(pub.read_published(spark, path)) == want
+    assert len(pub.expire(path, keep=1)) == 4 and rows(pub.read_published(spark, path)) == want
+    assert pub.publish(day("d9", 9), path, partition_by="day", replace_parts=True) == 7
+
+
+def test_a_state_of_many_batches_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rs, "SCATTERED", 2)
+    hourly = catalog._saved_hourly(spark, SF_SMALL)
+    first = sorted(r[0] for r in hourly.select("date_day").distinct().collect())[:4]
+    path = str(tmp_path / "s")
+    for k, d in enumerate(first):
+        rs.update_state(hourly.where(F.col("date_day") == d), path, rs.DAILY, batch=k)
+    assert pub.versions(path) <= 2 and pub.manifest(path)["notes"] == {"batch": 3}
+    want = profiles.daily_rollup(hourly.where(F.col("date_day").isin(first)))
+    assert rows(rs.finish_daily(rs.read_state(spark, path)).select(*want.columns)) == rows(want)
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 40)).alias("day"), F.rand(1).alias("x"))
+        pub.publish(df, str(tmp_path / "t"), partition_by="day")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    now = pub.manifest(str(tmp_path / "t"))
+    files = {name: len([f for f in os.listdir(tmp_path / "t" / part) if f.startswith("part-")]) for name, part in now["parts"].items()}
+    assert files["day=hot"] > 2 and sum(files.values()) < 3 * len(files)
+    assert pub.read_published(spark, str(tmp_path / "t")).count() == 60_000
