@@ -4,6 +4,9 @@ Byte-level BPE never merges over a space that stands between two visible charact
 the concatenation of pieces cut before such spaces, and the ids of a text are the ids of its pieces.
 Pieces repeat a lot; a worker keeps the ids of those it has seen and asks the tokenizer only for new
 ones; beyond ``KEEP`` pieces it forgets those that it met once.
+
+An empty text (and so a null one) has no ids; a text without a place to cut is one piece, however long;
+no texts give no ids.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ answers which token stands at a place (``access``), how often a token occurs up
 File format (little endian, the whole zstd-compressed): magic ``WVM1``; uint64 documents, tokens,
 planes; int64 document ids with a null flag byte each; uint64 end of each document; per plane uint64
 zeros, the packed 64-bit words, uint32 ones before every 8th word.
+
+Null and empty texts are one end id; a null document id sorts first; repeated ids and rows are encoded
+each, in the order of their texts; a text of any length is one document of one shard. An empty table gives
+no shard and no rows. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
