@@ -4,7 +4,7 @@ All suffixes of all texts are too many to sort at scale, so only sampled ones ta
 loses no match. Each 100-byte window points to the suffix inside it whose first 32 bytes have the
 smallest hash (the leftmost of equals); equal windows point to the same place of themselves. A
 sampled suffix with the run of windows that point to it is ordered by three leading tokens: its first
-eight bytes as they are (big-endian, so in the suffixes' own order), the hash of its first 32 bytes, and
+LEAD bytes as they are (big-endian, so in the suffixes' own order), the hash of its first 32 bytes, and
 the hash of its whole run. Splitters sampled from the documents range-partition the suffixes by these
 tokens; a bucket sorts its suffixes by multikey quicksort (only ties of a token go on to the next one,
 the last being the text's place) and compares neighbours: of equal runs all but the first are removed
@@ -39,6 +39,7 @@ from footfall.llm.textops import hash_spans, mix, per_text, runs, slices, text_b
 
 LENGTH = 100
 GRAM = 32
+LEAD = 4
 BLOCK = 1 << 17  # windows of one step, which bounds a task's arrays
 SLICE_BYTES = 4 << 20
 PART_KEYS = 1 << 19  # token pairs of one bucket, about
@@ -97,8 +98,8 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
             first, last = first[real], last[real]
             anchor = at[first]
             second = mix(hash_spans(raw[lo:end], first, last + LENGTH, seed=5) ^ mix((anchor - first).astype(np.uint64)))
-            lead = np.lib.stride_tricks.sliding_window_view(raw[lo:end], 8)[anchor].view(">u8").ravel().astype(np.uint64)
-            out.append((first + lo, last + lo, lead, h[anchor] >> np.uint64(24), second))
+            lead = np.lib.stride_tricks.sliding_window_view(raw[lo:end], LEAD)[anchor].view(">u4").ravel().astype(np.uint64)
+            out.append((first + lo, last + lo, lead, h[anchor] >> np.uint64(32), second))
         text = stop
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, *[none.astype(np.uint64)] * 3)
@@ -151,7 +152,7 @@ def part_of(tokens: tuple[np.ndarray, ...], splitters: Splitters) -> np.ndarray:
         return part
     lead = columns[0].astype(np.float64)
     under = np.concatenate([np.zeros(1), lead])[part]
-    above = np.concatenate([lead, np.full(1, 2.0**64)])[part]
+    above = np.concatenate([lead, np.full(1, 2.0**(8 * LEAD))])[part]
     inner = np.floor((tokens[0].astype(np.float64) - under) * sub_ranges / np.maximum(above - under, 1)).astype(np.int64)
     return part * sub_ranges + np.clip(inner, 0, sub_ranges - 1)
 
@@ -202,7 +203,8 @@ def asks(number: int, file: str, part: np.ndarray, lead: np.ndarray | None, firs
     for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
         own = order[a:b]
         values, index = np.unique(doc[own], return_inverse=True)
-        for k, v in (("part", int(part[own[0]])), ("slice", number), ("file", file), ("lead", packed(lead[own]) if lead is not None else None), ("first", packed(first[own])), ("second", second[own].tobytes()),
+        for k, v in (("part", int(part[own[0]])), ("slice", number), ("file", file), ("lead", packed(lead[own].astype(np.uint32)) if lead is not None else None),
+                     ("first", packed(first[own].astype(np.uint32) if lead is not None else first[own])), ("second", second[own].tobytes()),
                      ("doc", packed(ids[values])), ("mark", packed(index.astype(np.uint32)))):
             rows[k].append(v)
     for k, v in (("part", -1 - number % 16), ("slice", number), ("file", file), ("lead", None), ("first", None), ("second", None), ("doc", None), ("mark", None)):
@@ -217,12 +219,13 @@ def answer(t: pa.Table, boundary: np.ndarray) -> pa.Table:
     if not rows:
         n = len(slices_)
         return pa.Table.from_arrays([pa.array(slices_, pa.int64()), pa.array(files, pa.string()), pa.array(t["part"].to_pylist(), pa.int32()), pa.array([None] * n, pa.binary()), pa.array([0] * n, pa.int64())], schema=_ANSWER)
-    first = np.concatenate([unpacked(r["first"], np.uint64) for r in rows])
+    narrow = rows[0]["lead"] is not None                  # suffixes have tokens of 32 bits, windows of 64
+    first = np.concatenate([unpacked(r["first"], np.uint32 if narrow else np.uint64) for r in rows])
     size = [len(unpacked(r["mark"], np.uint32)) for r in rows]
     second = np.concatenate([np.frombuffer(r["second"], f"<u{len(r['second']) // n}") for r, n in zip(rows, size)])
     doc = np.concatenate([unpacked(r["doc"], np.int64)[unpacked(r["mark"], np.uint32)] for r in rows])
     sender = np.repeat(np.array([r["slice"] for r in rows]), size)
-    lead = [np.concatenate([unpacked(r["lead"], np.uint64) for r in rows])] if rows[0]["lead"] is not None else []
+    lead = [np.concatenate([unpacked(r["lead"], np.uint32) for r in rows])] if narrow else []
     order = multikey_order([*lead, first, second, doc, sender])
     f, s = first[order], second[order]
     new_first = np.concatenate([[True], f[1:] != f[:-1]])
