@@ -410,7 +410,9 @@ def keep(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, short: flo
     schema = StructType(list(docs.schema.fields))
     for name, kind in own:
         schema = schema.add(name, kind)
-    passed = saved(docs.mapInArrow(run, schema), work_dir(spark, "passed"))
+    path = work_dir(spark, "passed")
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    passed = spark.read.schema(schema).parquet(path)
     measured = passed.select(F.col("rules_lang").alias("model_lang"), F.col("rules_ppl").alias("log10_ppl"), F.lit(False).alias("base_failed"))
     band = saved(bands(measured, width, slack), work_dir(spark, "bands"))
     band = band.select(F.col("band_lang").alias("rules_band"), *(F.col(c).alias(f"rules_{c}") for c in ("middle", "reach")))
