@@ -51,7 +51,7 @@ FEW_MOVED = 0.03  # rounds end when rare words with less of their tokens move
 LEAST_GAIN = 0.002  # or the log likelihood a token gains less
 BLOCK_WORDS = 1 << 14  # words of a part whose neighbours are summed at a time
 SLICE_BYTES = 8 << 20
-PART_WORDS = 1 << 20  # distinct words of slices that one part of the counts exchange holds, about
+PART_WORDS = 1 << 19  # distinct words of slices that one part of the counts exchange holds, about
 PRIOR = 4.0  # weight of the class unigram in a class transition
 SPELL = 60
 END = CLASSES + SPELL  # the end token's class
