@@ -4,10 +4,10 @@ The language model is modified Kneser-Ney over characters of every script: a sym
 case (digits are one symbol, white space is one, code points beyond the first plane share the private
 range), so an order-4 n-gram is exactly 64 bits. Spark counts them over all texts with sums in the tasks
 first; every language has a model and a band of its own, whatever its share of the corpus. A model holds
-all n-grams of its language, or from CAPACITY on those that are frequent enough to be so many: what the
-cut leaves out backs off to lower orders. Spark groups build the models, one a language, as sorted hash
-arrays of proven size in files under the shared folder; a task reads those of its texts' languages, keeps
-the latest few, and looks up the distinct n-grams of a slice by binary search.
+all n-grams of its language, however many. Spark joins and sums give the probabilities and back-off weights
+of all orders; they are written as sorted hash arrays in files under the shared folder, a language's files
+by ranges of the hash, so that each holds about PART n-grams at most. A task looks up the distinct n-grams of
+a slice by binary search in the files of its texts' languages, file after file, and keeps the latest few.
 
 A document is rejected by the base rules, or when the log10 perplexity of a symbol lies outside its
 language's band. The band is the median of the documents that pass the base rules, plus and minus
@@ -34,9 +34,9 @@ from footfall.llm.common import Committer, get, owns_worker, relax, saved, work_
 from footfall.llm.textops import SPACE, hash_spans, mix, per_text, shingle_hashes, slices, text_bytes, words
 
 ORDER, BITS = 4, 16
-CAPACITY = 1 << 20  # n-grams of the highest order in a model at most
+PART = 1 << 20  # n-grams in a file of a model at most, about
 GATHERED = 1 << 21  # distinct n-grams that a task sums before it sends them
-HELD = 8  # models that a worker keeps, of some 25 MB each
+HELD = 8  # files of models that a worker keeps, of some 16 MB each at most
 UNIFORM = 1.0 / (1 << BITS)
 # classes of bytes, for the classifier's statistics
 SYMBOL = np.full(256, 31, np.uint8)
@@ -173,7 +173,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 def frequent(counts: DataFrame, capacity: int) -> DataFrame:
     """The n-grams of each language, or the most frequent ones where there are more than ``capacity``: those
-    met at least as often as the least number that leaves no more."""
+    met at least as often as the least number that leaves no more. For a look at a corpus: models hold all."""
     steps = counts.groupBy("lang", "n").agg(F.count("*").alias("grams"))     # counts of counts
     more = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     least = (steps.withColumn("grams", F.sum("grams").over(more)).where(F.col("grams") <= capacity)
@@ -186,50 +186,64 @@ def low_bits(code: np.ndarray, order: int) -> np.ndarray:
     return code if order >= ORDER else code & np.uint64((1 << BITS * order) - 1)
 
 
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of all orders, their log10 probabilities and back-off weights.
+def all_orders(counts: DataFrame) -> DataFrame:
+    """(lang, size, code, n): the n-grams of all orders; lower orders count distinct left neighbours."""
+    level = counts.select("lang", F.lit(ORDER).alias("size"), "code", "n")
+    out = level
+    for size in range(ORDER - 1, 0, -1):
+        low = F.col("code").bitwiseAND((1 << BITS * size) - 1)
+        level = level.groupBy("lang", low.alias("code")).agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(size).alias("size"), "code", "n")
+        out = out.unionByName(level)
+    return out
+
+
+def discounts(levels: DataFrame) -> DataFrame:
+    """(lang, size, d1, d2, d3): what counts of 1, 2 and at least 3 lose, from the counts of counts."""
+    n1, n2, n3, n4 = (F.col(f"n{k}").cast("double") for k in (1, 2, 3, 4))
+    y = F.when(n1 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)
+    raw = [F.when(n1 > 0, 1 - 2 * y * n2 / n1).otherwise(0.5), F.when(n2 > 0, 2 - 3 * y * n3 / n2).otherwise(0.75), F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(0.9)]
+    return (levels.groupBy("lang", "size").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+            .select("lang", "size", *[F.greatest(F.lit(0.05), F.least(F.lit(float(k)), d)).alias(f"d{k}") for k, d in enumerate(raw, 1)]))
+
+
+def contexts(levels: DataFrame, cut: DataFrame) -> DataFrame:
+    """(lang, size, context, total, gamma): the counts of the n-grams of a size that begin with a context, and
+    the share of them that the discounts hand to the order below."""
+    n = F.col("n")
+    sums = (levels.groupBy("lang", "size", F.shiftrightunsigned("code", BITS).alias("context"))
+            .agg(F.sum(n).cast("double").alias("total"), F.count_if(n == 1).alias("_1"), F.count_if(n == 2).alias("_2"), F.count_if(n > 2).alias("_3")))
+    taken = F.col("_1") * F.col("d1") + F.col("_2") * F.col("d2") + F.col("_3") * F.col("d3")
+    return sums.join(cut, ["lang", "size"]).select("lang", "size", "context", "total", (taken / F.col("total")).alias("gamma"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, size, code, p, weight): n-grams of all orders with their probabilities and back-off weights.
 
     Lower orders count distinct left neighbours. Each order discounts counts of 1, 2 and at least 3
     by amounts from its counts of counts and hands the rest to the order below; below order 1 stands
-    the uniform distribution over all symbols.
+    the uniform distribution over all symbols, and size 0 is a symbol that was never seen. Everything is
+    joined and summed by n-gram or by context: no task holds a model.
     """
-    levels = []
-    for order in range(ORDER, 0, -1):
-        rank = np.argsort(code)
-        levels.append((order, code[rank], count[rank].astype(np.float64)))
-        code, count = np.unique(low_bits(code, order - 1), return_counts=True)
-    keys, probs = [], []
-    below = np.full(1, UNIFORM)
-    weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for order, code, count in reversed(levels):
-        n1, n2, n3, n4 = (float((count == k).sum()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = np.array([0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9])
-        d = np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
-        take = np.minimum(count, d[np.minimum(count, 3).astype(int)])
-        context, at = np.unique(code >> np.uint64(BITS), return_inverse=True)
-        total = np.bincount(at, count)
-        gamma = np.bincount(at, take) / total
-        base = below[0] if order == 1 else below[np.searchsorted(keys[-1], low_bits(code, order - 1))]
-        below = (count - take) / total[at] + gamma[at] * base
-        keys.append(code)
-        probs.append(below)
-        weights[order - 1] = (context, gamma)  # of the contexts of this order
-    out_key, out_p, out_w = [], [], []
-    floor = UNIFORM * (weights[0][1][0] if len(weights[0][1]) else 1.0)
-    for order, (code, p) in enumerate(zip(keys, probs), 1):
-        w = np.ones(len(code))
-        if order in weights:
-            context, gamma = weights[order]
-            at = np.minimum(np.searchsorted(context, code), len(context) - 1)
-            w = np.where(context[at] == code, gamma[at], 1.0)
-        out_key.append(slot(code, order))
-        out_p.append(np.log10(p))
-        out_w.append(np.log10(np.maximum(w, 1e-12)))
-    out_key.append(slot(np.zeros(1, np.uint64), 0))  # order 0: a symbol that was never seen
-    out_p.append(np.log10([floor]))
-    out_w.append(np.zeros(1))
-    return np.concatenate(out_key), np.concatenate(out_p), np.concatenate(out_w)
+    spark = counts.sparkSession
+    levels = saved(all_orders(counts), work_dir(spark, "orders"))
+    cut = saved(discounts(levels), work_dir(spark, "discounts"))
+    around = saved(contexts(levels, cut), work_dir(spark, "contexts"))
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = (levels.join(cut, ["lang", "size"]).withColumn("context", F.shiftrightunsigned("code", BITS))
+           .join(around, ["lang", "size", "context"]).select("lang", "size", "code", ((F.col("n") - d) / F.col("total")).alias("p"), "gamma"))
+    floor = around.where(F.col("size") == 1).select("lang", F.lit(0).alias("size"), F.lit(0).cast("long").alias("code"), (F.lit(UNIFORM) * F.col("gamma")).alias("p"))
+    below, out = None, floor
+    for size in range(1, ORDER + 1):
+        level = own.where(F.col("size") == size)
+        if below is None:
+            rest = level.withColumn("_below", F.lit(UNIFORM))
+        else:
+            base = below.select("lang", F.col("code").alias("_low"), F.col("p").alias("_below"))
+            rest = level.withColumn("_low", F.col("code").bitwiseAND((1 << BITS * (size - 1)) - 1)).join(base, ["lang", "_low"])
+        below = saved(rest.select("lang", "size", "code", (F.col("p") + F.col("gamma") * F.col("_below")).alias("p")), work_dir(spark, f"order{size}"))
+        out = out.unionByName(below)
+    weights = around.select("lang", (F.col("size") - 1).alias("size"), F.col("context").alias("code"), F.col("gamma").alias("_gamma")).where(F.col("size") > 0)
+    return out.join(weights, ["lang", "size", "code"], "left").select("lang", "size", "code", "p", F.coalesce("_gamma", F.lit(1.0)).alias("weight"))
 
 
 def slot(code: np.ndarray, order: int) -> np.ndarray:
@@ -237,19 +251,23 @@ def slot(code: np.ndarray, order: int) -> np.ndarray:
     return mix(code ^ np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1))
 
 
-_PARTS: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # (folder, file) -> model, latest last
+_PARTS: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # (folder, file) -> part of a model, latest last
+
+
+def part_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The part of a model that holds each hash: its first bits."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
 class Model:
-    """The files of all languages' models: sorted hashes with their probabilities and back-off weights."""
+    """The files of all languages' models: sorted hashes with their probabilities and back-off weights, a
+    file for each range of the hashes."""
 
-    def __init__(self, folder: str, files: dict[str, str]):
-        self.folder, self.files = folder, files
+    def __init__(self, folder: str, files: dict[str, tuple[int, dict[int, str]]]):
+        self.folder, self.files = folder, files  # language -> (bits of a range's number, range -> file)
 
-    def part(self, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        if lang not in self.files:
-            return None
-        name = self.folder, self.files[lang]
+    def part(self, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        name = self.folder, file
         part = _PARTS.pop(name, None)
         if part is None:
             while len(_PARTS) >= HELD:
@@ -260,30 +278,35 @@ class Model:
         _PARTS[name] = part
         return part
 
+    def find(self, h: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the model has each hash, its log10 probability, its back-off weight)."""
+        bits, files = self.files[lang]
+        hit, log_p, weight = np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h))
+        part = part_of(h, bits)
+        for k in np.unique(part):
+            if k in files:
+                own = np.flatnonzero(part == k) if bits else slice(None)
+                hashes, p, w = self.part(files[k])
+                at = np.minimum(np.searchsorted(hashes, h[own]), len(hashes) - 1)
+                hit[own], log_p[own], weight[own] = hashes[at] == h[own], p[at], w[at]
+        return hit, log_p, weight
+
     def log10(self, code: np.ndarray, lang: str) -> np.ndarray:
         """log10 probability of the last symbol of each n-gram; unseen ones back off to lower orders."""
-        part, out = self.part(lang), np.zeros(len(code))
-        if part is None:
+        out = np.zeros(len(code))
+        if lang not in self.files:
             return out + np.log10(UNIFORM)
-        hashes, log_p, weight = part
-
-        def find(low: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-            h = slot(low, order)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            return at, hashes[at] == h
-
         todo = np.arange(len(code))
         for order in range(ORDER, -1, -1):
             low = low_bits(code[todo], order) if order else np.zeros(len(todo), np.uint64)
-            at, hit = find(low, order)
-            if order == 0:
-                out[todo] += log_p[at]
-                break
-            out[todo[hit]] += log_p[at[hit]]
+            hit, log_p, _ = self.find(slot(low, order), lang)
+            out[todo[hit]] += log_p[hit]
             todo, low = todo[~hit], low[~hit]
+            if not len(todo):
+                break
             if order > 1:
-                at, hit = find(low >> np.uint64(BITS), order - 1)
-                out[todo[hit]] += weight[at[hit]]
+                hit, _, weight = self.find(slot(low >> np.uint64(BITS), order - 1), lang)
+                out[todo[hit]] += weight[hit]
         return out
 
     def mean_log10(self, raw: np.ndarray, off: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
@@ -296,21 +319,41 @@ class Model:
         return np.where(size > 0, -total / np.maximum(size, 1), np.nan), size
 
 
-def fit(docs: DataFrame, capacity: int = CAPACITY) -> Model:
-    """Count n-grams over all texts and build every language's model from at most ``capacity`` counts."""
+def fit(docs: DataFrame, part: int = PART) -> Model:
+    """Count n-grams over all texts and build every language's model from all of them, in files of about
+    ``part`` n-grams at most."""
     spark = docs.sparkSession
     counts = saved(count_ngrams(docs), work_dir(spark, "ngrams"))
+    grams = saved(kneser_ney(counts), work_dir(spark, "grams"))
     folder = work_dir(spark, "models")
+    ranges = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(part))))
+    bits = saved(grams.groupBy("lang").agg(ranges.cast("int").alias("bits")), work_dir(spark, "ranges"))
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("hash", pa.int64()), ("p", pa.float32()), ("weight", pa.float32())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, code, p, weight, bits = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+            h, part = np.zeros(len(code), np.uint64), np.zeros(len(code), np.int64)
+            for k in range(ORDER + 1):
+                h[size == k] = slot(code[size == k].view(np.uint64), k)
+            for k in np.unique(bits):
+                part[bits == k] = part_of(h[bits == k], int(k))
+            log_p, log_w = np.log10(p).astype("f4"), np.log10(np.maximum(weight, 1e-12)).astype("f4")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part), pa.array(h.view(np.int64)), pa.array(log_p), pa.array(log_w)], schema=schema)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, p, w = kneser_ney(pdf["code"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64))
-        lang, order = pdf["lang"].iloc[0], np.argsort(hashes)
-        data = hashes[order].astype("<u8").tobytes() + p[order].astype("<f4").tobytes() + w[order].astype("<f4").tobytes()
-        done = Committer(f"{folder}/files").put(hashlib.sha256(lang.encode()).hexdigest(), data)
-        return pd.DataFrame({"lang": [lang], "file": [done["file"]]})
-
-    files = saved(frequent(counts, capacity).groupBy("lang").applyInPandas(build, "lang string, file string"), f"{folder}/manifest")
-    return Model(f"{folder}/files", {r.lang: r.file for r in files.collect()})  # one name a language
+        lang, part, hashes = pdf["lang"].iloc[0], int(pdf["part"].iloc[0]), pdf["hash"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        data = hashes[order].astype("<u8").tobytes() + pdf["p"].to_numpy()[order].astype("<f4").tobytes() + pdf["weight"].to_numpy()[order].astype("<f4").tobytes()
+        done = Committer(f"{folder}/files").put(f"{hashlib.sha256(lang.encode()).hexdigest()}-{part}", data)
+        return pd.DataFrame({"lang": [lang], "part": [part], "file": [done["file"]]})
+
+    dealt = grams.join(bits, "lang").select("lang", "size", "code", "p", "weight", "bits").mapInArrow(deal, "lang string, part long, hash long, p float, weight float")
+    files = saved(dealt.groupBy("lang", "part").applyInPandas(build, "lang string, part long, file string"), f"{folder}/manifest")
+    parts = {r.lang: (r.bits, {}) for r in bits.collect()}  # one row a language
+    for r in files.collect():  # one name a file
+        parts[r.lang][1][r.part] = r.file
+    return Model(f"{folder}/files", parts)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

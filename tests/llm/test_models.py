@@ -86,6 +86,21 @@ def test_kneser_ney_matches_brute_force(spark):
     assert np.allclose(model.log10(np.array([packed(g) for g in probe], np.uint64), "en"), want, atol=1e-4)
 
 
+def test_a_model_of_many_files_holds_every_ngram(spark):
+    """Rare n-grams beyond any number of them have their own probability, whatever the files' size."""
+    rnd = random.Random(5)
+    letters = "".join(chr(0x4E00 + k) for k in range(3000))
+    rows = [(k, "".join(rnd.choice(letters) for _ in range(200))) for k in range(30)]
+    model = quality_rules.fit(documents(spark, rows, parts=3), part=500)
+    bits, files = model.files["en"]
+    assert bits > 4 and len(files) == 1 << bits
+    seen = [g for r in rows for g in grams(r[1])]
+    codes = np.array([packed(g) for g in seen], np.uint64)
+    assert model.find(quality_rules.slot(codes, quality_rules.ORDER), "en")[0].all()
+    p = brute_kneser_ney(seen)
+    assert np.allclose(model.log10(codes[::37], "en"), [math.log10(p(g)) for g in seen[::37]], atol=1e-4)
+
+
 def test_kept_equals_a_brute_force_model_and_band(spark):
     rnd = random.Random(12)
     rows = [(k, prose(rnd, rnd.randrange(55, 120))) for k in range(80)] + [(100 + k, " ".join("".join(rnd.choice("zqxjvw") for _ in range(6)) for _ in range(60))) for k in range(6)]
