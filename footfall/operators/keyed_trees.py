@@ -1,13 +1,13 @@
 """Boosted regression trees per key, fitted in parallel and scored in generated code.
 
-Every counter has an ensemble of its own, as small as its history. ``fit_keyed_trees`` fits each in one
-grouped call: features are cut into at most ``bins`` quantile bins, a node's split is the best of the
+Every counter has an ensemble of its own, as small as its history. ``fit_keyed_trees`` fits the counters of
+a hash bucket in one grouped call, one after another: features are cut into at most ``bins`` quantile bins, a node's split is the best of the
 histogram sums of its rows, and trees grow level by level to complete binary trees (a node without a
 useful split passes all rows to the left). The result is one row a key with the trees laid out as flat
 arrays. ``predict_keyed`` joins rows with their key's arrays and walks the trees by ``aggregate`` over the
 levels: Column expressions, no Python.
 
-A group is one counter's rolled-up history (a row a day), bounded by the calendar and not by the volume of
+A counter's rows are its rolled-up history (a row a day), bounded by the calendar and not by the volume of
 readings. Missing labels are left out; missing features count as 0, as in ``regress.feature_table``.
 """
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.operators.forecast import fit_partitions
+from footfall.operators.forecast import BUCKETS, fit_partitions
 
 TREES_SCHEMA = "{key} {type}, n long, base double, depth int, feature array<int>, threshold array<double>, leaf array<double>, gain array<double>"
 
@@ -48,28 +48,33 @@ def _grow(code: np.ndarray, widths: list[int], residual: np.ndarray, cfg: TreeCo
     inner = (1 << cfg.depth) - 1
     feature, cut, gain = np.full(inner, -1), np.zeros(inner, int), np.zeros(inner)
     node = np.zeros(len(residual), int)
+    useful, wide = [f for f, w in enumerate(widths) if w > 1], max(widths, default=1)
+    # the histograms of all features and nodes of a level are one array of equal rows
+    row = len(widths) * wide
+    place, again = code + wide * np.arange(len(widths)), np.repeat(residual, len(widths))
+    inside = np.arange(wide - 1) < np.array(widths, int)[:, None] - 1
     for level in range(cfg.depth):
         first, width = (1 << level) - 1, 1 << level
         local = node - first
         n_all, s_all = np.bincount(local, minlength=width), np.bincount(local, residual, minlength=width)
         best = np.full(width, 1e-12 * max(float(residual @ residual), 1e-300))
-        for f, w in enumerate(widths):
-            if w < 2:
-                continue
-            cell = local * w + code[:, f]
-            n = np.cumsum(np.bincount(cell, minlength=width * w).reshape(width, w), 1)[:, :-1]
-            s = np.cumsum(np.bincount(cell, residual, minlength=width * w).reshape(width, w), 1)[:, :-1]
-            other = n_all[:, None] - n
-            ok = (n >= cfg.min_rows) & (other >= cfg.min_rows)
+        if useful:
+            cell = (local[:, None] * row + place).ravel()
+            n = np.cumsum(np.bincount(cell, minlength=width * row).reshape(width, -1, wide), 2)[:, :, :-1]
+            s = np.cumsum(np.bincount(cell, again, minlength=width * row).reshape(width, -1, wide), 2)[:, :, :-1]
+            other = n_all[:, None, None] - n
+            ok = (n >= cfg.min_rows) & (other >= cfg.min_rows) & inside
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = s**2 / n + (s_all[:, None] - s)**2 / other - (s_all**2 / np.maximum(n_all, 1))[:, None]
+                score = s**2 / n + (s_all[:, None, None] - s)**2 / other - (s_all**2 / np.maximum(n_all, 1))[:, None, None]
             score = np.where(ok, score, -np.inf)
-            top = score.argmax(1)
-            value = score[np.arange(width), top]
-            better = value > best * (1 + 1e-12)          # ties stay with the earlier feature
-            best = np.where(better, value, best)
-            at = first + np.flatnonzero(better)
-            feature[at], cut[at], gain[at] = f, top[better], value[better]
+            tops = score.argmax(2)
+            values = np.take_along_axis(score, tops[:, :, None], 2)[:, :, 0]
+        for f in useful:
+            better = values[:, f] > best * (1 + 1e-12)   # ties stay with the earlier feature
+            if better.any():
+                best = np.where(better, values[:, f], best)
+                at = first + np.flatnonzero(better)
+                feature[at], cut[at], gain[at] = f, tops[better, f], values[better, f]
         f = feature[node]
         right = (f >= 0) & (code[np.arange(len(code)), np.maximum(f, 0)] > cut[node])
         node = 2 * node + 1 + right
@@ -102,19 +107,26 @@ def fit_keyed_trees(train: DataFrame, features: Sequence[str], label: str = "vis
     names = list(features)
     value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0))
     y = F.nanvl(F.col(label).cast("double"), F.lit(None))
-    rows = train.select(F.col(key), y.alias("_y"), *[value(c).alias(f"_x{i}") for i, c in enumerate(names)]).where(F.col("_y").isNotNull())
-
-    def fit(group_key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    # the key travels as text, which keeps NULL and every digit; many keys share one grouped call
+    rows = train.select(F.col(key).cast("string").alias("_key"), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket"), y.alias("_y"),
+                        *[value(c).alias(f"_x{i}") for i, c in enumerate(names)]).where(F.col("_y").isNotNull())
+    columns = ["_y", *[f"_x{i}" for i in range(len(names))]]
+
+    def fit(bucket: tuple, h: pd.DataFrame) -> pd.DataFrame:
+        number, keys = pd.factorize(h["_key"], use_na_sentinel=False)
+        values = h[columns].to_numpy(float)
         # rows in an order of their own values, so that a task that is run again gives the same sums
-        columns = ["_y", *[f"_x{i}" for i in range(len(names))]]
-        g = g.sort_values(columns, kind="stable")
-        x = g[columns[1:]].to_numpy(float).reshape(len(g), len(names))
-        base, feature, threshold, leaf, gain = fit_arrays(x, g["_y"].to_numpy(float), config)
-        return pd.DataFrame([{key: group_key[0], "n": len(g), "base": base, "depth": config.depth, "feature": feature.astype("int32"),
-                              "threshold": threshold, "leaf": leaf, "gain": gain}])
-
-    schema = TREES_SCHEMA.format(key=f"`{key}`", type=train.schema[key].dataType.simpleString())
-    return rows.repartition(fit_partitions(train.sparkSession), key).groupBy(key).applyInPandas(fit, schema)
+        order = np.lexsort([*values.T[::-1], number])
+        number, values = number[order], values[order]
+        out = []
+        for part in np.split(values, np.flatnonzero(np.diff(number)) + 1):
+            base, feature, threshold, leaf, gain = fit_arrays(part[:, 1:], part[:, 0], config)
+            out.append({"n": len(part), "base": base, "depth": config.depth, "feature": feature.astype("int32"), "threshold": threshold, "leaf": leaf, "gain": gain})
+        return pd.DataFrame(out).assign(_key=[None if pd.isna(k) else k for k in keys])
+
+    schema, kind = TREES_SCHEMA.format(key="_key", type="string"), train.schema[key].dataType
+    fitted = rows.repartition(fit_partitions(train.sparkSession), "_bucket").groupBy("_bucket").applyInPandas(fit, schema)
+    return fitted.select(F.col("_key").cast(kind).alias(key), *[c for c in fitted.columns if c != "_key"])
 
 
 def predict_keyed(trees: DataFrame, rows: DataFrame, features: Sequence[str], key: str = "counterId",

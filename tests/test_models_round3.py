@@ -207,3 +207,35 @@ def test_future_frames_of_a_model_match_the_series(spark):
     a = {(r.counterId, r.ds) for r in model_table.predict_from(model, horizon=5).collect()}
     b = {(r.counterId, r.ds) for r in ser.future_days(s, 5, include_history=False).collect()}
     assert a == b and model_table.predict_from(model, horizon=0).count() == 0
+
+
+def test_counters_share_fitting_calls_and_keep_models_of_their_own(spark, monkeypatch):
+    """Some counters are fitted in one call; NULL is a counter, and no model sees another's rows."""
+    import numpy as np
+    from footfall.operators import forecast, keyed_trees
+    big = (1 << 60) + 1                                       # no float holds this id
+    rows = [(c, f"2024-01-{d:02d}", float((d * (c or 7)) % 11 + d * d % 5), float(d % 4), float(d)) for c in (3, None, big, 8) for d in range(1, 21)]
+    df = spark.createDataFrame(rows, "counterId long, ds string, y double, a double, b double")
+    monkeypatch.setattr(forecast, "BUCKETS", 1)
+    monkeypatch.setattr(keyed_trees, "BUCKETS", 1)
+    got = {}
+    for r in forecast.fit_forecast(df, horizon=3).collect():
+        got.setdefault(r.counterId, []).append((r.ds, r.yhat))
+    assert set(got) == {3, None, big, 8}
+    frame = df.select("counterId", "ds").where("ds < '2024-01-04'").unionByName(spark.createDataFrame([(99, "2024-01-05")], "counterId long, ds string"))
+    asked = {(r.counterId, r.ds): r.yhat for r in forecast.fit_forecast(df, frame=frame).collect()}
+    assert len(asked) == 13 and asked[99, "2024-01-05"] is None
+    for c in got:
+        own = [r for r in rows if r[0] == c]
+        t, y = forecast._days(forecast.pd.Series([r[1] for r in own])), np.array([r[2] for r in own])
+        want, _ = forecast.fit_predict_arrays(t, y, np.ones(20), y * y, np.concatenate([t[-1] + 1 + np.arange(3), t[:3]]), y_amax=np.abs(y))
+        assert [d for d, _ in sorted(got[c])] == ["2024-01-21", "2024-01-22", "2024-01-23"]
+        assert np.allclose([v for _, v in sorted(got[c])], want[:3], rtol=1e-6)
+        assert np.allclose([asked[c, r[1]] for r in own[:3]], want[3:], rtol=1e-6)
+    config = keyed_trees.TreeConfig(min_rows=2)
+    trees = {r.counterId: r for r in keyed_trees.fit_keyed_trees(df, ["a", "b"], "y", config=config).collect()}
+    assert set(trees) == set(got) and all(r.n == 20 for r in trees.values())
+    for c, r in trees.items():
+        own = np.array(sorted(x[2:] for x in rows if x[0] == c))
+        base, feature, threshold, leaf, _ = keyed_trees.fit_arrays(own[:, 1:], own[:, 0], config)
+        assert r.base == base and r.feature == feature.tolist() and r.threshold == threshold.tolist() and r.leaf == leaf.tolist()
