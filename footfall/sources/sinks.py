@@ -46,5 +46,5 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str =
     same = [df[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(folders)]
     spread = df.withColumn("_row", F.xxhash64(*columns, F.spark_partition_id()))
     dealt = spread.join(named, same).withColumn("_file", F.pmod("_row", F.col("_files")))
-    (dealt.repartition(tasks, *folders, "_file").sortWithinPartitions(*folders, "_file", *keys, *order).drop("_row", "_files", "_file", *[f"_k{i}" for i in range(len(folders))])
+    (dealt.repartition(tasks, *folders, "_file").sortWithinPartitions(*folders, *keys, *order).drop("_row", "_files", "_file", *[f"_k{i}" for i in range(len(folders))])
      .write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*folders).format(fmt).save(path))
