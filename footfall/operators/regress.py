@@ -25,6 +25,7 @@ from footfall.functions import literal_table
 ID_COLUMNS = ["parkCode", "counterIdPave", "date_day", "year", "counterId"]
 ROUTE_COLUMNS = ["track_name", "difficulty", "length_km", "duration_min"] + schemas.ROUTE_FLAGS
 # --------------------------------------------------------------------------------------------------
+SPREAD = 4  # training tasks for each split of the training table, with patience
 
 
 def feature_table(df: DataFrame, label: str = "visits", keep: Sequence[str] = (),
@@ -50,9 +51,10 @@ def feature_names(df: DataFrame, label: str = "visits", exclude: Sequence[str] =
 def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visits",
                    valid: DataFrame | None = None, max_iter: int = 7, step_size: float = 0.05,
                    max_depth: int = 4, key_feature: str | None = None, validation_tol: float = 0.01,
-                   seed: int = 7) -> PipelineModel:
+                   seed: int = 7, spread: int = 1) -> PipelineModel:
     """Fit a GBT on ``features``; with ``valid``, boosting stops early on the validation error. Give
-    it a saved table: training reads its rows more than once."""
+    it a saved table: training reads its rows more than once. With ``spread`` above 1 each split of the
+    table is dealt to so many tasks: its rows grow several times over in training."""
     cols = list(features)
     if key_feature:
         # the id enters as an ordinal feature: trees split it into id ranges, and the cost does
@@ -70,7 +72,10 @@ def fit_visits_gbt(train: DataFrame, features: Sequence[str], label: str = "visi
     # boosting passes over the data many times: keep the training columns on the executors' disks
     # while it runs; a lost block is read again from the caller's saved table
     keep = dict.fromkeys([*cols, label, *(["_is_valid"] if valid is not None else [])])
-    data = data.withColumn(label, F.col(label).cast("double")).select(*keep).persist(StorageLevel.DISK_ONLY)
+    data = data.withColumn(label, F.col(label).cast("double")).select(*keep)
+    if spread > 1:
+        data = data.repartition(spread * max(1, data.rdd.getNumPartitions()))
+    data = data.persist(StorageLevel.DISK_ONLY)
     try:
         return Pipeline(stages=stages).fit(data)
     finally:
@@ -118,7 +123,7 @@ def fit_patient_gbt(train: DataFrame, valid: DataFrame, features: Sequence[str],
 
     All ``max_iter`` rounds are trained, their errors on ``valid`` come from one more pass, and the
     ensemble is cut to its best prefix, which is the model that stopping early would have kept."""
-    model = fit_visits_gbt(train, features, label, max_iter=max_iter, **options)
+    model = fit_visits_gbt(train, features, label, max_iter=max_iter, **{"spread": SPREAD, **options})
     errors = staged_errors(model, valid, label)
     return first_rounds(model, patient_rounds(errors, patience)), errors
 

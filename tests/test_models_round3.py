@@ -218,12 +218,12 @@ def test_counters_share_fitting_calls_and_keep_models_of_their_own(spark, monkey
     df = spark.createDataFrame(rows, "counterId long, ds string, y double, a double, b double")
     monkeypatch.setattr(forecast, "BUCKETS", 1)
     monkeypatch.setattr(keyed_trees, "BUCKETS", 1)
-    got = {}
+    got, name = {}, lambda c: None if c == -1 << 63 else c
     for r in forecast.fit_forecast(df, horizon=3).collect():
-        got.setdefault(r.counterId, []).append((r.ds, r.yhat))
+        got.setdefault(name(r.counterId), []).append((r.ds, r.yhat))
     assert set(got) == {3, None, big, 8}
     frame = df.select("counterId", "ds").where("ds < '2024-01-04'").unionByName(spark.createDataFrame([(99, "2024-01-05")], "counterId long, ds string"))
-    asked = {(r.counterId, r.ds): r.yhat for r in forecast.fit_forecast(df, frame=frame).collect()}
+    asked = {(name(r.counterId), r.ds): r.yhat for r in forecast.fit_forecast(df, frame=frame).collect()}
     assert len(asked) == 13 and asked[99, "2024-01-05"] is None
     for c in got:
         own = [r for r in rows if r[0] == c]
@@ -239,3 +239,18 @@ def test_counters_share_fitting_calls_and_keep_models_of_their_own(spark, monkey
         own = np.array(sorted(x[2:] for x in rows if x[0] == c))
         base, feature, threshold, leaf, _ = keyed_trees.fit_arrays(own[:, 1:], own[:, 0], config)
         assert r.base == base and r.feature == feature.tolist() and r.threshold == threshold.tolist() and r.leaf == leaf.tolist()
+
+
+def test_patience_trains_in_more_tasks_than_the_table_has_splits(spark, tmp_path, monkeypatch):
+    from footfall.operators import regress
+    spark.range(200).selectExpr("id % 2 AS holiday", "id AS visits").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows, seen = spark.read.parquet(str(tmp_path / "t")), []
+
+    class Watched(regress.Pipeline):
+        def fit(self, data):
+            seen.append((data.rdd.getNumPartitions(), data.count()))
+            return super().fit(data)
+
+    monkeypatch.setattr(regress, "Pipeline", Watched)
+    regress.fit_patient_gbt(rows, rows, ["holiday"], max_iter=2, max_depth=1)
+    assert seen == [(regress.SPREAD * rows.rdd.getNumPartitions(), 200)] and regress.SPREAD > 1
