@@ -17,10 +17,14 @@ from footfall.functions import utc_string
 from footfall.operators.places import numbered_rows
 
 # --- fixed values: element names of the coverage document ---------------------------------------
-POSITIONS_XPATH = '//*[local-name()="positions"]'
-VALUES_XPATH = '//*[local-name()="doubleOrNilReasonTupleList"]'
+POSITIONS_XPATH = '/descendant::*[local-name()="positions"]'
+VALUES_XPATH = '/descendant::*[local-name()="doubleOrNilReasonTupleList"]'
 LISTS_XPATH = f'concat(string({POSITIONS_XPATH}), "|", string({VALUES_XPATH}))'   # lists of numbers hold no bar
-FIELD_NAMES_XPATH = '//*[local-name()="field"]/@name'
+FIELD_NAMES_XPATH = '/descendant::*[local-name()="field"]/@name'
+NAMES_AT_ONCE = 4         # field names that come with the lists (an XPath has 100 operators at most); a member with more takes a call for them
+NO_XML = "\u0001"         # a character that no XML document holds
+MEMBER_XPATH = "concat(" + f', "{NO_XML}", '.join(
+    [LISTS_XPATH, f"count({FIELD_NAMES_XPATH})", *(f"string(({FIELD_NAMES_XPATH})[{k}])" for k in range(1, NAMES_AT_ONCE + 1))]) + ")"
 POSITION_KEYS = ["x", "y", "timestamp"]
 MEMBER_PATTERN = r"(?s)<(?:\w+:)?member[\s>].*?</(?:\w+:)?member\s*>"
 MEMBER_END = "</wfs:member>"
@@ -55,10 +59,12 @@ def parse_members(members: DataFrame, field_names: Sequence[str], xml_col: str,
     """One member's XML per row (with its number in ``member``) -> rows of points."""
     keep = [*keep, "member"]
     x = F.col(xml_col)
-    # every XPath call parses the member again: both lists come from one call
-    lists = members.select(
-        *[F.col(k) for k in keep[:-1]], F.col("member").cast("bigint").alias("member"),
-        F.split(F.xpath_string(x, F.lit(LISTS_XPATH)), r"\|", 2).alias("_lists"), F.xpath(x, F.lit(FIELD_NAMES_XPATH)).alias("_names"))
+    # every XPath call parses the member again: both lists, the number of names and the first of them come from one call
+    own = [*[F.col(k) for k in keep[:-1]], F.col("member").cast("bigint").alias("member")]
+    found = members.select(*own, x.alias("_member_xml"), F.split(F.xpath_string(x, F.lit(MEMBER_XPATH)), NO_XML).alias("_found"))
+    count = F.col("_found")[1].cast("int")
+    names = F.when(count > NAMES_AT_ONCE, F.xpath("_member_xml", F.lit(FIELD_NAMES_XPATH))).otherwise(F.slice("_found", F.lit(3), count))
+    lists = found.select(*keep, F.split(F.col("_found")[0], r"\|", 2).alias("_lists"), names.alias("_names"))
     parsed = lists.select(*keep, _rows_of_numbers(F.col("_lists")[0]).alias("_pos"), _rows_of_numbers(F.col("_lists")[1]).alias("_val"), "_names")
     n = F.least(F.size("_pos"), F.size("_val"))
     zipped = parsed.select(*keep, "_names",
@@ -92,8 +98,9 @@ def member_offsets(parts: DataFrame) -> DataFrame:
     """(source, _block, _shift): what a member's ``_at`` is short of, or beyond, its rank in its file.
 
     Members are counted per input block, and a block's offset is the sum of the counts of the blocks
-    before it in its file: the window sees one row a block, never the XML."""
-    blocks = parts.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before it in its file: the window sees one row a block, never the XML. The count names the XML, so that
+    it reads the shuffle that the join reads."""
+    blocks = parts.groupBy("source", "_block").agg(F.count("_xml").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
     return blocks.select("source", "_block", (offset - F.col("_first")).alias("_shift"))
@@ -102,7 +109,8 @@ def member_offsets(parts: DataFrame) -> DataFrame:
 def read_coverage(spark: SparkSession, path: str, field_names: Sequence[str]) -> DataFrame:
     """Coverage files, read member by member: the reader splits a file at the ends of its members,
     so no file has to fit one row and one large file is many tasks. ``member`` is the rank of a member in
-    its file; the tasks number their members themselves, and only counts per block are shuffled."""
-    parts = coverage_parts(spark, path)
-    numbered = parts.join(member_offsets(parts.drop("_xml")), ["source", "_block"]).withColumn("member", F.col("_at") + F.col("_shift"))
+    its file; the tasks number their members themselves. One shuffle of the members by their blocks serves
+    the counts and the join with them, so each file is opened once."""
+    parts = coverage_parts(spark, path).repartition("source", "_block")
+    numbered = parts.join(member_offsets(parts), ["source", "_block"]).withColumn("member", F.col("_at") + F.col("_shift"))
     return parse_members(numbered, field_names, "_xml", keep=["source"])

@@ -626,6 +626,7 @@ def day_part_rollup_sorted(spark, sf_dir):
 # ---- step 7: coverage documents -------------------------------------------------------------------------
 
 from footfall.operators import coverage  # noqa: E402
+from footfall.sources.sinks import write_text_files  # noqa: E402
 
 
 @query
@@ -639,7 +640,7 @@ def read_coverage_files(spark, sf_dir):
     """Coverage files with many members each (one a user, in day order), read and numbered by the tasks."""
     docs = fx.coverage_docs(_events(spark, sf_dir)).withColumn("user", F.split("doc", "-")[0])
     folder = work_folder(spark, "coverage")
-    docs.repartition("user").sortWithinPartitions("user", "doc").select("user", "xml").write.partitionBy("user").text(folder)
+    write_text_files(docs, folder, "user", "xml", order=["doc"])
     out = coverage.read_coverage(spark, folder, fx.COVERAGE_FIELDS)
     user = F.regexp_extract("source", "user=([0-9]+)", 1).cast("bigint").alias("user")
     return out.select(user, "member", "point", "x", "y", "time", *fx.COVERAGE_FIELDS)
